@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import lm, packing, simhash
 
 QUERIES = {
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op3_simhash": simhash.op3_simhash,
     "op8_packing": packing.op8_packing,
 }
