@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,27 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = lengths.astype(np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches of one partition sorted by column ``key``."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        if kept and kept[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(kept)
+            kept = []
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield pa.Table.from_batches([*kept, batch.slice(0, last)])
+            kept = []
+        kept.append(batch.slice(last))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def sorted_groups(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a group in one partition, next to each other."""
+    return df.repartition(key).sortWithinPartitions(key)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm, packing, simhash
+from . import bwt, lm, packing, simhash, substring
 
 QUERIES = {
+    "op5_substring_dedup": substring.op5_substring_dedup,
+    "op9_suffix_array": bwt.op9_suffix_array,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op3_simhash": simhash.op3_simhash,
     "op8_packing": packing.op8_packing,

@@ -121,17 +121,7 @@ def links(fps: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
-        for batch in batches:
-            kept.append(pa.Table.from_batches([batch]))
-            shard = batch.column(3).to_numpy()
-            last = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
-            if last:
-                whole = pa.concat_tables([*kept[:-1], kept[-1].slice(0, last)])
-                kept = [kept[-1].slice(last)]
-                yield solved(whole)
-        if kept:
-            yield solved(pa.concat_tables(kept))
+        return map(solved, common.whole_groups(batches, 3))
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
         ids, fp, cuts, shard = (rows.column(k).to_numpy() for k in range(4))
@@ -151,7 +141,7 @@ def links(fps: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
         both = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (out_a, out_b)]
         return pa.RecordBatch.from_arrays(both, ["a", "b"])
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return common.sorted_groups(rows, "shard").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
