@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bwt, lm, packing, simhash, substring
+from . import ann, bwt, knn, lm, packing, simhash, substring
 
 QUERIES = {
+    "op7_exact_top_k": knn.op7_exact_top_k,
+    "op10_approximate_neighbours": ann.op10_approximate_neighbours,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op9_suffix_array": bwt.op9_suffix_array,
     "op4_lm_scoring": lm.op4_lm_scoring,
