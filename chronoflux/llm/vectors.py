@@ -76,7 +76,7 @@ def best(score: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
     """The ``k`` greatest scores of each query, ties to smaller ids, its own row left out."""
     order = np.argsort(ids, kind="stable")
     ids, score = ids[order], score[:, order]
-    least = np.iinfo(np.int64).min if score.dtype.kind == "i" else -np.inf
+    least = -(1 << 62) if score.dtype.kind == "i" else -np.inf
     score = np.where(ids[None, :] == q[:, None], least, score)
     if k + 1 < len(ids):  # keep all that tie with the k-th
         edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
