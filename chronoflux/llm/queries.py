@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bwt, knn, lm, packing, simhash, substring
+from . import ann, bwt, knn, lm, mixing, packing, pii, simhash, substring
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_pii": pii.op2_pii,
     "op7_exact_top_k": knn.op7_exact_top_k,
     "op10_approximate_neighbours": ann.op10_approximate_neighbours,
     "op5_substring_dedup": substring.op5_substring_dedup,
@@ -13,4 +15,4 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op8_packing": packing.op8_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
