@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bwt, knn, lm, mixing, packing, pii, simhash, substring
+from . import ann, bwt, knn, lm, mixing, packing, pii, quality, simhash, substring
 
 QUERIES = {
+    "op6_quality": quality.op6_quality,
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
     "op7_exact_top_k": knn.op7_exact_top_k,

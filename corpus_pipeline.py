@@ -1,7 +1,72 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: quality, near duplicates, personal data, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
+is written as Parquet and read again.  All but the last return the columns of
+documents.  Scratch tables of a stage are removed when the next one starts, for by
+then its result is written.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoflux.llm import common, mixing, packing, pii, quality, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects (low quality or toxic) go."""
+    common.swept(spark)
+    found = quality.scored(docs, common.table(spark, sf_dir, "labels"))
+    return found.where(quality.accepted()).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by SimHash the smallest doc_id stays."""
+    common.swept(spark)
+    found = simhash.near_duplicates(docs)
+    first = common.written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "first")
+    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if first.where("_rows > 1").head(1) else kept
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that give it away are replaced; no document goes."""
+    common.swept(spark)
+    return pii.sanitised(docs)
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of all tokens at equal source weights, as far as each source reaches; no repeats."""
+    common.swept(spark)
+    return mixing.cut_to(docs, mixing.mix(docs, share=0.9, epochs=1))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length, each a sequence."""
+    common.swept(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("personal data", personal_data_stage),
+    ("mixture", mixture_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier is trained, and the tokenizer is no SQL function.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    return docs
