@@ -1,6 +1,123 @@
-"""Registered queries and their SQL, gathered from the operator families."""
+"""Registered queries and their SQL: each applies an operator to whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoflux.operators import evidence, joins, query, signal
+from chronoflux.sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = f"WITH {t.SQL.strip()}\n{sql}" if not sql.lstrip().startswith("WITH") else f"WITH {t.SQL.strip()},\n{sql.lstrip()[4:]}"
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+def _kind(s: SparkSession, d: str, kind: str) -> DataFrame:
+    return t.onsets(s, d).where(F.col("kind") == kind)
+
+
+def _at(s: SparkSession, d: str) -> DataFrame:
+    """Query times: the clicks of each track."""
+    return _kind(s, d, "click").select("track_id", "id", "t")
+
+
+CLICK, VIEW = "(SELECT * FROM onsets WHERE kind = 'click')", "(SELECT * FROM onsets WHERE kind = 'view')"
+
+_add("q1_events_between", lambda s, d: query.events_between(t.onsets(s, d), 10.0, 20.0).select("track_id", "id"), "SELECT track_id, id FROM onsets WHERE t > 10 AND t <= 20")
+_add("q4_bar_spans", lambda s, d: query.bar_spans(t.beats(s, d)), "SELECT track_id, bar, t AS t0, coalesce(lead(t) OVER w, 2 * t - lag(t) OVER w) AS t1 FROM beats WHERE beat_in_bar = 1 WINDOW w AS (PARTITION BY track_id ORDER BY t)")
+_add("q5_bar_window", lambda s, d: query.bar_window(t.beats(s, d), 3, 7), "WITH b AS (SELECT track_id, bar, t AS t0, coalesce(lead(t) OVER w, 2 * t - lag(t) OVER w) AS t1 FROM beats WHERE beat_in_bar = 1 WINDOW w AS (PARTITION BY track_id ORDER BY t)) SELECT track_id, min(t0) AS t0, max(t1) AS t1 FROM b WHERE bar BETWEEN 3 AND 7 GROUP BY ALL")
+_add("q6_position_at", lambda s, d: _r(query.position_at(_at(s, d), t.beats(s, d)), "phase").select("track_id", "id", "bar", "beat_in_bar", "phase"), f"SELECT track_id, id, floor(t * 2)::BIGINT // 4 + 1 AS bar, floor(t * 2)::BIGINT % 4 + 1 AS beat_in_bar, round(t * 2 - floor(t * 2), 6) AS phase FROM {CLICK}")
+_add("q8_energy_at", lambda s, d: _r(query.energy_at(_kind_rows(s, d), t.frames(s, d)), "x").select("id", "x"), "SELECT o.id, round(a.x + (coalesce(b.x, a.x) - a.x) * (p - floor(p)), 6) AS x FROM (SELECT id, kind, least(greatest(t * 10, 0), 719) AS p FROM onsets) o JOIN frames a ON a.track_id = kind AND a.frame = floor(p) LEFT JOIN frames b ON b.track_id = kind AND b.frame = floor(p) + 1")
+_add("q9_previous_onset", lambda s, d: _r(query.previous_onset(_at(s, d), _kind(s, d, "view")), "age").select("track_id", "id", "onset_id", "age"), f"SELECT c.track_id, c.id, v.id AS onset_id, round(c.t - v.t, 6) AS age FROM {CLICK} c ASOF LEFT JOIN {VIEW} v ON c.track_id = v.track_id AND c.t >= v.t")
+_add(
+    "q9_nearest_onset",
+    lambda s, d: _r(query.nearest_onset(_at(s, d), _kind(s, d, "view")), "distance").select("track_id", "id", "onset_id", "distance"),
+    f"WITH b AS (SELECT c.*, v.id AS bi, v.t AS bt FROM {CLICK} c ASOF LEFT JOIN {VIEW} v ON c.track_id = v.track_id AND c.t >= v.t), f AS (SELECT b.*, v.id AS fi, v.t AS ft FROM b ASOF LEFT JOIN {VIEW} v ON b.track_id = v.track_id AND b.t <= v.t) SELECT track_id, id, CASE WHEN bt IS NOT NULL AND (ft IS NULL OR t - bt <= ft - t) THEN bi ELSE fi END AS onset_id, round(CASE WHEN bt IS NOT NULL AND (ft IS NULL OR t - bt <= ft - t) THEN t - bt ELSE ft - t END, 6) AS distance FROM f",
+)
+_add("q10_onset_impulse", lambda s, d: _r(query.onset_impulse(_at(s, d), _kind(s, d, "view")), "impulse").select("track_id", "id", "impulse"), f"SELECT c.track_id, c.id, round(coalesce(CASE WHEN c.t - v.t < 0.24 THEN v.strength * exp(-(c.t - v.t) * 16) END, 0), 6) AS impulse FROM {CLICK} c ASOF LEFT JOIN {VIEW} v ON c.track_id = v.track_id AND c.t >= v.t")
+_SHIPPED = "WITH q AS (SELECT o_custkey AS track_id, l_orderkey * 10 + l_linenumber AS id, epoch_us(l_shipdate) / 8.64e10 AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT q.*, s.id AS sid, s.family, s.t0, s.t1 FROM q ASOF LEFT JOIN segments s ON q.track_id = s.track_id AND q.t >= s.t0)"
+
+
+def _shipped(s: SparkSession, d: str) -> DataFrame:
+    day = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)") / 8.64e10
+    lines = t.read(s, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), day.alias("t"))
+    return lines.join(t.read(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("track_id")), F.col("l_orderkey") == F.col("o_orderkey")).select("track_id", "id", "t")
+
+
+def _kind_rows(s: SparkSession, d: str) -> DataFrame:
+    return t.onsets(s, d).select(F.col("kind").alias("track_id"), "id", (F.col("t") * 10).alias("t"))
+
+
+_add("q11_structure_at", lambda s, d: _r(query.structure_at(_shipped(s, d), t.segments(s, d), 256.0), "phase", "to_boundary", "lead").select("id", "to_boundary", "lead"), _SHIPPED + " SELECT id, round(t1 - t, 6) AS to_boundary, round(l * l * (3 - 2 * l), 6) AS lead FROM (SELECT *, least(1, greatest(0, (4 - (t1 - t)) / 4)) AS l FROM s)")
+_add("q13_next_event", lambda s, d: _r(query.next_event(_at(s, d), _kind(s, d, "purchase")), "wait").select("track_id", "id", "next_id", "wait"), f"SELECT c.track_id, c.id, v.id AS next_id, round(v.t - c.t, 6) AS wait FROM {CLICK} c ASOF LEFT JOIN (SELECT * FROM onsets WHERE kind = 'purchase') v ON c.track_id = v.track_id AND c.t < v.t")
+_Q = "SELECT track_id, id, t, CAST(CASE WHEN abs(t * {n} - floor(t * {n}) - 0.5) < 1e-12 THEN 2 * round(floor(t * {n}) / 2.0 + 0.25) ELSE round(t * {n}) END AS BIGINT) AS k FROM onsets"
+_add("q16_quantize", lambda s, d: query.quantize(t.onsets(s, d), t.beats(s, d)).select("track_id", "id", "quantized_time", "offset_ms", "bar", "beat", "step_in_bar"), f"WITH q AS ({_Q.format(n=8)}) SELECT track_id, id, k / 8.0::DOUBLE AS quantized_time, round((t - k / 8.0::DOUBLE) * 1000, 3) AS offset_ms, k // 16 + 1 AS bar, k // 4 % 4 + 1 AS beat, k % 16 AS step_in_bar FROM q")
+_add("q17_grid_affinity", lambda s, d: query.grid_affinity(t.onsets(s, d), t.beats(s, d)), f"WITH a AS ({_Q.format(n=8)}), b AS ({_Q.format(n=16)}) SELECT a.track_id, a.id, CASE WHEN abs(round((a.t - a.k / 8.0::DOUBLE) * 1000, 3)) <= abs(round((b.t - b.k / 16.0::DOUBLE) * 1000, 3)) THEN '1/16' ELSE '1/32' END AS grid FROM a JOIN b USING (track_id, id)")
+_add("q20_note_velocity", lambda s, d: t.onsets(s, d).select("track_id", "id", query.velocity(F.col("strength")).alias("velocity")), "SELECT track_id, id, CAST(least(127, greatest(1, round_even(strength * 126, 0) + 1)) AS INT) AS velocity FROM onsets")
+_add("q25_compare_counts", lambda s, d: query.events_between(t.onsets(s, d), 0.0, 24.0).groupBy("track_id").agg(F.count("*").alias("n")), "SELECT track_id, count(*) AS n FROM onsets WHERE t > 0 AND t <= 24 GROUP BY ALL")
+_add("q27_strongest_in_window", lambda s, d: query.strongest(t.onsets(s, d), 5.0, 30.0, "low").select("track_id", "id", "value"), "SELECT track_id, id, low AS value FROM onsets WHERE t > 5 AND t <= 30 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY low DESC, t, id) = 1")
+_add("q29_dominant_band", lambda s, d: t.onsets(s, d).select("id", query.dominant_band(F.col("low"), F.col("mid"), F.col("high")).alias("band")), "SELECT id, CASE WHEN low = greatest(low, mid, high) THEN 'low' WHEN mid = greatest(low, mid, high) THEN 'mid' ELSE 'high' END AS band FROM onsets")
+_add("q30_downbeats_in_window", lambda s, d: query.events_between(t.beats(s, d), 4.0, 12.0).where("beat_in_bar = 1").select("track_id", "idx"), "SELECT track_id, idx FROM beats WHERE beat_in_bar = 1 AND t > 4 AND t <= 12")
+_add("j4_band_join", lambda s, d: joins.band(_at(s, d), _kind(s, d, "view"), 0.2).select("track_id", "id", "other_id"), f"SELECT c.track_id, c.id, v.id AS other_id FROM {CLICK} c JOIN {VIEW} v ON c.track_id = v.track_id AND abs(c.t - v.t) <= 0.2")
+_add("j5_containment", lambda s, d: joins.contained(_shipped(s, d), t.segments(s, d), "s", 256.0).groupBy(F.coalesce("s.family", F.lit("none")).alias("family")).agg(F.count("*").alias("n")), _SHIPPED + " SELECT coalesce(CASE WHEN t1 IS NULL OR t < t1 THEN family END, 'none') AS family, count(*) AS n FROM s GROUP BY ALL")
+_add("j6_overlap", lambda s, d: joins.overlapping(t.segments(s, d).where("t1 > t0").select("track_id", "id", "t0", "t1"), _month_windows(s, d), 64.0).select("id", "w"), "WITH w AS (SELECT track_id, id AS w, t0 AS w0, t0 + 30 AS w1 FROM segments) SELECT s.id, w FROM segments s JOIN w ON s.track_id = w.track_id AND s.t0 < w1 AND s.t1 > w0 WHERE s.t1 > s.t0")
+_add("j8_anti_join", lambda s, d: t.onsets(s, d).join(_kind(s, d, "purchase").where("strength > 0.9").select("track_id"), "track_id", "left_anti").select("track_id", "id"), "SELECT track_id, id FROM onsets WHERE track_id NOT IN (SELECT track_id FROM onsets WHERE kind = 'purchase' AND strength > 0.9)")
+_add("j9_semi_join", lambda s, d: t.onsets(s, d).join(_kind(s, d, "purchase").where("strength > 0.9").select("track_id"), "track_id", "left_semi").select("track_id", "id"), "SELECT track_id, id FROM onsets WHERE track_id IN (SELECT track_id FROM onsets WHERE kind = 'purchase' AND strength > 0.9)")
+
+
+def _month_windows(s: SparkSession, d: str) -> DataFrame:
+    return t.segments(s, d).select("track_id", F.col("id").alias("w"), F.col("t0").alias("w0"), (F.col("t0") + 30).alias("w1"))
+
+
+_W = "WINDOW w AS (PARTITION BY track_id ORDER BY frame)"
+_add("n2_flux", lambda s, d: _r(signal.flux(t.frames(s, d)), "flux").select("track_id", "frame", "flux"), f"SELECT track_id, frame, round(coalesce(greatest(ln(1 + x) - ln(1 + lag(x) OVER w), 0), 0), 6) AS flux FROM frames {_W}")
+_add("n4_normalize", lambda s, d: _r(signal.normalize(t.frames(s, d)), "y").select("track_id", "frame", "y"), "WITH q AS (SELECT track_id, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.995) AS hi FROM frames GROUP BY ALL) SELECT track_id, frame, round(sqrt(least(1, greatest(0, (x - lo) / greatest(hi - lo, 1e-8)))), 6) AS y FROM frames JOIN q USING (track_id)")
+_add("n5_noise_gate", lambda s, d: signal.noise_gate(t.frames(s, d), 3.0), "SELECT track_id, frame, x FROM frames WHERE x >= 3")
+_add("n6_local_median", lambda s, d: signal.local_median(t.frames(s, d)).select("track_id", "frame", "med"), "SELECT track_id, frame, quantile_cont(x, 0.5) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 32 PRECEDING AND 32 FOLLOWING) AS med FROM frames")
+_add("n7_peaks", lambda s, d: signal.peaks(t.frames(s, d), 3.0), f"SELECT track_id, frame, x FROM frames {_W} QUALIFY x >= lag(x) OVER w AND x > lead(x) OVER w AND x >= 3")
+_add("n10_prominence", lambda s, d: signal.prominent(t.frames(s, d)), "SELECT track_id, frame, x FROM (SELECT *, min(x) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS l, min(x) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS r FROM frames) WHERE x > 0 AND x - greatest(l, r) >= x * 0.4")
+_RANGE = "(PARTITION BY track_id ORDER BY t RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+_add("n14_accents", lambda s, d: signal.accents(t.onsets(s, d)), f"SELECT track_id, id, strength >= CASE WHEN n < 4 THEN 0.72 ELSE greatest(0.6, p) END AS accent FROM (SELECT *, quantile_cont(strength, 0.85) OVER {_RANGE.format(r='8.0::DOUBLE')} AS p, count(*) OVER {_RANGE.format(r='8.0::DOUBLE')} AS n FROM onsets)")
+_add("n17_runs", lambda s, d: signal.pitch_runs(t.onsets(s, d)).select("track_id", "run", "kind", "n"), "WITH a AS (SELECT *, coalesce((kind <> lag(kind) OVER (PARTITION BY track_id ORDER BY t, id))::INT, 1) AS new FROM onsets), b AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY t, id)::BIGINT AS run FROM a) SELECT track_id, run, any_value(kind) AS kind, count(*) AS n FROM b GROUP BY track_id, run")
+_add("n21_activity_bins", lambda s, d: _r(signal.activity_bins(t.onsets(s, d), 72.0, 12), "mean"), "SELECT track_id, floor(t * 12 / 72)::BIGINT AS bin, round(avg(strength), 6) AS mean, max(strength) AS most FROM onsets WHERE t >= 0 AND t < 72 GROUP BY ALL")
+_add("t1_autocorrelation", lambda s, d: _r(signal.autocorrelation(t.frames(s, d), range(1, 25)), "r"), "WITH y AS (SELECT track_id, frame, x - avg(x) OVER (PARTITION BY track_id) AS y FROM frames) SELECT a.track_id, lag, round(sum(a.y * b.y) / sqrt(sum(a.y * a.y) * sum(b.y * b.y)), 6) AS r FROM y a CROSS JOIN (SELECT unnest(generate_series(1, 24))::INT AS lag) JOIN y b ON a.track_id = b.track_id AND b.frame = a.frame + lag GROUP BY ALL")
+_add("t6_beat_support", lambda s, d: _r(signal.beat_support(t.frames(s, d)), "support"), "WITH m AS (SELECT track_id, frame, x - quantile_cont(x, 0.5) OVER (PARTITION BY track_id) AS d FROM frames), p AS (SELECT track_id, quantile_cont(abs(d), 0.9) AS p FROM m GROUP BY ALL) SELECT track_id, frame, round(least(1, greatest(0, d / greatest(p, 1e-9))), 6) AS support FROM m JOIN p USING (track_id)")
+_add("t7_first_strong", lambda s, d: signal.first_strong(t.frames(s, d)), "SELECT track_id, min(frame) AS frame FROM (SELECT *, max(x) OVER (PARTITION BY track_id) AS top, max(x) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM frames) WHERE x >= top * 0.4 AND x = near GROUP BY ALL")
+_add("t12_estimate_bpm", lambda s, d: _r(signal.estimate_bpm(t.onsets(s, d)), "bpm", "spread"), "WITH g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) AS gap FROM onsets), f AS (SELECT track_id, gap, abs(gap - quantile_cont(gap, 0.5) OVER (PARTITION BY track_id)) AS d FROM g WHERE gap IS NOT NULL), k AS (SELECT *, quantile_cont(d, 0.5) OVER (PARTITION BY track_id) AS mad FROM f) SELECT track_id, round(60 / quantile_cont(gap, 0.5), 6) AS bpm, round(stddev_pop(gap), 6) AS spread, count(*) AS n FROM k WHERE d <= greatest(mad * 3, 0.03) GROUP BY ALL")
+_add(
+    "e1_local_view",
+    lambda s, d: _r(evidence.local_view(t.onsets(s, d)), "midrank", "contrast", "density"),
+    f"WITH q AS (SELECT *, list(strength) OVER {_RANGE.format(r='2.0::DOUBLE')} AS xs, quantile_cont(strength, 0.5) OVER {_RANGE.format(r='2.0::DOUBLE')} AS a, quantile_cont(strength, 0.9) OVER {_RANGE.format(r='2.0::DOUBLE')} AS b FROM onsets) SELECT track_id, id, round((len(list_filter(xs, lambda x: x < strength)) + 0.5::DOUBLE * len(list_filter(xs, lambda x: x = strength))) / len(xs), 6) AS midrank, round(least(4, greatest(0, (strength - a) / greatest(b - a, 0.08))), 6) AS contrast, round(len(xs) / 4.0::DOUBLE, 6) AS density FROM q",
+)
+_add("e4_spectral", lambda s, d: _r(evidence.spectral(t.onsets(s, d)), "focus").select("id", "focus"), "WITH s AS (SELECT id, low / greatest(low + mid + high, 1e-9) AS a, mid / greatest(low + mid + high, 1e-9) AS b, high / greatest(low + mid + high, 1e-9) AS c FROM onsets) SELECT id, round(1 - (CASE WHEN a > 0 THEN -a * ln(a) ELSE 0 END + CASE WHEN b > 0 THEN -b * ln(b) ELSE 0 END + CASE WHEN c > 0 THEN -c * ln(c) ELSE 0 END) / ln(3.0::DOUBLE), 6) AS focus FROM s")
+_add("e5_gaps", lambda s, d: _r(evidence.gaps(t.onsets(s, d)), "before", "after", "isolated"), "SELECT track_id, id, round(b, 6) AS before, round(a, 6) AS after, round(least(1, greatest(0, least(coalesce(b, 2), coalesce(a, 2)))), 6) AS isolated FROM (SELECT *, t - lag(t) OVER w AS b, lead(t) OVER w - t AS a FROM onsets WINDOW w AS (PARTITION BY track_id ORDER BY t, id))")
+_add("e6_metric_context", lambda s, d: _r(evidence.metric_context(t.onsets(s, d), t.beats(s, d)), "offset").select("id", "offset"), "SELECT id, round(t - ceil(t * 2 - 0.5) / 2, 6) AS \"offset\" FROM onsets")
+_SESSIONS = "WITH a AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) <= {gap} THEN 0 ELSE 1 END AS new FROM onsets), b AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY t, id)::BIGINT AS session FROM a)"
+_add("e10_sessions", lambda s, d: evidence.sessions(t.onsets(s, d), 0.5, 3).select("track_id", "session", "n"), _SESSIONS.format(gap=0.5) + " SELECT track_id, session, count(*) AS n FROM b GROUP BY track_id, session HAVING count(*) >= 3")
+_add("e8_capped_groups", lambda s, d: _r(evidence.capped_groups(t.onsets(s, d)), "t0", "t1"))
+_add("m1_two_pointer", lambda s, d: evidence.match_counts(_kind(s, d, "click"), _kind(s, d, "view"), 0.2))
+_add("r2_robust_scale", lambda s, d: _r(evidence.robust_scale(t.onsets(s, d), "low"), "scaled").select("id", "scaled"), "WITH q AS (SELECT quantile_cont(low, 0.25) AS a, quantile_cont(low, 0.5) AS b, quantile_cont(low, 0.75) AS c FROM onsets) SELECT id, round((low - b) / greatest(c - a, 1e-6), 6) AS scaled FROM onsets, q")
+_SCORE = "(SELECT *, round(1 / (1 + exp(-(low * 0.5 + mid * 2.0 + high * -0.25))), 6) AS relevance FROM onsets)"
+_WEIGHTS = {"low": 0.5, "mid": 2.0, "high": -0.25}
+_add("r3_score_linear", lambda s, d: evidence.score_linear(t.onsets(s, d), _WEIGHTS).select("id", "relevance"), f"SELECT id, relevance FROM {_SCORE}")
+_add("r8_select_budget", lambda s, d: evidence.select_budget(t.onsets(s, d).withColumn("relevance", F.col("mid")), 8).select("track_id", "id", "rank", "place"), "WITH b AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id)::INT AS rank FROM onsets QUALIFY rank <= 8) SELECT track_id, id, rank, row_number() OVER (PARTITION BY track_id ORDER BY t, id)::INT AS place FROM b")
+_add("r13_ndcg", lambda s, d: _r(evidence.ndcg(t.onsets(s, d).withColumn("relevance", F.col("mid")), "low"), "ndcg"), "WITH r AS (SELECT track_id, low, row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id) AS r, row_number() OVER (PARTITION BY track_id ORDER BY low DESC, id) AS i FROM onsets), g AS (SELECT track_id, sum(CASE WHEN r <= 10 THEN low / log2(r + 1) ELSE 0 END) AS d, sum(CASE WHEN i <= 10 THEN low / log2(i + 1) ELSE 0 END) AS best FROM r GROUP BY ALL) SELECT track_id, round(CASE WHEN best > 0 THEN d / best ELSE 0 END, 6) AS ndcg FROM g")
+_add("c3_fingerprint", lambda s, d: evidence.fingerprint(t.onsets(s, d)), "WITH c AS (SELECT track_id, floor(t / 5)::BIGINT AS cell, count(*) AS n FROM onsets GROUP BY ALL), e AS (SELECT track_id, unnest(generate_series(0, max(cell))) AS cell FROM c GROUP BY track_id) SELECT track_id, sha256(string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY cell)) AS fingerprint FROM e LEFT JOIN c USING (track_id, cell) GROUP BY track_id")
+_add("c9_preference_pairs", lambda s, d: _r(evidence.preference_pairs(t.onsets(s, d), 0.3, 0.34), "margin"), "SELECT a.track_id, a.id AS better, b.id AS worse, round(a.strength - b.strength, 6) AS margin FROM onsets a JOIN onsets b ON a.track_id = b.track_id AND abs(a.t - b.t) <= 0.3 WHERE a.strength - b.strength >= 0.34")
+_add("c10_salted_split", lambda s, d: evidence.salted_split(t.read(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id", "v1:"), "SELECT doc_id, lang, CASE WHEN p <= 0.15 THEN 'test' WHEN p <= 0.3 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('v1:' || doc_id)) / count(*) OVER (PARTITION BY lang) AS p FROM documents)")
+_add("c12_leakage", lambda s, d: evidence.leakage(t.read(s, d, "documents").select(F.md5("text").alias("key"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split")), "key"), "SELECT md5(text) AS key, count(DISTINCT doc_id % 5 = 0) AS splits, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 5 = 0) > 1")
+_add("c17_balanced_subset", lambda s, d: evidence.balanced_subset(t.read(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 60), "SELECT doc_id, source, turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR))::INT AS turn FROM documents) ORDER BY turn, source LIMIT 60")
