@@ -128,7 +128,7 @@ def co_train(text: object, page: np.ndarray, y: np.ndarray, more_text: object, m
     return scorer
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), sample: int = 6000, rounds: int = 2, sure: float = 0.97) -> dict[str, Scorer]:
+def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), sample: int = 4000, rounds: int = 2, sure: float = 0.97) -> dict[str, Scorer]:
     """Fit a scorer per target on at most ``sample`` labelled and as many unlabelled documents.
 
     The samples are the least hashes of doc_id, so the same rows give the same
