@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronoflux.functions.columns import clip
 
+from . import joins
+
 
 def _w() -> object:
     return Window.partitionBy("track_id").orderBy("frame")
@@ -96,3 +98,27 @@ def autocorrelation(frames: DataFrame, lags: range) -> DataFrame:
     left = rows.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("frame", F.col("frame") + F.col("lag"))
     both = left.join(rows.withColumnRenamed("y", "z"), ["track_id", "frame"])
     return both.groupBy("track_id", "lag").agg((F.sum(F.col("y") * F.col("z")) / F.sqrt(F.sum(F.col("y") * F.col("y")) * F.sum(F.col("z") * F.col("z")))).alias("r"))
+
+
+def local_threshold(frames: DataFrame, half: int = 32, k: float = 3.0, floor: float = 0.1) -> DataFrame:
+    """``threshold``: max(floor, median + k MAD) of the frames up to ``half`` away."""
+    near = _w().rowsBetween(-half, half)
+    rows = frames.withColumn("med", F.percentile("x", F.lit(0.5)).over(near)).withColumn("xs", F.collect_list("x").over(near))
+    d = F.sort_array(F.transform("xs", lambda x: F.abs(x - F.col("med"))))
+    n = F.size("xs")
+    mad = (F.get(d, F.floor((n - 1) / 2).cast("int")) + F.get(d, F.floor(n / 2).cast("int"))) / 2
+    return rows.withColumn("threshold", F.greatest(F.lit(floor), F.col("med") + k * mad)).drop("med", "xs")
+
+
+def attack_start(frames: DataFrame, floor: float, lookback: int = 64) -> DataFrame:
+    """``start``: the frame where the rise to each frame begins, at most ``lookback`` before it."""
+    p = F.lag("x").over(_w())
+    breaks = ~F.coalesce((p > floor) & (p <= F.col("x")), F.lit(False))
+    rows = frames.withColumn("at", F.when(breaks, F.col("frame")))
+    return rows.withColumn("start", F.greatest(F.max("at").over(_w()), F.col("frame") - lookback)).drop("at")
+
+
+def span_means(frames: DataFrame, spans: DataFrame, width: float = 64.0) -> DataFrame:
+    """``track_id, t0, mean, n`` of the frames in each span ``(track_id, t0, t1)``; spans without frames have no row."""
+    found = joins.contained(frames.select("track_id", F.col("frame").cast("double").alias("t"), "x"), spans, "s", width)
+    return found.where("s IS NOT NULL").groupBy("track_id", F.col("s.ft").alias("t0")).agg(F.avg("x").alias("mean"), F.count("*").alias("n"))

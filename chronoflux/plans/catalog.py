@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoflux.operators import evidence, joins, query, signal
+from chronoflux.operators import evidence, joins, metrics, query, signal, timeline
 from chronoflux.sources import tables as t
+from chronoflux.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +122,90 @@ _add("c9_preference_pairs", lambda s, d: _r(evidence.preference_pairs(t.onsets(s
 _add("c10_salted_split", lambda s, d: evidence.salted_split(t.read(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id", "v1:"), "SELECT doc_id, lang, CASE WHEN p <= 0.15 THEN 'test' WHEN p <= 0.3 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('v1:' || doc_id)) / count(*) OVER (PARTITION BY lang) AS p FROM documents)")
 _add("c12_leakage", lambda s, d: evidence.leakage(t.read(s, d, "documents").select(F.md5("text").alias("key"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split")), "key"), "SELECT md5(text) AS key, count(DISTINCT doc_id % 5 = 0) AS splits, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 5 = 0) > 1")
 _add("c17_balanced_subset", lambda s, d: evidence.balanced_subset(t.read(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 60), "SELECT doc_id, source, turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR))::INT AS turn FROM documents) ORDER BY turn, source LIMIT 60")
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return t.onsets(s, d).withColumn("relevance", F.col("mid"))
+
+
+def _edits(s: SparkSession, d: str) -> DataFrame:
+    """Purchases are deleted, strong clicks moved on, and every strong view gets a cue beside it."""
+    rows = t.onsets(s, d)
+    strong = F.col("strength") > 0.5
+    moved = rows.where((F.col("kind") == "click") & strong).select("track_id", "id", F.lit("move").alias("action"), (F.col("t") + 0.25).alias("at"))
+    gone = rows.where("kind = 'purchase'").select("track_id", "id", F.lit("delete").alias("action"), F.lit(None).cast("double").alias("at"))
+    added = rows.where((F.col("kind") == "view") & strong).select("track_id", (-F.col("id") - 1).alias("id"), F.lit("add").alias("action"), F.col("t").alias("at"))
+    return moved.unionByName(gone).unionByName(added)
+
+
+_add("q2_timing_events", lambda s, d: timeline.timing_events(t.onsets(s, d), t.beats(s, d), 11, 40).select("track_id", "n", "kind", "id"), "WITH u AS (SELECT track_id, 'onset' AS kind, id, t FROM onsets UNION ALL SELECT track_id, 'beat', idx, t FROM beats) SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t, kind, id)::INT AS n, kind, id FROM u QUALIFY n BETWEEN 11 AND 40")
+_add("q3_spans_overlapping", lambda s, d: timeline.spans_overlapping(t.segments(s, d), 9000.0, 9100.0).select("track_id", "id"), "SELECT track_id, id FROM segments WHERE t0 < 9100 AND (t1 IS NULL OR t1 > 9000)")
+_add("q7_bar_phase", lambda s, d: _r(timeline.bar_phase_at(_at(s, d), t.beats(s, d)), "phase").select("track_id", "id", "bar", "phase"), f"SELECT track_id, id, floor(t / 2)::BIGINT + 1 AS bar, round(t / 2 - floor(t / 2), 6) AS phase FROM {CLICK}")
+_add("q14_repeated_segments", lambda s, d: timeline.repeated_segments(t.segments(s, d)).select("track_id", "id", "family"), "SELECT track_id, id, family FROM segments QUALIFY count(*) OVER (PARTITION BY track_id, family) > 1")
+
+
+def _knots(s: SparkSession, d: str) -> DataFrame:
+    return t.segments(s, d).select("track_id", F.col("t0").alias("t"), F.row_number().over(Window.partitionBy("track_id").orderBy("t0", "id")).cast("double").alias("step"))
+
+
+_add(
+    "q18_time_to_step",
+    lambda s, d: _r(timeline.time_to_step(_shipped(s, d), _knots(s, d)), "step").select("id", "step"),
+    "WITH q AS (SELECT o_custkey AS track_id, l_orderkey * 10 + l_linenumber AS id, epoch_us(l_shipdate) / 8.64e10 AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT track_id, t0, row_number() OVER (PARTITION BY track_id ORDER BY t0, id)::DOUBLE AS step FROM segments), k AS (SELECT track_id, t0, min(step) AS step FROM n GROUP BY ALL), m AS (SELECT *, coalesce((lead(step) OVER w - step) / (lead(t0) OVER w - t0), (step - lag(step) OVER w) / (t0 - lag(t0) OVER w)) AS slope FROM k WINDOW w AS (PARTITION BY track_id ORDER BY t0)) SELECT q.id, round(m.step + (q.t - m.t0) * m.slope, 6) AS step FROM q ASOF LEFT JOIN m ON q.track_id = m.track_id AND q.t >= m.t0",
+)
+_add(
+    "q19_to_ticks",
+    lambda s, d: timeline.to_ticks(_shipped(s, d), t.segments(s, d)).select("id", F.round("ticks", 3).alias("ticks")),
+    "WITH q AS (SELECT o_custkey AS track_id, l_orderkey * 10 + l_linenumber AS id, epoch_us(l_shipdate) / 8.64e10 AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), m AS (SELECT *, coalesce(sum((t1 - t0) * bpm) OVER (PARTITION BY track_id ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM segments WHERE t1 IS NULL OR t1 > t0) SELECT q.id, round((m.done + (q.t - m.t0) * m.bpm) / 60 * 480, 3) AS ticks FROM q ASOF LEFT JOIN m ON q.track_id = m.track_id AND q.t >= m.t0",
+)
+_add("q22_default_sections", lambda s, d: timeline.default_sections(t.beats(s, d)), "WITH c AS (SELECT track_id, (bar - 1) // 8 AS section, min(t) AS t0, max(t) AS e FROM beats GROUP BY ALL) SELECT track_id, section, t0, coalesce(lead(t0) OVER (PARTITION BY track_id ORDER BY t0), e) AS t1 FROM c")
+_add(
+    "q23_resample",
+    lambda s, d: _r(timeline.resample(_at(s, d), _kind(s, d, "view").withColumnRenamed("strength", "value")), "value").select("track_id", "id", "value"),
+    f"WITH k AS (SELECT track_id, t, strength AS v, lead(t) OVER w AS t1, lead(strength) OVER w AS v1 FROM {VIEW} WINDOW w AS (PARTITION BY track_id ORDER BY t, strength)), f AS (SELECT track_id, arg_min(v, t) AS first FROM k GROUP BY ALL), a AS (SELECT c.track_id, c.id, CASE WHEN k.t IS NOT NULL THEN coalesce(k.v + (k.v1 - k.v) * ((c.t - k.t) / (k.t1 - k.t)), k.v) END AS value FROM {CLICK} c ASOF LEFT JOIN k ON c.track_id = k.track_id AND c.t >= k.t) SELECT a.track_id, id, round(coalesce(value, first), 6) AS value FROM a LEFT JOIN f ON a.track_id = f.track_id",
+)
+_add("q26_nearest_cue", lambda s, d: _r(query.nearest_onset(_at(s, d), _kind(s, d, "purchase")), "distance").select("track_id", "id", "onset_id", "distance"), ORACLES["q9_nearest_onset"].replace(f"WITH {t.SQL.strip()},\n", "WITH ", 1).replace("kind = 'view'", "kind = 'purchase'"))
+_add("q28_last_new_family", lambda s, d: timeline.last_new_family(t.segments(s, d)), "WITH f AS (SELECT track_id, family, min(t0) AS t0 FROM segments GROUP BY ALL) SELECT track_id, family, t0 FROM f QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY t0 DESC, family DESC) = 1")
+_NEAR = "(PARTITION BY track_id ORDER BY frame ROWS BETWEEN 32 PRECEDING AND 32 FOLLOWING)"
+_add("n6_local_threshold", lambda s, d: _r(signal.local_threshold(t.frames(s, d)), "threshold").select("track_id", "frame", "threshold"), f"WITH m AS (SELECT track_id, frame, quantile_cont(x, 0.5) OVER {_NEAR} AS med, list(x) OVER {_NEAR} AS xs FROM frames) SELECT track_id, frame, round(greatest(0.1::DOUBLE, med + 3 * list_aggregate(list_transform(xs, lambda v: abs(v - med)), 'median')), 6) AS threshold FROM m")
+_add("n11_attack_start", lambda s, d: signal.attack_start(t.frames(s, d), 1.0).select("track_id", "frame", "start"), f"WITH b AS (SELECT track_id, frame, CASE WHEN NOT coalesce(lag(x) OVER w > 1 AND lag(x) OVER w <= x, false) THEN frame END AS f0 FROM frames {_W}) SELECT track_id, frame, greatest(max(f0) OVER w, frame - 64) AS start FROM b {_W}")
+
+
+def _between_peaks(s: SparkSession, d: str) -> DataFrame:
+    peaks = signal.peaks(t.frames(s, d), 3.0).select("track_id", F.col("frame").cast("double").alias("t0"))
+    return peaks.withColumn("t1", F.lead("t0").over(Window.partitionBy("track_id").orderBy("t0")))
+
+
+_add("n19_span_means", lambda s, d: _r(signal.span_means(t.frames(s, d), _between_peaks(s, d)), "mean"), f"WITH p AS (SELECT *, CASE WHEN x >= lag(x) OVER w AND x > lead(x) OVER w AND x >= 3 THEN frame END AS f0 FROM frames {_W}), g AS (SELECT x, track_id, max(f0) OVER w AS t0 FROM p {_W}) SELECT track_id, t0::DOUBLE AS t0, round(avg(x), 6) AS mean, count(*) AS n FROM g WHERE t0 IS NOT NULL GROUP BY track_id, t0")
+_PAIRED = ORACLES["q9_nearest_onset"].replace(f"WITH {t.SQL.strip()},\n", "WITH ", 1).replace(" SELECT track_id, id, CASE", ", g AS (SELECT track_id, id, CASE", 1) + ")"
+
+
+def _paired(s: SparkSession, d: str) -> DataFrame:
+    return _r(query.nearest_onset(_at(s, d), _kind(s, d, "view")), "distance").where("distance IS NOT NULL")
+
+
+_add("m6_timing_error", lambda s, d: _r(metrics.timing_error(_paired(s, d)), "mae_ms", "median", "most"), _PAIRED + " SELECT track_id, round(avg(distance) * 1000, 6) AS mae_ms, round(quantile_cont(distance, 0.5), 6) AS median, max(distance) AS most FROM g WHERE distance IS NOT NULL GROUP BY ALL")
+_add("m15_pair_family_f1", lambda s, d: _r(metrics.pair_family_f1(t.onsets(s, d).withColumn("band", query.dominant_band(F.col("low"), F.col("mid"), F.col("high"))), "kind", "band"), "f1"), "WITH o AS (SELECT track_id, kind, CASE WHEN low = greatest(low, mid, high) THEN 'low' WHEN mid = greatest(low, mid, high) THEN 'mid' ELSE 'high' END AS band FROM onsets), c AS (SELECT track_id, kind, band, count(*) AS n FROM o GROUP BY GROUPING SETS ((track_id, kind, band), (track_id, kind), (track_id, band))), p AS (SELECT track_id, sum(n * (n - 1) / 2) FILTER (kind IS NOT NULL AND band IS NOT NULL) AS p, sum(n * (n - 1) / 2) FILTER (band IS NULL) AS a, sum(n * (n - 1) / 2) FILTER (kind IS NULL) AS b FROM c GROUP BY ALL) SELECT track_id, CASE WHEN a + b > 0 THEN round(2 * p / (a + b), 6) END AS f1 FROM p")
+_add("m18_macro", lambda s, d: _r(metrics.macro(t.onsets(s, d), metrics.timing_error(_paired(s, d)), "mae_ms"), "mean", "median"), _PAIRED + ", e AS (SELECT track_id, avg(distance) * 1000 AS v FROM g WHERE distance IS NOT NULL GROUP BY ALL) SELECT count(*) AS selected, count(v) AS scored, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median FROM (SELECT DISTINCT track_id FROM onsets) s LEFT JOIN e USING (track_id)")
+_add("m16_tiling", lambda s, d: metrics.tiling_rules(_month_windows(s, d).select("track_id", F.col("w").alias("id"), F.col("w0").alias("t0"), F.col("w1").alias("t1"))), "WITH s AS (SELECT track_id, id, t0 - (lag(t0) OVER (PARTITION BY track_id ORDER BY t0, id) + 30) AS off FROM segments) SELECT track_id, id, CASE WHEN off > 1e-6 THEN 'gap' ELSE 'overlap' END AS rule FROM s WHERE abs(off) > 1e-6")
+_add("v1_onset_rules", lambda s, d: metrics.onset_rules(t.onsets(s, d), 0.1), "WITH s AS (SELECT *, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) AS gap FROM onsets) SELECT track_id, id, 'time' AS rule FROM s WHERE t < 0 UNION ALL SELECT track_id, id, 'strength' FROM s WHERE strength NOT BETWEEN 0 AND 1 UNION ALL SELECT track_id, id, 'bands' FROM s WHERE NOT (low BETWEEN 0 AND 1 AND mid BETWEEN 0 AND 1 AND high BETWEEN 0 AND 1) UNION ALL SELECT track_id, id, 'spacing' FROM s WHERE gap <= 0.1")
+_add("v7_coverage", lambda s, d: metrics.coverage_rules(t.onsets(s, d), _kind(s, d, "click").unionByName(_kind(s, d, "view")).withColumn("relevance", F.col("strength") * 1.25)), "SELECT track_id, id, CASE WHEN kind IN ('click', 'view') THEN 'range' ELSE 'missing' END AS rule FROM onsets WHERE kind NOT IN ('click', 'view') OR strength * 1.25 > 1 OR strength * 1.25 < 0")
+_add("r7_rank_ids", lambda s, d: metrics.rank_ids(_scored(s, d)).select("track_id", "id", "rank"), "SELECT track_id, id, row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id)::INT AS rank FROM onsets")
+_add("r9_band_budget", lambda s, d: metrics.select_band_budget(_scored(s, d), "low", 5).select("track_id", "id", "rank"), "WITH r AS (SELECT * FROM onsets QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id) <= 20) SELECT track_id, id, row_number() OVER (PARTITION BY track_id ORDER BY low DESC, mid DESC, t, id)::INT AS rank FROM r QUALIFY rank <= 5")
+_add("r12_pair_accuracy", lambda s, d: _r(metrics.pair_accuracy(evidence.preference_pairs(t.onsets(s, d), 0.3, 0.34), t.onsets(s, d).withColumn("relevance", F.col("low"))), "accuracy"), "SELECT a.track_id, round(avg(CASE WHEN a.low > b.low THEN 1.0::DOUBLE WHEN a.low = b.low THEN 0.5 ELSE 0 END), 6) AS accuracy FROM onsets a JOIN onsets b ON a.track_id = b.track_id AND abs(a.t - b.t) <= 0.3 WHERE a.strength - b.strength >= 0.34 GROUP BY ALL")
+_add("r14_recall_at_k", lambda s, d: _r(metrics.recall_at_k(_scored(s, d), F.col("low") >= 0.7), "recall"), "WITH r AS (SELECT track_id, low, count(*) FILTER (low >= 0.7) OVER (PARTITION BY track_id) AS k, row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id) AS r FROM onsets) SELECT track_id, k, round(count(*) FILTER (low >= 0.7 AND r <= k) / k, 6) AS recall FROM r WHERE k > 0 GROUP BY track_id, k")
+_add("c5_clusters", lambda s, d: metrics.clusters(t.onsets(s, d), 0.1), _SESSIONS.format(gap=0.1).replace("AS session", "AS cluster") + " SELECT track_id, cluster, min(t) AS t0, count(*) AS n FROM b GROUP BY track_id, cluster")
+_add("c19_density_tertiles", lambda s, d: metrics.density_tertiles(t.onsets(s, d)), "WITH q AS (SELECT track_id, round(count(*) / greatest(max(t), 1e-9), 9) AS density FROM onsets GROUP BY ALL), p AS (SELECT track_id, row_number() OVER (ORDER BY density, track_id) AS r, count(*) OVER () AS n FROM q) SELECT track_id, CASE WHEN r <= greatest(1, n // 3) THEN 'low' WHEN r > n - greatest(1, n // 3) THEN 'high' ELSE 'middle' END AS tertile FROM p")
+_add("o1_default_plan", lambda s, d: timeline.default_plan(t.segments(s, d)), "SELECT track_id, t0 AS t, row_number() OVER (PARTITION BY track_id ORDER BY t0)::INT - 1 AS place FROM (SELECT DISTINCT track_id, t0 FROM segments) QUALIFY place > 0")
+_add("o2_resolve_plan", lambda s, d: _r(timeline.resolve_plan(t.onsets(s, d), _edits(s, d)), "t", "source_t"), "SELECT track_id, id, round(t + CASE WHEN kind = 'click' AND strength > 0.5 THEN 0.25 ELSE 0 END, 6) AS t, round(t, 6) AS source_t, strength FROM onsets WHERE kind <> 'purchase' UNION ALL SELECT track_id, -id - 1, round(t, 6), NULL, 1.0 FROM onsets WHERE kind = 'view' AND strength > 0.5")
+_add("o3_visit_history", lambda s, d: _r(timeline.visit_history(t.onsets(s, d)), "seen_before").select("track_id", "id", "visit", "seen_before"), "WITH s AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY track_id ORDER BY t, id) - t, 0) AS shows FROM onsets) SELECT track_id, id, row_number() OVER w AS visit, round(coalesce(sum(shows) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS seen_before FROM s WINDOW w AS (PARTITION BY track_id, kind ORDER BY t, id)")
+_add("o5_subframe_visits", lambda s, d: timeline.subframe_visits(t.onsets(s, d), 2.0).select("track_id", "id"), "SELECT track_id, id FROM onsets QUALIFY ceil(lead(t) OVER (PARTITION BY track_id ORDER BY t, id) * 2) <= ceil(t * 2)")
+
+
+def _stream(s: SparkSession, d: str, width: str, slide: str | None) -> DataFrame:
+    got = activity.drained(activity.activity(activity.source(s, f"{d}/events.parquet"), width, slide), "complete")
+    return got.withColumn("start", F.unix_seconds("start"))
+
+
+_add("st1_activity", lambda s, d: _stream(s, d, "1 day", None), "SELECT event_type AS track_id, epoch_us(ts) // 86400000000 * 86400 AS start, count(*) AS n FROM events GROUP BY ALL")
+_add("st2_density", lambda s, d: _stream(s, d, "2 hours", "1 hour"), "SELECT event_type AS track_id, epoch_us(ts) // 3600000000 * 3600 - back * 3600 AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS back) GROUP BY ALL")
