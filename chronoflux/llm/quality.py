@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Buckets of hashed text features.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: A text feature is used if this many training documents have it.
+LEAST_DOCUMENTS = 5
 LANGS, SOURCES = 8, 32
 
 
@@ -54,21 +56,34 @@ class View:
             ids, off = x
             size = np.sqrt(np.maximum(np.diff(off), 1))
             row = np.repeat(np.arange(n), np.diff(off))
-            grad = lambda r: np.bincount(ids, (r / size)[row], BUCKETS)
+            gain = self.log_ratio(ids, y[row], y)
+            grad = lambda r: np.bincount(ids, (r / size)[row], BUCKETS) * gain
             self.w = np.zeros(BUCKETS)
         else:
             self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
             grad = lambda r: ((x - self.mean) / self.scale).T @ r
             self.w = np.zeros(x.shape[1])
-        self.b, m, v, step = 0.0, 0.0, 0.0, 0.25 if self.sparse else 0.1
+        free, self.b, m, v, step = self.w, 0.0, 0.0, 0.0, 0.25 if self.sparse else 0.1
         for t in range(1, rounds + 1):
             r = (1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30))) - y) * weight
-            g = np.concatenate([grad(r) + penalty * self.w / 10, [r.sum()]])
+            g = np.concatenate([grad(r) + penalty * free / 10, [r.sum()]])
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-            self.w, self.b = self.w - move[:-1], self.b - move[-1]
+            free, self.b = free - move[:-1], self.b - move[-1]
+            self.w = free * gain if self.sparse else free
         return self
 
+    @staticmethod
+    def log_ratio(ids: np.ndarray, labels: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Scale of each text feature: how much likelier one class is to have it than the other.
+
+        Words common to both classes get almost none, so a few telling words are not
+        lost among hundreds of others; those of fewer than ``LEAST_DOCUMENTS`` get none.
+        """
+        has, yes = np.bincount(ids, minlength=BUCKETS), np.bincount(ids, labels, BUCKETS)
+        ratio = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((has - yes + 0.5) / (len(y) - y.sum() + 1))
+        return np.where(has >= LEAST_DOCUMENTS, np.abs(ratio), 0.0)
+
 
 def _take(x: object, keep: np.ndarray, sparse: bool) -> object:
     if not sparse:
