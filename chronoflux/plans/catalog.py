@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoflux.operators import evidence, joins, metrics, query, signal, timeline
+from chronoflux.operators import evidence, joins, matching, metrics, query, signal, structure, timeline
 from chronoflux.sources import tables as t
 from chronoflux.streaming import activity
 
@@ -188,7 +188,8 @@ _add("m6_timing_error", lambda s, d: _r(metrics.timing_error(_paired(s, d)), "ma
 _add("m15_pair_family_f1", lambda s, d: _r(metrics.pair_family_f1(t.onsets(s, d).withColumn("band", query.dominant_band(F.col("low"), F.col("mid"), F.col("high"))), "kind", "band"), "f1"), "WITH o AS (SELECT track_id, kind, CASE WHEN low = greatest(low, mid, high) THEN 'low' WHEN mid = greatest(low, mid, high) THEN 'mid' ELSE 'high' END AS band FROM onsets), c AS (SELECT track_id, kind, band, count(*) AS n FROM o GROUP BY GROUPING SETS ((track_id, kind, band), (track_id, kind), (track_id, band))), p AS (SELECT track_id, sum(n * (n - 1) / 2) FILTER (kind IS NOT NULL AND band IS NOT NULL) AS p, sum(n * (n - 1) / 2) FILTER (band IS NULL) AS a, sum(n * (n - 1) / 2) FILTER (kind IS NULL) AS b FROM c GROUP BY ALL) SELECT track_id, CASE WHEN a + b > 0 THEN round(2 * p / (a + b), 6) END AS f1 FROM p")
 _add("m18_macro", lambda s, d: _r(metrics.macro(t.onsets(s, d), metrics.timing_error(_paired(s, d)), "mae_ms"), "mean", "median"), _PAIRED + ", e AS (SELECT track_id, avg(distance) * 1000 AS v FROM g WHERE distance IS NOT NULL GROUP BY ALL) SELECT count(*) AS selected, count(v) AS scored, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median FROM (SELECT DISTINCT track_id FROM onsets) s LEFT JOIN e USING (track_id)")
 _add("m16_tiling", lambda s, d: metrics.tiling_rules(_month_windows(s, d).select("track_id", F.col("w").alias("id"), F.col("w0").alias("t0"), F.col("w1").alias("t1"))), "WITH s AS (SELECT track_id, id, t0 - (lag(t0) OVER (PARTITION BY track_id ORDER BY t0, id) + 30) AS off FROM segments) SELECT track_id, id, CASE WHEN off > 1e-6 THEN 'gap' ELSE 'overlap' END AS rule FROM s WHERE abs(off) > 1e-6")
-_add("v1_onset_rules", lambda s, d: metrics.onset_rules(t.onsets(s, d), 0.1), "WITH s AS (SELECT *, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) AS gap FROM onsets) SELECT track_id, id, 'time' AS rule FROM s WHERE t < 0 UNION ALL SELECT track_id, id, 'strength' FROM s WHERE strength NOT BETWEEN 0 AND 1 UNION ALL SELECT track_id, id, 'bands' FROM s WHERE NOT (low BETWEEN 0 AND 1 AND mid BETWEEN 0 AND 1 AND high BETWEEN 0 AND 1) UNION ALL SELECT track_id, id, 'spacing' FROM s WHERE gap <= 0.1")
+_RULES = "WITH s AS (SELECT *, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) AS gap FROM onsets) SELECT track_id, id, 'time' AS rule FROM s WHERE t < 0 UNION ALL SELECT track_id, id, 'strength' FROM s WHERE strength NOT BETWEEN 0 AND 1 UNION ALL SELECT track_id, id, 'bands' FROM s WHERE NOT (low BETWEEN 0 AND 1 AND mid BETWEEN 0 AND 1 AND high BETWEEN 0 AND 1) UNION ALL SELECT track_id, id, 'spacing' FROM s WHERE gap <= 0.1"
+_add("v1_onset_rules", lambda s, d: metrics.onset_rules(t.onsets(s, d), 0.1), _RULES)
 _add("v7_coverage", lambda s, d: metrics.coverage_rules(t.onsets(s, d), _kind(s, d, "click").unionByName(_kind(s, d, "view")).withColumn("relevance", F.col("strength") * 1.25)), "SELECT track_id, id, CASE WHEN kind IN ('click', 'view') THEN 'range' ELSE 'missing' END AS rule FROM onsets WHERE kind NOT IN ('click', 'view') OR strength * 1.25 > 1 OR strength * 1.25 < 0")
 _add("r7_rank_ids", lambda s, d: metrics.rank_ids(_scored(s, d)).select("track_id", "id", "rank"), "SELECT track_id, id, row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id)::INT AS rank FROM onsets")
 _add("r9_band_budget", lambda s, d: metrics.select_band_budget(_scored(s, d), "low", 5).select("track_id", "id", "rank"), "WITH r AS (SELECT * FROM onsets QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id) <= 20) SELECT track_id, id, row_number() OVER (PARTITION BY track_id ORDER BY low DESC, mid DESC, t, id)::INT AS rank FROM r QUALIFY rank <= 5")
@@ -209,3 +210,35 @@ def _stream(s: SparkSession, d: str, width: str, slide: str | None) -> DataFrame
 
 _add("st1_activity", lambda s, d: _stream(s, d, "1 day", None), "SELECT event_type AS track_id, epoch_us(ts) // 86400000000 * 86400 AS start, count(*) AS n FROM events GROUP BY ALL")
 _add("st2_density", lambda s, d: _stream(s, d, "2 hours", "1 hour"), "SELECT event_type AS track_id, epoch_us(ts) // 3600000000 * 3600 - back * 3600 AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS back) GROUP BY ALL")
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return structure.bar_vectors(t.onsets(s, d), t.beats(s, d))
+
+
+_BARS = "WITH v0 AS (SELECT track_id, floor(t / 2)::BIGINT + 1 AS bar, floor((t / 2 - floor(t / 2)) * 4)::BIGINT AS step, max(strength) AS x FROM onsets GROUP BY ALL), v AS (SELECT track_id, bar, step, x / sqrt(sum(x * x) OVER (PARTITION BY track_id, bar)) AS x FROM v0 QUALIFY sqrt(sum(x * x) OVER (PARTITION BY track_id, bar)) > 1e-9)"
+_PAIRS = _BARS + ", c AS (SELECT p.track_id, p.bar AS a, q.bar AS b, least(1, sum(p.x * q.x)) AS cosine FROM v p JOIN v q ON p.track_id = q.track_id AND p.step = q.step AND q.bar > p.bar AND q.bar <= p.bar + 7 GROUP BY ALL), n AS (SELECT track_id, max(bar) AS n FROM beats GROUP BY ALL), k AS (SELECT track_id, unnest(generate_series(4, n - 4)) AS cut FROM n), s AS (SELECT k.track_id, cut, (4 + coalesce(sum(CASE WHEN a <= cut AND b > cut THEN -cosine ELSE cosine END), 0)) / 16 AS novelty FROM k LEFT JOIN c ON c.track_id = k.track_id AND a > cut - 4 AND b <= cut + 4 GROUP BY ALL)"
+_add("s6_bar_vectors", lambda s, d: _r(_vectors(s, d), "x"), _BARS + " SELECT track_id, bar, step, round(x, 6) AS x FROM v")
+_add("s7_similar_bars", lambda s, d: _r(structure.similar_bars(_vectors(s, d), 7), "cosine"), _PAIRS + " SELECT track_id, a, b, round(cosine, 6) AS cosine FROM c")
+_add("s9_novelty", lambda s, d: _r(structure.novelty(_vectors(s, d), t.beats(s, d)), "novelty"), _PAIRS + " SELECT track_id, cut, round(novelty, 6) AS novelty FROM s")
+_add(
+    "s10_minmax",
+    lambda s, d: _r(structure.minmax(structure.novelty(_vectors(s, d), t.beats(s, d)), "novelty"), "novelty"),
+    _PAIRS + " SELECT track_id, cut, round(CASE WHEN max(novelty) OVER w - min(novelty) OVER w > 1e-9 THEN (novelty - min(novelty) OVER w) / (max(novelty) OVER w - min(novelty) OVER w) ELSE 0 END, 6) AS novelty FROM s WINDOW w AS (PARTITION BY track_id)",
+)
+_add("s21_bar_density", lambda s, d: structure.bar_density(t.onsets(s, d), t.beats(s, d)), "WITH o AS (SELECT track_id, floor(t / 2)::BIGINT + 1 AS bar, count(*) AS n FROM onsets GROUP BY ALL) SELECT b.track_id, b.bar, coalesce(n, 0) AS n FROM (SELECT DISTINCT track_id, bar FROM beats WHERE beat_in_bar = 1) b LEFT JOIN o ON o.track_id = b.track_id AND o.bar = b.bar")
+_add("s22_fold_bars", lambda s, d: _r(structure.fold_bars(_vectors(s, d)), "x"), _BARS + ", l AS (SELECT *, max(bar) OVER (PARTITION BY track_id) AS last FROM v) SELECT track_id, (bar - 1) // 2 + 1 AS bar, step, round(sum(x) / max(CASE WHEN last % 2 = 1 AND bar = last THEN 1 ELSE 2 END), 6) AS x FROM l GROUP BY track_id, (bar - 1) // 2, step")
+_add("src12_track_summary", lambda s, d: structure.track_summary(t.segments(s, d)), "WITH f AS (SELECT track_id, family, count(*) AS n, min(t0) AS t0 FROM segments GROUP BY ALL) SELECT track_id, sum(n)::BIGINT AS n, count(*) AS families, string_agg(family, '' ORDER BY t0, family) AS form FROM f GROUP BY ALL")
+_add("t13_global_bpm", lambda s, d: _r(matching.global_bpm(t.onsets(s, d)), "bpm"), "WITH g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) AS gap FROM onsets), m AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY track_id) AS m FROM g WHERE gap > 0) SELECT track_id, round(60 * count(*) / sum(gap), 6) AS bpm, count(*) AS n FROM m WHERE abs(log2(gap / m)) <= log2(1.5) GROUP BY ALL")
+_add("t16_grid_summary", lambda s, d: matching.grid_summary(t.beats(s, d)), "SELECT track_id, 0.0::DOUBLE AS origin, count(DISTINCT bar) AS bars, count(*) AS n FROM beats GROUP BY ALL")
+_add("m13_false_in_silence", lambda s, d: matching.false_in_silence(t.onsets(s, d), _kind(s, d, "purchase"), _kind(s, d, "click")), "SELECT track_id, count(*) FILTER (kind = 'click') AS n FROM onsets GROUP BY ALL HAVING count(*) FILTER (kind = 'purchase') = 0")
+_add(
+    "c16_exclusion_report",
+    lambda s, d: matching.exclusion_report(metrics.onset_rules(t.onsets(s, d), 0.1).join(t.onsets(s, d).select("track_id", "id", "kind"), ["track_id", "id"]), "rule", "kind"),
+    _RULES.replace(" SELECT track_id, id, 'time'", ", x AS (SELECT track_id, id, 'time'", 1) + ") SELECT rule, kind, count(*) AS n FROM x JOIN onsets USING (track_id, id) GROUP BY ROLLUP (rule, kind)",
+)
+_add("m2_match_later", lambda s, d: _r(matching.match(_kind(s, d, "click"), _kind(s, d, "view"), 0.2, "later"), "distance"))
+_add("m2b_match_earlier", lambda s, d: _r(matching.match(_kind(s, d, "click"), _kind(s, d, "view"), 0.2, "earlier"), "distance"))
+_add("m3_match_by_distance", lambda s, d: _r(matching.match(_kind(s, d, "click"), _kind(s, d, "view"), 0.2), "distance"))
+_add("n8_suppress_close", lambda s, d: matching.suppress_close(signal.peaks(t.frames(s, d), 3.0).select("track_id", F.col("frame").cast("double").alias("t"), "x"), 4.0))
+_add("c1_collapse_simultaneous", lambda s, d: _r(matching.collapse_simultaneous(t.onsets(s, d), 0.1), "t"))
