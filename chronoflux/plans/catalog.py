@@ -231,7 +231,7 @@ _add("s22_fold_bars", lambda s, d: _r(structure.fold_bars(_vectors(s, d)), "x"),
 _add("src12_track_summary", lambda s, d: structure.track_summary(t.segments(s, d)), "WITH f AS (SELECT track_id, family, count(*) AS n, min(t0) AS t0 FROM segments GROUP BY ALL) SELECT track_id, sum(n)::BIGINT AS n, count(*) AS families, string_agg(family, '' ORDER BY t0, family) AS form FROM f GROUP BY ALL")
 _add("t13_global_bpm", lambda s, d: _r(matching.global_bpm(t.onsets(s, d)), "bpm"), "WITH g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, id) AS gap FROM onsets), m AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY track_id) AS m FROM g WHERE gap > 0) SELECT track_id, round(60 * count(*) / sum(gap), 6) AS bpm, count(*) AS n FROM m WHERE abs(log2(gap / m)) <= log2(1.5) GROUP BY ALL")
 _add("t16_grid_summary", lambda s, d: matching.grid_summary(t.beats(s, d)), "SELECT track_id, 0.0::DOUBLE AS origin, count(DISTINCT bar) AS bars, count(*) AS n FROM beats GROUP BY ALL")
-_add("m13_false_in_silence", lambda s, d: matching.false_in_silence(t.onsets(s, d), _kind(s, d, "purchase"), _kind(s, d, "click")), "SELECT track_id, count(*) FILTER (kind = 'click') AS n FROM onsets GROUP BY ALL HAVING count(*) FILTER (kind = 'purchase') = 0")
+_add("m13_false_in_silence", lambda s, d: matching.false_in_silence(t.onsets(s, d), _kind(s, d, "purchase").where("strength > 0.5"), _kind(s, d, "click")), "SELECT track_id, count(*) FILTER (kind = 'click') AS n FROM onsets GROUP BY ALL HAVING count(*) FILTER (kind = 'purchase' AND strength > 0.5) = 0")
 _add(
     "c16_exclusion_report",
     lambda s, d: matching.exclusion_report(metrics.onset_rules(t.onsets(s, d), 0.1).join(t.onsets(s, d).select("track_id", "id", "kind"), ["track_id", "id"]), "rule", "kind"),
