@@ -138,27 +138,29 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32) -> DataFrame:
                     for col, v in zip(out, (doc[i], copy[i], a[i] + s, a[i] + e), strict=True):
                         col.append(v)
 
-            def solve(waiting: dict[tuple[int, bytes], list[int]]) -> None:
+            def solve(waiting: dict[bytes, int]) -> None:
                 if waiting:
-                    for own, starts in zip(waiting.values(), repeated([d for _, d in waiting], length), strict=True):
-                        for i in own[:1]:
-                            tell(i, starts if len(own) == 1 else np.arange(len(data[i]) - length + 1))
+                    for i, starts in zip(waiting.values(), repeated(list(waiting), length), strict=True):
+                        tell(i, starts)
 
-            waiting: dict[tuple[int, bytes], list[int]] = {}
+            # Pair shards of one anchor have passages in common, so each content is merged once
+            # in a batch.  Passages of one content meet in a shard of their own pair and go whole.
+            waiting: dict[bytes, int] = {}
             size = at = 0
             while at < len(shard):
                 end, own = at, {}
                 while end < len(shard) and shard[end] == shard[at]:
-                    own.setdefault((shard[at], data[end]), []).append(end)
+                    own.setdefault(data[end], []).append(end)
                     end += 1
                 for same in own.values():
-                    for i in same[1:]:
-                        tell(i, np.arange(len(data[i]) - length + 1))
-                if len(own) == 1 and end - at > 1:  # one passage, several times
-                    tell(at, np.arange(len(data[at]) - length + 1))
-                else:
-                    waiting |= own
-                    size += sum(len(d) for _, d in own)
+                    if len(same) > 1:
+                        for i in same:
+                            tell(i, np.arange(len(data[i]) - length + 1))
+                if len(own) > 1 or end - at == 1:
+                    for d, same in own.items():
+                        if d not in waiting:
+                            waiting[d] = same[0]
+                            size += len(d)
                     if size > MERGED:
                         solve(waiting)
                         waiting, size = {}, 0

@@ -75,6 +75,27 @@ def test_bwt(docs, monkeypatch, shard):
     assert sorted(map(tuple, bwt.dedup(docs).collect())) == sorted(want)
 
 
+def test_bwt_with_pair_shards_in_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(bwt, "CUT", 2)
+    r = random.Random(7)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, longer = own(150), own(450)
+    texts = [own(500) + line + own(500) for _ in range(9)] + [own(90) + longer + own(300) for _ in range(5)] + [own(700)]
+    count = Counter(t[s : s + 400] for t in texts for s in range(len(t) - 399))
+    want = []
+    for i, t in enumerate(texts):
+        gone = {k for s in range(len(t) - 399) if count[t[s : s + 400]] > 1 for k in range(s, s + 400)}
+        want.append((i, len(gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()))
+    assert [x[1] > 0 for x in want] == [False] * 9 + [True] * 5 + [False]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = bwt.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((x["doc_id"], x["n_removed"], x["kept_sha256"]) for x in rows) == want
+
+
 @pytest.mark.parametrize("cut", [4096, 3])
 def test_simhash_links(spark, monkeypatch, cut):
     monkeypatch.setattr(simhash, "CUT", cut)
