@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoflux.llm import common, mixing, packing, pii, quality, simhash
+from chronoflux.llm import common, mixing, packing, pii, quality, shingles
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash the smallest doc_id stays."""
+    """Of each group linked by a 5-word similarity of 0.8 or more the smallest doc_id stays."""
     common.swept(spark)
-    found = simhash.near_duplicates(docs)
-    first = common.written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "first")
-    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    found = shingles.near_duplicates(docs, size=5, least=0.8)
+    first = common.written(found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.sum("n_rows").alias("_rows")), "first")
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if first.where("_rows > 1").head(1) else kept
 
 
