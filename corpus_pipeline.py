@@ -24,12 +24,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a 5-word similarity of 0.8 or more the smallest doc_id stays."""
+    """Of each group linked by a 5-word similarity of 0.8 or more the smallest doc_id stays.
+
+    Of one doc_id with several texts each text is a row of its own; in one group the
+    text of the smallest MD5 stays.  Of equal rows (doc_id and text) one stays.
+    """
     common.swept(spark)
     found = shingles.near_duplicates(docs, size=5, least=0.8)
-    first = common.written(found.groupBy("component").agg(F.min("doc_id").alias("_id"), F.sum("n_rows").alias("_rows")), "first")
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if first.where("_rows > 1").head(1) else kept
+    kept = common.written(found.groupBy("component").agg(F.min(F.struct("doc_id", "copy", "n_rows")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.copy").alias("_copy"), F.col("x.n_rows").alias("_rows")), "kept")
+    copy = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = docs.withColumn("_own", copy).join(kept, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_own") == F.col("_copy")), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "_own"]) if kept.where("_rows > 1").head(1) else rows).select(docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

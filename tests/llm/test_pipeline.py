@@ -54,3 +54,12 @@ def test_near_duplicates_of_every_similarity_from_the_rule(spark, monkeypatch, c
     want = sorted(rows[k][0] for k in range(len(rows)) if find(k) == k)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == want
+
+
+def test_one_id_with_several_texts(spark):
+    text = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(1, text[0], 1), (1, text[1], 2), (1, text[1], 3), (2, text[1], 4), (2, text[2], 5), (3, text[3], 6), (3, text[3] + " more", 7), (None, "no id", 8)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), "").collect()
+    found = sorted((r["doc_id"], r["text"]) for r in got)
+    assert len(got) == 4 and found[:3] == [(1, text[0]), (1, text[1]), (2, text[2])] and found[3][0] == 3
+    assert corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([], "doc_id long, text string"), "").collect() == []
