@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +38,20 @@ class Words:
         self.words: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str) -> bytes:
-        split = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.get, split))
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of each text's."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        found = list(map(self.words.get, different))
         if None in found:
-            self._add({w for w, ids in zip(split, found, strict=True) if ids is None})
-            found = list(map(self.words.get, split))
-        return b"".join(found)
+            self._add({w for w, ids in zip(different, found, strict=True) if ids is None})
+            found = list(map(self.words.get, different))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, word = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        all_ids = np.frombuffer(b"".join(found), dtype="<u4")[common.spread(starts[word], sizes[word])]
+        ends = np.concatenate([[0], np.cumsum(sizes[word])])
+        return all_ids, np.diff(ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])])
 
     def trim(self) -> None:
         if len(self.words) > KNOWN:
@@ -74,9 +82,14 @@ class Words:
 _kept: dict[str, Words] = {}
 
 
-def pieces_of(n: int, longest: int) -> list[int]:
-    """Lengths of the pieces of ``n`` tokens, longest first, each a power of two."""
-    return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
+def pieces_of(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the pieces of documents of ``sizes`` tokens, one document after another, and how many each has.
+
+    Longest first, each a power of two: whole ones of ``longest``, then the bits of the rest.
+    """
+    powers = 1 << np.arange(longest.bit_length() - 1, -1, -1, dtype=np.int64)
+    times = np.where(powers == longest, sizes[:, None] // longest, sizes[:, None] // powers % 2)
+    return np.repeat(np.tile(powers, len(sizes)), times.ravel()), times.sum(1)
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -101,29 +114,28 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, longest: int = 2048
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
 
-        path, end = tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), np.array([end_id], dtype="<u4").tobytes()
+        path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
         if path not in _kept:
             _kept[path] = Words(path)
         known = _kept[path]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids")}
-                texts = part.column(1).to_pylist()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 known.trim()
-                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids, start = np.frombuffer(known.ids(text) + end, dtype="<u4"), 0
-                    for n in pieces_of(len(ids), longest):
-                        own = ids[start : start + n]
-                        for k, v in (("doc_id", doc_id), ("start", start), ("length", n), ("ids_crc32", zlib.crc32(own.tobytes())), ("doc_tokens", len(ids)), ("bucket", n.bit_length() - 1)):
-                            rows[k].append(v)
-                        if with_ids:
-                            rows["ids"].append(own.astype(np.int32))
-                        start += n
-                zeros = pa.array(np.zeros(len(rows["start"]), dtype=np.int64))
-                cols = [pa.array(rows[k], pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [zeros, zeros, pa.array(rows["bucket"], pa.int32())]
+                ids, sizes = known.ids(part.column(1))
+                flat = np.full(len(ids) + len(sizes), end_id, dtype="<u4")
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+                sizes = sizes + 1
+                lengths, pieces = pieces_of(sizes, longest)
+                ends = np.cumsum(lengths)
+                data = memoryview(flat).cast("B")
+                crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip((4 * (ends - lengths)).tolist(), (4 * ends).tolist(), strict=True)), np.int64, len(ends))
+                starts = ends - lengths - np.repeat(np.cumsum(sizes) - sizes, pieces)
+                zeros = np.zeros(len(ends), dtype=np.int64)
+                cols = [part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), pieces))), *map(pa.array, (starts, lengths, crc, np.repeat(sizes, pieces), zeros, zeros, np.log2(lengths).astype(np.int32)))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(rows["ids"], pa.list_(pa.int32()))] if with_ids else []), names + (["ids"] if with_ids else []))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays(cols + lists, names + ["ids"] * with_ids)
 
     return common.documents(docs).mapInArrow(run, schema).withColumn("sequence_id", F.monotonically_increasing_id())
 
