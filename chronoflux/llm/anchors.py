@@ -1,24 +1,31 @@
 """Places where a long passage may repeat: content-chosen anchors, and passages around them.
 
 Every window of ``length`` units has one anchor, the leftmost least hash among its
-k-grams, so equal windows have equal anchors.  Windows whose anchor hash comes once
-repeat nowhere; the others are gathered by anchor hash, each in exactly one passage.
+k-grams, so equal windows have equal anchors, as far from their starts.  Windows
+whose anchor hash comes once repeat nowhere; the others are gathered by anchor
+hash, each in exactly one passage.  Passages of one content are one from then on.
+An anchor with too many different passages is split by how far a window starts
+before it, and by the units that all windows of such a range have; ranges are
+halved until no group is too large, at the latest when a range is one window.
+So work grows with the passages of an anchor, never with pairs of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(9).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BYTES = [np.random.default_rng(9 + salt).integers(1, 1 << 64, 256, dtype=np.uint64) for salt in range(4)]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -31,8 +38,8 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def byte_units(data: np.ndarray) -> np.ndarray:
-    return _BYTES[data]
+def byte_units(data: np.ndarray, salt: int = 0) -> np.ndarray:
+    return _BYTES[salt][data]
 
 
 def grams(units: np.ndarray, k: int) -> np.ndarray:
@@ -106,39 +113,121 @@ def first_pass(docs: DataFrame, read: Callable[[list[str]], tuple[np.ndarray, np
     return keyed(docs).mapInArrow(run, FIRST)
 
 
-def passages(docs: DataFrame, first: DataFrame, repeated: Column, cut: int, read: Callable[[str], np.ndarray], length: int) -> DataFrame:
-    """Passages whose anchor repeats: ``(doc_id, copy, a, part, shard, data)``.
+@dataclass(frozen=True)
+class Search:
+    """What tells bytes from words, and which windows go."""
 
-    ``first`` has the rows to search, ``repeated`` is a condition on an anchor's
-    ``n`` (occurrences), ``low`` and ``high`` (doc_id).  A shard holds the passages
-    of an anchor hash; one of more than ``cut`` passages is cut by hash into parts,
-    and every pair of parts is a shard, so none is unbounded and none is left out.
-    ``data`` is the passage, from its first window's start to its last one's end.
-    """
+    length: int
+    k: int
+    #: Different passages of a group that meet in a task; groups of more are split.
+    cut: int
+    #: Condition on an anchor hash's ``n`` (occurrences), ``low`` and ``high`` (doc_id).
+    repeated: str
+    #: Units of a text as they are compared, and units (hashes) of such a passage.
+    read: Callable[[str], np.ndarray]
+    units: Callable[[bytes], np.ndarray]
+    #: Condition on ``n``, ``lo`` of a content and ``own`` (doc_id): all its windows go.
+    whole: str
+    #: Batches of whole groups ``(key, cid, data, n, lo)`` to ``(cid, starts)`` of windows that go.
+    solve: Callable[[Iterator[pa.Table]], Iterator[tuple[bytes, np.ndarray]]]
+
+
+def _passages(docs: DataFrame, first: DataFrame, search: Search) -> DataFrame:
+    """``(doc_id, copy, off, own, n, key, data)``: passages whose anchor repeats, from the first window's start to the last one's end."""
     runs = first.select("doc_id", "copy", F.explode(F.arrays_zip("h", "a", "b", "m")).alias("x")).select("doc_id", "copy", "x.*")
-    known = common.written(runs.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("runs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(repeated).select("h", F.ceil(F.col("runs") / cut).cast("int").alias("parts")), "anchors")
-    hits = runs.join(known, "h").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("h", "a", "b", "parts")).alias("x"))
-    joined = keyed(docs).join(hits, ["doc_id", "copy"]).select("doc_id", "copy", "text", "x.h", "x.a", "x.b", "x.parts")
+    known = common.written(runs.groupBy("h").agg(F.sum("m").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(search.repeated).select("h"), "anchors")
+    hits = runs.join(known, "h").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("h", "a", "b")).alias("x"))
+    joined = keyed(docs).join(hits, ["doc_id", "copy"]).select("doc_id", "copy", "text", "x.h", "x.a", "x.b")
+    length = search.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                out: list[list] = [[], [], [], [], [], []]
-                for doc_id, copy, text, *lists in zip(*(batch.slice(at, 500).column(c).to_pylist() for c in range(7)), strict=True):
-                    units = read(text)
-                    for h, a, b, parts in zip(*lists, strict=True):
-                        own = (doc_id, copy, a, h, parts, units[a : b + length].tobytes())
-                        for k, v in enumerate(own):
-                            out[k].append(v)
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "copy", "a", "h", "parts", "data"])
-
-    found = joined.mapInArrow(run, "doc_id long, copy binary, a int, h long, parts int, data binary")
-    part = F.pmod(F.xxhash64("doc_id", "copy", "a"), F.col("parts")).cast("int")
-    one = F.col("parts") == 1
-    other = F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = found.withColumn("part", part).withColumn("other", other)
-    return found.select("doc_id", "copy", "a", "data", F.when(one, F.col("h")).otherwise(F.xxhash64("h", F.least("part", "other"), F.greatest("part", "other"))).alias("shard"))
+                out: list[list] = [[], [], [], [], []]
+                for doc_id, copy, text, *lists in zip(*(batch.slice(at, 500).column(c).to_pylist() for c in range(6)), strict=True):
+                    units = search.read(text)
+                    for h, a, b in zip(*lists, strict=True):
+                        for column, v in zip(out, (doc_id, copy, a, h, units[a : b + length].tobytes()), strict=True):
+                            column.append(v)
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "copy", "off", "key", "data"])
+
+    return joined.mapInArrow(run, "doc_id long, copy binary, off int, key long, data binary").withColumn("own", F.col("doc_id")).withColumn("n", F.lit(1).cast("long"))
+
+
+def _split(contents: DataFrame, search: Search, level: int) -> DataFrame:
+    """Passages ``(root, off, own, n, key, data)`` of the contents' windows by 2^``level`` ranges of distance to their anchor."""
+    length, k = search.length, search.k
+    width = -(-(length - k + 1) // 2**level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for cid, data, n, lo in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                units = search.units(data)
+                size, starts = len(data) // len(units), np.arange(len(units) - length + 1)
+                place = _leftmost_least(grams(units, k), length - k + 1)[: len(starts)]
+                part = (place - starts) // width
+                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (part[1:] != part[:-1])]))
+                for a, b in zip(new.tolist(), [*new[1:].tolist(), len(starts)], strict=True):
+                    p, r = int(place[a]), int(part[a])
+                    core = data[(p - r * width) * size : (p - min((r + 1) * width - 1, length - k) + length) * size]
+                    key = xxhash.xxh64_intdigest(core, r) - (1 << 63)
+                    for column, v in zip(out, (cid, a, lo, n, key, data[a * size : (b - 1 + length) * size]), strict=True):
+                        column.append(v)
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["root", "off", "own", "n", "key", "data"])
+
+    return contents.select("cid", "data", "n", "lo").mapInArrow(run, "root binary, off int, own long, n long, key long, data binary")
+
+
+def _matched(items: DataFrame, roots: list[str], search: Search, level: int = 0) -> DataFrame:
+    """``(*roots, s, e)``: spans of each root that windows which go cover (not yet joined up).
+
+    ``items`` are passages: ``off`` in their root, ``own`` (the root's smallest
+    doc_id), ``n`` (how often the root comes), ``key`` of the group and ``data``.
+    """
+    length = search.length
+    items = common.written(items.withColumn("cid", F.unhex(F.md5("data"))), "passages")
+    contents = common.written(items.groupBy("cid").agg(F.first("key").alias("key"), F.first("data").alias("data"), F.sum("n").alias("n"), F.min("own").alias("lo")), "contents")
+    large = common.written(contents.groupBy("key").agg(F.count("*").alias("different")).where(F.col("different") > search.cut).select("key"), "large")
+    split = 2 ** (level - 1) < length - search.k + 1 and bool(large.head(1))
+    ready = contents.join(large, "key", "left_anti") if split else contents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cid, starts in search.solve(common.whole_groups(batches, 0)):
+            s, e = spans_of(starts, length)
+            yield pa.RecordBatch.from_arrays([pa.array([cid] * len(s), pa.binary()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["cid", "s", "e"])
+
+    spans = common.sorted_groups(ready.select("key", "cid", "data", "n", "lo"), "key").mapInArrow(batched(run), "cid binary, s int, e int")
+    if split:
+        deeper = _matched(_split(contents.join(large, "key", "left_semi"), search, level + 1), ["root"], search, level + 1)
+        spans = spans.unionByName(deeper.withColumnRenamed("root", "cid"))
+    where = items.select(*roots, "off", "own", "cid", (F.length("data") / F.lit(len(search.read("a").tobytes()))).cast("int").alias("size"))
+    parts = where.join(spans, "cid").select(*roots, (F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e"))
+    gone = where.join(contents.select("cid", "n", "lo"), "cid").where(search.whole).select(*roots, F.col("off").alias("s"), (F.col("off") + F.col("size")).alias("e"))
+    return parts.unionByName(gone)
+
+
+def batched(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with its small results put together."""
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in run(batches):
+            kept.append(batch)
+            if len(kept) >= 5000:
+                yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                kept = []
+        if kept and sum(b.num_rows for b in kept):
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    return together
+
+
+def matches(docs: DataFrame, first: DataFrame, search: Search) -> DataFrame:
+    """``(doc_id, copy, s, e)``: what goes of the documents in ``first``."""
+    return _matched(_passages(docs, first, search), ["doc_id", "copy"], search)
 
 
 def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import anchors, common
 
 EMPTY = hashlib.sha256(b"").hexdigest()
-#: Passages of one anchor that meet in a task; more are cut and their cuts paired.
+#: Different passages of a group that meet in a task; groups of more are split.
 CUT = 1000
 #: Bytes of a shard whose transform is built on its own, and of shards merged at once.
 SHARD, MERGED = 1 << 19, 1 << 21
@@ -21,17 +21,48 @@ SHARD, MERGED = 1 << 19, 1 << 21
 DEPTH = 4
 
 
-def _transform(passages: list[bytes], block: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _same(data: np.ndarray, letter: np.ndarray, valid: np.ndarray, block: int) -> bool:
+    """Whether equal letters are equal blocks, byte for byte.
+
+    A block is held against the first one of its letter.  Where the blocks a byte
+    before also have one letter, both are equal to a third, and only the last byte
+    is left to compare.
+    """
+    at = np.flatnonzero(valid)
+    order = at[np.argsort(letter[at], kind="stable")]
+    new = np.concatenate([[True], letter[order][1:] != letter[order][:-1]]) if len(order) else np.empty(0, bool)
+    first = np.empty(len(data), np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    x = at[first[at] != at]
+    r = first[x]
+    chained = (x > 0) & (r > 0)
+    chained &= valid[x - 1] & valid[r - 1] & (letter[x - 1] == letter[r - 1])
+    if (data[x[chained] + block - 1] != data[r[chained] + block - 1]).any():
+        return False
+    x, r, step = x[~chained], r[~chained], np.arange(block)
+    return all((data[x[k : k + 4096, None] + step] == data[r[k : k + 4096, None] + step]).all() for k in range(0, len(x), 4096))
+
+
+def _letters(passages: list[bytes], block: int) -> np.ndarray:
+    """A letter for the block at every byte of all passages; equal letters are equal bytes."""
+    data = np.frombuffer(b"".join(passages), np.uint8)
+    sizes = np.array([len(p) for p in passages])
+    valid = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= np.repeat(sizes, sizes) - block
+    for salt in range(4):
+        letter = anchors.grams(anchors.byte_units(data, salt), block) | np.uint64(1 << 63)
+        letter = np.concatenate([letter, np.zeros(len(data) - len(letter) + 1, np.uint64)])
+        if _same(data, letter, valid, block):
+            return letter
+    raise ArithmeticError("no hash tells the blocks apart")
+
+
+def _transform(sizes: np.ndarray, letter: np.ndarray, block: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's transform over blocks: letter before each suffix, suffix in order, row of each.
 
     A suffix starts at any byte and goes on block by block; one with less than a
     block left is an end, and ends are all different.  Letters are block hashes;
     numbers below 2^63 stand for ends: the shard's number.
     """
-    sizes = np.array([len(p) for p in passages])
-    data = np.frombuffer(b"".join(passages), np.uint8)
-    letter = anchors.grams(anchors.byte_units(data), block) | np.uint64(1 << 63)
-    letter = np.concatenate([letter, np.zeros(len(data) - len(letter) + 1, np.uint64)])
     row = np.repeat(np.arange(len(sizes)), sizes + 1)  # each passage has an end of no bytes too
     starts = np.cumsum(sizes) - sizes
     place = common.spread(np.zeros(len(sizes), np.int64), sizes + 1)
@@ -66,8 +97,11 @@ def _merge(transforms: list[np.ndarray]) -> list[np.ndarray]:
     return [interval[source == k] for k in range(len(transforms))]
 
 
-def repeated(passages: list[bytes], length: int) -> list[np.ndarray]:
-    """Starts of the ``length``-byte strings of each passage that start anywhere else too."""
+def repeated(passages: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
+    """Starts of the ``length``-byte strings of each passage that start anywhere else too.
+
+    Passages are different, and each occurs ``times`` times.
+    """
     shards: list[list[int]] = [[]]
     size = 0
     for k, p in enumerate(passages):
@@ -76,12 +110,15 @@ def repeated(passages: list[bytes], length: int) -> list[np.ndarray]:
             size = 0
         shards[-1].append(k)
         size += len(p)
-    built = [_transform([passages[k] for k in s], length // DEPTH, n) for n, s in enumerate(shards)]
+    letter, sizes = _letters(passages, length // DEPTH), np.array([len(p) for p in passages])
+    ends = np.cumsum(sizes)
+    built = [_transform(sizes[s], letter[ends[s[0]] - sizes[s[0]] : ends[s[-1]] + 1], length // DEPTH, n) for n, s in enumerate(shards)]
     intervals = _merge([b[0] for b in built])
-    count = np.bincount(np.concatenate(intervals))
+    often = np.array(times)
+    count = np.bincount(np.concatenate(intervals), np.concatenate([often[s][row] for s, (_, _, row) in zip(shards, built, strict=True)]))
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(passages)
     for own, (_, place, row), interval in zip(shards, built, intervals, strict=True):
-        hit = np.flatnonzero(count[interval] > 1)
+        hit = np.flatnonzero((count[interval] > 1) & (place <= sizes[own][row] - length))
         hit = hit[np.lexsort((place[hit], row[hit]))]
         cuts = np.searchsorted(row[hit], np.arange(len(own) + 1))
         for n, k in enumerate(own):
@@ -110,12 +147,14 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32) -> DataFrame:
     """Bytes covered by a string of ``length`` bytes that also starts anywhere else.
 
     One pass finds the anchors of all strings.  Passages whose anchor comes more
-    than once are dealt out by anchor; a task takes its passages in shards, builds
-    each shard's Burrows-Wheeler transform and merges the transforms by refining
-    their interleave.  The alphabet is blocks of ``length`` / 4 bytes at every
-    phase, so four refinements sort by ``length`` bytes; only equal prefixes count,
-    so blocks are ordered by hash.  Passages equal as a whole are merged once and
-    all their strings repeat.  Texts with a copy repeat as a whole, known by hash.
+    than once are dealt out by anchor, groups of too many are split (see
+    ``anchors``); a task takes its passages in shards, builds each shard's
+    Burrows-Wheeler transform and merges the transforms by refining their
+    interleave.  The alphabet is blocks of ``length`` / 4 bytes at every phase, so
+    four refinements sort by ``length`` bytes; only equal prefixes count, so blocks
+    are ordered by hash, and blocks of one hash are compared byte by byte.
+    Passages equal as a whole are merged once and all their strings repeat.  Texts
+    with a copy repeat as a whole, known by hash.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, a row per input
     row.  Null, empty and short texts lose nothing; repeated rows are copies of each
@@ -126,49 +165,25 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32) -> DataFrame:
     first = common.written(anchors.first_pass(docs, _read, length, k), "bytes")
     copies = common.written(first.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     first = first.join(copies, "copy")
-    found = anchors.passages(docs, first.where("doc_id = rep"), F.col("n") > 1, CUT, _bytes, length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.whole_groups(batches, 4):
-            doc, copy, a, data, shard = (rows.column(c).to_pylist() for c in range(5))
-            out: list[list] = [[], [], [], []]
-
-            def tell(i: int, starts: np.ndarray) -> None:
-                for s, e in zip(*(x.tolist() for x in anchors.spans_of(starts, length)), strict=True):
-                    for col, v in zip(out, (doc[i], copy[i], a[i] + s, a[i] + e), strict=True):
-                        col.append(v)
-
-            def solve(waiting: dict[bytes, int]) -> None:
-                if waiting:
-                    for i, starts in zip(waiting.values(), repeated(list(waiting), length), strict=True):
-                        tell(i, starts)
-
-            # Pair shards of one anchor have passages in common, so each content is merged once
-            # in a batch.  Passages of one content meet in a shard of their own pair and go whole.
-            waiting: dict[bytes, int] = {}
-            size = at = 0
-            while at < len(shard):
-                end, own = at, {}
-                while end < len(shard) and shard[end] == shard[at]:
-                    own.setdefault(data[end], []).append(end)
-                    end += 1
-                for same in own.values():
-                    if len(same) > 1:
-                        for i in same:
-                            tell(i, np.arange(len(data[i]) - length + 1))
-                if len(own) > 1 or end - at == 1:
-                    for d, same in own.items():
-                        if d not in waiting:
-                            waiting[d] = same[0]
-                            size += len(d)
-                    if size > MERGED:
-                        solve(waiting)
-                        waiting, size = {}, 0
-                at = end
-            solve(waiting)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "copy", "s", "e"])
-
-    spans = common.sorted_groups(found, "shard").mapInArrow(run, "doc_id long, copy binary, s int, e int")
+
+    def solve(groups: Iterator[pa.Table]) -> Iterator[tuple[bytes, np.ndarray]]:
+        def solved(cid: list[bytes], data: list[bytes], n: list[int]) -> Iterator[tuple[bytes, np.ndarray]]:
+            return ((c, starts) for c, starts in zip(cid, repeated(data, n, length), strict=True) if len(starts))
+
+        cid, data, n, size = [], [], [], 0
+        for rows in groups:
+            cid += rows.column(1).to_pylist()
+            data += (new := rows.column(2).to_pylist())
+            n += rows.column(3).to_pylist()
+            size += sum(map(len, new))
+            if size > MERGED:
+                yield from solved(cid, data, n)
+                cid, data, n, size = [], [], [], 0
+        if cid:
+            yield from solved(cid, data, n)
+
+    search = anchors.Search(length, k, CUT, "n > 1", _bytes, lambda d: anchors.byte_units(np.frombuffer(d, np.uint8)), "n > 1", solve)
+    spans = anchors.matches(docs, first.where("doc_id = rep"), search)
     cut = common.written(anchors.digests(docs, spans, _cut), "cut")
     whole_copy = (F.col("copies") > 1) & (F.col("n") >= length)
     zero = F.lit(0)

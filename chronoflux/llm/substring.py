@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import anchors, common
 
 EMPTY = hashlib.sha256(b"").hexdigest()
-#: Passages of one anchor that meet in a task; more are cut and their cuts paired.
+#: Different passages of a reference shard; shards of more are split.
 CUT = 1000
 
 
@@ -126,8 +126,9 @@ def dedup(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
     automaton of those before it; wherever the matching statistic reaches
     ``length``, a window repeats.  Shards are sent to the task that streams them by
     a shuffle, not to every task: all references together have no size bound.
-    A passage equal to one already met needs no streaming.  Copies of a whole text
-    are known by their hash, and only the smallest id is searched.
+    Passages of one content are one reference with its smallest doc_id, and shards
+    of too many are split (see ``anchors``).  Copies of a whole text are known by
+    their hash, and only the smallest id is searched.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256``, a row per input row.  Null,
     empty and short texts lose nothing; rows that share a doc_id are not smaller
@@ -136,25 +137,22 @@ def dedup(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
     first = common.written(anchors.first_pass(docs, _read, length, k), "substring")
     copies = common.written(first.groupBy("copy").agg(F.min("doc_id").alias("rep")), "copies")
     first = first.join(copies, "copy")
-    found = anchors.passages(docs, first.where("doc_id = rep"), F.col("low") < F.col("high"), CUT, _hashes, length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.whole_groups(batches, 4):
-            doc, copy, a, data, shard = (rows.column(c).to_pylist() for c in range(5))
-            out: list[list] = [[], [], [], []]
+    def solve(groups: Iterator[pa.Table]) -> Iterator[tuple[bytes, np.ndarray]]:
+        for rows in groups:
+            key, cid, data, lo = (rows.column(c).to_pylist() for c in (0, 1, 2, 4))
             at = 0
-            while at < len(shard):
+            while at < len(key):
                 end = at
-                while end < len(shard) and shard[end] == shard[at]:
+                while end < len(key) and key[end] == key[at]:
                     end += 1
-                for i, starts in enumerate(repeated(list(zip(doc[at:end], data[at:end], strict=True)), length), at):
-                    for s, e in zip(*(x.tolist() for x in anchors.spans_of(starts, length)), strict=True):
-                        for col, v in zip(out, (doc[i], copy[i], a[i] + s, a[i] + e), strict=True):
-                            col.append(v)
+                for i, starts in enumerate(repeated(list(zip(lo[at:end], data[at:end], strict=True)), length), at):
+                    if len(starts):
+                        yield cid[i], starts
                 at = end
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "copy", "s", "e"])
 
-    spans = common.sorted_groups(found, "shard").mapInArrow(run, "doc_id long, copy binary, s int, e int")
+    search = anchors.Search(length, k, CUT, "low < high", _hashes, lambda d: np.frombuffer(d, np.uint64), "own > lo", solve)
+    spans = anchors.matches(docs, first.where("doc_id = rep"), search)
     cut = common.written(anchors.digests(docs, spans, _cut), "cut")
     whole_copy = (F.col("doc_id") > F.col("rep")) & (F.col("n") >= length)
     return first.select("doc_id", "copy", "n", "whole", "rep").join(cut, ["doc_id", "copy"], "left").select(
