@@ -1,4 +1,4 @@
-"""Personal data: patterns, and terms that give protected values away (DataFrame functions only)."""
+"""Personal data: patterns, and terms that give protected entities away (DataFrame functions only)."""
 
 from __future__ import annotations
 
@@ -19,8 +19,6 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TERM = r"\p{L}{3,}"
-#: Code points of context read on either side of a value, and terms taken there.
-AROUND, TERMS = 160, 5
 
 
 def _digits(m: Column) -> Column:
@@ -29,7 +27,7 @@ def _digits(m: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     back = F.reverse(digits)
-    value = lambda i: F.substring(back, i, 1).cast("int") if isinstance(i, int) else back.substr(i, F.lit(1)).cast("int")
+    value = lambda i: back.substr(i, F.lit(1)).cast("int")
     add = lambda a, i: a + F.when(i % 2 == 1, value(i)).otherwise(value(i) * 2 - F.when(value(i) > 4, 9).otherwise(0))
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
@@ -51,126 +49,165 @@ def _matches(kind: str, text: Column) -> Column:
     return F.when(some, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _tokens(text: Column, at: Column, cut_first: Column, cut_last: Column) -> Column:
-    """Terms of a short text with their places; a term that the cut may have shortened is left out."""
-    terms, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.transform(F.split(text, TERM, -1), lambda g: F.length(g))
-    place = lambda i: at + F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(terms, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    found = F.transform(terms, lambda t, i: F.struct(F.lower(t).alias("t"), place(i).cast("long").alias("s"), (place(i) + F.length(t)).cast("long").alias("e")))
-    found = F.filter(found, lambda x: ~(cut_first & (x["s"] == at)))
-    return F.filter(found, lambda x: ~(cut_last & (x["e"] == at + F.length(text))))
+def _lengths(text: Column, pattern: Column | str) -> Column:
+    """Code points of the pieces between matches."""
+    return F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
 
-def values(docs: DataFrame) -> DataFrame:
-    """Valid values with places and terms around: ``(row, doc_id, copy, kind, s, e, value, around)``.
+def _raw(text: Column) -> Column:
+    """Distinct runs of three letters or more outside e-mails, the only values with letters."""
+    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)))
 
-    A document without any gives one row with a null kind.  Places come from the
-    pieces between matches: a match starts after all pieces and matches before it.
+
+def terms(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(_raw(text), lambda t: F.lower(t)))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, copy, found, terms)``: matches per kind with the lengths between them.
+
+    One pass over whole texts; ``terms`` is null where nothing matches.
     """
     docs = common.documents(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.unhex(F.md5("text")))
-    found = docs.select("row", "doc_id", "copy", "text", *[_matches(k, F.col("text")).alias(k) for k in KINDS])
-    text = F.col("text")
-
-    def pieces(n: int, kind: str) -> Column:
-        split = F.split(text, PATTERNS[kind], -1)
-        short = F.transform(split, lambda g: F.struct(F.length(g).alias("n"), F.left(g, F.lit(AROUND)).alias("first"), F.right(g, F.lit(AROUND)).alias("last")))
-        return F.struct(F.lit(n).alias("kind"), F.col(kind).alias("m"), F.when(F.size(kind) > 0, short).alias("g"))
-
-    kinds = F.filter(F.array(*[pieces(n, k) for n, k in enumerate(KINDS)]), lambda x: F.size(x["m"]) > 0)
-    rows = found.select("row", "doc_id", "copy", F.explode_outer(kinds).alias("x"))
-    after = F.slice("x.g", F.lit(2), F.size("x.m"))
-    before = F.slice("x.g", F.lit(1), F.size("x.m"))
-    rows = rows.select("row", "doc_id", "copy", F.col("x.kind").alias("kind"), F.posexplode_outer(F.arrays_zip(F.col("x.m").alias("m"), before.alias("b"), after.alias("a"))).alias("i", "y"))
-    width = F.col("y.b.n") + F.length("y.m")
-    end = F.sum(width).over(Window.partitionBy("row", "kind").orderBy("i"))
-    rows = rows.repartition("row").withColumn("e", end.cast("long")).withColumn("s", F.col("e") - F.length("y.m"))
+    rows = docs.select("*", *[_matches(k, F.col("text")).alias(k) for k in KINDS])
+    of = lambda n, k: F.struct(F.lit(n).alias("kind"), F.col(k).alias("m"), F.when(F.size(k) > 0, _lengths(F.col("text"), PATTERNS[k])).alias("g"))
+    found = F.filter(F.array(*[of(n, k) for n, k in enumerate(KINDS)]), lambda x: F.size(x["m"]) > 0)
+    return rows.select("row", "doc_id", "copy", found.alias("found"), F.when(F.size(found) > 0, terms(F.col("text"))).alias("terms"))
+
+
+def _placed(rows: DataFrame, keys: list[str], m: Column, g: Column) -> DataFrame:
+    """A row per match with ``y`` (the match), ``s`` and ``e``: it starts after all pieces and matches before it."""
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("g"))).alias("i", "x"))
+    end = F.sum(F.col("x.g") + F.length("x.m")).over(Window.partitionBy(*keys).orderBy("i"))
+    return rows.withColumn("e", end.cast("long")).select(*keys, F.col("x.m").alias("y"), (F.col("e") - F.length("x.m")).alias("s"), "e")
+
+
+def values(scan: DataFrame) -> DataFrame:
+    """Valid values with their places: ``(row, doc_id, copy, kind, s, e, value)``."""
+    rows = scan.select("row", "doc_id", "copy", F.explode("found").alias("f"))
+    rows = _placed(rows.select("row", "doc_id", "copy", "f.kind", "f.m", "f.g"), ["row", "doc_id", "copy", "kind"], F.col("m"), F.col("g"))
     ok = F.lit(False)
     for n, k in enumerate(KINDS):
-        ok = ok | ((F.col("kind") == n) & valid(k, F.col("y.m")))
-    behind = _tokens(F.col("y.b.last"), F.col("s") - F.length("y.b.last"), F.col("y.b.n") > AROUND, F.lit(False))
-    ahead = _tokens(F.col("y.a.first"), F.col("e"), F.lit(False), F.col("y.a.n") > AROUND)
-    around = F.concat(F.slice(F.reverse(behind), 1, TERMS), F.slice(ahead, 1, TERMS))
-    empty = F.col("kind").isNull() | ~ok
-    return rows.select("row", "doc_id", "copy", F.when(~empty, F.col("kind")).alias("kind"), "s", "e", F.when(~empty, F.lower("y.m")).alias("value"), F.when(~empty, around).alias("around"))
+        ok = ok | ((F.col("kind") == n) & valid(k, F.col("y")))
+    return rows.where(ok).withColumnRenamed("y", "value")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int, threshold: float) -> DataFrame:
-    """``(kind, value, t, disclosure)``: terms that give a protected value away.
+def entities(found: DataFrame) -> DataFrame:
+    """``(row, doc_id, copy, entity)``: what the values protect, each once a document.
 
-    disclosure = PMI(term; value) / IC(value), both from document counts over the
-    whole corpus: 1 where the term comes with the value only, 0 where they are
-    independent.  A pair counts only if ``support`` different texts have it near
-    each other, so copies of one text prove nothing.
+    A value stands for itself (cards and phones by their digits), for its group (an
+    e-mail's domain, an address's first three parts) and for its kind, so there is
+    something that recurs even where every value is unique.
     """
-    near = found.where("kind IS NOT NULL").select("row", "copy", "kind", "value", F.explode("around.t").alias("t")).distinct()
-    joint = near.groupBy("kind", "value", "t").agg(F.count_distinct("row").alias("joint"), F.count_distinct("copy").alias("texts")).where(F.col("texts") >= support)
+    kind, value = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1), F.lower("value")
+    own = F.when(F.col("kind") >= 2, _digits(value)).otherwise(value)
+    group = F.when(F.col("kind") == 0, F.concat(F.lit("@"), F.substring_index(value, "@", -1))).when(F.col("kind") == 1, F.concat(F.substring_index(value, ".", 3), F.lit(".*")))
+    names = F.array_compact(F.array(kind, F.concat_ws(":", kind, own), group))
+    return found.select("row", "doc_id", "copy", F.explode(names).alias("entity")).distinct()
+
+
+def disclosures(docs: DataFrame, scan: DataFrame, known: DataFrame, support: int, threshold: float) -> DataFrame:
+    """``(entity, t, disclosure)``: terms that give a protected entity away.
+
+    disclosure = PMI(term; entity) / IC(entity), all from one count of documents:
+    1 where the term comes with the entity only, 0 where they are independent.
+    ``support`` different texts have to hold the entity, and as many both, so copies
+    of one text prove nothing.  Entities that every document has disclose nothing.
+    """
+    n = float(scan.count())
+    first = known.groupBy("copy").agg(F.min("row").alias("first"))
+    marked = known.join(first, "copy").withColumn("text", (F.col("row") == F.col("first")).cast("int"))
+    with_entity = marked.groupBy("entity").agg(F.count("*").alias("with_entity"), F.sum("text").alias("texts")).where((F.col("texts") >= support) & (F.col("with_entity") < n)).drop("texts")
+    with_entity = common.written(with_entity, "entities")
+    by_row = marked.join(with_entity.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"), F.max("text").alias("text"))
+    both = scan.select("row", "terms").join(by_row, "row").select("text", "entities", F.explode("terms").alias("t")).select("text", "t", F.explode("entities").alias("entity"))
+    joint = both.groupBy("entity", "t").agg(F.count("*").alias("joint"), F.sum("text").alias("texts")).where(F.col("texts") >= support).drop("texts")
     joint = common.written(joint, "joint")
-    of_value = found.where("kind IS NOT NULL").select("row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("with_value"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))
-    of_term = common.documents(docs).select(F.explode(terms).alias("t")).groupBy("t").agg(F.count("*").alias("with_term"))
-    n = float(max(found.agg(F.count_distinct("row")).first()[0], 1))
-    pmi = F.log(F.lit(n) * F.col("joint") / (F.col("with_value") * F.col("with_term")))
-    pairs = joint.join(of_value, ["kind", "value"]).join(of_term, "t").where(F.col("with_value") < n)
-    return pairs.select("kind", "value", "t", (pmi / F.log(F.lit(n) / F.col("with_value"))).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    with_term = common.documents(docs).select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("with_term"))
+    pairs = joint.join(with_entity, "entity").join(with_term, "t")
+    pmi = F.log(F.lit(n) * F.col("joint") / (F.col("with_entity") * F.col("with_term")))
+    return pairs.select("entity", "t", (pmi / F.log(F.lit(n) / F.col("with_entity"))).alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def spans(docs: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Values found, and term occurrences that exceed the thresholds in their documents.
+def disclosing(docs: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scan, values, and ``(doc_id, copy, drop, mask)``: each document's terms to remove and to generalise.
 
-    The second frame is ``(row, doc_id, copy, t, s, e, drop)``: a term next to a
-    value whose disclosure is at least ``generalise``; ``drop`` from ``remove`` on.
-    Documents without personal data have none.
+    A term counts in a document that holds an entity it gives away; from
+    ``generalise`` on it is masked, from ``remove`` on dropped.
     """
-    found = common.written(values(docs), "values")
-    pairs = common.written(disclosures(docs, found, support, generalise), "pairs")
-    near = found.where("kind IS NOT NULL").select("row", "doc_id", "copy", "kind", "value", F.explode("around").alias("x")).select("row", "doc_id", "copy", "kind", "value", "x.*")
-    terms = near.join(pairs, ["kind", "value", "t"]).groupBy("row", "doc_id", "copy", "t", "s", "e").agg(F.max(F.col("disclosure") >= remove).alias("drop"))
-    return found, common.written(terms, "terms")
+    scan = common.written(scanned(docs), "scanned")
+    found = common.written(values(scan), "values")
+    known = common.written(entities(found), "known")
+    pairs = common.written(disclosures(docs, scan, known, support, generalise), "pairs")
+    own = known.join(pairs.select("entity").distinct(), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    rows = scan.select("row", "doc_id", "copy", "terms").join(own, "row").select("doc_id", "copy", "entities", F.explode("terms").alias("t"))
+    told = rows.join(pairs.select("t").distinct(), "t", "left_semi").select("doc_id", "copy", "t", F.explode("entities").alias("entity")).join(pairs, ["entity", "t"])
+    told = told.groupBy("doc_id", "copy", "t").agg(F.max(F.col("disclosure") >= remove).alias("drop"))
+    lists = told.groupBy("doc_id", "copy").agg(F.collect_list(F.when(F.col("drop"), F.col("t"))).alias("drop"), F.collect_list(F.when(~F.col("drop"), F.col("t"))).alias("mask"))
+    return scan, found, common.written(lists, "told")
+
+
+def _those(text: Column, those: Column) -> Column:
+    """A text's runs of letters that are ``those`` terms, as alternatives."""
+    return F.array_join(F.filter(_raw(text), lambda x: F.array_contains(those, F.lower(x))), "|")
+
+
+def _pattern(text: Column, those: Column) -> Column:
+    """Regular expression of e-mails, and outside them of runs of letters that are ``those`` terms."""
+    email = PATTERNS["email"]
+    return F.concat(F.lit(rf"{email}|(?:(?<!\p{{L}})|\G)(?:"), _those(text, those), F.lit(rf")(?:(?!\p{{L}})|(?={email}))"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, **options: float) -> DataFrame:
     """A row per document: counts per kind, hash of the base spans, all spans.
 
     Null and empty texts have none; repeated rows give a row each; an empty table
     gives no rows.  Spans are kind:start:end in code points, end exclusive; those
-    the method adds are of kind ``term`` and come last.
+    the method adds, every occurrence of a disclosing term in a document that holds
+    its entity, are of kind ``term`` and come last.
     """
-    found, terms = spans(docs)
-    own = found.select("row", "doc_id", "kind", "s", "e").unionByName(terms.select("row", "doc_id", F.lit(len(KINDS)).alias("kind"), "s", "e"))
-    span = F.when(F.col("kind").isNotNull(), F.struct("kind", "s", "e"))
+    scan, found, told = disclosing(docs, **options)
+    texts = common.documents(docs).withColumn("copy", F.unhex(F.md5("text"))).join(told, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    texts = texts.withColumn("pattern", _pattern(F.col("text"), F.concat("drop", "mask")))
+    matched = texts.select("doc_id", "copy", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("m"), _lengths(F.col("text"), F.col("pattern")).alias("g"))
+    added = _placed(matched, ["doc_id", "copy"], F.col("m"), F.col("g")).where(~F.contains("y", F.lit("@"))).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "s", "e"))).alias("added"))
+    base = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "s", "e"))).alias("base"), *[F.count_if(F.col("kind") == n).alias(f"n_{k}") for n, k in enumerate(KINDS)])
+    none, zero = F.array().cast("array<struct<kind:int,s:bigint,e:bigint>>"), F.lit(0).cast("long")
+    rows = scan.select("row", "doc_id", "copy").join(base, "row", "left").join(added, ["doc_id", "copy"], "left")
+    rows = rows.withColumn("base", F.coalesce("base", none)).withColumn("added", F.coalesce("added", none))
     name = F.array(*[F.lit(k) for k in [*KINDS, "term"]])
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["s"], x["e"])), ",")
-    rows = own.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("x"), *[F.count_if(F.col("kind") == n).alias(f"n_{k}") for n, k in enumerate(KINDS)])
-    base = F.filter("x", lambda x: x["kind"] < len(KINDS))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("x")).alias("spans"))
+    return rows.select("doc_id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.table(spark, sf_dir, "documents"))
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced by ``<KIND>`` and terms generalised or removed.
+def sanitised(docs: DataFrame, **options: float) -> DataFrame:
+    """``docs`` with personal data replaced by ``<KIND>`` and disclosing terms generalised or removed.
 
-    Values go kind by kind; then, in documents where a term gives a value away, the
-    term becomes ``<TERM>``, or nothing where its disclosure calls for removal.
-    Keeps all columns; ``n_chars``, if there, is counted anew.
+    Values go kind by kind, then terms, in documents that hold the entity they give
+    away: they become ``<TERM>``, or nothing where their disclosure calls for
+    removal.  Keeps all rows with a doc_id and all columns; null texts become empty; repeated rows are treated
+    alike; ``n_chars``, if there, is counted anew; an empty table gives no rows.
     """
-    _, terms = spans(docs)
-    by = terms.groupBy("doc_id", "copy").agg(F.collect_set(F.when(F.col("drop"), F.col("t"))).alias("drop"), F.collect_set(F.when(~F.col("drop"), F.col("t"))).alias("mask")).withColumnsRenamed({"doc_id": "_id", "copy": "_copy", "drop": "_drop", "mask": "_mask"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id IS NOT NULL").withColumn("text", text)
-    joined = rows.join(by, (F.col("doc_id").cast("long") == F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_copy")), "left")
+    _, _, told = disclosing(docs, **options)
+    rows = common.whole_rows(docs)
+    joined = rows.join(told, ["doc_id", "copy"], "left").select("_row", "text", "drop", "mask")
 
     def replacing(kind: str) -> Callable[[Column, Column], Column]:
         return lambda a, m: F.concat(a, F.when(valid(kind, m), F.lit(f"<{kind.upper()}>")).otherwise(m))
 
     for kind in KINDS:
-        joined = joined.withColumn("_m", _matches(kind, F.col("text")))
+        joined = joined.withColumn("m", _matches(kind, F.col("text")))
         g = F.split("text", PATTERNS[kind], -1)
-        put = F.zip_with(F.slice(g, F.lit(1), F.size("_m")), "_m", replacing(kind))
-        joined = joined.withColumn("text", F.when(F.size("_m") > 0, F.concat(F.array_join(put, ""), F.element_at(g, -1))).otherwise(F.col("text")))
-    for column, instead in (("_drop", ""), ("_mask", "<TERM>")):
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(column, "|"), F.lit(r")(?!\p{L})"))
-        joined = joined.withColumn("text", F.when(F.size(column) > 0, F.regexp_replace(F.col("text"), pattern, F.lit(instead))).otherwise(F.col("text")))
-    out = joined.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else joined
-    return out.select(docs.columns)
+        put = F.zip_with(F.slice(g, F.lit(1), F.size("m")), "m", replacing(kind))
+        joined = joined.withColumn("text", F.when(F.size("m") > 0, F.concat(F.array_join(put, ""), F.element_at(g, -1))).otherwise(F.col("text")))
+    for column, instead in (("drop", ""), ("mask", "<TERM>")):
+        those = _those(F.col("text"), F.col(column))
+        pattern = F.concat(F.lit(r"(?<![<\p{L}])(?:"), those, F.lit(r")(?!\p{L})"))
+        joined = joined.withColumn("text", F.when(F.size(column) > 0, F.when(those != "", F.regexp_replace(F.col("text"), pattern, F.lit(instead))).otherwise(F.col("text"))).otherwise(F.col("text")))
+    return joined.select(common.with_text(docs))
