@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-#: Levels of each tree; every level has one vantage point and a ring per distance.
-LEVELS = 15
+#: Rows that a shard is to have, which sets the depth of the trees.
+LEAF = 1024
 #: Rows of a shard that meet in one task; larger shards are cut and their cuts paired.
 CUT = 4096
 
 
-def _fingerprint(text: str, size: int) -> int:
+def fingerprint(text: str, size: int) -> int:
+    """SimHash of one text, as a signed integer."""
     parts = text.encode().lower().split()  # bytes.lower and bytes.split know ASCII only
     if not parts:
         return 0
@@ -40,22 +42,38 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_fingerprint(t, size) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return common.documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _vantage_points(bits: int) -> list[int]:
-    drawn = np.random.default_rng(42).integers(0, 1 << bits, LEVELS)
-    return [int(v) for v in drawn]
+def _bands(fp: Column, bands: int) -> list[Column]:
+    width = 64 // bands
+    return [F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)]
+
 
+def shards(fps: DataFrame, radius: int, bands: int) -> DataFrame:
+    """``fps`` with ``band`` and ``shard``, a row for every leaf that a fingerprint is in.
 
-def _leaf(band: Column, bits: int) -> Column:
-    """The leaf of a band's tree: its rings around the vantage points of all levels."""
-    key = F.lit(0).cast("long")
-    for v in _vantage_points(bits):
-        key = key * F.lit(bits + 1) + F.bit_count(band.bitwiseXOR(F.lit(v)))
-    return key
+    Each level of a band's tree has a vantage point and splits at the median distance
+    m to it.  What is farther than m but within m + reach of it lies at the boundary
+    and goes down both ways: by the triangle inequality whatever is within ``reach``
+    of a row inside is there too, so both meet in a leaf.
+    """
+    width, reach = 64 // bands, radius // bands
+    levels = max(0, math.ceil(math.log(max(fps.count(), 1) / LEAF) / math.log(1.75)))
+    points = np.random.default_rng(42).integers(0, 1 << width, (bands, levels))
+    away = [[F.bit_count(x.bitwiseXOR(F.lit(int(v)))) for v in own] for x, own in zip(_bands(F.col("fp"), bands), points, strict=True)]
+    if levels:
+        middle = fps.agg(*[F.percentile_approx(d, 0.5).alias(f"m{b}_{n}") for b, own in enumerate(away) for n, d in enumerate(own)]).first()
+    leaf = []
+    for b, own in enumerate(away):
+        sides = [F.struct((d > F.lit(middle[f"m{b}_{n}"])).cast("long").alias("out"), ((d > F.lit(middle[f"m{b}_{n}"])) & (d <= F.lit(middle[f"m{b}_{n}"] + reach))).alias("edge")) for n, d in enumerate(own)]
+        one = F.array(F.lit(b).cast("long"))
+        down = lambda keys, x: F.concat(F.transform(keys, lambda k: k * 2 + x["out"]), F.when(x["edge"], F.transform(keys, lambda k: k * 2)).otherwise(F.array().cast("array<bigint>")))
+        leaf.append(F.struct(F.lit(b).alias("band"), (F.aggregate(F.array(*sides), one, down) if sides else one).alias("leaves")))
+    rows = fps.select("*", F.explode(F.array(*leaf)).alias("x"))
+    return rows.select(*fps.columns, F.col("x.band").alias("band"), F.explode("x.leaves").alias("leaf"))
 
 
 def _links(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,29 +106,22 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def links(fps: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, bands: int = 2) -> DataFrame:
     """Links ``(a, b)`` that connect whatever is within ``radius`` bits, through trees.
 
-    ``fps(fp, id)`` has a row per fingerprint, ids distinct.  Two words of 64 bits
-    at most 3 apart agree in one of four bands of 16, so each band has a
-    vantage-point tree of its own: every level splits by Hamming distance to its
-    vantage point, and the triangle bound |d(x,v) - d(y,v)| <= d(x,y) = 0 leaves a
-    pair no other ring, so boundaries need no copies to both sides.  (One tree over all
-    64 bits needs radius 3, and then over half of all rows lie within 3 of the
-    median ring at every level.)  A leaf is a shard.  Inside it, distances over
-    all 64 bits to one more vantage point prune by the triangle bound with the
-    full radius, and what is left is compared exactly.
-
-    A leaf of more than ``CUT`` rows is cut by hash, and every pair of cuts is a
-    group of its own, so no task holds an unbounded leaf and no row is left out.
+    ``fps(fp, id)`` has a row per fingerprint, ids distinct.  Two words at most
+    ``radius`` bits apart are at most ``radius`` / ``bands`` apart in one of the bands,
+    so each band of 32 bits has a vantage-point tree of its own, with boundaries of
+    that width (see ``shards``).  Inside a shard, distances over all 64 bits to one
+    more vantage point prune by the triangle bound with the full radius, and what is
+    left is compared exactly.
+
+    A shard of more than ``CUT`` rows is cut by hash, and every pair of cuts is a
+    group of its own, so no task holds an unbounded shard and no row is left out.
     Each group reports a spanning forest, at most a link a row, not all pairs.
     """
-    width = 64 // bands
-    if radius >= bands:
-        raise ValueError("radius has to be below the number of bands")
-    band = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), _leaf(F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1)), width).alias("leaf")) for b in range(bands)]))
-    rows = fps.select("id", "fp", band.alias("x")).select("id", "fp", "x.band", "x.leaf")
-    sizes = common.checkpoint(rows.groupBy("band", "leaf").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = common.written(shards(fps.select("id", "fp"), radius, bands), "shards")
+    sizes = common.written(rows.groupBy("band", "leaf").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     rows = (
         rows.join(sizes, ["band", "leaf"])
