@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,21 +14,26 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 
-def balanced_centroids(points: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """k-means on a bounded sample, with a price on full clusters that evens their sizes."""
+#: Nearest lists whose farthest is the measure of a query's reach.
+BASE = 9
+
+
+def balanced_centroids(points: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """k-means on a bounded sample, and the price of each cluster that evens their sizes."""
     rng = np.random.default_rng(seed)
     n = min(n, len(points))
     centre = points[rng.choice(len(points), n, replace=False)]
     price = np.zeros(n)
-    for _ in range(rounds):
+    for turn in range(2 * rounds):  # the second half moves prices only
         d = vectors.squared(points, centre)
         cell = (d + price[None, :]).argmin(1)
         size = np.bincount(cell, minlength=n)
-        price += 0.1 * d.min(1).mean() * (size * n / len(points) - 1)
-        total = np.zeros_like(centre)
-        np.add.at(total, cell, points)
-        centre = np.where((size > 0)[:, None], total / np.maximum(size, 1)[:, None], centre)
-    return centre
+        price += 0.1 * d.min(1).mean() * np.clip(size * n / len(points) - 1, -1, 1)
+        if turn < rounds:
+            total = np.zeros_like(centre)
+            np.add.at(total, cell, points)
+            centre = np.where((size > 0)[:, None], total / np.maximum(size, 1)[:, None], centre)
+    return centre, price
 
 
 class Graph:
@@ -41,82 +48,115 @@ class Graph:
                 self.edges[int(j)].add(k)
         self.entries = list(range(0, len(centre), max(1, len(centre) // 8)))
 
-    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest centroids that the walk finds, and their distances."""
-        away = lambda ids: np.sqrt(((self.centre[ids] - q) ** 2).sum(1))
-        seen = set(self.entries)
-        pool = list(zip(away(self.entries).tolist(), self.entries, strict=True))
-        done: set[int] = set()
-        while True:
-            pool = sorted(pool)[:width]
-            step = next((k for _, k in pool if k not in done), None)
-            if step is None:
-                return np.array([k for _, k in pool]), np.array([d for d, _ in pool])
-            done.add(step)
-            new = [k for k in self.edges[step] if k not in seen]
+    def search(self, q: np.ndarray, ratio: float, width: int, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Centroids that the walk finds within ``ratio`` times the distance of the nearest few (the ``BASE``-th).
+
+        Best first; it ends when what is nearest of the rest is out of reach,
+        ``width`` centroids have been walked from and the lists have ``least`` postings.
+        """
+        away = lambda ids: np.sqrt(((self.centre[ids] - q) ** 2).sum(1)).tolist()
+        seen, found, nearest = set(self.entries), [], []
+        heap = list(zip(away(self.entries), self.entries, strict=True))
+        heapq.heapify(heap)
+        postings = 0
+        while heap and (len(found) < width or heap[0][0] <= nearest[-1] * ratio or postings < least):
+            d, k = heapq.heappop(heap)
+            postings += sizes[k]
+            bisect.insort(nearest, d)
+            del nearest[BASE:]
+            found.append((d, k))
+            new = [j for j in self.edges[k] if j not in seen]
             seen.update(new)
-            if new:
-                pool += zip(away(new).tolist(), new, strict=True)
-
-
-def search(
-    df: DataFrame, k: int = 10, every: int = 100, lists: int = 128, copies: int = 4, boundary: float = 1.08, ratio: float = 1.2, least: int = 24, width: int = 64, fit: int = 16384, seed: int = 5
-) -> DataFrame:
+            for x in zip(away(new) if new else [], new, strict=True):
+                heapq.heappush(heap, x)
+        found.sort()
+        before = np.cumsum([0, *(sizes[k] for _, k in found[:-1])])
+        return np.array([k for (d, k), n in zip(found, before, strict=True) if d <= nearest[-1] * ratio or n < least])
+
+
+def posted(v: np.ndarray, centre: np.ndarray, price: np.ndarray, copies: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and lists of all postings: the list of least distance and price, and those at whose boundary a row is."""
+    d = vectors.squared(v, centre)
+    own = (d + price[None, :]).argmin(1)
+    d = np.sqrt(d)
+    near = np.argsort(d, axis=1)[:, :copies]
+    close = np.take_along_axis(d, near, 1)
+    i, j = np.nonzero((close <= close[:, :1] * boundary) & (near != own[:, None]))
+    return np.concatenate([np.arange(len(v)), i]), np.concatenate([own, near[i, j]])
+
+
+def fitted_ratio(points: np.ndarray, centre: np.ndarray, price: np.ndarray, copies: int, boundary: float, k: int, recall: float, asked: int = 256) -> float:
+    """The ratio at which ``recall`` of the sample's own nearest neighbours are in lists that are read."""
+    q = points[:: max(1, len(points) // asked)]
+    d = vectors.squared(q, points)
+    i, j = np.nonzero(d <= np.partition(d, min(k, len(points) - 1), axis=1)[:, [min(k, len(points) - 1)]])  # the query itself, and k
+    rows, lists = posted(points, centre, price, copies, boundary)
+    away = np.sqrt(vectors.squared(q, centre))
+    away /= np.maximum(np.sort(away, axis=1)[:, [min(BASE, len(centre)) - 1]], 1e-12)
+    order = np.argsort(rows, kind="stable")
+    first = np.searchsorted(rows[order], np.arange(len(points) + 1))
+    needed = [away[a, lists[order[first[b] : first[b + 1]]]].min() for a, b in zip(i.tolist(), j.tolist(), strict=True) if d[a, b] > 0]
+    return float(np.quantile(needed, recall)) + 1e-9 if needed else 1.0
+
+
+def search(df: DataFrame, k: int = 10, every: int = 100, lists: int = 2048, a_list: int = 16, copies: int = 2, boundary: float = 1.1, recall: float = 0.94, width: int = 32, fit: int = 16384, seed: int = 5) -> DataFrame:
     """Each query's ``k`` nearest found by Euclidean distance.
 
-    ``lists`` centroids are fitted on at most ``fit`` rows by balanced k-means; every
-    row is indexed: it is posted to its nearest list and, at a boundary, to up to
-    ``copies`` lists whose centroid is within ``boundary`` times that distance.  A
-    query walks the graph of centroids in memory and asks, of the ``width`` nearest
-    it meets, those within ``ratio`` times the nearest one's distance, and the
-    ``least`` nearest at any rate.  A table with under 16 sampled rows a list gets
-    fewer lists.  A long list is cut into blocks, so none is unbounded.  Distances are exact, on the vectors.
-
-    Queries are rows with vec_id divisible by ``every``; candidates all rows but the
-    query's own; ties go to the smaller vec_id.  Vectors that are null, zero, empty
-    or hold null or non-finite components take no part; all must have one length.
-    Rows that repeat a vec_id count as one.  An empty table gives no rows.
+    Lists are clusters fitted on at most ``fit`` rows by k-means with prices that even
+    their sizes, a list for every ``a_list`` rows of the sample, ``lists`` at most;
+    every row is indexed: it is posted to the list of least squared distance plus
+    price and, at a boundary, to up to ``copies`` lists whose centroid is within
+    ``boundary`` times the nearest one's distance.  A query walks the graph of
+    centroids in memory and reads the lists within a ratio of the nearest one's
+    distance, which is fitted on the sample: the least at which ``recall`` of its own
+    neighbours are read.  A long list is cut into blocks, so none is unbounded.
+    Distances are exact, on the vectors.
+
+    Queries are rows with vec_id divisible by ``every`` (of one id with several
+    vectors the least), candidates all rows but those of the query's id; repeated
+    rows are candidates each, ties go to the smaller vec_id.  Vectors that are null,
+    zero, empty or hold null or non-finite components take no part; all must have one
+    length, or the query fails.  An empty table gives no rows.
     """
+    found = scored(df, k, every, lists, a_list, copies, boundary, recall, width, fit, seed)
+    once = found.groupBy("query_id", "row").agg(F.first("vec_id").alias("vec_id"), F.min("score").alias("score"))
+    return vectors.ranked(once, k, True)
+
+
+def scored(df: DataFrame, k: int, every: int, lists: int, a_list: int, copies: int, boundary: float, recall: float, width: int, fit: int, seed: int) -> DataFrame:
     spark = df.sparkSession
     rows = common.written(vectors.clean(df, zero=False), "vectors")
     points = vectors.sample(rows, fit, seed)
     if not len(points):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph = spark.sparkContext.broadcast(Graph(balanced_centroids(points, min(lists, 1 + len(points) // 16))))
+        return spark.createDataFrame([], "query_id long, row long, vec_id long, score double")
+    centre, price = balanced_centroids(points, min(lists, 1 + len(points) // a_list))
+    ratio = fitted_ratio(points, centre, price, copies, boundary, k, recall)
+    graph = spark.sparkContext.broadcast(Graph(centre))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = graph.value.centre
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = np.sqrt(vectors.squared(vectors.matrix(batch.column(1)), centre))
-            near = np.argsort(d, axis=1)[:, :copies]
-            own = np.take_along_axis(d, near, 1)
-            i, j = np.nonzero(own <= own[:, :1] * boundary)
-            yield pa.RecordBatch.from_arrays([pa.array(near[i, j].astype(np.int32)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], ["cell", "vec_id", "v"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                i, j = posted(vectors.matrix(part.column(2)), graph.value.centre, price, copies, boundary)
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), *(c.take(pa.array(i)) for c in part.columns)], ["cell", "row", "vec_id", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for n, q in enumerate(vectors.matrix(batch.column(1)) if batch.num_rows else []):
-                ids, away = graph.value.search(q, width)
-                ids = ids[(away <= away[0] * ratio) | (np.arange(len(ids)) < least)]
-                cells.append(ids)
-                of.append(np.full(len(ids), n))
-            take = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "vec_id", "v"])
+            cells = [graph.value.search(q, ratio, width, sizes, (copies + 1) * (k + 1)) for q in vectors.matrix(batch.column(1))] if batch.num_rows else []
+            take = pa.array(np.repeat(np.arange(len(cells)), [len(c) for c in cells]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, int), *cells]).astype(np.int32)), *(c.take(take) for c in batch.columns)], ["cell", "vec_id", "v"])
 
     def solve(q: np.ndarray, qv: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, c = vectors.best(-vectors.squared(qv, v), q, ids, 2 * k)  # rounding may swap neighbours
-        ids, first = np.unique(ids, return_index=True)
-        qs, at = np.unique(q, return_index=True)
-        gap = qv[at[np.searchsorted(qs, a)]] - v[first[np.searchsorted(ids, b)]]
-        return a, b, np.sqrt((gap * gap).sum(1))
-
-    posted = rows.mapInArrow(post, "cell int, vec_id long, v array<double>")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(ask, "cell int, vec_id long, v array<double>")
-    found = vectors.meet(common.written(posted, "posted"), common.written(asked, "asked"), solve, "double")
-    return vectors.ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, True)
+        i, j, _ = vectors.best(-vectors.squared(qv, v), q, ids, 2 * k)  # rounding may swap neighbours
+        gap = qv[i] - v[j]
+        return i, j, np.sqrt((gap * gap).sum(1))
+
+    data = common.written(rows.mapInArrow(post, "cell int, row long, vec_id long, v array<double>"), "posted")
+    sizes = np.zeros(len(centre), np.int64)
+    for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row per list
+        sizes[r["cell"]] = r["n"]
+    asked = common.written(vectors.queries(rows, every).mapInArrow(ask, "cell int, vec_id long, v array<double>"), "asked")
+    return vectors.meet(data, asked, solve, "double")
 
 
 def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

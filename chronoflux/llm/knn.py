@@ -12,66 +12,97 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, pivots: int = 128, seed: int = 11) -> DataFrame:
+#: Rings of a cell: rows by distance to their pivot, each ring with a bound of its own.
+RINGS = 8
+
+
+def top_k(df: DataFrame, k: int = 5, every: int = 50, pivots: int = 1024, first: int = 2, seed: int = 11) -> DataFrame:
     """Each query's ``k`` highest integer inner products, exactly.
 
-    Components become floor(256 x).  A bounded sample gives the pivots; every row
-    belongs to the cell of its nearest one, and a cell's summary is its radius and
-    size.  A query first meets its own cell, whose k-th score is a bound; a cell
-    with pivot p and radius r can hold nothing above q.p + |q| r, so the query is
-    replicated only to the cells where that reaches the bound.  Groups of (cell
-    block, query block) are solved locally and merged.
-
-    Queries are rows with vec_id divisible by ``every``, candidates all rows but the
-    query's own; fewer than ``k`` candidates: all.  Ties go to the smaller vec_id;
-    repeated rows are candidates each.  Vectors that are null, empty or hold null or
-    non-finite components take no part; all must have one length.  An empty table
-    gives no rows.
+    Components become floor(256 x).  A bounded sample gives the pivots, at most
+    ``pivots`` and about the square root of the rows; every row belongs to the cell
+    of its nearest one and to a ring of it.  A ring's summary is its greatest
+    distance r to the pivot p and its greatest length, so it holds nothing above
+    min(q.p + |q| r, |q| length).  A query first meets the ``first`` cells with the
+    highest q.p, and the k-th score there is a bound; it is replicated only to the
+    rings that may reach it.  Groups of (ring block, query block) are solved locally
+    and merged.
+
+    Queries are rows with vec_id divisible by ``every`` (of one id with several
+    vectors the least), candidates all rows but those of the query's id; fewer than
+    ``k`` candidates: all.  Ties go to the smaller vec_id; repeated rows are
+    candidates each.  Vectors that are null, empty or hold null or non-finite
+    components take no part; all must have one length, or the query fails.  An empty
+    table gives no rows.
     """
+    return vectors.ranked(_pairs(df, k, every, pivots, first, seed), k, False)
+
+
+def _pairs(df: DataFrame, k: int, every: int, pivots: int, first: int, seed: int) -> DataFrame:
     spark = df.sparkSession
-    rows = vectors.clean(df).select("vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
+    rows = vectors.clean(df).withColumn("v", F.transform("v", lambda x: F.floor(x * 256)))
     rows = common.written(rows, "vectors")
-    pivot = vectors.sample(rows, pivots, seed)
+    pivot = vectors.sample(rows, min(pivots, max(16, int(rows.count() ** 0.5))), seed)
     if not len(pivot):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, row long, vec_id long, score long")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = vectors.matrix(batch.column(1)).astype(float)
+            v = vectors.matrix(batch.column(2)).astype(float)
             d = vectors.squared(v, pivot)
             cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *batch.columns, pa.array(np.sqrt(d[np.arange(len(v)), cell]) + 1e-3)], ["cell", "vec_id", "v", "away"])
-
-    rows = common.written(rows.mapInArrow(nearest, "cell int, vec_id long, v array<long>, away double"), "voronoi")
-    radius = np.full(len(pivot), -1.0)
-    for r in rows.groupBy("cell").agg(F.max("away").alias("r")).collect():  # a row per pivot
-        radius[r["cell"]] = r["r"]
-    asked = rows.where(F.col("vec_id") % every == 0).select("cell", "vec_id", "v").dropDuplicates(["vec_id"])
-    data = rows.select("cell", "vec_id", "v")
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *batch.columns, pa.array(np.sqrt(d[np.arange(len(v)), cell]) + 1e-3), pa.array(np.sqrt((v * v).sum(1)) + 1e-3)], ["pivot", "row", "vec_id", "v", "away", "size"])
+
+    rows = common.written(rows.mapInArrow(nearest, "pivot int, row long, vec_id long, v array<long>, away double, size double"), "voronoi")
+    widest = np.full(len(pivot), -1.0)
+    for r in rows.groupBy("pivot").agg(F.max("away").alias("r")).collect():  # a row per pivot
+        widest[r["pivot"]] = r["r"]
+    step = F.element_at(F.array(*[F.lit(float(max(w, 1e-3) / RINGS)) for w in widest]), F.col("pivot") + 1)
+    ringed = rows.withColumn("cell", F.col("pivot") * RINGS + F.least(F.floor(F.col("away") / step), F.lit(RINGS - 1)).cast("int"))
+    radius, length = np.full(len(pivot) * RINGS, -1.0), np.zeros(len(pivot) * RINGS)
+    for r in ringed.groupBy("cell").agg(F.max("away").alias("r"), F.max("size").alias("s")).collect():  # RINGS rows a pivot
+        radius[r["cell"]], length[r["cell"]] = r["r"], r["s"]
+    data = ringed.select("cell", "row", "vec_id", "v")
+    asked = common.written(vectors.queries(rows, every), "queries")
+    live = np.flatnonzero(widest >= 0)
+
+    def homes(v: np.ndarray) -> np.ndarray:
+        """Pivots of a query's first cells."""
+        return live[np.argsort(-(v @ pivot[live].T), axis=1, kind="stable")[:, :first]]
+
+    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = (homes(vectors.matrix(batch.column(1)).astype(float))[:, :, None] * RINGS + np.arange(RINGS)).reshape(batch.num_rows, -1)
+                i, j = np.nonzero(radius[cells] >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[i, j].astype(np.int32)), *(c.take(pa.array(i)) for c in batch.columns)], ["cell", "vec_id", "v"])
 
     def solve(q: np.ndarray, qv: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         exact = np.abs(qv).max() < 1e6 and np.abs(v).max() < 1e6 and v.shape[1] < 9000  # sums below 2^53
         score = np.rint(qv.astype(float) @ v.T.astype(float)).astype(np.int64) if exact else qv @ v.T
         return vectors.best(score, q, ids, k)
 
-    home = common.written(vectors.meet(data, asked, solve, "long"), "home")
+    schema = "cell int, vec_id long, v array<long>"
+    home = common.written(vectors.meet(data, asked.mapInArrow(to_first, schema), solve, "long"), "home")
     bound = vectors.ranked(home, k, False).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    bounded = asked.join(bound, "vec_id", "left").select("cell", "vec_id", "v", "bound")
+    bounded = asked.join(bound, "vec_id", "left").select("vec_id", "v", "bound")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = vectors.matrix(batch.column(2)).astype(float)
-            bound = batch.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-            most = v @ pivot.T + np.sqrt((v * v).sum(1))[:, None] * radius[None, :] + 1e-3
+            v = vectors.matrix(batch.column(1)).astype(float)
+            bound = batch.column(2).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            size = np.sqrt((v * v).sum(1))[:, None]
+            most = np.minimum(np.repeat(v @ pivot.T, RINGS, axis=1) + size * radius, size * length) + 1e-3
             reach = (most >= bound[:, None]) & (radius >= 0)[None, :]
-            reach[np.arange(len(v)), batch.column(0).to_numpy()] = False  # met already
+            met = homes(v)[:, :, None] * RINGS + np.arange(RINGS)
+            reach[np.arange(len(v))[:, None], met.reshape(len(v), -1)] = False
             i, j = np.nonzero(reach)
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), batch.column(1).take(pa.array(i)), batch.column(2).take(pa.array(i))], ["cell", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], ["cell", "vec_id", "v"])
 
-    others = bounded.mapInArrow(replicate, "cell int, vec_id long, v array<long>")
-    return vectors.ranked(home.unionByName(vectors.meet(data, others, solve, "long")), k, False)
+    others = bounded.mapInArrow(replicate, schema)
+    return home.unionByName(vectors.meet(data, others, solve, "long"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
