@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +15,51 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table; one of fewer parts than there are cores is dealt out to all."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one of our own only where none is set."""
+    """The shared folder for checkpoints; one of our own only where none is set.
+
+    That one is a temporary folder in local mode, where driver and executors are one
+    machine, and a folder of the warehouse on a cluster.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="chronoflux-")
+        local = spark.sparkContext.master.startswith("local")
+        path = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+#: Folder of the run that is under way, if it has one of its own.
+_own: ContextVar[str | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside go to a folder of their own, removed at the end.
+
+    What reads them has to be written by then; nobody else's tables are touched.
+    """
+    path = f"{scratch(spark)}/run-{uuid.uuid4().hex}"
+    token = _own.set(path)
+    try:
+        yield
+    finally:
+        _own.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder; Spark's cleaner removes it later."""
     scratch(df.sparkSession)
@@ -41,38 +69,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again.
 
-    Columnar and compressed, so far smaller than ``checkpoint()``.  ``swept``
-    removes such tables once their readers are done.
+    Columnar and compressed, so far smaller than ``checkpoint()``.  Within
+    ``own_scratch`` the table goes with its run; otherwise it stays as long as the
+    cluster keeps its checkpoints.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/chronoflux/{name}-{uuid.uuid4().hex}"
+    path = f"{_own.get() or scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def swept(spark: SparkSession) -> None:
-    """Remove scratch tables that earlier, finished work in this folder left."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/chronoflux")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
-
-
 def documents(df: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone; null texts become empty, null ids go."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """``(_row, doc_id, text, copy)``: each row with a doc_id as a struct, so no column can clash."""
+    rows = df.select(F.struct("*").alias("_row")).where("_row.doc_id IS NOT NULL")
+    rows = rows.select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("copy", F.unhex(F.md5("text")))
+
+
+def with_text(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` out of ``whole_rows``, with ``text`` as it is now and ``n_chars``, if there, counted anew."""
+    own = {"text": F.col("text"), **({"n_chars": F.length("text").cast(dict(df.dtypes)["n_chars"])} if "n_chars" in df.columns else {})}
+    return [own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in df.columns]
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def flat(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and row offsets of a list column without nulls."""
     if isinstance(column, pa.ChunkedArray):

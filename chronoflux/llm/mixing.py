@@ -145,12 +145,14 @@ SELECT doc_id, domain, lang, source, tokens, epochs::BIGINT AS epochs, greatest(
 
 
 def cut_to(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``docs`` as ``mix`` chose them for one epoch: whole, or the first ``taken`` words."""
-    keys = chosen.groupBy("doc_id", "copy").agg(F.max(F.when(F.col("epochs") > 0, F.col("tokens")).otherwise(F.col("taken"))).alias("_taken"), F.max("tokens").alias("_tokens")).withColumnsRenamed({"doc_id": "_id", "copy": "_copy"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id IS NOT NULL").withColumn("text", text)
-    joined = rows.join(keys, (F.col("doc_id").cast("long") == F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_copy")))
-    part = F.array_join(F.slice(common.words(F.col("text")), F.lit(1), F.col("_taken").cast("int")), " ")
-    out = joined.withColumn("text", F.when(F.col("_taken") < F.col("_tokens"), part).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
-    return out.select(docs.columns)
+    """``docs`` as ``mix`` chose them for one epoch: whole, or the first ``taken`` words.
+
+    Documents that were not chosen go.  All columns stay, ``n_chars`` is counted
+    anew; rows that repeat doc_id and text are cut alike, to the longest choice; null
+    texts have no word and go; an empty table gives no rows.
+    """
+    keys = chosen.groupBy("doc_id", "copy").agg(F.max(F.when(F.col("epochs") > 0, F.col("tokens")).otherwise(F.col("taken"))).alias("taken"), F.max("tokens").alias("tokens"))
+    joined = common.whole_rows(docs).join(keys, ["doc_id", "copy"])
+    part = F.array_join(F.slice(common.words(F.col("text")), F.lit(1), F.col("taken").cast("int")), " ")
+    cut = joined.withColumn("text", F.when(F.col("taken") < F.col("tokens"), part).otherwise(F.col("text")))
+    return cut.select(common.with_text(docs))

@@ -22,15 +22,23 @@ def text_view(text: Column) -> Column:
     return F.transform(F.array_distinct(found), lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
 
 
-def page_view(docs: DataFrame, text: Column) -> Column:
-    """Metadata of the page: language, source, size and layout, as numbers."""
+def page_view(text: Column, lang: Column, source: Column) -> Column:
+    """Metadata of the page: language, source, size and layout, as numbers; no word of it."""
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda p: F.regexp_count(text, F.lit(p)) / n
     words = F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
     numbers = [F.log1p(F.length(text)), share(r"\p{Lu}") * 5, share(r"[^\p{L}\p{N}\s]") * 5, share(r"[0-9]") * 5, n / words / 10, F.size(lines) / words * 5, F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))]
-    one_hot = lambda c, k: [(F.pmod(F.xxhash64(F.col(c)), F.lit(k)) == i).cast("double") if c in docs.columns else F.lit(0.0) for i in range(k)]
-    return F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in [*numbers, *one_hot("lang", LANGS), *one_hot("source", SOURCES)]])
+    one_hot = lambda c, k: [(F.pmod(F.xxhash64(c), F.lit(k)) == i).cast("double") for i in range(k)]
+    return F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in [*numbers, *one_hot(lang, LANGS), *one_hot(source, SOURCES)]])
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """``(_row, _id, _t, _p)``: the whole row, its doc_id and both views; no name can clash."""
+    given = lambda c: F.col(f"_row.`{c}`") if c in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce(given("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row")).where("_row.doc_id IS NOT NULL")
+    return rows.select("_row", F.col("_row.doc_id").cast("long").alias("_id"), text_view(text).alias("_t"), page_view(text, given("lang"), given("source")).alias("_p"))
 
 
 class View:
@@ -143,26 +151,28 @@ def co_train(text: object, page: np.ndarray, y: np.ndarray, more_text: object, m
     return scorer
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), sample: int = 4000, rounds: int = 2, sure: float = 0.97) -> dict[str, Scorer]:
+def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), sample: int = 6000, rounds: int = 2, sure: float = 0.97) -> dict[str, Scorer]:
     """Fit a scorer per target on at most ``sample`` labelled and as many unlabelled documents.
 
-    The samples are the least hashes of doc_id, so the same rows give the same
-    model.  A target with one class only has no scorer.
+    The samples are the least hashes of doc_id, fetched in one scan, so the same rows
+    give the same model; of several labels of a document the least counts.  A target
+    with one class only has no scorer.
     """
-    picked = F.broadcast(labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), *targets).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    others = F.broadcast(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(sample))
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    views = [text_view(body).alias("_t"), page_view(docs, body).alias("_p")]
-    rows = docs.join(picked, docs["doc_id"].cast("long") == picked["_id"]).select("_id", *views, *targets).dropDuplicates(["_id"]).toPandas()  # ``sample`` rows
-    rest = docs.join(others, docs["doc_id"].cast("long") == others["_id"]).select("_id", *views).dropDuplicates(["_id"]).toPandas()
-    rows, rest = rows.sort_values("_id"), rest[~rest["_id"].isin(set(rows["_id"]))].sort_values("_id")
-    rows = rows.iloc[np.random.default_rng(1).permutation(len(rows))]
+    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.min(F.col(t).cast("double")).alias(f"_{t}") for t in targets])
+    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    others = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(sample)
+    wanted = known.withColumn("_known", F.lit(True)).unionByName(others, allowMissingColumns=True).groupBy("_id").agg(F.max("_known").alias("_known"), *[F.max(f"_{t}").alias(f"_{t}") for t in targets])
+    got = _own(docs).join(F.broadcast(wanted), "_id").select("_id", "_t", "_p", "_known", *[f"_{t}" for t in targets]).dropDuplicates(["_id"]).orderBy("_id").toArrow()  # 2 * ``sample`` rows
+    t, p = common.flat(got.column("_t")), _dense(common.flat(got.column("_p"))[0])
+    labelled = got.column("_known").fill_null(False).to_numpy()
+    mixed = np.random.default_rng(1).permutation(np.flatnonzero(labelled))
+    more = np.flatnonzero(~labelled)
     out = {}
     for target in targets:
-        own = rows[rows[target].notna()]
-        y = (own[target].to_numpy(float) > 0.5).astype(float)
+        y = got.column(f"_{target}").to_numpy()[mixed].astype(float)
+        own, y = mixed[~np.isnan(y)], (y[~np.isnan(y)] > 0.5).astype(float)
         if len(np.unique(y)) == 2:
-            out[target] = co_train(_lists(own["_t"]), _dense(own["_p"]), y, _lists(rest["_t"]), _dense(rest["_p"]), rounds, sure)
+            out[target] = co_train(_take(t, own, True), p[own], y, _take(t, more, True), p[more], rounds, sure)
     return out
 
 
@@ -170,21 +180,16 @@ def _lists(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *s]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in s], dtype=np.int64)])
 
 
-def _dense(s: pd.Series) -> np.ndarray:
-    return np.stack(list(s)) if len(s) else np.empty((0, 7 + LANGS + SOURCES))
+def _dense(values: np.ndarray) -> np.ndarray:
+    return values.reshape(-1, 7 + LANGS + SOURCES)
 
 
-def scored(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """``docs`` with ``quality_score``, ``text_score``, ``page_score`` and ``toxic_score``.
-
-    One pass over all documents, whole texts.  Null and empty texts are scored like
-    any other, by what features they have; rows without a doc_id are left out;
-    without usable labels every quality score is 1 and every toxic score 0.
-    """
+def _scores(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """``(_row, _s)``: each row, and its scores ``quality, text, page, toxic``."""
     models = train(docs, labels, **options)
 
     def score(text: pd.Series, page: pd.Series) -> pd.DataFrame:
-        t, p = _lists(text), _dense(page)
+        t, p = _lists(text), _dense(np.concatenate([np.empty(0), *page]))
         out = {"quality": np.ones(len(page)), "text": np.ones(len(page)), "page": np.ones(len(page)), "toxic": np.zeros(len(page))}
         if (m := models.get("quality")) is not None:
             out["quality"] = m.probability(t, p)
@@ -195,13 +200,30 @@ def scored(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
 
     score.__annotations__ = {"text": pd.Series, "page": pd.Series, "return": pd.DataFrame}
     udf = F.pandas_udf(score, "quality double, text double, page double, toxic double")
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id IS NOT NULL").withColumn("_s", udf(text_view(body), page_view(docs, body)))
-    return rows.select(*docs.columns, F.col("_s.quality").alias("quality_score"), F.col("_s.text").alias("text_score"), F.col("_s.page").alias("page_score"), F.col("_s.toxic").alias("toxic_score"))
+    return _own(docs).select("_row", udf("_t", "_p").alias("_s"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """``docs`` with ``quality_score``, ``text_score``, ``page_score`` and ``toxic_score``.
+
+    One pass over all documents, whole texts.  Null and empty texts are scored like
+    any other, by what features they have; repeated rows alike; rows without a doc_id
+    are left out; without usable labels every quality score is 1 and every toxic
+    score 0; columns of these four names are replaced, others kept, whatever they are.
+    """
+    names = {f"{k}_score": k for k in ("quality", "text", "page", "toxic")}
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in names]
+    return _scores(docs, labels, **options).select(*kept, *[F.col(f"_s.{k}").alias(n) for n, k in names.items()])
+
+
+def kept(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs``, as they are, that are accepted."""
+    return _scores(docs, labels, **options).where(accepted(quality=F.col("_s.quality"), toxic=F.col("_s.toxic"))).select("_row.*")
 
 
-def accepted(least: float = 0.5, most_toxic: float = 0.5) -> Column:
-    return (F.col("quality_score") >= least) & (F.col("toxic_score") < most_toxic)
+def accepted(least: float = 0.5, most_toxic: float = 0.5, quality: Column | None = None, toxic: Column | None = None) -> Column:
+    good, bad = F.col("quality_score") if quality is None else quality, F.col("toxic_score") if toxic is None else toxic
+    return (good >= least) & (bad < most_toxic)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, simhash
 
 #: Documents whose shingles tell which are common, and how many of those are put last.
 SAMPLE, COMMON = 10_000, 1 << 16
@@ -45,8 +45,8 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found.column("h").to_numpy(), found.column("n").to_numpy()
 
 
-def _sets(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """``(doc_id, copy, node, n, s, p, k)``: shingles ``s`` of each text, their prefix ``p`` and sketch ``k``.
+def _firsts(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """``(doc_id, copy, node, n, fp, p)``: each text's set as a number, its size, its SimHash and its prefix ``p``.
 
     Two sets of similarity ``least`` share a shingle among the first
     n - ceil(least n) + 1 of each, in any one order of all shingles; the order is
@@ -58,18 +58,61 @@ def _sets(docs: DataFrame, size: int, least: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                s = [shingles(t, size) for t in part.column(1).to_pylist()]
-                p = []
-                for x in s:
+                texts = part.column(1).to_pylist()
+                sets, prefixes = [shingles(t, size) for t in texts], []
+                for x in sets:
                     pos = np.minimum(np.searchsorted(often, x), max(len(often) - 1, 0))
                     rank = np.where(often[pos] == x, times[pos], 0) if len(often) else np.zeros(len(x), np.int64)
-                    p.append(x[np.argsort(rank, kind="stable")][: len(x) - math.ceil(least * len(x) - 1e-9) + 1])
-                node = np.array([int.from_bytes(hashlib.md5(x.tobytes()).digest()[:8], "little", signed=True) for x in s], np.int64)
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in (s, p)] + [pa.array([np.bincount(x & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32) for x in s], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array([len(x) for x in s], pa.int32()), *lists], ["doc_id", "copy", "node", "n", "s", "p", "k"])
+                    prefixes.append(x[np.argsort(rank, kind="stable")][: len(x) - math.ceil(least * len(x) - 1e-9) + 1])
+                node = np.array([int.from_bytes(hashlib.md5(x.tobytes()).digest()[:8], "little", signed=True) for x in sets], np.int64)
+                fp = pa.array([simhash.fingerprint(t, size) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), fp, pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "copy", "node", "n", "fp", "p"])
 
     docs = common.documents(docs).withColumn("copy", F.unhex(F.md5("text")))
-    return docs.mapInArrow(run, "doc_id long, copy binary, node long, n int, s array<long>, p array<long>, k array<int>")
+    return docs.mapInArrow(run, "doc_id long, copy binary, node long, n int, fp long, p array<long>")
+
+
+def _bodies(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """``(node, n, s, k)`` of the ``needed(doc_id, copy, node)``: the set and its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingles(t, size) for t in part.column(1).to_pylist()]
+                counts = [np.bincount(x & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(x, pa.list_(t)) for x, t in ((sets, pa.int64()), (counts, pa.int32())))], ["node", "n", "s", "k"])
+
+    docs = common.documents(docs).withColumn("copy", F.unhex(F.md5("text")))
+    return docs.join(needed, ["doc_id", "copy"]).select("node", "text").mapInArrow(run, "node long, n int, s array<long>, k array<int>").dropDuplicates(["node"])
+
+
+def _shared(prefix: DataFrame) -> DataFrame:
+    """Rows ``(p, node, n, at)``, each once, whose ``p`` more than one node has: one shuffle, then neighbours compared.
+
+    A ``p`` of all nodes is one row of the about n / 5 of each, so no partition is
+    much larger for it, and a task holds a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shared = None, False  # the row before, and whether the one before it has its p
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks().to_batches()[0]
+            p, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            rows = rows.filter(pa.array(np.concatenate([[True], (p[1:] != p[:-1]) | (node[1:] != node[:-1])])))
+            p = rows.column(0).to_numpy()
+            equal = p[1:] == p[:-1]
+            before = np.concatenate([[shared], equal])
+            out = rows.slice(0, len(p) - 1).filter(pa.array((before[:-1] | equal)))
+            last, shared = rows.slice(len(p) - 1), bool(before[-1])
+            if out.num_rows:
+                yield out
+        if last is not None and shared:
+            yield last
+
+    return prefix.repartition("p").sortWithinPartitions("p", "node").mapInArrow(run, "p long, node long, n int, at int")
 
 
 def _across(hits: DataFrame, least: float) -> DataFrame:
@@ -102,43 +145,53 @@ def _across(hits: DataFrame, least: float) -> DataFrame:
     return common.sorted_groups(rows, "shard").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """``(doc_id, copy, n_rows, component)``: what is linked by a Jaccard similarity of ``least`` or more.
 
     Similarity is that of the sets of ``size``-word shingles of the whole texts, A-Z
     in lower case; every pair at or above ``least`` links, none below.  ``copy`` is
     the text's MD5, so one doc_id with two texts is two rows, and equal rows are one
-    of ``n_rows``.  Texts with equal sets are one node from the start.  Pairs come
-    from shared prefix shingles: first each group's nodes with three pivots of it,
-    then all pairs that these links leave unconnected.  Sketches bound what a pair can share, and only
-    pairs within that bound have their whole sets compared.
+    of ``n_rows``.  Texts with equal sets are one node from the start; null, empty
+    and white texts have the empty set.  An empty table gives no rows.
+
+    Candidates come from SimHash first: fingerprints within ``radius`` bits, by
+    vantage-point trees (``simhash.links``); they join most near copies.  Fingerprints
+    of sets as far apart as ``least`` allows differ in about ten bits, out of reach of
+    any exact Hamming index, so pairs that are still apart come from shared prefix
+    shingles: each group's nodes with three pivots of it, then whatever is left
+    unconnected.  Sketches bound what a pair can share, and pairs within that bound
+    have their whole sets compared.
     """
-    sets = common.written(_sets(docs, size, least), "sets")
-    prefix = sets.select("node", "n", F.posexplode("p").alias("at", "p"))
-    shared = common.written(prefix.groupBy("p").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("p"), "shared")
-    hits = common.written(prefix.join(shared, "p").groupBy("p", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")), "hits")
-    sketches = common.written(sets.select("node", "n", "k").join(hits.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    first = common.written(_firsts(docs, size, least), "firsts")
+    nodes = common.written(first.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("x"), F.min("fp").alias("fp")).select("node", "x.*", "fp"), "nodes")
+    hits = common.written(_shared(first.select("node", "n", F.posexplode("p").alias("at", "p")).select("p", "node", "n", "at")), "hits")
+
+    by_fp = common.written(nodes.groupBy("fp").agg(F.min("node").alias("id")), "fingerprints")
+    equal = nodes.join(by_fp, "fp").where("node <> id").select(F.least("node", "id").alias("a"), F.greatest("node", "id").alias("b"))
+    near = simhash.links(by_fp, radius)
+    near = common.written(equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "near")
+
+    wanted = hits.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    bodies = common.written(_bodies(docs, common.written(nodes.join(wanted, "node").select("doc_id", "copy", "node"), "wanted"), size), "bodies")
 
-    def with_ends(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    def with_ends(pairs: DataFrame, *columns: str) -> DataFrame:
         for end, side in (("a", "1"), ("b", "2")):
-            pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(c + side) for c in columns]), end)
+            pairs = pairs.join(bodies.select(F.col("node").alias(end), *[F.col(c).alias(c + side) for c in columns]), end)
         return pairs
 
     def links(pairs: DataFrame) -> DataFrame:
         most = F.aggregate(F.zip_with("k1", "k2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)  # they share no more
-        close = with_ends(pairs.distinct(), sketches, "n", "k").where(most * (1 + least) >= least * (F.col("n1") + F.col("n2")) - 1e-6)
+        close = with_ends(pairs.distinct(), "n", "k").where(most * (1 + least) >= least * (F.col("n1") + F.col("n2")) - 1e-6)
         close = common.written(close.select("a", "b"), "close")
-        needed = common.written(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-        bodies = common.written(sets.join(needed, "node", "left_semi").select("node", "n", "s").dropDuplicates(["node"]), "bodies")
         both = F.size(F.array_intersect("s1", "s2"))
-        near = with_ends(close, bodies, "n", "s").where(both / (F.col("n1") + F.col("n2") - both) >= least)
-        return common.written(near.select("a", "b"), "links")
+        alike = with_ends(close, "n", "s").where(both / (F.col("n1") + F.col("n2") - both) >= least)
+        return common.written(alike.select("a", "b"), "links")
 
     pivots = hits.groupBy("p").agg(F.array(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(seed))) for seed in range(3)]).alias("x"))
     stars = hits.join(pivots, "p").select("node", "n", F.explode(F.array_distinct("x")).alias("v")).where((F.col("node") != F.col("v.node")) & (F.least("n", "v.n") >= least * F.greatest("n", "v.n") - 1e-6))
-    first = links(stars.select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b")))
-    joined = hits.join(graph.components(first), "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    second = links(_across(common.written(joined.select("p", "node", "n", "at", "comp"), "open"), least))
-    roots = graph.components(first.unionByName(second))
-    rows = sets.groupBy("doc_id", "copy", "node").agg(F.count("*").alias("n_rows"))
+    done = links(near.unionByName(stars.select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b"))))
+    joined = hits.join(graph.components(done), "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    rest = links(_across(common.written(joined.select("p", "node", "n", "at", "comp"), "open"), least))
+    roots = graph.components(done.unionByName(rest))
+    rows = first.groupBy("doc_id", "copy", "node").agg(F.count("*").alias("n_rows"))
     return rows.join(roots, "node", "left").select("doc_id", "copy", "n_rows", F.coalesce("root", "node").alias("component"))

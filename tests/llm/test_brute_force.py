@@ -9,9 +9,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronoflux.llm import ann, bwt, knn, lm, packing, simhash, substring
+from chronoflux.llm import ann, bwt, knn, lm, packing, simhash, substring, vectors
 
 
 def corpus(seed=4, n=60):
@@ -97,30 +98,60 @@ def test_bwt_around_lines_of_every_length(spark, monkeypatch, cut):
     assert sorted((x["doc_id"], x["n_removed"], x["kept_sha256"]) for x in rows) == want
 
 
-@pytest.mark.parametrize("cut", [4096, 3])
-def test_simhash_links(spark, monkeypatch, cut):
-    monkeypatch.setattr(simhash, "CUT", cut)
-    r = np.random.default_rng(5)
-    base = r.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64).tolist()
-    fps = sorted({b ^ int(np.int64(np.uint64(m).view(np.int64))) for b in base for m in (0, 1, 1 << 63, (1 << 20) | (1 << 40), 0b111 << 30, 0b1111 << 50)})
-    got = simhash.links(spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")).collect()
-    root = list(range(len(fps)))
+def smallest_reachable(n, near):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(fps)):
+    for a in range(n):
         for b in range(a):
-            if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 3:
+            if near(a, b):
                 root[max(find(a), find(b))] = min(find(a), find(b))
-    want = [find(x) for x in range(len(fps))]
-    root = list(range(len(fps)))
-    for a, b in got:
-        assert ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 64
-        root[max(find(a), find(b))] = min(find(a), find(b))
-    assert [find(x) for x in range(len(fps))] == want
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize(("leaf", "cut"), [(1024, 4096), (8, 4096), (8, 3)])
+def test_simhash_links(spark, monkeypatch, leaf, cut):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "CUT", cut)
+    r = np.random.default_rng(5)
+    base = r.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64).tolist()
+    masks = [0, 1, 1 << 63, (1 << 20) | (1 << 40), 0b111 << 30, 0b1111 << 50, *(sum(1 << int(k) for k in r.choice(64, n, replace=False)) for n in (1, 2, 3, 3, 3, 4, 5))]
+    fps = sorted({b ^ int(np.uint64(m).view(np.int64)) for b in base for m in masks})
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")
+    got = {frozenset(x) for x in simhash.links(df).collect()}
+    near = lambda a, b: ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 3
+    assert smallest_reachable(len(fps), lambda a, b: frozenset((a, b)) in got) == smallest_reachable(len(fps), near)
+    if leaf == 8:  # the trees split, and no more rows cross a boundary than have to
+        sizes = simhash.shards(df, 3, 2).groupBy("band", "leaf").count().toPandas()["count"]
+        assert sizes.max() < len(fps) / 3 and sizes.sum() < 12 * len(fps)
+
+
+def test_simhash_components_of_texts(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = []
+    for _ in range(25):
+        own = [r.choice(words) for _ in range(r.randrange(40, 300))]
+        for edits in (0, 0, 1, 1, 2, 4):
+            copy = list(own)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            texts.append(" ".join(copy).upper() if edits == 1 else " ".join(copy))
+    texts += ["", "  ", "one", "One two"]
+    r.shuffle(texts)
+    fp = []
+    for t in texts:
+        w = t.lower().split()
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+        fp.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
+    want = smallest_reachable(len(texts), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)
+    assert 30 < len(set(want)) < 120
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_simhash_fingerprints(docs):
@@ -163,12 +194,33 @@ def test_vector_search(spark):
         order = [j for j in np.lexsort((np.arange(400), -s)).tolist() if j != q][:5]
         want += [(q, k + 1, j, int(s[j])) for k, j in enumerate(order)]
     assert sorted(map(tuple, knn.top_k(df).collect())) == want
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_approximate_search_finds_most_and_reads_few_lists(spark, monkeypatch, clusters):
+    """Recall against brute force where far more lists are there than are read, on noise and on clusters."""
+    r = np.random.default_rng(6)
+    x = (r.normal(size=(6000, 12)) + (5 * r.normal(size=(clusters, 12))[r.integers(0, clusters, 6000)] if clusters else 0)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    met, plain = [], vectors.meet
+
+    def counted(rows, asked, solve, kind):
+        q = asked.groupBy("cell").agg(F.count("*").alias("q"))
+        met.append(rows.groupBy("cell").agg(F.count("*").alias("n")).join(q, "cell").agg(F.sum(F.col("n") * F.col("q")), F.max("n")).first())
+        return plain(rows, asked, solve, kind)
+
+    monkeypatch.setattr(vectors, "meet", counted)
     near = {}
     for row in ann.search(df).collect():
         near.setdefault(row["query_id"], set()).add(row["vec_id"])
+        assert row["score"] == pytest.approx(np.sqrt(((x[row["query_id"]].astype(float) - x[row["vec_id"]].astype(float)) ** 2).sum()))
     hits = 0
-    for q in range(0, 400, 100):
+    for q in range(0, 6000, 100):
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
         hits += len(near[q] & set(np.argsort(d)[:10].tolist()))
-    assert hits >= 0.9 * 40
+    assert hits >= 0.9 * 600 and met[0][0] < 0.25 * 60 * 6000 and met[0][1] < 8 * 16
+    met.clear()
+    if clusters:  # and the exact join prunes
+        knn.top_k(df).count()
+        assert sum(m[0] or 0 for m in met) < 0.5 * 120 * 6000

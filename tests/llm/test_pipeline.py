@@ -63,3 +63,52 @@ def test_one_id_with_several_texts(spark):
     found = sorted((r["doc_id"], r["text"]) for r in got)
     assert len(got) == 4 and found[:3] == [(1, text[0]), (1, text[1]), (2, text[2])] and found[3][0] == 3
     assert corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([], "doc_id long, text string"), "").collect() == []
+
+
+STAGE = dict(corpus_pipeline.STAGES)
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars int, quality int, toxic string, _row string, _id int, x double, row string, copy string, component int, doc_tokens long"
+
+
+def awkward(spark):
+    r = random.Random(4)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30_000))
+    texts = [None, "", " \n", "one", long, long + " more", "a" * 5000, "write ann@isle.example now"]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, len(t or ""), 1, "x", "r", i, 0.5, "w", "c", 7, 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], (None, "no id", *rows[3][2:])], AWKWARD)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(4, 1, 0, "t"), (6, 0, 0, "t"), (None, 1, 1, "t"), (3, 0, None, "t"), (3, 1, 1, "t")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", STAGE)
+def test_stages_on_awkward_tables(spark, folder, name):
+    docs = awkward(spark)
+    got = STAGE[name](spark, docs, folder)
+    if name != "packing":
+        assert got.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in got.select("doc_id").collect())
+    if name == "near duplicates":
+        assert ids == [0, 3, 4, 6, 7]
+    elif name == "personal data":
+        assert ids == [0, 1, 2, 3, 3, 4, 5, 6, 7] and "@" not in {r["doc_id"]: r["text"] for r in got.collect()}[7]
+    elif name == "packing":
+        assert set(ids) == set(range(8))
+    else:
+        assert set(ids) <= set(range(8))
+    assert STAGE[name](spark, docs.limit(0), folder).collect() == []
+
+
+def test_whole_pipeline_on_a_small_corpus(spark, folder):
+    """Copies and near copies go, personal data goes, every token of what is kept is packed once."""
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in planted()] + [(2000, "call +1 (736) 555-2678 or " + planted()[0][1], "en", "s1", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert len({r["doc_id"] for r in got}) < 60 and all(r["length"].bit_count() == 1 and r["offset"] == 0 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert all(sum(x["length"] for x in own) == own[0]["doc_tokens"] for own in by.values())
+    assert len({r["sequence_id"] for r in got}) == len(got)
