@@ -13,7 +13,10 @@ onsets AS (SELECT user_id AS track_id, event_id AS id, event_type AS kind, (epoc
 ends AS (SELECT track_id, ceil(max(t))::BIGINT * 2 AS n FROM onsets GROUP BY ALL),
 beats AS (SELECT track_id, i AS idx, i * 0.5::DOUBLE AS t, i // 4 + 1 AS bar, i % 4 + 1 AS beat_in_bar FROM (SELECT track_id, unnest(generate_series(0, n)) AS i FROM ends)),
 hours AS (SELECT event_type AS track_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS frame, count(*)::DOUBLE AS c FROM events GROUP BY ALL),
-frames AS (SELECT k.track_id, f.frame, coalesce(c, 0) AS x FROM (SELECT DISTINCT track_id FROM hours) k CROSS JOIN (SELECT unnest(generate_series(0, 719)) AS frame) f LEFT JOIN hours h ON h.track_id = k.track_id AND h.frame = f.frame),
+frames AS (SELECT k.track_id, f.frame, coalesce(c, 0) AS x FROM (SELECT DISTINCT track_id FROM hours) k CROSS JOIN (SELECT unnest(generate_series(0, (SELECT max(frame) FROM hours))) AS frame) f LEFT JOIN hours h ON h.track_id = k.track_id AND h.frame = f.frame),
+pulses AS (SELECT track_id, idx, t, idx // 4 + 1 AS bar, idx % 4 + 1 AS beat_in_bar FROM (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS idx FROM (SELECT DISTINCT track_id, t FROM onsets WHERE kind = 'click'))),
+marks AS (SELECT track_id, idx, t, idx // 4 + 1 AS bar, idx % 4 + 1 AS beat_in_bar FROM (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS idx FROM (SELECT DISTINCT track_id, t FROM onsets WHERE kind = 'view'))),
+spectrum AS (SELECT event_type AS track_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 36000000000 AS frame, CAST(json_extract(props, '$.k') AS INT) // 4 * 400.0::DOUBLE + 40 AS freq, sum(value) AS mag FROM events GROUP BY ALL),
 segments AS (SELECT *, lead(t0) OVER (PARTITION BY track_id ORDER BY t0, id) AS t1 FROM (SELECT o_custkey AS track_id, o_orderkey AS id, epoch_us(o_orderdate) / 8.64e10 AS t0, o_orderstatus AS family, 60 + o_totalprice % 120 AS bpm FROM orders))
 """
 
@@ -36,11 +39,35 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("idx")).select("track_id", "idx", (i * 0.5).alias("t"), (F.floor(i / 4) + 1).alias("bar"), (i % 4 + 1).alias("beat_in_bar"))
 
 
+def grid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Irregular beats, the events of a kind: ``track_id, idx, t, bar, beat_in_bar``."""
+    times = onsets(spark, sf_dir).where(F.col("kind") == kind).select("track_id", "t").distinct()
+    idx = F.row_number().over(Window.partitionBy("track_id").orderBy("t")).cast("long") - 1
+    i = F.col("idx")
+    return times.withColumn("idx", idx).select("track_id", "idx", "t", (F.floor(i / 4) + 1).alias("bar"), (i % 4 + 1).alias("beat_in_bar"))
+
+
+def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir, "click")
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir, "view")
+
+
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values by ten hours and frequency, a track per event type: ``track_id, frame, freq, mag``."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("track_id"), F.floor(us / 3.6e10).alias("frame"), (F.floor(k / 4) * 400.0 + 40).alias("freq")).agg(F.sum("value").alias("mag"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events an hour, a track per event type: ``track_id, frame, x``."""
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     hours = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("track_id"), F.floor(us / 3.6e9).alias("frame")).agg(F.count("*").cast("double").alias("c"))
-    every = hours.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("frame"))
+    last = F.broadcast(hours.agg(F.max("frame").alias("last")))  # one row
+    every = hours.select("track_id").distinct().crossJoin(last).select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame"))
     return every.join(hours, ["track_id", "frame"], "left").select("track_id", "frame", F.coalesce("c", F.lit(0.0)).alias("x"))
 
 
