@@ -14,9 +14,9 @@ from . import anchors, common
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: Different passages of a group that meet in a task; groups of more are split.
-CUT = 1000
+CUT = 2000
 #: Bytes of a shard whose transform is built on its own, and of shards merged at once.
-SHARD, MERGED = 1 << 19, 1 << 21
+SHARD, MERGED = 1 << 19, 1 << 20
 #: Letters of the transforms' alphabet are blocks of a fourth of the string's length.
 DEPTH = 4
 
@@ -170,17 +170,20 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32) -> DataFrame:
         def solved(cid: list[bytes], data: list[bytes], n: list[int]) -> Iterator[tuple[bytes, np.ndarray]]:
             return ((c, starts) for c, starts in zip(cid, repeated(data, n, length), strict=True) if len(starts))
 
-        cid, data, n, size = [], [], [], 0
+        own: tuple[list, list, list] = ([], [], [])
+        size = 0
         for rows in groups:
-            cid += rows.column(1).to_pylist()
-            data += (new := rows.column(2).to_pylist())
-            n += rows.column(3).to_pylist()
-            size += sum(map(len, new))
-            if size > MERGED:
-                yield from solved(cid, data, n)
-                cid, data, n, size = [], [], [], 0
-        if cid:
-            yield from solved(cid, data, n)
+            key = rows.column(0).to_numpy()
+            ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip([0, *ends], ends, strict=False):
+                for column, k in zip(own, (1, 2, 3), strict=True):
+                    column.extend(rows.column(k).slice(a, b - a).to_pylist())
+                size += sum(map(len, own[1][a - b :]))
+                if size > MERGED:
+                    yield from solved(*own)
+                    own, size = ([], [], []), 0
+        if own[0]:
+            yield from solved(*own)
 
     search = anchors.Search(length, k, CUT, "n > 1", _bytes, lambda d: anchors.byte_units(np.frombuffer(d, np.uint8)), "n > 1", solve)
     spans = anchors.matches(docs, first.where("doc_id = rep"), search)

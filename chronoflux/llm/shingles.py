@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     vantage-point trees (``simhash.links``); they join most near copies.  Fingerprints
     of sets as far apart as ``least`` allows differ in about ten bits, out of reach of
     any exact Hamming index, so pairs that are still apart come from shared prefix
-    shingles: each group's nodes with three pivots of it, then whatever is left
-    unconnected.  Sketches bound what a pair can share, and pairs within that bound
+    shingles: each group's nodes with three pivots of it, the one whose prefix is
+    shared most (an original among its edited copies) and two others, then whatever
+    is left unconnected.  Sketches bound what a pair can share, and pairs within that bound
     have their whole sets compared.
     """
     first = common.written(_firsts(docs, size, least), "firsts")
@@ -187,7 +188,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
         alike = with_ends(close, "n", "s").where(both / (F.col("n1") + F.col("n2") - both) >= least)
         return common.written(alike.select("a", "b"), "links")
 
-    pivots = hits.groupBy("p").agg(F.array(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(seed))) for seed in range(3)]).alias("x"))
+    sizes = hits.groupBy("p").agg(F.count("*").alias("m"))
+    known = hits.join(sizes, "p").groupBy("node").agg(F.sum("m").alias("known"))
+    graded = common.written(hits.join(known, "node"), "graded")
+    pivots = graded.groupBy("p").agg(F.array(F.max_by(F.struct("node", "n"), F.struct("known", "node")), *[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(seed))) for seed in range(2)]).alias("x"))
     stars = hits.join(pivots, "p").select("node", "n", F.explode(F.array_distinct("x")).alias("v")).where((F.col("node") != F.col("v.node")) & (F.least("n", "v.n") >= least * F.greatest("n", "v.n") - 1e-6))
     done = links(near.unionByName(stars.select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b"))))
     joined = hits.join(graph.components(done), "node", "left").withColumn("comp", F.coalesce("root", "node"))
