@@ -72,3 +72,21 @@ def _self_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("j11_scalar_per_track", lambda s, d: _r(t.onsets(s, d).join(F.broadcast(t.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")), F.col("track_id") % 25 == F.col("k")).groupBy("n_name").agg(F.sum("low").alias("low")), "low"), "SELECT n_name, round(sum(low), 6) AS low FROM onsets JOIN nation ON track_id % 25 = n_nationkey GROUP BY n_name")
+
+
+def _first_copies(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    rows = activity.source(s, f"{d}/events.parquet").withColumn("key", F.col("event_id") % 5000)
+    return activity.drained(activity.first_copies(rows, ["key"], "60 days"), "append").groupBy().agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+def _stream_matches(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    rows = lambda kind: activity.source(s, f"{d}/events.parquet").where(F.col("event_type") == kind)
+    return activity.drained(activity.matches(rows("click"), rows("view"), "user_id", "30 MINUTES", "60 days"), "append")
+
+
+_add("st4_first_copies", _first_copies, "SELECT count(DISTINCT event_id % 5000) AS n, count(DISTINCT event_id % 5000) AS keys FROM events")
+_add("st7_stream_matches", _stream_matches, "SELECT a.event_id AS id, b.event_id AS other_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 1800000000")

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +45,92 @@ def matches(left: DataFrame, right: DataFrame, key: str, tol: str, late: str = "
     return a.join(b, near).select("id", "other_id")
 
 
+def capped_sessions(events: DataFrame, gap: int, longest: int, late: str = "1 hour") -> DataFrame:
+    """``track_id, start, n``: sessions that end after ``gap`` seconds of silence or ``longest`` seconds from their start.
+
+    State is a session a track: start, last time, count.  A session is told when the
+    next one begins, or once the watermark is past its gap.  Rows of one track are taken
+    in order of time within a batch, and later ones must not come before them.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n = state.get if state.exists else (0, 0, 0)
+        done = []
+        for batch in batches:
+            for ts in sorted(int(x.timestamp() * 1000) for x in batch["ts"]):
+                if n and (ts - last > gap * 1000 or ts - start > longest * 1000):
+                    done.append((start, n))
+                    n = 0
+                start, last, n = (start if n else ts), ts, n + 1
+        if state.hasTimedOut:
+            done.append((start, n))
+            state.remove()
+        else:
+            state.update((start, last, n))
+            state.setTimeoutTimestamp(max(last + gap * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"track_id": [key[0]] * len(done), "start": [x[0] / 1000 for x in done], "n": [x[1] for x in done]})
+
+    rows = events.withWatermark("ts", late).select("track_id", "ts")
+    return rows.groupBy("track_id").applyInPandasWithState(step, "track_id long, start double, n long", "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def on_beats(events: DataFrame, beats: DataFrame, width: float) -> DataFrame:
+    """Events with ``beat``, the last stored beat at or before their ``t``: a stream joined to a static table by cells of ``width``.
+
+    Each stored beat is copied to the cells up to the next one, so a stream row meets
+    the one beat of its cell that holds it, without any state.
+    """
+    after = F.lead("t").over(Window.partitionBy("track_id").orderBy("t"))
+    spans = beats.select("track_id", F.col("t").alias("beat"), F.coalesce(after, F.col("t") + width).alias("next"))
+    cells = spans.select("track_id", "beat", "next", F.explode(F.sequence(F.floor(F.col("beat") / width), F.floor(F.col("next") / width))).alias("cell"))
+    inside = (F.col("t") >= F.col("beat")) & (F.col("t") < F.col("next"))
+    return events.withColumn("cell", F.floor(F.col("t") / width)).join(cells, ["track_id", "cell"]).where(inside).drop("cell", "next")
+
+
+def _home(spark: SparkSession) -> str:
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
+        home = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+    return f"{home}/stream-{uuid.uuid4().hex}"
+
+
+def split_late(events: DataFrame, late: str) -> tuple[DataFrame, DataFrame]:
+    """Rows in time, and those more than ``late`` behind the newest of their batch or any before: a side table, not lost."""
+    spark, path, seconds = events.sparkSession, _home(events.sparkSession), F.expr(f"INTERVAL {late}")
+
+    def write(batch: DataFrame, n: int) -> None:
+        top = batch.agg(F.max("ts").alias("top"))
+        seen = spark.read.schema("top timestamp").parquet(f"{path}/tops/*") if n else top
+        edge = F.broadcast(top.unionByName(seen).agg(F.max("top").alias("edge")))  # one row
+        rows = batch.join(edge).withColumn("late", F.col("ts") < F.col("edge") - seconds).drop("edge")
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        top.write.mode("overwrite").parquet(f"{path}/tops/{n}")
+
+    events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rows = spark.read.schema(_with_late(events)).parquet(f"{path}/rows")
+    return rows.where("NOT late").drop("late"), rows.where("late").drop("late")
+
+
+def _with_late(events: DataFrame) -> str:
+    return ", ".join(f"`{n}` {k}" for n, k in [*events.dtypes, ("late", "boolean")])
+
+
+def upserted(events: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """The newest row of every key over all batches: each batch is merged into a table of its own version."""
+    spark, path = events.sparkSession, _home(events.sparkSession)
+    order = Window.partitionBy(*keys).orderBy(F.desc(newest))
+    last = {"n": -1}
+
+    def write(batch: DataFrame, n: int) -> None:
+        old = spark.read.schema(batch.schema).parquet(f"{path}/v{last['n']}") if last["n"] >= 0 else batch.limit(0)
+        rows = old.unionByName(batch).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        rows.write.mode("overwrite").parquet(f"{path}/v{n}")
+        last["n"] = n
+
+    events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{path}/v{last['n']}") if last["n"] >= 0 else spark.createDataFrame([], events.schema)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run ``stream`` over all that is there now and read its result.
 
@@ -49,8 +138,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     of our own only where it is unset).  ``complete`` replaces the result a batch.
     """
     spark = stream.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronoflux-")
-    path = f"{home}/stream-{uuid.uuid4().hex}"
+    path = _home(spark)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "complete":
         writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows"))
