@@ -65,16 +65,32 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(_raw(text), lambda t: F.lower(t)))
 
 
+def _any_valid(kind: str, matches: Column) -> Column:
+    return F.exists(matches, lambda m: valid(kind, m))
+
+
+def protected(text: Column) -> Column:
+    """Whether a text holds personal data."""
+    some = F.lit(False)
+    for k in KINDS:
+        some = some | _any_valid(k, _matches(k, text))
+    return some
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, copy, found, terms)``: matches per kind with the lengths between them.
+    """``(row, doc_id, copy, found, terms, text)``: matches per kind with the lengths between them.
 
-    One pass over whole texts; ``terms`` is null where nothing matches.
+    One pass over whole texts; ``terms`` and ``text`` are null where there is no
+    personal data, so what follows moves no other text.
     """
     docs = common.documents(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.unhex(F.md5("text")))
     rows = docs.select("*", *[_matches(k, F.col("text")).alias(k) for k in KINDS])
     of = lambda n, k: F.struct(F.lit(n).alias("kind"), F.col(k).alias("m"), F.when(F.size(k) > 0, _lengths(F.col("text"), PATTERNS[k])).alias("g"))
     found = F.filter(F.array(*[of(n, k) for n, k in enumerate(KINDS)]), lambda x: F.size(x["m"]) > 0)
-    return rows.select("row", "doc_id", "copy", found.alias("found"), F.when(F.size(found) > 0, terms(F.col("text"))).alias("terms"))
+    some = F.lit(False)
+    for k in KINDS:
+        some = some | _any_valid(k, F.col(k))
+    return rows.select("row", "doc_id", "copy", found.alias("found"), F.when(some, terms(F.col("text"))).alias("terms"), F.when(some, F.col("text")).alias("text"))
 
 
 def _placed(rows: DataFrame, keys: list[str], m: Column, g: Column) -> DataFrame:
@@ -169,13 +185,13 @@ def report(docs: DataFrame, **options: float) -> DataFrame:
     its entity, are of kind ``term`` and come last.
     """
     scan, found, told = disclosing(docs, **options)
-    texts = common.documents(docs).withColumn("copy", F.unhex(F.md5("text"))).join(told, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    texts = scan.where("text IS NOT NULL").select("row", "doc_id", "copy", "text").join(told, ["doc_id", "copy"])
     texts = texts.withColumn("pattern", _pattern(F.col("text"), F.concat("drop", "mask")))
-    matched = texts.select("doc_id", "copy", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("m"), _lengths(F.col("text"), F.col("pattern")).alias("g"))
-    added = _placed(matched, ["doc_id", "copy"], F.col("m"), F.col("g")).where(~F.contains("y", F.lit("@"))).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "s", "e"))).alias("added"))
+    matched = texts.select("row", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("m"), _lengths(F.col("text"), F.col("pattern")).alias("g"))
+    added = _placed(matched, ["row"], F.col("m"), F.col("g")).where(~F.contains("y", F.lit("@"))).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "s", "e"))).alias("added"))
     base = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "s", "e"))).alias("base"), *[F.count_if(F.col("kind") == n).alias(f"n_{k}") for n, k in enumerate(KINDS)])
     none, zero = F.array().cast("array<struct<kind:int,s:bigint,e:bigint>>"), F.lit(0).cast("long")
-    rows = scan.select("row", "doc_id", "copy").join(base, "row", "left").join(added, ["doc_id", "copy"], "left")
+    rows = scan.select("row", "doc_id", "copy").join(base, "row", "left").join(added, "row", "left")
     rows = rows.withColumn("base", F.coalesce("base", none)).withColumn("added", F.coalesce("added", none))
     name = F.array(*[F.lit(k) for k in [*KINDS, "term"]])
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["s"], x["e"])), ",")
@@ -196,7 +212,9 @@ def sanitised(docs: DataFrame, **options: float) -> DataFrame:
     """
     _, _, told = disclosing(docs, **options)
     rows = common.whole_rows(docs)
-    joined = rows.join(told, ["doc_id", "copy"], "left").select("_row", "text", "drop", "mask")
+    some = protected(F.col("text"))
+    rest = rows.where(~some).select("_row", "text")  # a map: only texts with personal data are moved
+    joined = rows.where(some).join(told, ["doc_id", "copy"], "left").select("_row", "text", "drop", "mask")
 
     def replacing(kind: str) -> Callable[[Column, Column], Column]:
         return lambda a, m: F.concat(a, F.when(valid(kind, m), F.lit(f"<{kind.upper()}>")).otherwise(m))
@@ -210,4 +228,4 @@ def sanitised(docs: DataFrame, **options: float) -> DataFrame:
         those = _those(F.col("text"), F.col(column))
         pattern = F.concat(F.lit(r"(?<![<\p{L}])(?:"), those, F.lit(r")(?!\p{L})"))
         joined = joined.withColumn("text", F.when(F.size(column) > 0, F.when(those != "", F.regexp_replace(F.col("text"), pattern, F.lit(instead))).otherwise(F.col("text"))).otherwise(F.col("text")))
-    return joined.select(common.with_text(docs))
+    return joined.select("_row", "text").unionByName(rest).select(common.with_text(docs))
