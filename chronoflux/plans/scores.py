@@ -143,7 +143,7 @@ _add("r10_select_spaced", lambda s, d: scores.select_spaced(t.onsets(s, d).selec
 _add(
     "r11_cut_intervals",
     lambda s, d: scores.cut_intervals(_kind(s, d, "purchase").select("track_id", "id", "t"), t.pulses(s, d).where("beat_in_bar = 1").select("track_id", "t"), t.onsets(s, d).groupBy("track_id").agg((F.max("t") + 1).alias("duration")), 0.4),
-    "WITH tr AS (SELECT track_id, max(t) + 1 AS e FROM onsets GROUP BY ALL), b AS (SELECT track_id, t FROM pulses WHERE beat_in_bar = 1), x AS (SELECT track_id, t FROM onsets o WHERE kind = 'purchase' AND t >= 0.4 AND id NOT IN (SELECT p.id FROM onsets p JOIN b ON b.track_id = p.track_id AND abs(b.t - p.t) < 0.4)), u AS (SELECT track_id, t, min(o) AS o FROM (SELECT track_id, 0.0::DOUBLE AS t, 0 AS o FROM tr UNION ALL SELECT track_id, t, 1 FROM b UNION ALL SELECT track_id, t, 2 FROM x) GROUP BY ALL) SELECT u.track_id, t AS t0, coalesce(lead(t) OVER (PARTITION BY u.track_id ORDER BY t), e) AS t1, ['start', 'boundary', 'onset'][o + 1] AS kind FROM u JOIN tr ON u.track_id = tr.track_id",
+    "WITH tr AS (SELECT track_id, max(t) + 1 AS e FROM onsets GROUP BY ALL), b AS MATERIALIZED (SELECT track_id, t FROM pulses WHERE beat_in_bar = 1), x AS MATERIALIZED (SELECT track_id, t FROM onsets o WHERE kind = 'purchase' AND t >= 0.4 AND id NOT IN (SELECT p.id FROM onsets p JOIN b ON b.track_id = p.track_id AND abs(b.t - p.t) < 0.4)), u AS (SELECT track_id, t, min(o) AS o FROM (SELECT track_id, 0.0::DOUBLE AS t, 0 AS o FROM tr UNION ALL SELECT track_id, t, 1 FROM b UNION ALL SELECT track_id, t, 2 FROM x) GROUP BY ALL) SELECT u.track_id, t AS t0, coalesce(lead(t) OVER (PARTITION BY u.track_id ORDER BY t), e) AS t1, ['start', 'boundary', 'onset'][o + 1] AS kind FROM u JOIN tr ON u.track_id = tr.track_id",
 )
 _add("r14_top_support_precision", lambda s, d: scores.top_support_precision(t.onsets(s, d).withColumn("relevance", F.col("mid")), "low", 10), "WITH r AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY mid DESC, id) AS a, row_number() OVER (PARTITION BY track_id ORDER BY low DESC, id) AS b FROM onsets) SELECT track_id, floor(count(*) FILTER (a <= 10 AND b <= 10) * 10000 / least(count(*), 10) + 0.5) / 10000 AS precision FROM r GROUP BY track_id")
 _add("r15_macro", lambda s, d: _r(scores.macro(_prf(s, d), "f1"), "mean"), f"WITH {PAIRS}, {PRF} SELECT round(avg(f1), 6) AS mean, count(f1) AS n FROM pf")
