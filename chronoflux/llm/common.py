@@ -139,3 +139,17 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[pa.Tab
 def sorted_groups(df: DataFrame, key: str) -> DataFrame:
     """Rows of a group in one partition, next to each other."""
     return df.repartition(key).sortWithinPartitions(key)
+
+
+def looked_up(big: DataFrame, small: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``big`` joined to ``small``, of one row a key and in ``weight`` the rows of ``big`` with it.
+
+    A key that holds over a thousandth of all rows is hot: no more than 1,000 are, so
+    they are broadcast and none is shuffled to one task.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    hot = small.where((F.col(weight) * 1000 > total) & (F.col(weight) > 1000))
+    if not hot.head(1):
+        return big.join(small, keys)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bwt, knn, lm, mixing, packing, pii, quality, simhash, substring
+from . import ann, bwt, flatgraph, knn, lm, mixing, packing, pii, quality, simhash, substring, trie, variants
 
 QUERIES = {
     "op6_quality": quality.op6_quality,
@@ -15,5 +15,8 @@ QUERIES = {
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op3_simhash": simhash.op3_simhash,
     "op8_packing": packing.op8_packing,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_embedding_near_duplicates": flatgraph.op12_embedding_near_duplicates,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op11_spelling_variants": variants.ORACLE, "op12_embedding_near_duplicates": flatgraph.ORACLE, "op13_prefix_trie": trie.ORACLE}
