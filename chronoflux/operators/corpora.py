@@ -5,10 +5,13 @@ Rules give ``track_id, rule, detail`` rows for what they find; a clean table giv
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins
+from .folds import fold
 
 
 def marker_hash(charts: DataFrame) -> DataFrame:
@@ -76,24 +79,32 @@ def weak_labels(onsets: DataFrame, hits: DataFrame, charts: DataFrame) -> DataFr
 def capped_preference_pairs(labels: DataFrame, near: float = 4.0, least: float = 0.34, most: int = 8) -> DataFrame:
     """``track_id, better, worse, margin``: pairs within ``near``, greatest margins first, ``most`` an event.
 
-    ``labels(track_id, id, t, rate)``.  Order: margin, then closeness, then ids; a pair is
-    taken while both its events have room.  The fold runs over the pairs of an island of
-    events no further apart than ``near``.
+    ``labels(track_id, id, t, rate)``; with a column ``segment`` also pairs further apart in one
+    segment (null is none).  Order: margin, then closeness, then ids; a pair is taken
+    while both its events have room.  One pass over the pairs of an island of events no
+    further apart than ``near`` or in one segment counts what each event has.
     """
     w = Window.partitionBy("track_id").orderBy("t", "id")
-    isle = labels.select("track_id", "id", F.sum(F.when(F.col("t") - F.lag("t").over(w) <= near, 0).otherwise(1)).over(w).alias("island"))
+    together = F.col("t") - F.lag("t").over(w) <= near
     own = labels.select("track_id", "id", "rate")
-    pairs = joins.band(labels, labels, near).join(own, ["track_id", "id"]).join(own.select("track_id", F.col("id").alias("other_id"), F.col("rate").alias("other")), ["track_id", "other_id"])
+    pairs = joins.band(labels.select("track_id", "id", "t"), labels.select("track_id", "id", "t"), near).select("track_id", "id", "t", "other_id", "other_t")
+    if "segment" in labels.columns:
+        together = together | F.coalesce(F.col("segment") == F.lag("segment").over(w), F.lit(False))
+        other = labels.select("track_id", "segment", F.col("id").alias("other_id"), F.col("t").alias("other_t"))
+        pairs = pairs.unionByName(labels.join(other, ["track_id", "segment"]).select("track_id", "id", "t", "other_id", "other_t").where(F.abs(F.col("t") - F.col("other_t")) > near))
+    isle = labels.select("track_id", "id", F.sum(F.when(together, 0).otherwise(1)).over(w).alias("island"))
+    pairs = pairs.join(own, ["track_id", "id"]).join(own.select("track_id", F.col("id").alias("other_id"), F.col("rate").alias("other")), ["track_id", "other_id"])
     pairs = pairs.withColumn("margin", F.round(F.col("rate") - F.col("other"), 6)).where(F.col("margin") >= least).join(isle, ["track_id", "id"])
-    item = F.struct((-F.col("margin")).alias("m"), F.abs(F.col("t") - F.col("other_t")).alias("d"), F.col("id").cast("long").alias("a"), F.col("other_id").cast("long").alias("b"))
-    lists = pairs.groupBy("track_id", "island").agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    rows = pairs.select("track_id", "island", F.col("id").cast("long").alias("a"), F.col("other_id").cast("long").alias("b"), "margin", F.abs(F.col("t") - F.col("other_t")).alias("d"))
 
-    def step(kept: Column, x: Column) -> Column:
-        room = lambda e: F.size(F.filter(kept, lambda k: (k["a"] == e) | (k["b"] == e))) < most
-        return F.when(room(x["a"]) & room(x["b"]), F.concat(kept, F.array(x))).otherwise(kept)
+    def step(taken: Counter, a: int, b: int, margin: float, _: float) -> list[tuple]:
+        if taken[a] >= most or taken[b] >= most:
+            return []
+        taken[a] += 1
+        taken[b] += 1
+        return [(a, b, margin)]
 
-    rows = lists.select("track_id", F.inline(F.aggregate("xs", F.array().cast("array<struct<m:double,d:double,a:bigint,b:bigint>>"), step)))
-    return rows.select("track_id", F.col("a").alias("better"), F.col("b").alias("worse"), (-F.col("m")).alias("margin"))
+    return fold(rows, ["track_id", "island"], [F.desc("margin"), "d", "a", "b"], "better long, worse long, margin double", Counter, step).drop("island")
 
 
 def stratified_split(rows: DataFrame, key: str, strata: list[str], density: str, salt: str, frozen: DataFrame | None = None, test: float = 0.15, validation: float = 0.15) -> DataFrame:

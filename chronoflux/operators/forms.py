@@ -6,12 +6,14 @@ Null and non-finite values count as 0; a track without rows gives none.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoflux.functions.columns import clip
 
 from . import joins
+from .folds import fold
 
 
 def _fine(x: Column) -> Column:
@@ -86,12 +88,12 @@ def combined(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     return near.groupBy("track_id", "i", "j").agg(F.percentile("sim", F.lit(0.5)).alias("sim"))
 
 
-def boundary_candidates(novelty: DataFrame, apart: int = 4, radius: int = 2, factor: float = 1.25, flat: float = 0.25) -> DataFrame:
+def boundary_candidates(novelty: DataFrame, apart: int = 4, radius: int = 2, factor: float = 1.25, flat: float = 0.25, driven: DataFrame | None = None) -> DataFrame:
     """``track_id, bar, novelty``: strict maxima within ``radius`` above the bed of the curve, ``apart`` bars from the one kept before.
 
     The bed is what is at most the median (all, if under four); the floor its median
-    plus ``factor`` MAD, or plus ``flat`` if that is 0.  The earlier of two near ones stays:
-    a fold over the few maxima of a track.
+    plus ``factor`` MAD, or plus ``flat`` if that is 0.  The earlier of two near ones stays;
+    maxima that are not in ``driven(track_id, bar)``, if given, count for neither.
     """
     med = novelty.groupBy("track_id").agg(F.percentile("novelty", F.lit(0.5)).alias("m"))
     rows = novelty.join(med, "track_id")
@@ -102,9 +104,15 @@ def boundary_candidates(novelty: DataFrame, apart: int = 4, radius: int = 2, fac
     w = Window.partitionBy("track_id").orderBy("bar")
     top = F.greatest(F.coalesce(F.max("novelty").over(w.rangeBetween(-radius, -1)), F.lit(-1e9)), F.coalesce(F.max("novelty").over(w.rangeBetween(1, radius)), F.lit(-1e9)))
     tops = novelty.withColumn("top", top).join(mad.select("track_id", floor.alias("floor")), "track_id").where((F.col("novelty") >= F.col("floor")) & (F.col("novelty") > F.col("top")))
-    lists = tops.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct(F.col("bar").cast("long").alias("bar"), "novelty"))).alias("xs"))
-    step = lambda kept, x: F.when(x["bar"] - F.element_at(kept, -1)["bar"] < apart, kept).otherwise(F.concat(kept, F.array(x)))
-    return lists.select("track_id", F.inline(F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), F.slice("xs", 1, 1), step)))
+    tops = tops if driven is None else tops.join(driven, ["track_id", "bar"], "left_semi")
+
+    def step(last: list, bar: int, x: float) -> list[tuple]:
+        if last[0] is not None and bar - last[0] < apart:
+            return []
+        last[0] = bar
+        return [(bar, x)]
+
+    return fold(tops.select("track_id", F.col("bar").cast("long").alias("bar"), F.col("novelty").cast("double").alias("novelty")), ["track_id"], ["bar"], "bar long, novelty double", lambda: [None], step)
 
 
 def segments_from_cuts(cuts: DataFrame, bars: DataFrame) -> DataFrame:
@@ -118,29 +126,152 @@ def segments_from_cuts(cuts: DataFrame, bars: DataFrame) -> DataFrame:
 def segment_dp(costs: DataFrame, bars: DataFrame) -> DataFrame:
     """``track_id, start_bar, end_bar``: the cheapest tiling of bars 1 to ``bars`` by ``costs(track_id, a, b, cost)``.
 
-    Of equal costs the one with fewer segments counts.  A fold over a track's cuts in
-    order of their ends keeps the best way to each; a track that cannot be tiled is one
-    segment.
+    Of equal costs (nine decimals) the one with fewer segments counts, then the later
+    last start.  One pass over a track's ends keeps the best cost to each and gives it a
+    back link, a second one backwards reads the cuts off; a track that cannot be tiled is
+    one segment.
     """
-    edges = costs.groupBy("track_id", "b").agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("cost").cast("double").alias("cost"))).alias("from"))
-    lists = edges.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct(F.col("b").cast("long").alias("b"), "from"))).alias("xs")).join(bars, "track_id")
-    start = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("cost"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("path")))
+    rows = costs.select("track_id", F.col("b").cast("long").alias("b"), F.col("a").cast("long").alias("a"), F.col("cost").cast("double").alias("cost"))
+    edges = rows.groupBy("track_id", "b").agg(F.collect_list(F.struct("a", "cost")).alias("edges"))
+
+    def forward(ways: dict, b: int, edges: list) -> list[tuple]:
+        options = [(round(ways[e["a"] - 1][0] + e["cost"], 9), ways[e["a"] - 1][1] + 1, -e["a"]) for e in edges if e["a"] - 1 in ways]
+        if not options:
+            return []
+        cost, n, a = min(options)
+        ways[b] = (cost, n)
+        return [(b, -a)]
+
+    linked = fold(edges, ["track_id"], ["b"], "b long, a long", lambda: {0: (0.0, 0)}, forward)
+
+    def backward(at: list, b: int, a: int | None, bars: int) -> list[tuple]:
+        at[0] = bars if at[0] is None else at[0]
+        if b == bars and a is None:  # the last bar is no end: one segment
+            at[0] = -1
+            return [(1, bars)]
+        if b != at[0]:
+            return []
+        at[0] = a - 1
+        return [(a, b)]
+
+    ends = bars.select("track_id", F.col("bars").cast("long").alias("bars"))
+    every = linked.join(ends, "track_id").where("b <= bars").select("track_id", "b", "a", "bars")
+    lost = ends.join(linked.select("track_id", F.col("b").alias("bars")), ["track_id", "bars"], "left_anti").select("track_id", F.col("bars").alias("b"), F.lit(None).cast("long").alias("a"), "bars")
+    return fold(every.unionByName(lost), ["track_id"], [F.desc("b")], "start_bar long, end_bar long", lambda: [None], backward)
+
 
-    def step(ways: Column, x: Column) -> Column:
-        def extend(e: Column) -> Column:
-            w = F.element_at(F.filter(ways, lambda w: w["at"] == e["a"] - 1), 1)
-            return F.struct(F.round(w["cost"] + e["cost"], 9).alias("cost"), (w["n"] + 1).alias("n"), F.concat(w["path"], F.array(x["b"])).alias("path"))
+#: Fixed values of a segment's cost: weights of variance, length and weak boundary, the boundary's reward, bars at least and at most, preferred lengths.
+VARIANCE, LENGTH, WEAK, REWARD, FEWEST, MOST, PREFERRED = 0.55, 0.25, 0.20, 0.30, 4, 32, (4, 8, 12, 16)
 
-        open_ends = F.filter(x["from"], lambda e: F.exists(ways, lambda w: w["at"] == e["a"] - 1))
-        best = F.array_min(F.transform(open_ends, extend))
-        new = F.array(F.struct(x["b"].alias("at"), best["cost"].alias("cost"), best["n"].alias("n"), best["path"].alias("path")))
-        return F.when(F.size(open_ends) > 0, F.concat(ways, new)).otherwise(ways)
 
-    ways = F.aggregate("xs", start, step)
-    path = F.element_at(F.filter(ways, lambda w: w["at"] == F.col("bars")), 1)["path"]
-    whole = F.array(F.lit(0).cast("long"), F.col("bars").cast("long"))
-    rows = lists.select("track_id", F.when(F.exists(ways, lambda w: w["at"] == F.col("bars")), path).otherwise(whole).alias("p"))
-    return rows.select("track_id", F.inline(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.struct((a + 1).alias("start_bar"), b.alias("end_bar")))))
+def block_sums(similar: DataFrame, most: int = MOST) -> DataFrame:
+    """``track_id, a, b, total``: sum of all similarities among bars a to b, at most ``most`` bars.
+
+    ``similar(track_id, i, j, sim)`` with i <= j less than ``most`` apart, the diagonal in.  Two
+    running sums make the two-dimensional prefix of the band: up each column from the
+    diagonal, and then along each row of those; a block is one entry of it.
+    """
+    band = similar.where((F.col("i") <= F.col("j")) & (F.col("j") - F.col("i") < most))
+    column = F.sum("sim").over(Window.partitionBy("track_id", "j").orderBy(F.desc("i")))
+    own = F.when(F.col("i") == F.col("j"), F.col("sim")).otherwise(F.lit(None))
+    diagonal = F.first(own, ignorenulls=True).over(Window.partitionBy("track_id", "j").orderBy(F.desc("i")))
+    rows = band.withColumn("up", 2 * column - diagonal)
+    along = F.sum("up").over(Window.partitionBy("track_id", "i").orderBy("j"))
+    return rows.select("track_id", F.col("i").alias("a"), F.col("j").alias("b"), along.alias("total"))
+
+
+def segment_costs(similar: DataFrame, candidates: DataFrame, bars: DataFrame) -> DataFrame:
+    """``track_id, a, b, cost`` of every span of ``FEWEST`` to ``MOST`` bars between candidates, the first and the last bar.
+
+    ``candidates(track_id, bar, novelty)`` are starts of segments (bar from 2 on).  A cost is
+    ``VARIANCE`` * mean dissimilarity of its pairs of bars, ``LENGTH`` * distance from the
+    nearest preferred length, and, unless it ends the track, ``WEAK`` * (1 - novelty) less
+    ``REWARD`` * novelty of the boundary behind it.
+    """
+    cuts = candidates.select("track_id", F.col("bar").cast("long").alias("bar"), "novelty")
+    starts = cuts.select("track_id", F.col("bar").alias("a")).unionByName(bars.select("track_id", F.lit(1).cast("long").alias("a"))).distinct()
+    ends = cuts.select("track_id", (F.col("bar") - 1).alias("b"), F.col("novelty").alias("v")).unionByName(bars.select("track_id", F.col("bars").cast("long").alias("b"), F.lit(None).cast("double").alias("v")))
+    spans = starts.select("track_id", "a", F.explode(F.sequence(F.col("a") + FEWEST - 1, F.col("a") + MOST - 1)).alias("b")).join(ends, ["track_id", "b"])
+    rows = spans.join(block_sums(similar), ["track_id", "a", "b"])
+    n = F.col("b") - F.col("a") + 1
+    variance = clip(1 - (F.col("total") - n) / (n * (n - 1)))
+    length = F.least(*[F.abs(n - p) / F.lit(float(p)) for p in PREFERRED])
+    edge = F.coalesce(WEAK * (1 - F.col("v")) - REWARD * F.col("v"), F.lit(0.0))
+    return rows.select("track_id", "a", "b", (VARIANCE * variance + LENGTH * length + edge).alias("cost"))
+
+
+def similar_within(view: DataFrame, reach: int) -> DataFrame:
+    """``track_id, i, j, sim``: cosine (0 to 1) of bars i <= j at most ``reach`` apart, 1 on the diagonal.
+
+    A bar meets the ``reach`` bars behind it, a row of arrays each, so rows grow with bars
+    times reach and not with the square of a track.
+    """
+    bars = view.groupBy("track_id", "bar").agg(F.map_from_entries(F.collect_list(F.struct("col", _fine(F.col("x")).alias("x")))).alias("v"))
+    left = bars.select("track_id", F.col("bar").alias("i"), F.col("v").alias("a"), F.explode(F.sequence(F.col("bar"), F.col("bar") + reach)).alias("bar"))
+    both = left.join(bars, ["track_id", "bar"])
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    norm = lambda c: F.sqrt(total(F.transform(F.map_values(c), lambda x: x * x)))
+    dot = total(F.transform(F.map_entries("a"), lambda e: e["value"] * F.coalesce(F.try_element_at(F.col("v"), e["key"]), F.lit(0.0))))
+    size = norm("a") * norm("v")
+    sim = F.when(F.col("i") == F.col("bar"), 1.0).otherwise(clip(F.coalesce(F.try_divide(dot, size), F.lit(0.0))))
+    return both.select("track_id", "i", F.col("bar").alias("j"), sim.alias("sim"))
+
+
+def checkerboard(similar: DataFrame, bars: DataFrame, kernel: int) -> DataFrame:
+    """``track_id, bar, novelty``: mean similarity within half a kernel before and behind a cut less that across it.
+
+    The cut is before ``bar``; cuts too near an end have none.  ``similar`` is the band of
+    ``similar_within``; each pair counts in the cuts that reach it.
+    """
+    half = kernel // 2
+    near = similar.where(F.col("j") - F.col("i") < kernel)
+    cut = near.select("track_id", "i", "j", "sim", F.explode(F.sequence(F.col("j") - half + 1, F.col("i") + half)).alias("bar"))
+    times = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    side = F.when(F.col("j") < F.col("bar"), 1).when(F.col("i") >= F.col("bar"), 2).otherwise(0)
+    part = lambda s, w: F.coalesce(F.sum(F.when(side == s, F.col("sim") * w)), F.lit(0.0)) / (half * half)
+    rows = cut.groupBy("track_id", "bar").agg(((part(1, times) + part(2, times)) / 2 - part(0, F.lit(1.0))).alias("novelty"))
+    return rows.join(bars, "track_id").where((F.col("bar") - 1 >= half) & (F.col("bar") - 1 <= F.col("bars") - half)).select("track_id", "bar", "novelty")
+
+
+def scaled(curve: DataFrame) -> DataFrame:
+    """A curve from 0 to 1 by track; a flat one is 0."""
+    w = Window.partitionBy("track_id")
+    low, high = F.min("novelty").over(w), F.max("novelty").over(w)
+    return curve.select("track_id", "bar", F.when(high - low < 1e-12, 0.0).otherwise((F.col("novelty") - low) / (high - low)).alias("novelty"))
+
+
+def view_boundaries(views: dict[str, DataFrame], bars: DataFrame, weights: dict[str, float], kernels: tuple[int, int] = (4, 8), least: float = 0.2, edge: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The band of combined similarities, and boundaries ``track_id, bar, novelty, drivers``.
+
+    Views are combined by weight; each kernel's curve over the combined band is scaled
+    where the largest kernel fits, and their mean is the novelty.  A boundary is one of
+    ``boundary_candidates`` at least ``edge`` bars from both ends at which the raw curve of
+    the first kernel of some view reaches ``least``; ``drivers`` maps each view to its scaled
+    curve there.
+    """
+    reach, half = MOST, max(kernels) // 2
+    bands = {name: similar_within(view, reach) for name, view in views.items()}
+    union = None
+    for name, band in bands.items():
+        own = band.withColumn("view", F.lit(name))
+        union = own if union is None else union.unionByName(own)
+    band = combined(union, weights)
+    inside = lambda rows: rows.join(bars, "track_id").where((F.col("bar") - 1 >= half) & (F.col("bar") - 1 <= F.col("bars") - half)).drop("bars")
+    curves = None
+    for k in kernels:
+        own = scaled(inside(checkerboard(band, bars, k)))
+        curves = own if curves is None else curves.unionByName(own)
+    mean = curves.groupBy("track_id", "bar").agg((F.sum("novelty") / len(kernels)).alias("novelty"))
+    mean = mean.join(bars, "track_id").where((F.col("bar") - 1 >= edge) & (F.col("bar") - 1 <= F.col("bars") - edge)).drop("bars")
+    drivers = None
+    for name, own in bands.items():
+        raw = inside(checkerboard(own, bars, kernels[0]))
+        own = raw.join(scaled(raw).withColumnRenamed("novelty", "scaled"), ["track_id", "bar"]).withColumn("view", F.lit(name))
+        drivers = own if drivers is None else drivers.unionByName(own)
+    strong = drivers.groupBy("track_id", "bar").agg(F.max("novelty").alias("top"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", F.round("scaled", 4).alias("scaled"))))).alias("drivers"))
+    found = boundary_candidates(mean, driven=strong.where(F.col("top") >= least).select("track_id", "bar"))
+    found = found.join(strong, ["track_id", "bar"]).select("track_id", "bar", F.round("novelty", 4).alias("novelty"), "drivers")
+    return band, found
 
 
 def segment_similarity(segments: DataFrame, view: DataFrame, positions: int = 8) -> DataFrame:
@@ -167,25 +298,23 @@ def segment_similarity(segments: DataFrame, view: DataFrame, positions: int = 8)
 def assign_families(segments: DataFrame, similar: DataFrame, join: float = 0.82, variant: float = 0.88) -> DataFrame:
     """``track_id, n, family, variant`` in order: a break is of family 0, others join the most alike family by its first member, or found one.
 
-    ``segments(track_id, n, break_like)``; families count from 1.  A fold over a track's
-    segments with the similarities of each to the earlier ones.
+    ``segments(track_id, n, break_like)``; families count from 1.  One pass over a track's
+    segments with the families' first members as its state: linear in the similarities.
     """
     to = similar.groupBy("track_id", F.col("b").alias("n")).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), "sim")).alias("sims"))
-    rows = segments.join(to, ["track_id", "n"], "left")
-    lists = rows.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "break_like", "sims"))).alias("xs"))
-    kind = "array<struct<n:bigint,family:int,variant:int,first:boolean>>"
+    rows = segments.join(to, ["track_id", "n"], "left").select("track_id", F.col("n").cast("long").alias("n"), "break_like", "sims")
 
-    def step(done: Column, x: Column) -> Column:
-        heads = F.filter(done, lambda y: y["first"] & (y["family"] > 0))
-        sims = F.coalesce(x["sims"], F.array().cast("array<struct<a:bigint,sim:double>>"))
-        scored = F.transform(heads, lambda h: F.struct((-F.coalesce(F.element_at(F.filter(sims, lambda s: s["a"] == h["n"]), 1)["sim"], F.lit(0.0))).alias("s"), h["family"].alias("family")))
-        best = F.array_min(scored)
-        joins_it = F.size(heads) > 0
-        joins_it = joins_it & (-best["s"] >= join)
-        own = (F.struct(x["n"].alias("n"), F.lit(0).alias("family"), F.lit(0).alias("variant"), F.lit(False).alias("first")), F.struct(x["n"].alias("n"), best["family"].alias("family"), (-best["s"] < variant).cast("int").alias("variant"), F.lit(False).alias("first")), F.struct(x["n"].alias("n"), (F.size(heads) + 1).alias("family"), F.lit(0).alias("variant"), F.lit(True).alias("first")))
-        return F.concat(done, F.array(F.when(x["break_like"], own[0]).when(joins_it, own[1]).otherwise(own[2])))
+    def step(heads: dict, n: int, broken: bool | None, sims: list | None) -> list[tuple]:
+        if broken:
+            return [(n, 0, 0)]
+        options = [(-s["sim"], heads[s["a"]]) for s in sims or () if s["a"] in heads]
+        best, family = min([*options, *([(0.0, 1)] if heads else [])], default=(1.0, 0))
+        if -best >= join:
+            return [(n, family, int(-best < variant))]
+        heads[n] = len(heads) + 1
+        return [(n, heads[n], 0)]
 
-    return lists.select("track_id", F.inline(F.aggregate("xs", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("family"), F.lit(0).alias("variant"), F.lit(False).alias("first"))), lambda x: x["n"] > 0).cast(kind), step))).drop("first")
+    return fold(rows, ["track_id"], ["n"], "n long, family int, variant int", dict, step)
 
 
 def descriptors(segments: DataFrame, bars: DataFrame, longest: int = 6) -> DataFrame:
@@ -228,21 +357,21 @@ def bar_groups(vectors: DataFrame, least: float = 0.86, keep: float = 0.8) -> Da
     """``track_id, bar, group``: each bar joins the group whose centroid is most alike (cosine of ``least`` or more), else founds one.
 
     A centroid moves to ``keep`` of itself and the rest of the bar.  ``vectors(track_id, bar, v
-    array<double>)``; a fold over a track's bars with as many centroids as groups.
+    array<double>)``; one pass over a track's bars, with as many centroids as groups.
     """
-    lists = vectors.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct(F.col("bar").cast("long").alias("bar"), "v"))).alias("xs"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    start = F.struct(F.array().cast("array<array<double>>").alias("c"), F.array().cast("array<struct<bar:bigint,group:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        cosine = lambda c: dot(c, x["v"]) / F.greatest(F.sqrt(dot(c, c) * dot(x["v"], x["v"])), F.lit(1e-12))
-        best = F.array_min(F.transform(s["c"], lambda c, i: F.struct((-F.round(cosine(c), 9)).alias("s"), i.alias("i"))))
-        fits = (F.size(s["c"]) > 0) & (F.coalesce(-best["s"], F.lit(-1.0)) >= least)
-        moved = F.transform(s["c"], lambda c, i: F.when(i == best["i"], F.zip_with(c, x["v"], lambda p, q: p * keep + q * (1 - keep))).otherwise(c))
-        group = F.when(fits, best["i"] + 1).otherwise(F.size(s["c"]) + 1)
-        return F.struct(F.when(fits, moved).otherwise(F.concat(s["c"], F.array(x["v"]))).alias("c"), F.concat(s["out"], F.array(F.struct(x["bar"].alias("bar"), group.cast("int").alias("group")))).alias("out"))
-
-    return lists.select("track_id", F.inline(F.aggregate("xs", start, step, lambda s: s["out"])))
+    def step(centres: list, bar: int, v: list[float]) -> list[tuple]:
+        x = np.asarray(v, float)
+        if centres:
+            c = np.stack(centres)
+            cosine = np.round(c @ x / np.maximum(np.sqrt((c * c).sum(1) * (x @ x)), 1e-12), 9)
+            k = int(cosine.argmax())
+            if cosine[k] >= least:
+                centres[k] = centres[k] * keep + x * (1 - keep)
+                return [(bar, k + 1)]
+        centres.append(x)
+        return [(bar, len(centres))]
+
+    return fold(vectors.select("track_id", F.col("bar").cast("long").alias("bar"), "v"), ["track_id"], ["bar"], "bar long, group int", list, step)
 
 
 def band_energy(spectrum: DataFrame, rate: float = 32000.0) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins
+from .folds import fold
 
 
 def _islands(rows: DataFrame, gap: float, *order: str) -> DataFrame:
@@ -21,41 +24,49 @@ def match(reference: DataFrame, estimate: DataFrame, tol: float, by: str = "dist
     later / earlier: each reference in order of time takes the nearest that is
     left, and of two as near the later / earlier.  All three are one pass over sorted
     candidates that takes a pair if both are free; it runs inside an island of rows no
-    further apart than ``tol``, so a fold holds an island's candidates and no track.
+    further apart than ``tol``, keeps the ids taken, and is linear in the candidates.
     """
     rows = reference.select("track_id", "id", "t", F.lit(0).alias("side")).unionByName(estimate.select("track_id", "id", "t", F.lit(1).alias("side")))
     island = _islands(rows, tol, "side", "id").where("side = 0").select("track_id", "id", "island")
     pairs = joins.band(reference, estimate, tol).withColumn("d", F.abs(F.col("t") - F.col("other_t")))
     order = {"distance": ["d", "t", "id", "other_t", "other_id"], "earlier": ["t", "id", "d", "other_t", "other_id"], "later": ["t", "id", "d", "late", "other_id"]}[by]
-    pair = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in ("d", "t", "id", "other_t", "other_id") if c not in order])
-    lists = pairs.withColumn("late", -F.col("other_t")).join(island, ["track_id", "id"]).groupBy("track_id", "island").agg(F.array_sort(F.collect_list(pair)).alias("xs"))
-    got = F.struct("id", "other_id", "distance")
-    kind = reference.select(F.col("id"), F.col("id").alias("other_id"), F.lit(0.0).alias("distance")).select(got.alias("g")).schema["g"].dataType.simpleString()
+    rows = pairs.withColumn("late", -F.col("other_t")).join(island, ["track_id", "id"]).select("track_id", "island", "id", "other_id", "d", "t", "other_t", "late")
+    kinds = dict(rows.dtypes)
 
-    def step(taken: Column, x: Column) -> Column:
-        free = ~F.exists(taken, lambda y: (y["id"] == x["id"]) | (y["other_id"] == x["other_id"]))
-        return F.when(free, F.concat(taken, F.array(F.struct(x["id"].alias("id"), x["other_id"].alias("other_id"), x["d"].alias("distance"))))).otherwise(taken)
+    def step(taken: tuple[set, set], id_: object, other: object, d: float, *_: object) -> list[tuple]:
+        if id_ in taken[0] or other in taken[1]:
+            return []
+        taken[0].add(id_)
+        taken[1].add(other)
+        return [(id_, other, d)]
 
-    return lists.select("track_id", F.explode(F.aggregate("xs", F.array().cast(f"array<{kind}>"), step)).alias("m")).select("track_id", "m.*")
+    found = fold(rows, ["track_id", "island"], order, f"id {kinds['id']}, other_id {kinds['other_id']}, distance double", lambda: (set(), set()), step)
+    return found.drop("island")
 
 
 def suppress_close(peaks: DataFrame, apart: float) -> DataFrame:
     """``track_id, t, x`` of peaks kept: the highest first, unless within ``apart`` of one kept; ties: the later."""
-    lists = _islands(peaks, apart, "x").groupBy("track_id", "island").agg(F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("nx"), (-F.col("t")).alias("nt")))).alias("xs"))
-
-    def step(kept: Column, p: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: F.abs(k["nt"] - p["nt"]) <= apart), kept).otherwise(F.concat(kept, F.array(p)))
+    def step(kept: list[float], t: float, x: float) -> list[tuple]:
+        at = bisect_left(kept, t)
+        if any(abs(k - t) <= apart for k in kept[max(0, at - 1) : at + 1]):
+            return []
+        kept.insert(at, t)
+        return [(t, x)]
 
-    kept = F.aggregate("xs", F.array().cast("array<struct<nx:double,nt:double>>"), step)
-    return lists.select("track_id", F.explode(kept).alias("k")).select("track_id", (-F.col("k.nt")).alias("t"), (-F.col("k.nx")).alias("x"))
+    rows = _islands(peaks, apart, "x").select("track_id", "island", "t", "x")
+    return fold(rows, ["track_id", "island"], [F.desc("x"), F.desc("t")], "t double, x double", list, step).drop("island")
 
 
 def collapse_simultaneous(markers: DataFrame, tol: float) -> DataFrame:
     """``track_id, t``: markers later by more than ``tol`` than the last one kept."""
-    lists = _islands(markers, tol).groupBy("track_id", "island").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    step = lambda kept, t: F.when((F.size(kept) > 0) & (t - F.element_at(kept, -1) <= tol), kept).otherwise(F.concat(kept, F.array(t)))
-    first = F.slice("ts", 1, 1)
-    return lists.select("track_id", F.explode(F.aggregate(F.slice("ts", F.lit(2), F.size("ts")), first, step)).alias("t"))
+    def step(last: list, t: float) -> list[tuple]:
+        if last[0] is not None and t - last[0] <= tol:
+            return []
+        last[0] = t
+        return [(t,)]
+
+    rows = _islands(markers.select("track_id", "t"), tol).select("track_id", "island", "t")
+    return fold(rows, ["track_id", "island"], ["t"], "t double", lambda: [None], step).drop("island")
 
 
 def global_bpm(onsets: DataFrame) -> DataFrame:

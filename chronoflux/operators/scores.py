@@ -193,9 +193,12 @@ def ablated(features: DataFrame, dropped: list[str]) -> DataFrame:
     return features.where(~F.regexp_replace("feature", "_(missing|squared)$", "").isin(dropped))
 
 
-def score_trees(rows: DataFrame, model: dict) -> DataFrame:
+def score_trees(rows: DataFrame, model: dict, digits: int | None = 6) -> DataFrame:
     """``relevance`` = sigmoid(base + anchor * strength + rate * sum of trees), six decimals.
 
+    ``by`` of the model names another column than strength; ``digits`` None leaves the
+    sum as it is, for ranking.
+
     A tree is a leaf value or ``(column, threshold, left, right)``; values up to the
     threshold go left, missing ones count as 0.  Trees are summed a dozen at a time, so
     that no generated method grows too large to be compiled.
@@ -211,8 +214,8 @@ def score_trees(rows: DataFrame, model: dict) -> DataFrame:
     for at in range(0, len(model["trees"]), 12):
         for t in model["trees"][at : at + 12]:
             rows = rows.withColumn("sum", F.col("sum") + tree(t))
-    z = model["base"] + model["anchor"] * F.col("strength") + model["rate"] * F.col("sum")
-    return rows.withColumn("relevance", F.round(1 / (1 + F.exp(-z)), 6)).drop("sum")
+    z = model["base"] + model["anchor"] * F.coalesce(F.col(model.get("by", "strength")), F.lit(0.0)) + model["rate"] * F.col("sum")
+    return rows.withColumn("relevance", z if digits is None else F.round(1 / (1 + F.exp(-z)), digits)).drop("sum")
 
 
 def fit_pairwise(pairs: DataFrame, columns: list[str], penalty: float = 1.0, rounds: int = 50) -> list[float]:

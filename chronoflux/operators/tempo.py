@@ -6,15 +6,25 @@ frames.  Null or repeated times take no part; tracks without rows give none.
 
 from __future__ import annotations
 
+import math
+from array import array
+from bisect import insort
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoflux.functions.columns import clip, huber
+from chronoflux.functions.columns import clip
 
 from . import joins
+from .folds import fold
 
 #: Fixed values of the tempo model: prior weight, smoothness, drift scale, octave band and penalty, greatest jump (log2 of 1.75).
 PRIOR, LAMBDA, DRIFT, OCTAVE_BAND, OCTAVE_PENALTY, MOST_JUMP = 2.0, 0.6, 0.06, 0.08, 1.5, 0.8073549220576041
+#: Fixed values of a tempo segment: scale of its loss (octaves), cost of a boundary and how far a sure change relaxes it, intervals at least and at most, and octaves under which neighbours merge.
+SCALE, BOUNDARY, RELAX, SHORTEST, LONGEST, MERGED = 0.05, 1.5, 0.8, 4, 256, 0.02
 #: Lags of a beat chain in periods, and its tightness.
 LAGS, TIGHT = (0.67, 1.5), 55.0
 
@@ -82,32 +92,44 @@ def tempo_path(found: DataFrame, prior: float) -> DataFrame:
     Cost: ``PRIOR`` * octaves from the prior at the start, smooth (Huber) steps, made
     cheaper where the anchors' best tempos change for good, a penalty near an octave,
     less each score; jumps above ``MOST_JUMP`` octaves count 1000 more, so they are
-    taken only where nothing else goes.  A fold over the
-    anchors of one track keeps a cost and a path for each candidate of the last one;
-    ties go to the smaller step, then the lower tempo.
+    taken only where nothing else goes.  One pass
+    over a track's anchors keeps the costs of the last one's candidates and gives each
+    candidate its back link, a second one backwards reads the path off them; ties go to
+    the smaller step, then the lower tempo.
     """
     cand = F.struct(F.round("bpm", 9).alias("bpm"), F.col("score").alias("score"))
     best = F.max_by("bpm", F.struct("score", (-F.abs(F.log2(F.col("bpm") / prior))).alias("near"), (-F.col("bpm")).alias("low")))
     steps = found.groupBy("track_id", "anchor").agg(F.sort_array(F.collect_list(cand)).alias("c"), best.alias("bpm"))
     steps = steps.withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("anchor")) - 1)
     steps = steps.join(change_scores(steps), ["track_id", "i"]).withColumn("lam", LAMBDA * (1 - 0.75 * F.col("change")))
-    lists = steps.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("anchor", "c", "lam"))).alias("xs"))
-    start = F.transform(F.element_at("xs", 1)["c"], lambda c: F.struct((F.abs(F.log2(c["bpm"] / prior)) * PRIOR - c["score"]).alias("cost"), F.array(c["bpm"]).alias("path")))
-
-    def step(state: Column, x: Column) -> Column:
-        def to(c: Column) -> Column:
-            def option(s: Column) -> Column:
-                d = F.abs(F.log2(c["bpm"] / F.element_at(s["path"], -1)))
-                move = x["lam"] * huber(d / DRIFT) + F.when(F.abs(d - 1) < OCTAVE_BAND, OCTAVE_PENALTY).otherwise(0.0) + F.when(d > MOST_JUMP, 1000.0).otherwise(0.0)
-                return F.struct((s["cost"] + move - c["score"]).alias("cost"), d.alias("d"), s["path"].alias("path"))
-
-            best = F.array_min(F.transform(state, option))
-            return F.struct(best["cost"].alias("cost"), F.concat(best["path"], F.array(c["bpm"])).alias("path"))
-
-        return F.transform(x["c"], to)
-
-    ends = F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), start, step, lambda s: F.array_min(s)["path"])
-    return lists.select("track_id", F.inline(F.arrays_zip(F.col("xs.anchor").alias("anchor"), ends.alias("bpm"))))
+    def start() -> list:
+        return [None]
+
+    def step(state: list, i: int, anchor: int, c: list, lam: float) -> list[tuple]:
+        before, rows = state[0], []
+        for x in c:
+            if before is None:
+                rows.append((abs(math.log2(x["bpm"] / prior)) * PRIOR - x["score"], None))
+                continue
+            options = []
+            for k, (bpm, cost) in enumerate(before):
+                d = abs(math.log2(x["bpm"] / bpm))
+                u = d / DRIFT
+                move = lam * (u * u / 2 if u <= 1 else u - 0.5) + (OCTAVE_PENALTY if abs(d - 1) < OCTAVE_BAND else 0.0) + (1000.0 if d > MOST_JUMP else 0.0)
+                options.append((cost + move - x["score"], d, bpm, k))
+            cost, _, _, k = min(options)
+            rows.append((cost, k))
+        state[0] = [(x["bpm"], cost) for x, (cost, _) in zip(c, rows, strict=True)]
+        return [(i, anchor, [x["bpm"] for x in c], [r[0] for r in rows], [r[1] for r in rows])]
+
+    linked = fold(steps.select("track_id", "i", "anchor", "c", "lam"), ["track_id"], ["i"], "i int, anchor long, bpm array<double>, cost array<double>, back array<int>", start, step)
+
+    def back(state: list, i: int, anchor: int, bpm: list, cost: list, link: list) -> list[tuple]:
+        at = state[0] if state[0] is not None else min(range(len(bpm)), key=lambda k: (cost[k], bpm[k]))
+        state[0] = link[at]
+        return [(anchor, bpm[at])]
+
+    return fold(linked, ["track_id"], [F.desc("i")], "anchor long, bpm double", start, back)
 
 
 def period_guide(frames: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -148,82 +170,200 @@ def beat_chain(peaks: DataFrame, period: float, bonus: float = 1.0) -> DataFrame
     peak gives its support, a chain's first ``bonus``; ties go to the lag closest to
     the period, then the shorter.  The best end within the last 1.5 periods counts.
     Nodes are peaks, not frames, so what lies between two of them is for ``repair_beats``.
-    The fold keeps the peaks one step back, and back links; the path is read off them.
+    One pass keeps the peaks of the last 1.5 periods and gives each its back link; a
+    second one backwards reads the chain off them.
     """
-    lists = peaks.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct(F.col("frame").cast("double").alias("f"), F.col("support").cast("double").alias("s")))).alias("xs"))
-    kind = "array<struct<f:double,v:double,path:array<double>>>"
-
-    def step(state: Column, x: Column) -> Column:
-        live = F.filter(state, lambda n: n["f"] >= x["f"] - LAGS[1] * period)
-
-        def option(n: Column) -> Column:
-            lag = x["f"] - n["f"]
-            value = n["v"] - TIGHT * F.pow(F.ln(lag / period), F.lit(2.0)) + x["s"]
-            return F.struct((-value).alias("v"), F.abs(lag - period).alias("d"), lag.alias("lag"), n["path"].alias("path"))
-
-        best = F.array_min(F.transform(F.filter(live, lambda n: (x["f"] - n["f"]).between(LAGS[0] * period, LAGS[1] * period)), option))
-        alone = F.struct(x["f"].alias("f"), (x["s"] + bonus).alias("v"), F.array(x["f"]).alias("path"))
-        chained = F.struct(x["f"].alias("f"), (-best["v"]).alias("v"), F.concat(best["path"], F.array(x["f"])).alias("path"))
-        return F.concat(live, F.array(F.when(best.isNotNull() & (-best["v"] > x["s"] + bonus), chained).otherwise(alone)))
-
-    ends = F.aggregate("xs", F.array().cast(kind), step)
-    best = F.array_max(F.transform(ends, lambda n: F.struct(n["v"].alias("v"), n["f"].alias("f"), n["path"].alias("path"))))
-    return lists.select("track_id", F.explode(best["path"]).alias("frame")).select("track_id", F.col("frame").cast("long").alias("frame"))
+    rows = peaks.where("frame IS NOT NULL").groupBy("track_id", F.col("frame").cast("double").alias("f")).agg(F.max(F.col("support").cast("double")).alias("s"))
+
+    def forward(live: deque, f: float, s: float) -> list[tuple]:
+        while live and live[0][0] < f - LAGS[1] * period:
+            live.popleft()
+        options = [(-(v - TIGHT * math.log((f - g) / period) ** 2 + s), abs(f - g - period), f - g, g) for g, v in live if LAGS[0] * period <= f - g <= LAGS[1] * period]
+        best = min(options, default=None)
+        v, link = (-best[0], best[3]) if best and -best[0] > s + bonus else (s + bonus, None)
+        live.append((f, v))
+        return [(f, v, link)]
+
+    linked = fold(rows, ["track_id"], ["f"], "f double, v double, link double", deque, forward)
+
+    def walked(state: dict, found: list[tuple]) -> list[tuple]:
+        out = []
+        for f, link in found:
+            if f == state["at"]:
+                out.append((int(f),))
+                state["at"] = link
+        return out
+
+    def chosen(state: dict) -> list[tuple]:
+        held, state["held"] = state["held"], None
+        state["at"] = max((v, f) for f, v, _ in held)[1]
+        return walked(state, [(f, link) for f, _, link in held])
+
+    def backward(state: dict, f: float, v: float, link: float | None) -> list[tuple]:
+        state.setdefault("last", f)
+        if state["held"] is not None and f >= state["last"] - LAGS[1] * period:
+            state["held"].append((f, v, link))
+            return []
+        out = chosen(state) if state["held"] is not None else []
+        return out + walked(state, [(f, link)])
+
+    return fold(linked, ["track_id"], [F.desc("f")], "frame long", lambda: {"held": []}, backward, lambda state: chosen(state) if state["held"] is not None else [])
 
 
 def snap_beats(beats: DataFrame, frames: DataFrame, period: float, radius: int) -> DataFrame:
     """``track_id, t, snapped``: each beat moved to the greatest frame at most ``radius`` away, if order and lags allow.
 
-    Of equal frames the closest counts, then the earlier.  A fold over a track's beats
-    accepts a move only beyond the beat before as it is now and before the next one,
+    Of equal frames the closest counts, then the earlier.  One pass over a track's beats,
+    with the last one as its state, accepts a move only beyond the beat before as it is now and before the next one,
     both gaps within ``LAGS`` periods.
     """
     near = beats.select("track_id", "t", F.explode(F.sequence(F.col("t") - radius, F.col("t") + radius)).alias("frame")).join(frames, ["track_id", "frame"])
     best = near.groupBy("track_id", "t").agg(F.min(F.struct((-F.col("x")).alias("x"), F.abs(F.col("frame") - F.col("t")).alias("d"), "frame"))["frame"].alias("to"))
-    after = F.lead("t").over(Window.partitionBy("track_id").orderBy("t"))
-    lists = best.withColumn("next", after).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("t", "to", "next"))).alias("xs"))
-    ok = lambda gap: gap.between(LAGS[0] * period, LAGS[1] * period)
+    best = best.withColumn("next", F.lead("t").over(Window.partitionBy("track_id").orderBy("t")))
+    ok = lambda gap: LAGS[0] * period <= gap <= LAGS[1] * period
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))["snapped"]
-        fits = (last.isNull() | ((x["to"] > last) & ok(x["to"] - last))) & (x["next"].isNull() | ((x["to"] < x["next"]) & ok(x["next"] - x["to"])))
-        return F.concat(done, F.array(F.struct(x["t"].alias("t"), F.when(fits, x["to"]).otherwise(x["t"]).alias("snapped"))))
+    def step(last: list, t: int, to: int, following: int | None) -> list[tuple]:
+        fits = (last[0] is None or (to > last[0] and ok(to - last[0]))) and (following is None or (to < following and ok(following - to)))
+        last[0] = to if fits else t
+        return [(t, last[0])]
 
-    return lists.select("track_id", F.inline(F.aggregate("xs", F.array().cast("array<struct<t:bigint,snapped:bigint>>"), step)))
+    return fold(best.select("track_id", F.col("t").cast("long").alias("t"), F.col("to").cast("long").alias("to"), F.col("next").cast("long").alias("next")), ["track_id"], ["t"], "t long, snapped long", lambda: [None], step)
 
 
 def repair_beats(beats: DataFrame, period: float) -> DataFrame:
     """``track_id, t, added``: beats closer than .55 periods to the one kept go; in gaps of 1.65 to 2.35 periods one is put in.
 
-    A beat goes to the middle of such a gap.  A fold over a track's beats drops, a
-    window adds.
+    A beat goes to the middle of such a gap.  One pass over a track's beats, with the
+    last one kept as its state, drops; a window adds.
     """
-    lists = beats.groupBy("track_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    kept = F.aggregate(F.slice("ts", F.lit(2), F.size("ts")), F.slice("ts", 1, 1), lambda k, t: F.when(t - F.element_at(k, -1) < 0.55 * period, k).otherwise(F.concat(k, F.array(t))))
-    rows = lists.select("track_id", F.explode(kept).alias("t"))
+
+    def step(last: list, t: float) -> list[tuple]:
+        if last[0] is not None and t - last[0] < 0.55 * period:
+            return []
+        last[0] = t
+        return [(t,)]
+
+    rows = fold(beats.where("t IS NOT NULL").select("track_id", F.col("t").cast("double").alias("t")), ["track_id"], ["t"], "t double", lambda: [None], step)
     gap = F.lead("t").over(Window.partitionBy("track_id").orderBy("t")) - F.col("t")
     middle = F.when((gap > 1.65 * period) & (gap < 2.35 * period), F.col("t") + gap / 2)
     rows = rows.withColumn("m", middle)
     return rows.select("track_id", F.inline(F.array(F.struct("t", F.lit(False).alias("added")), F.struct(F.col("m").alias("t"), F.lit(True).alias("added"))))).where("t IS NOT NULL")
 
 
-def tempo_segments(beats: DataFrame, near: float = 0.02) -> DataFrame:
-    """``track_id, t0, t1, bpm, n``: runs of intervals whose smoothed tempo stays within ``near`` octaves of the run's first.
-
-    Intervals are smoothed by the median of three; bpm is that of the run's mean
-    interval.  A fold over a track's beats; spans join without a gap.
+def _fits(runs: pd.Series) -> pd.Series:
+    """Per run of at most ``LONGEST`` values the cost of each of its tails (1, 2, ... values) about the tail's median."""
+    out = []
+    for run in runs:
+        back = np.asarray(run, float)[::-1]
+        seen: list[float] = []
+        middle = np.empty(len(back))
+        for k, x in enumerate(back):
+            insort(seen, x)
+            middle[k] = (seen[k // 2] + seen[(k + 1) // 2]) / 2
+        u = np.abs(back[None, :] - middle[:, None]) / SCALE
+        out.append(np.tril(np.where(u <= 1, u * u / 2, u - 0.5)).sum(1).tolist())
+    return pd.Series(out)
+
+
+def segment_tempo_curve(intervals: DataFrame) -> DataFrame:
+    """``track_id, a, b``: intervals a (in) to b (out) of one tempo, tiling a track at the least total cost.
+
+    ``intervals(track_id, i, bpm)`` count from 0, ``change`` (0 to 1, how sure the tempo
+    changes at i) may be there.  A span of at most ``LONGEST`` costs the Huber losses of
+    its log tempos about their median, and ``BOUNDARY`` for its start unless that is the
+    track's, less where a change is sure; spans inside a track have ``SHORTEST``
+    intervals or more.  Ties: fewer spans, then the earlier boundary.
+
+    Costs of all spans are made in parallel, a row per end; one pass over the ends
+    keeps the last ``LONGEST`` ways and gives each its back link, a second one backwards
+    reads the boundaries off.  Work is linear in the intervals.
+    """
+    change = clip(F.coalesce(F.col("change").cast("double"), F.lit(0.0))) if "change" in intervals.columns else F.lit(0.0)
+    w = Window.partitionBy("track_id").orderBy("i")
+    rows = intervals.select("track_id", "i", F.log2("bpm").alias("y"), change.alias("change"))
+    rows = rows.select("track_id", "i", "change", F.lead("i").over(w).isNull().alias("last"), F.collect_list("y").over(w.rowsBetween(1 - LONGEST, 0)).alias("run"))
+    fits = F.pandas_udf(_fits, "array<double>")
+    rows = rows.select("track_id", F.col("i").cast("long").alias("i"), "change", "last", fits("run").alias("costs"))
+
+    def start() -> dict:
+        return {"ways": deque([(0.0, 0)], LONGEST), "entry": deque([], LONGEST)}
+
+    def forward(state: dict, i: int, change: float, last: bool, costs: list[float]) -> list[tuple]:
+        ways, entry = state["ways"], state["entry"]
+        entry.append(BOUNDARY * max(0.0, 1 - RELAX * change) if i else 0.0)
+        best = None
+        for a in range(i + 1 - len(costs), i + 1):  # earlier starts first
+            length = i + 1 - a
+            if 0 < a and not last and length < SHORTEST:
+                continue
+            cost, n = ways[len(ways) - length]
+            own = (cost + costs[length - 1] + entry[len(entry) - length], n + 1, a)
+            if best is None or own[0] < best[0] - 1e-12 or (own[0] <= best[0] + 1e-12 and own[1:] < best[1:]):
+                best = own
+        if best is None:  # no legal span ends here
+            best = (math.inf, 0, i)
+        ways.append(best[:2])
+        return [(i + 1, best[2])]
+
+    linked = fold(rows, ["track_id"], ["i"], "b long, a long", start, forward)
+
+    def backward(state: list, b: int, a: int) -> list[tuple]:
+        if state[0] is not None and b != state[0]:
+            return []
+        state[0] = a
+        return [(a, b)]
+
+    return fold(linked, ["track_id"], [F.desc("b")], "a long, b long", lambda: [None], backward)
+
+
+def tempo_segments(beats: DataFrame, duration: DataFrame | None = None) -> DataFrame:
+    """``track_id, n, t0, t1, bpm, score``: tempo segments of beats ``(track_id, t)`` in order.
+
+    Tempos are those of the intervals, smoothed by the median of three, segmented by
+    ``segment_tempo_curve``; neighbours whose medians are less than ``MERGED`` octaves apart
+    become one, again and again, each refitted to the median of all its intervals.
+    The first starts at 0 and the last ends with the track (``duration(track_id,
+    duration)``, else at the last beat).  ``beats`` may carry ``change`` and ``emission`` of the
+    interval that starts there; ``score`` is a segment's mean emission, four decimals.
+    Null and repeated times take no part; under two beats give nothing.
     """
+    extra = [c for c in ("change", "emission") if c in beats.columns]
     w = Window.partitionBy("track_id").orderBy("t")
-    rows = beats.select("track_id", "t", (F.lead("t").over(w) - F.col("t")).alias("gap")).where("gap > 0")
-    rows = rows.withColumn("m", F.percentile("gap", F.lit(0.5)).over(w.rowsBetween(-1, 1)))
-    lists = rows.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("t", "gap", "m"))).alias("xs"))
-    own = lambda x, n, m: F.struct(x["t"].alias("t0") if n is None else n["t0"].alias("t0"), (x["t"] + x["gap"]).alias("t1"), m.alias("m"), (F.lit(1) if n is None else n["n"] + 1).alias("n"))
-
-    def step(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        same = F.abs(F.log2(x["m"] / last["m"])) < near
-        return F.when(same, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(own(x, last, last["m"])))).otherwise(F.concat(runs, F.array(own(x, None, x["m"]))))
-
-    first = F.array(own(F.element_at("xs", 1), None, F.element_at("xs", 1)["m"]))
-    runs = lists.select("track_id", F.inline(F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), first, step)))
-    return runs.select("track_id", "t0", "t1", (60 * F.col("n") / (F.col("t1") - F.col("t0"))).alias("bpm"), "n")
+    one = beats.where("t IS NOT NULL").groupBy("track_id", F.col("t").cast("double").alias("t")).agg(F.lit(1).alias("_"), *[F.max(c).alias(c) for c in extra]).drop("_")
+    rows = one.select("*", F.lead("t").over(w).alias("end"), (F.row_number().over(w).cast("long") - 1).alias("i")).where("end IS NOT NULL")
+    rows = rows.withColumn("bpm", 60 / (F.col("end") - F.col("t")))
+    rows = rows.withColumn("bpm", F.percentile("bpm", F.lit(0.5)).over(Window.partitionBy("track_id").orderBy("i").rowsBetween(-1, 1)))
+    cuts = segment_tempo_curve(rows.select("track_id", "i", "bpm", *[c for c in extra if c == "change"]))
+    rows = rows.join(cuts.select("track_id", F.col("a").alias("i"), F.lit(True).alias("opens")), ["track_id", "i"], "left")
+    if duration is not None:
+        rows = rows.join(duration.select("track_id", F.col("duration").cast("double").alias("duration")), "track_id", "left")
+    emission = F.col("emission").cast("double") if "emission" in extra else F.lit(None).cast("double")
+    rows = rows.select("track_id", "i", "t", "end", F.log2("bpm").alias("y"), clip(emission).alias("emission"), F.coalesce("opens", F.lit(False)).alias("opens"), (F.col("duration") if duration is not None else F.lit(None).cast("double")).alias("duration"))
+    apart = lambda a, b: abs(float(np.median(a["y"])) - float(np.median(b["y"])))
+
+    def settled(done: list[dict]) -> None:
+        while len(done) > 1 and apart(done[-1], done[-2]) < MERGED:
+            last = done.pop()
+            done[-1]["y"].extend(last["y"])
+            done[-1].update(t1=last["t1"], sum=done[-1]["sum"] + last["sum"], scored=done[-1]["scored"] + last["scored"])
+
+    def step(done: list[dict], i: int, t: float, end: float, y: float, emission: float | None, opens: bool, duration: float | None) -> list[tuple]:
+        if opens or not done:
+            settled(done)
+            done.append({"t0": 0.0 if i == 0 else t, "y": array("d"), "sum": 0.0, "scored": 0})
+        own = done[-1]
+        own["y"].append(y)
+        own.update(t1=end, duration=duration)
+        if emission is not None:
+            own["sum"] += emission
+            own["scored"] += 1
+        return []
+
+    def finish(done: list[dict]) -> list[tuple]:
+        total = done[-1]["duration"]
+        settled(done)
+        if total is not None:
+            done[-1]["t1"] = total
+        return [(n, x["t0"], x["t1"], 2.0 ** float(np.median(x["y"])), round(x["sum"] / x["scored"], 4) if x["scored"] else None) for n, x in enumerate(done, 1)]
+
+    return fold(rows, ["track_id"], ["i"], "n long, t0 double, t1 double, bpm double, score double", list, step, finish)

@@ -5,6 +5,8 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from chronoflux.operators import corpora, forms, scores, tempo
 from chronoflux.sources import projects
 from chronoflux.streaming import activity
@@ -41,25 +43,71 @@ def test_repair_beats(spark):
     assert got == [pytest.approx(w) for w in sorted(want)]
 
 
-def test_tempo_segments(spark):
-    rows = times(2)
-    got = [tuple(x) for x in tempo.tempo_segments(spark.createDataFrame(rows, "track_id long, t double")).orderBy("track_id", "t0").collect()]
-    want = []
-    for k, ts in by_track(rows).items():
-        ts = sorted(ts)
-        gaps = [b - a for a, b in zip(ts, ts[1:], strict=False)]
-        med = []
-        for i in range(len(gaps)):
-            w = sorted(gaps[max(0, i - 1) : i + 2])
-            med.append(w[1] if len(w) == 3 else sum(w) / len(w))
-        runs = []
-        for i, m in enumerate(med):
-            if runs and abs(math.log2(m / runs[-1][2])) < 0.02:
-                runs[-1] = (runs[-1][0], ts[i + 1], runs[-1][2], runs[-1][3] + 1)
-            else:
-                runs.append((ts[i], ts[i + 1], m, 1))
-        want += [(k, a, b, 60 * n / (b - a), n) for a, b, _, n in runs]
-    assert got == [pytest.approx(w) for w in want]
+def median(xs):
+    s = sorted(xs)
+    return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+
+
+def plain_curve(logs, change, longest):
+    n, hub = len(logs), lambda u: u * u / 2 if u <= 1 else u - 0.5
+    best = {0: (0.0, 0, [])}
+    for j in range(1, n + 1):
+        for i in range(max(0, j - longest), j):
+            if 0 < i and j < n and j - i < 4 or i not in best:
+                continue
+            m = median(logs[i:j])
+            cost = best[i][0] + sum(hub(abs(x - m) / 0.05) for x in logs[i:j]) + (1.5 * (1 - 0.8 * change[i]) if i else 0)
+            own = (cost, best[i][1] + 1, [*best[i][2], (i, j)])
+            if j not in best or own[0] < best[j][0] - 1e-12 or (own[0] <= best[j][0] + 1e-12 and own[1] < best[j][1]):
+                best[j] = own
+    return best[n][2]
+
+
+@pytest.mark.parametrize("longest", [256, 7])
+def test_tempo_segments(spark, monkeypatch, longest):
+    monkeypatch.setattr(tempo, "LONGEST", longest)
+    r = random.Random(2)
+    rows, want = [], []
+    for k in range(4):
+        t, ts = 0.0, [0.0]
+        for bpm, n in ((120, 12), (121, 6), (90, 15), (60 * (1 + k), 9))[: k + 1]:
+            for _ in range(n):
+                t += 60 / bpm * r.choice([1, 1, 1.01, 0.99, 1.2])
+                ts.append(round(t, 4))
+        change, emit = [r.random() for _ in ts], [r.random() * 1.2 for _ in ts]
+        rows += [(k, x, c, e) for x, c, e in zip(ts, change, emit, strict=True)]
+        bpm = [60 / (b - a) for a, b in zip(ts, ts[1:], strict=False)]
+        logs = [math.log2(median(bpm[max(0, i - 1) : i + 2])) for i in range(len(bpm))]
+        merged = []
+        for i, j in plain_curve(logs, change, longest):
+            merged.append([i, j])
+            while len(merged) > 1 and abs(median(logs[merged[-1][0] : merged[-1][1]]) - median(logs[merged[-2][0] : merged[-2][1]])) < 0.02:
+                last = merged.pop()
+                merged[-1][1] = last[1]
+        for n, (i, j) in enumerate(merged, 1):
+            want.append((k, n, 0.0 if i == 0 else ts[i], 99.0 if j == len(bpm) else ts[j], 2 ** median(logs[i:j]), round(sum(min(1, e) for e in emit[i:j]) / (j - i), 4)))
+    df = spark.createDataFrame([*rows, (0, None, 0.5, 0.5), rows[0], (9, 1.0, 0.1, 0.1)], "track_id long, t double, change double, emission double").repartition(3)
+    ends = spark.createDataFrame([(k, 99.0) for k in range(10)], "track_id long, duration double")
+    got = [tuple(x) for x in tempo.tempo_segments(df, ends).orderBy("track_id", "n").collect()]
+    assert got == [pytest.approx(w) for w in want] and any(w[1] > 1 for w in want)
+
+
+def test_long_tracks_take_time_in_proportion(spark):
+    """A track of many beats: state is a window, so twenty times the beats may not take much over twenty times the time."""
+    import time
+
+    def took(n):
+        df = spark.range(n).select(F.lit(1).alias("track_id"), (F.col("id") * 0.5 + (F.col("id") % 7) * 0.001).alias("t")).cache()
+        df.count()
+        began = time.time()
+        assert tempo.repair_beats(df, 0.5).count() == n
+        assert tempo.beat_chain(df.select("track_id", F.floor(F.col("t") * 100).alias("frame"), F.lit(0.5).alias("support")), 50.0).count() == n
+        assert tempo.tempo_segments(df).count() >= 1
+        return time.time() - began
+
+    took(1000)
+    short, long = took(1000), took(20000)
+    assert long < 25 * short + 10
 
 
 def test_tempo_path_is_the_cheapest_of_all(spark):
@@ -249,7 +297,7 @@ def test_late_rows_upserts_and_stored_beats(spark, tmp_path):
     kept, late = activity.split_late(_stream(spark, f"{tmp_path}/a", rows), "10 hours")
     assert sorted(r["event_id"] for r in kept.collect()) == [3, 5] and sorted(r["event_id"] for r in late.collect()) == [0, 1, 2, 4, 6]
     got = activity.upserted(_stream(spark, f"{tmp_path}/b", rows), ["track_id"], "ts")
-    assert sorted((r["track_id"], r["event_id"]) for r in got.collect()) == [(0, 2), (1, 5)]
+    assert sorted((r["track_id"], r["event_id"]) for r in got.collect()) == [(0, 4), (1, 5)]
     beats = spark.createDataFrame([(k, float(b)) for k in (0, 1) for b in range(0, 9, 3)], "track_id long, t double")
     out = activity.drained(activity.on_beats(_stream(spark, f"{tmp_path}/c", rows), beats, 3.0), "append").collect()
     assert sorted((r["event_id"], r["beat"]) for r in out) == sorted((i, 3.0 * (int(i) // 3)) for i in range(7))
