@@ -99,7 +99,7 @@ def fitted_ratio(points: np.ndarray, centre: np.ndarray, price: np.ndarray, copi
     return float(np.quantile(needed, recall)) + 1e-9 if needed else 1.0
 
 
-def search(df: DataFrame, k: int = 10, every: int = 100, lists: int = 2048, a_list: int = 16, copies: int = 2, boundary: float = 1.1, recall: float = 0.94, width: int = 32, fit: int = 16384, seed: int = 5) -> DataFrame:
+def search(df: DataFrame, k: int = 10, every: int = 100, lists: int = 2048, a_list: int = 16, copies: int = 2, boundary: float = 1.1, recall: float = 0.96, width: int = 32, fit: int = 16384, seed: int = 5) -> DataFrame:
     """Each query's ``k`` nearest found by Euclidean distance.
 
     Lists are clusters fitted on at most ``fit`` rows by k-means with prices that even

@@ -33,22 +33,25 @@ def fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
     By weight, none above its ``room``: children in order of room per weight are full
     as long as the level at which they are fits the budget, and what they leave goes
-    to their siblings by weight.  Whole tokens: largest fractions are rounded up.
+    to their siblings by weight.  Whole tokens: largest fractions are rounded up.  A
+    child of weight 0 gets nothing.
     """
     key = [F.col(p) for p in parent] or [F.lit(0)]
-    order = Window.partitionBy(*key).orderBy(F.col("room") / F.col("weight"), name)
+    children = children.withColumn("room", F.when(F.col("weight") > 0, F.col("room")).otherwise(0))
+    level = F.try_divide(F.col("room").cast("double"), F.col("weight"))
+    order = Window.partitionBy(*key).orderBy(level.asc_nulls_last(), name)
     to_end = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = children.withColumn("budget", F.least("budget", F.sum("room").over(Window.partitionBy(*key))))
-    rows = rows.withColumn("full", F.col("room") / F.col("weight") * F.sum("weight").over(to_end) + F.coalesce(F.sum("room").over(before), F.lit(0)) <= F.col("budget"))
+    rows = rows.withColumn("full", F.coalesce(level * F.sum("weight").over(to_end) + F.coalesce(F.sum("room").over(before), F.lit(0)) <= F.col("budget"), F.lit(False)))
     whole = Window.partitionBy(*key)
     left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("room")).otherwise(0)).over(whole)
-    per = left / F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(whole)
+    per = F.coalesce(F.try_divide(left.cast("double"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(whole)), F.lit(0.0))
     rows = rows.withColumn("share", F.when(F.col("full"), F.col("room").cast("double")).otherwise(per * F.col("weight")))
     rows = rows.withColumn("part", F.when(F.col("full"), F.col("room")).otherwise(F.floor("share")))
     rows = rows.withColumn("spare", F.col("budget") - F.sum("part").over(whole))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.col("share") - F.col("part")), name))
-    return rows.withColumn("quota", F.col("part") + F.when(~F.col("full") & (rank <= F.col("spare")), 1).otherwise(0)).drop("full", "share", "part", "spare")
+    return rows.withColumn("quota", F.col("part") + F.when(~F.col("full") & (F.col("weight") > 0) & (rank <= F.col("spare")), 1).otherwise(0)).drop("full", "share", "part", "spare")
 
 
 def budgets(leaves: DataFrame, tokens: int, weights: dict[tuple[str, ...], float], epochs: int) -> DataFrame:
@@ -56,9 +59,13 @@ def budgets(leaves: DataFrame, tokens: int, weights: dict[tuple[str, ...], float
 
     Budgets go down the tree.  A node's room is what its leaves can give in
     ``epochs`` passes, so a short leaf's rest stays with its siblings, and only what
-    a whole subtree cannot give goes to its ancestors' other children.
+    a whole subtree cannot give goes to its ancestors' other children.  What is under
+    a weight of 0 gives nothing; a negative weight is an error.
     """
-    leaves = leaves.withColumn("room", F.col("tokens") * epochs)
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("weights cannot be negative")
+    wanted = F.least(*[_weight(n, weights) for n in range(len(LEVELS))]) > 0
+    leaves = leaves.withColumn("room", F.when(wanted, F.col("tokens") * epochs).otherwise(0))
     above = None
     for n, name in enumerate(LEVELS):
         path, parent = list(LEVELS[: n + 1]), list(LEVELS[:n])
