@@ -25,9 +25,10 @@ def components(events: DataFrame, markers: DataFrame, key: list[str], tol: float
     order = Window.partitionBy(*key).orderBy("t", "side", "id")
     rows = events.select(*key, F.lit(0).alias("side"), "id", "t").unionByName(markers.select(*key, F.lit(1).alias("side"), "id", "t"))
     rows = rows.where("t IS NOT NULL")
-    so_far, rest = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("side"), F.desc("id"))
+    so_far, rest = order.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
     own = lambda s: F.when(F.col("side") == s, F.col("t"))
-    gap = F.least(*[F.first(own(1 - s), ignorenulls=True).over(rest) - F.last(own(s), ignorenulls=True).over(so_far) for s in (0, 1)])
+    gap = F.least(*[F.last(own(1 - s), ignorenulls=True).over(rest) - F.last(own(s), ignorenulls=True).over(so_far) for s in (0, 1)])
     rows = rows.withColumn("crossed", F.coalesce(F.round(gap * MICRO) <= round(tol * MICRO), F.lit(False)))
     rows = rows.withColumn("component", F.coalesce(F.sum((~F.col("crossed")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     pos = F.row_number().over(Window.partitionBy(*key, "side").orderBy("t", "id")).cast("long") - 1

@@ -295,6 +295,95 @@ def segment_similarity(segments: DataFrame, view: DataFrame, positions: int = 8)
     return pairs.select("track_id", "a", "b", (cosine * F.greatest(F.least("x", "y") / F.greatest("x", "y"), F.lit(0.75))).alias("sim"))
 
 
+#: View weights, a view's veto, how many views below what dissent, least length ratio, places of a segment.
+WEIGHTS, VETO, DISSENT, DISSENTING, RATIO, PLACES = {"harmony": 0.34, "timbre": 0.28, "rhythm": 0.23, "energy": 0.15}, 0.55, 0.85, 2, 0.75, 8
+
+
+def segment_vectors(segments: DataFrame, views: dict[str, DataFrame], places: int = PLACES) -> DataFrame:
+    """``track_id, n, bars, parts``: each segment's rows of every view, resampled onto ``places`` and laid end to end.
+
+    ``views`` are ``track_id, bar, col, x`` with every column in every bar; with a column ``block``
+    a view is cut into parts that are compared on their own.
+    """
+    every = None
+    for name, view in views.items():
+        part = F.concat(F.lit(f"{name}:"), F.col("block").cast("string")) if "block" in view.columns else F.lit(name)
+        own = view.select("track_id", "bar", part.alias("part"), "col", _fine(F.col("x")).alias("x"))
+        every = own if every is None else every.unionByName(own)
+    at = F.col("k") * (F.col("end_bar") - F.col("start_bar")) / F.lit(places - 1.0)
+    place = segments.select("track_id", "n", "start_bar", "end_bar", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("k")).withColumn("at", at)
+    place = place.withColumn("bar", F.col("start_bar") + F.floor("at")).withColumn("u", F.col("at") - F.floor("at"))
+    both = place.select("track_id", "n", "k", F.inline(F.array(F.struct("bar", (1 - F.col("u")).alias("w")), F.struct((F.col("bar") + 1).alias("bar"), F.col("u").alias("w"))))).where("w > 0")
+    rows = both.join(every, ["track_id", "bar"]).groupBy("track_id", "n", "part", "k", "col").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    laid = rows.groupBy("track_id", "n", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "col", "x"))), lambda e: e["x"]).alias("v"))
+    found = laid.groupBy("track_id", "n").agg(F.array_sort(F.collect_list(F.struct("part", "v"))).alias("parts"))
+    return segments.select("track_id", "n", (F.col("end_bar") - F.col("start_bar") + 1).cast("long").alias("bars")).join(found, ["track_id", "n"])
+
+
+def agreement(a: tuple[int, dict], b: tuple[int, dict]) -> float:
+    """How alike two segments ``(bars, part -> vector)`` are: the weighted geometric mean of their views' cosines times the length ratio.
+
+    A view is as alike as its worst part.  One view under ``VETO``, or ``DISSENTING`` under
+    ``DISSENT``, make it 0.
+    """
+    worst: dict[str, float] = {}
+    for part, x in a[1].items():
+        y = b[1][part]
+        p, q = float(np.linalg.norm(x)), float(np.linalg.norm(y))
+        same = 1.0 if p < 1e-9 and q < 1e-9 else 0.0 if p < 1e-9 or q < 1e-9 else min(1.0, max(0.0, float(x @ y) / (p * q)))
+        name = part.split(":")[0]
+        worst[name] = min(worst.get(name, 1.0), same)
+    total = sum(WEIGHTS.get(n, 0.0) for n in worst)
+    if min(worst.values()) < VETO or sum(s < DISSENT for s in worst.values()) >= DISSENTING or total <= 0:
+        return 0.0
+    mean = float(np.exp(sum(WEIGHTS.get(n, 0.0) * np.log(max(s, 1e-6)) for n, s in worst.items()) / total))
+    return mean * max(min(a[0], b[0]) / max(a[0], b[0]), RATIO)
+
+
+def _parts(parts: list) -> dict:
+    return {p["part"]: np.asarray(p["v"], float) for p in parts}
+
+
+def assign_view_families(segments: DataFrame, vectors: DataFrame, join: float = 0.82, variant: float = 0.88) -> DataFrame:
+    """``track_id, n, family, variant, similarity``: as ``assign_families``, by ``agreement`` with each family's first member.
+
+    One pass over a track's segments keeps the first members' vectors, so no pairs are
+    made: work is segments times families.
+    """
+    rows = segments.select("track_id", "n", "break_like").join(vectors, ["track_id", "n"]).select("track_id", F.col("n").cast("long").alias("n"), "break_like", "bars", "parts")
+
+    def step(heads: list, n: int, broken: bool | None, bars: int, parts: list) -> list[tuple]:
+        if broken:
+            return [(n, 0, 0, None)]
+        own = (bars, _parts(parts))
+        best, family = min(((-agreement(head, own), k) for k, head in enumerate(heads, 1)), default=(1.0, 0))
+        if -best >= join:
+            return [(n, family, int(-best < variant), -best)]
+        heads.append(own)
+        return [(n, len(heads), 0, None)]
+
+    return fold(rows, ["track_id"], ["n"], "n long, family int, variant int, similarity double", list, step)
+
+
+def family_repetitions(families: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``track_id, family, n, similarity``: families of two segments or more (breaks apart) and the mean agreement of their pairs.
+
+    Members of one family stream through a task with those before them as its state.
+    """
+    rows = families.where("family > 0").select("track_id", "family", F.col("n").cast("long").alias("n")).join(vectors, ["track_id", "n"]).select("track_id", "family", "n", "bars", "parts")
+
+    def step(members: list, n: int, bars: int, parts: list) -> list[tuple]:
+        own = (bars, _parts(parts))
+        members.append((own, sum(agreement(m, own) for m, _ in members)))
+        return []
+
+    def end(members: list) -> list[tuple]:
+        n = len(members)
+        return [(n, sum(s for _, s in members) / (n * (n - 1) / 2))] if n > 1 else []
+
+    return fold(rows, ["track_id", "family"], ["n"], "n long, similarity double", list, step, end)
+
+
 def assign_families(segments: DataFrame, similar: DataFrame, join: float = 0.82, variant: float = 0.88) -> DataFrame:
     """``track_id, n, family, variant`` in order: a break is of family 0, others join the most alike family by its first member, or found one.
 

@@ -15,28 +15,48 @@ def asof(queries: DataFrame, facts: DataFrame, name: str, forward: bool = False,
     cells' own last facts carries them on, so a track of any length is spread over
     tasks.  Among facts at one t the greatest struct counts (forward: the least).
     """
+    both, order = _dealt(queries, facts, width), _order(strict, forward)
+    inside = Window.partitionBy("track_id", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("own", F.last("f", ignorenulls=True).over(inside))
+    cells = _carried(both, ["forward" if forward else "back"])
+    return both.where("is_q").join(cells, ["track_id", "cell"]).select("q.*", F.coalesce("own", "forward" if forward else "back").alias(name))
+
+
+def _dealt(queries: DataFrame, facts: DataFrame, width: float) -> DataFrame:
+    """Both sides as ``track_id, t, q, f, is_q, cell``."""
     fact = F.struct(F.col("t").alias("ft"), *[F.col(c) for c in facts.columns if c not in ("track_id", "t")])
     kind = facts.select(fact.alias("f")).schema["f"].dataType
     f = facts.select("track_id", "t", F.lit(None).cast(queries.select(F.struct("*").alias("q")).schema["q"].dataType).alias("q"), fact.alias("f"), F.lit(False).alias("is_q"))
     q = queries.select("track_id", "t", F.struct("*").alias("q"), F.lit(None).cast(kind).alias("f"), F.lit(True).alias("is_q"))
-    both = f.unionByName(q).withColumn("cell", F.floor(F.col("t") / width))
+    return f.unionByName(q).withColumn("cell", F.floor(F.col("t") / width))
+
+
+def _order(strict: bool, forward: bool) -> list:
     side = F.col("is_q") if not strict else ~F.col("is_q")
-    order = [F.col("t").desc(), side.cast("int"), F.col("f").desc()] if forward else [F.col("t"), side.cast("int"), F.col("f")]
-    inside = Window.partitionBy("track_id", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("own", F.last("f", ignorenulls=True).over(inside))
-    edge = F.min("f") if forward else F.max("f")
-    cells = both.groupBy("track_id", "cell").agg(edge.alias("edge"))
-    along = Window.partitionBy("track_id").orderBy(F.col("cell").desc() if forward else F.col("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("carried", F.last("edge", ignorenulls=True).over(along)).drop("edge")
-    found = both.where("is_q").join(cells, ["track_id", "cell"])
-    return found.select("q.*", F.coalesce("own", "carried").alias(name))
+    return [F.col("t").desc(), side.cast("int"), F.col("f").desc()] if forward else [F.col("t"), side.cast("int"), F.col("f")]
+
 
+def _carried(both: DataFrame, sides: list[str]) -> DataFrame:
+    """Per cell the last fact of the cells before it (``back``) or the first of those behind it (``forward``)."""
+    cells = both.groupBy("track_id", "cell").agg(F.max("f").alias("_back"), F.min("f").alias("_forward"))
+    along = lambda c: Window.partitionBy("track_id").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    over = {"back": along(F.col("cell")), "forward": along(F.col("cell").desc())}
+    return cells.select("track_id", "cell", *[F.last(f"_{s}", ignorenulls=True).over(over[s]).alias(s) for s in sides])
 
-def nearest(queries: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-    """Each query row with the nearest fact on either side; the earlier wins ties."""
-    both = asof(asof(queries, facts, "_b"), facts, "_f", forward=True)
+
+def nearest(queries: DataFrame, facts: DataFrame, name: str, width: float = 8.0) -> DataFrame:
+    """Each query row with the nearest fact on either side; the earlier wins ties.
+
+    As two ``asof`` of both directions, but both run in one deal of facts and queries.
+    """
+    both = _dealt(queries, facts, width)
+    inside = lambda forward: Window.partitionBy("track_id", "cell").orderBy(*_order(False, forward)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_b", F.last("f", ignorenulls=True).over(inside(False))).withColumn("_f", F.last("f", ignorenulls=True).over(inside(True)))
+    found = both.where("is_q").join(_carried(both, ["back", "forward"]), ["track_id", "cell"])
+    b, f = F.coalesce("_b", "back"), F.coalesce("_f", "forward")
+    found = found.select("q", "t", b.alias("_b"), f.alias("_f"))
     before = F.col("_f").isNull() | (F.col("t") - F.col("_b.ft") <= F.col("_f.ft") - F.col("t"))
-    return both.withColumn(name, F.when(F.col("_b").isNotNull() & before, F.col("_b")).otherwise(F.col("_f"))).drop("_b", "_f")
+    return found.select("q.*", F.when(F.col("_b").isNotNull() & before, F.col("_b")).otherwise(F.col("_f")).alias(name))
 
 
 def band(left: DataFrame, right: DataFrame, tol: float) -> DataFrame:

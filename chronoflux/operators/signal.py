@@ -96,12 +96,20 @@ def beat_support(frames: DataFrame) -> DataFrame:
 
 
 def autocorrelation(frames: DataFrame, lags: range) -> DataFrame:
-    """Mean-removed cosine of each series with itself ``lag`` frames on, by a join a lag."""
+    """Mean-removed cosine of each series with itself ``lag`` frames on.
+
+    All lags come from one sorted pass: a frame of the window per lag, which holds
+    the row with exactly that number or none.
+    """
     mean = frames.groupBy("track_id").agg(F.avg("x").alias("mu"))
-    rows = frames.join(mean, "track_id").select("track_id", "frame", (F.col("x") - F.col("mu")).alias("y"))
-    left = rows.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("frame", F.col("frame") + F.col("lag"))
-    both = left.join(rows.withColumnRenamed("y", "z"), ["track_id", "frame"])
-    return both.groupBy("track_id", "lag").agg((F.sum(F.col("y") * F.col("z")) / F.sqrt(F.sum(F.col("y") * F.col("y")) * F.sum(F.col("z") * F.col("z")))).alias("r"))
+    rows = frames.join(mean, "track_id").select("track_id", F.col("frame").cast("long").alias("frame"), (F.col("x") - F.col("mu")).alias("y"))
+    rows = rows.select("track_id", "y", *[F.first("y").over(_w().rangeBetween(-k, -k)).alias(f"y{k}") for k in lags])
+    both = lambda k, a, b: F.sum(F.when(F.col(f"y{k}").isNotNull(), F.col(a) * F.col(b)))
+    each = [(both(k, "y", f"y{k}") / F.sqrt(both(k, "y", "y") * both(k, f"y{k}", f"y{k}"))).alias(f"r{k}") for k in lags]
+    some = [F.count(f"y{k}").alias(f"n{k}") for k in lags]
+    sums = rows.groupBy("track_id").agg(*each, *some)
+    stacked = F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n")) for k in lags]))
+    return sums.select("track_id", stacked).where("n > 0").drop("n")
 
 
 def local_threshold(frames: DataFrame, half: int = 32, k: float = 3.0, floor: float = 0.1) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoflux.functions.columns import clip
+from chronoflux.functions.columns import clip, linear_kernel
 
 from . import joins
 from .folds import fold
@@ -367,3 +367,64 @@ def tempo_segments(beats: DataFrame, duration: DataFrame | None = None) -> DataF
         return [(n, x["t0"], x["t1"], 2.0 ** float(np.median(x["y"])), round(x["sum"] / x["scored"], 4) if x["scored"] else None) for n, x in enumerate(done, 1)]
 
     return fold(rows, ["track_id"], ["i"], "n long, t0 double, t1 double, bpm double, score double", list, step, finish)
+
+
+#: Fixed values of a beat's refinement: window and least gap in periods, weights of onset and support, cost of a period's move, gain it takes, reach of an onset.
+WINDOW, LEAST_GAP, BY_ONSET, BY_SUPPORT, MOVE, MARGIN, CLOSE = 0.25, 0.25, 1.0, 0.6, 0.8, 0.15, 0.05
+
+
+def refine_beats(beats: DataFrame, onsets: DataFrame, support: DataFrame | None, rate: float, close: float = CLOSE) -> DataFrame:
+    """``track_id, i, original, chosen, moved, reason, score, margin``: what became of each beat ``(track_id, t)``, in order.
+
+    A beat may stay, go to an onset, or go to the highest ``support(track_id, frame, x)``
+    (``rate`` frames a unit), each within ``WINDOW`` periods; its period is the mean of both
+    intervals, the one there is at an end.  A place scores ``BY_ONSET`` times the nearness
+    of an onset (1 there, 0 from ``close`` on), ``BY_SUPPORT`` times the support, less ``MOVE`` a
+    period of way.  The best place (first of equal ones: the beat, onsets in order, the
+    peak) is taken if it gains ``MARGIN`` and keeps ``LEAST_GAP`` periods to the beat before, as
+    it is now, and to the next one.  ``reason``: moved, stay, no-local-period,
+    too-few-beats.  One pass over a track's beats keeps the last one.
+    """
+    w = Window.partitionBy("track_id").orderBy("t")
+    rows = beats.where("t IS NOT NULL").select("track_id", F.col("t").cast("double").alias("t"))
+    left, right = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t")
+    rows = rows.select("track_id", (F.row_number().over(w).cast("long") - 1).alias("i"), "t", F.lead("t").over(w).alias("next"), F.greatest(F.coalesce((left + right) / 2, left, right, F.lit(0.0)), F.lit(0.0)).alias("period"), (left.isNull() & right.isNull()).alias("alone"))
+    rows = rows.withColumn("reach", F.col("period") * WINDOW)
+    most = rows.agg(F.max("reach")).first()[0] or 0.0
+    places = rows.select("track_id", "i", F.lit(0).alias("rank"), F.col("t").alias("at"), "t", "period")
+    if most > 0:
+        q = rows.select("track_id", F.col("i").alias("id"), "t")
+        onset = onsets.where("t IS NOT NULL").select("track_id", F.col("t").alias("id"), "t")
+        near = joins.band(q, onset, most).select("track_id", F.col("id").alias("i"), F.col("other_t").alias("at")).distinct()
+        near = near.join(rows.select("track_id", "i", "t", "period", "reach"), ["track_id", "i"]).where(F.abs(F.col("at") - F.col("t")) <= F.col("reach"))
+        places = places.unionByName(near.select("track_id", "i", F.lit(1).alias("rank"), "at", "t", "period"))
+    if support is not None:
+        frames = support.groupBy("track_id", F.col("frame").cast("long").alias("frame")).agg(F.max("x").alias("x"))
+        last = frames.groupBy("track_id").agg(F.max("frame").alias("last"))
+        low, high = F.bround((F.col("t") - F.col("reach")) * rate).cast("long"), F.bround((F.col("t") + F.col("reach")) * rate).cast("long")
+        window = rows.where("period > 0").join(last, "track_id").select("track_id", "i", "t", "period", F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.col("last")).alias("high")).where("low <= high")
+        peak = window.select("track_id", "i", "t", "period", F.explode(F.sequence("low", "high")).alias("frame")).join(frames, ["track_id", "frame"])
+        peak = peak.groupBy("track_id", "i", "t", "period").agg(F.max_by("frame", F.struct("x", -F.col("frame"))).alias("frame"))
+        places = places.unionByName(peak.select("track_id", "i", F.lit(2).alias("rank"), (F.col("frame") / rate).alias("at"), "t", "period"))
+    asked = joins.nearest(places.select("track_id", "i", "rank", "t", "period", F.col("at").alias("place")).withColumnRenamed("t", "own").withColumnRenamed("place", "t"), onsets.where("t IS NOT NULL").select("track_id", "t"), "o")
+    asked = asked.select("track_id", "i", "rank", F.col("t").alias("at"), "own", "period", F.coalesce(linear_kernel(F.col("o.ft") - F.col("t"), close), F.lit(0.0)).alias("onset"))
+    if support is not None:
+        asked = asked.withColumn("frame", F.bround(F.col("at") * rate).cast("long")).join(frames, ["track_id", "frame"], "left")
+    evidence = BY_ONSET * F.col("onset") + (BY_SUPPORT * F.coalesce("x", F.lit(0.0)) if support is not None else 0.0)
+    scored = asked.where("period > 0").withColumn("score", evidence - MOVE * F.abs(F.col("at") - F.col("own")) / F.col("period"))
+    best = scored.groupBy("track_id", "i").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank", "at")).alias("b"), F.max(F.when(F.col("rank") == 0, F.col("score"))).alias("stay"))
+    found = rows.join(best, ["track_id", "i"], "left").select("track_id", "i", "t", "next", "period", "alone", F.col("b.at").alias("at"), (-F.col("b.s")).alias("score"), (-F.col("b.s") - F.col("stay")).alias("margin"))
+
+    def step(last: list, i: int, t: float, following: float | None, period: float, alone: bool, at: float | None, score: float | None, margin: float | None) -> list[tuple]:
+        chosen, reason = t, "stay"
+        if alone or not period > 0:
+            reason, score, margin = "too-few-beats" if alone else "no-local-period", 0.0, 0.0
+        else:
+            gap = LEAST_GAP * period
+            fits = (last[0] is None or at >= last[0] + gap) and (following is None or at <= following - gap)
+            if margin >= MARGIN and fits and at != t:
+                chosen, reason = at, "moved"
+        last[0] = chosen
+        return [(i, t, chosen, chosen != t, reason, score, margin)]
+
+    return fold(found, ["track_id"], ["i"], "i long, original double, chosen double, moved boolean, reason string, score double, margin double", lambda: [None], step)

@@ -118,3 +118,59 @@ def subframe_visits(cuts: DataFrame, fps: float) -> DataFrame:
     """Cuts that end before a frame at ``fps`` shows them."""
     rows = cuts.withColumn("end", F.lead("t").over(_by("t", "id")))
     return rows.where(F.ceil(F.col("end") * fps) <= F.ceil(F.col("t") * fps)).drop("end")
+
+
+def _on_grid(rows: DataFrame, beats: DataFrame) -> DataFrame:
+    """``rows(track_id, name, t, beats_on)`` with ``t`` moved by ``beats_on`` beats of the real grid, ends going on at their interval."""
+    w = Window.partitionBy("track_id").orderBy("t")
+    spans = beats.select("track_id", "t", (F.row_number().over(w).cast("long") - 1).alias("b"), F.lead("t").over(w).alias("next")).where("next IS NOT NULL")
+    first = spans.where("b = 0").select("track_id", F.struct(F.col("t").alias("ft"), "b", "next").alias("first"))
+    last = spans.groupBy("track_id").agg(F.max("b").alias("most"))
+    found = joins.asof(rows, spans, "s").join(first, "track_id", "left").join(last, "track_id", "left").withColumn("s", F.coalesce("s", "first"))
+    place = F.col("s.b") + (F.col("t") - F.col("s.ft")) / (F.col("s.next") - F.col("s.ft")) + F.col("beats_on")
+    found = found.withColumn("place", place).withColumn("b", F.greatest(F.lit(0), F.least(F.floor("place"), F.col("most"))))
+    to = spans.select("track_id", "b", F.col("t").alias("t0"), F.col("next").alias("t1"))
+    moved = found.drop("s", "first").join(to, ["track_id", "b"], "left")
+    return moved.withColumn("t", F.when(F.col("beats_on") == 0, F.col("t")).otherwise(F.col("t0") + (F.col("place") - F.col("b")) * (F.col("t1") - F.col("t0")))).select(*rows.columns)
+
+
+def resolve_anchors(anchors: DataFrame, beats: DataFrame, onsets: DataFrame, deepest: int = 64) -> DataFrame:
+    """``track_id, name, t, status``: times of named anchors.
+
+    ``anchors(track_id, name, seconds, beat, onset, moment, offset, offset_beats)``: exactly one of
+    a time, a beat's index, an onset's id and another anchor's name, moved by
+    ``offset_beats`` beats of the grid and then by ``offset``.  ``status`` is ok; invalid (none or
+    several of the four, or an offset that is not finite, or beats without a grid of
+    two); unknown (no such beat, onset or name, or one that failed); cyclic (names
+    that lead back, or deeper than ``deepest``).  Names are taken level by level: each round
+    joins those whose anchor the last one resolved, so rounds are as many as levels.
+    """
+    of = [F.col(c).isNotNull().cast("int") for c in ("seconds", "beat", "onset", "moment")]
+    fine = lambda c: F.col(c).isNull() | ~(F.isnan(c) | (F.abs(c) == float("inf")))
+    rows = anchors.withColumn("beats_on", F.coalesce(F.col("offset_beats").cast("double"), F.lit(0.0))).withColumn("later", F.coalesce(F.col("offset").cast("double"), F.lit(0.0)))
+    rows = rows.withColumn("valid", (sum(of[1:], of[0]) == 1) & fine("beats_on") & fine("later") & F.coalesce(fine("seconds"), F.lit(True))).persist()
+    number = beats.select("track_id", "t", (F.row_number().over(Window.partitionBy("track_id").orderBy("t")).cast("long") - 1).alias("beat"))
+    own = rows.where("valid AND moment IS NULL").join(number.withColumnRenamed("t", "beat_t"), ["track_id", "beat"], "left").join(onsets.select("track_id", F.col("id").alias("onset"), F.col("t").alias("onset_t")), ["track_id", "onset"], "left")
+    own = own.select("track_id", "name", F.coalesce(F.col("seconds").cast("double"), "beat_t", "onset_t").alias("t"), "beats_on", "later")
+
+    def moved(found: DataFrame) -> DataFrame:
+        shifted = _on_grid(found.where("t IS NOT NULL").select("track_id", "name", "t", "beats_on", "later"), beats)
+        done = shifted.select("track_id", "name", (F.col("t") + F.col("later")).alias("t"), F.when(F.col("t").isNull(), "invalid").otherwise("ok").alias("status"))
+        return done.unionByName(found.where("t IS NULL").select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("unknown").alias("status")))
+
+    level = moved(own).unionByName(rows.where("NOT valid").select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("invalid").alias("status")))
+    pending = rows.where("valid AND moment IS NOT NULL").select("track_id", "name", "moment", "beats_on", "later")
+    nowhere = pending.join(rows.select("track_id", F.col("name").alias("moment")), ["track_id", "moment"], "left_anti")
+    level = level.unionByName(nowhere.select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("unknown").alias("status"))).persist()
+    levels = [level]
+    for _ in range(deepest):
+        parents = level.select("track_id", F.col("name").alias("moment"), F.col("t"))
+        level = moved(pending.join(parents, ["track_id", "moment"]).select("track_id", "name", "t", "beats_on", "later")).persist()
+        if not level.head(1):
+            break
+        levels.append(level)
+    done = levels[0]
+    for level in levels[1:]:
+        done = done.unionByName(level)
+    rest = rows.select("track_id", "name").join(done.select("track_id", "name"), ["track_id", "name"], "left_anti")
+    return done.unionByName(rest.select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("cyclic").alias("status")))

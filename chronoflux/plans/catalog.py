@@ -243,4 +243,4 @@ _add("m3_match_by_distance", lambda s, d: _r(matching.match(_kind(s, d, "click")
 _add("n8_suppress_close", lambda s, d: matching.suppress_close(signal.peaks(t.frames(s, d), 3.0).select("track_id", F.col("frame").cast("double").alias("t"), "x"), 4.0))
 _add("c1_collapse_simultaneous", lambda s, d: _r(matching.collapse_simultaneous(t.onsets(s, d), 0.1), "t"))
 
-from chronoflux.plans import corpora, forms, grids, records, scores  # noqa: E402, F401  (they register their own)
+from chronoflux.plans import corpora, extract, forms, grids, learned, moments, records, scores, shapes  # noqa: E402, F401  (they register their own)
