@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoflux.functions.columns import clip
+from chronoflux.sources.store import stored
 
 from . import joins
 from .folds import fold
@@ -240,22 +241,24 @@ def scaled(curve: DataFrame) -> DataFrame:
     return curve.select("track_id", "bar", F.when(high - low < 1e-12, 0.0).otherwise((F.col("novelty") - low) / (high - low)).alias("novelty"))
 
 
-def view_boundaries(views: dict[str, DataFrame], bars: DataFrame, weights: dict[str, float], kernels: tuple[int, int] = (4, 8), least: float = 0.2, edge: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The band of combined similarities, and boundaries ``track_id, bar, novelty, drivers``.
-
-    Views are combined by weight; each kernel's curve over the combined band is scaled
-    where the largest kernel fits, and their mean is the novelty.  A boundary is one of
-    ``boundary_candidates`` at least ``edge`` bars from both ends at which the raw curve of
-    the first kernel of some view reaches ``least``; ``drivers`` maps each view to its scaled
-    curve there.
-    """
-    reach, half = MOST, max(kernels) // 2
-    bands = {name: similar_within(view, reach) for name, view in views.items()}
+def combined_bands(bands: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """``combined`` of the bands of several views."""
     union = None
     for name, band in bands.items():
         own = band.withColumn("view", F.lit(name))
         union = own if union is None else union.unionByName(own)
-    band = combined(union, weights)
+    return combined(union, weights)
+
+
+def view_boundaries(band: DataFrame, bands: dict[str, DataFrame], bars: DataFrame, kernels: tuple[int, int] = (4, 8), least: float = 0.2, edge: int = 2) -> DataFrame:
+    """Boundaries ``track_id, bar, novelty, drivers`` of the combined ``band`` of the views' ``bands``.
+
+    Each kernel's curve over the combined band is scaled where the largest kernel fits,
+    and their mean is the novelty.  A boundary is one of ``boundary_candidates`` at least
+    ``edge`` bars from both ends at which the raw curve of the first kernel of some view
+    reaches ``least``; ``drivers`` maps each view to its scaled curve there.
+    """
+    half = max(kernels) // 2
     inside = lambda rows: rows.join(bars, "track_id").where((F.col("bar") - 1 >= half) & (F.col("bar") - 1 <= F.col("bars") - half)).drop("bars")
     curves = None
     for k in kernels:
@@ -263,15 +266,16 @@ def view_boundaries(views: dict[str, DataFrame], bars: DataFrame, weights: dict[
         curves = own if curves is None else curves.unionByName(own)
     mean = curves.groupBy("track_id", "bar").agg((F.sum("novelty") / len(kernels)).alias("novelty"))
     mean = mean.join(bars, "track_id").where((F.col("bar") - 1 >= edge) & (F.col("bar") - 1 <= F.col("bars") - edge)).drop("bars")
-    drivers = None
+    raw = None
     for name, own in bands.items():
-        raw = inside(checkerboard(own, bars, kernels[0]))
-        own = raw.join(scaled(raw).withColumnRenamed("novelty", "scaled"), ["track_id", "bar"]).withColumn("view", F.lit(name))
-        drivers = own if drivers is None else drivers.unionByName(own)
+        curve = inside(checkerboard(own, bars, kernels[0])).withColumn("view", F.lit(name))
+        raw = curve if raw is None else raw.unionByName(curve)
+    w = Window.partitionBy("track_id", "view")
+    low, high = F.min("novelty").over(w), F.max("novelty").over(w)
+    drivers = raw.withColumn("scaled", F.when(high - low < 1e-12, 0.0).otherwise((F.col("novelty") - low) / (high - low)))
     strong = drivers.groupBy("track_id", "bar").agg(F.max("novelty").alias("top"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", F.round("scaled", 4).alias("scaled"))))).alias("drivers"))
-    found = boundary_candidates(mean, driven=strong.where(F.col("top") >= least).select("track_id", "bar"))
-    found = found.join(strong, ["track_id", "bar"]).select("track_id", "bar", F.round("novelty", 4).alias("novelty"), "drivers")
-    return band, found
+    found = boundary_candidates(stored(mean), driven=strong.where(F.col("top") >= least).select("track_id", "bar"))
+    return found.join(strong, ["track_id", "bar"]).select("track_id", "bar", F.round("novelty", 4).alias("novelty"), "drivers")
 
 
 def segment_similarity(segments: DataFrame, view: DataFrame, positions: int = 8) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoflux.sources.store import stored
+
 from . import joins, query
 
 
@@ -148,7 +150,8 @@ def resolve_anchors(anchors: DataFrame, beats: DataFrame, onsets: DataFrame, dee
     of = [F.col(c).isNotNull().cast("int") for c in ("seconds", "beat", "onset", "moment")]
     fine = lambda c: F.col(c).isNull() | ~(F.isnan(c) | (F.abs(c) == float("inf")))
     rows = anchors.withColumn("beats_on", F.coalesce(F.col("offset_beats").cast("double"), F.lit(0.0))).withColumn("later", F.coalesce(F.col("offset").cast("double"), F.lit(0.0)))
-    rows = rows.withColumn("valid", (sum(of[1:], of[0]) == 1) & fine("beats_on") & fine("later") & F.coalesce(fine("seconds"), F.lit(True))).persist()
+    rows = stored(rows.select("track_id", "name", "seconds", "beat", "onset", "moment", "beats_on", "later", (sum(of[1:], of[0]) == 1).alias("one")))
+    rows = rows.withColumn("valid", F.col("one") & fine("beats_on") & fine("later") & F.coalesce(fine("seconds"), F.lit(True)))
     number = beats.select("track_id", "t", (F.row_number().over(Window.partitionBy("track_id").orderBy("t")).cast("long") - 1).alias("beat"))
     own = rows.where("valid AND moment IS NULL").join(number.withColumnRenamed("t", "beat_t"), ["track_id", "beat"], "left").join(onsets.select("track_id", F.col("id").alias("onset"), F.col("t").alias("onset_t")), ["track_id", "onset"], "left")
     own = own.select("track_id", "name", F.coalesce(F.col("seconds").cast("double"), "beat_t", "onset_t").alias("t"), "beats_on", "later")
@@ -161,11 +164,13 @@ def resolve_anchors(anchors: DataFrame, beats: DataFrame, onsets: DataFrame, dee
     level = moved(own).unionByName(rows.where("NOT valid").select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("invalid").alias("status")))
     pending = rows.where("valid AND moment IS NOT NULL").select("track_id", "name", "moment", "beats_on", "later")
     nowhere = pending.join(rows.select("track_id", F.col("name").alias("moment")), ["track_id", "moment"], "left_anti")
-    level = level.unionByName(nowhere.select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("unknown").alias("status"))).persist()
+    level = stored(level.unionByName(nowhere.select("track_id", "name", F.lit(None).cast("double").alias("t"), F.lit("unknown").alias("status"))))
+    pending, beats = stored(pending), stored(beats.select("track_id", "t"))
     levels = [level]
     for _ in range(deepest):
         parents = level.select("track_id", F.col("name").alias("moment"), F.col("t"))
-        level = moved(pending.join(parents, ["track_id", "moment"]).select("track_id", "name", "t", "beats_on", "later")).persist()
+        level = moved(pending.join(parents, ["track_id", "moment"]).select("track_id", "name", "t", "beats_on", "later"))
+        level = stored(level)
         if not level.head(1):
             break
         levels.append(level)

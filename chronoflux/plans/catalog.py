@@ -18,7 +18,9 @@ ORACLES: dict[str, str] = {}
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
-        ORACLES[name] = f"WITH {t.SQL.strip()}\n{sql}" if not sql.lstrip().startswith("WITH") else f"WITH {t.SQL.strip()},\n{sql.lstrip()[4:]}"
+        own = sql.lstrip()
+        head = next((h for h in ("WITH RECURSIVE", "WITH") if own.startswith(h)), "")
+        ORACLES[name] = f"{head or 'WITH'} {t.SQL.strip()},\n{own[len(head):].lstrip()}" if head else f"WITH {t.SQL.strip()}\n{sql}"
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
