@@ -90,3 +90,48 @@ def _stream_matches(s: SparkSession, d: str) -> DataFrame:
 
 _add("st4_first_copies", _first_copies, "SELECT count(DISTINCT event_id % 5000) AS n, count(DISTINCT event_id % 5000) AS keys FROM events")
 _add("st7_stream_matches", _stream_matches, "SELECT a.event_id AS id, b.event_id AS other_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 1800000000")
+
+
+def _activity(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    us = F.unix_micros("ts") - 1704067200000000
+    return activity.source(s, f"{d}/events.parquet").select(F.col("user_id").alias("track_id"), "event_id", "ts", (us / 3.6e10).alias("t"))
+
+
+def _gap_sessions(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    return activity.drained(activity.capped_sessions(_activity(s, d), 4 * 3600, 1e9, "2 days"), "append")
+
+
+def _capped_sessions(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    return activity.drained(activity.capped_sessions(_activity(s, d), 12 * 3600, 24 * 3600, "2 days"), "append")
+
+
+def _upserted(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    return activity.upserted(_activity(s, d).select("track_id", "event_id", "ts"), ["track_id"], "ts").select("track_id", "event_id")
+
+
+def _on_beats(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    return activity.drained(activity.on_beats(_activity(s, d).select("track_id", "event_id", "t"), t.pulses(s, d).select("track_id", "t"), 1e3).select("event_id", F.round("beat", 6).alias("beat")), "append")
+
+
+def _late(s: SparkSession, d: str) -> DataFrame:
+    from chronoflux.streaming import activity
+
+    kept, late = activity.split_late(_activity(s, d).select("track_id", "event_id", "ts"), "10 days")
+    return kept.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+_add("st3_gap_sessions", _gap_sessions, "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 4 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM a), c AS (SELECT user_id, run, min(ts) AS a, max(ts) AS z, count(*) AS n, run = max(run) OVER (PARTITION BY user_id) AS last FROM b GROUP BY user_id, run) SELECT user_id AS track_id, epoch_us(a) / 1e6 AS start, n FROM c WHERE NOT last OR z + INTERVAL 4 HOURS < (SELECT max(ts) FROM events) - INTERVAL 2 DAYS")
+_add("st3_capped_sessions", _capped_sessions)
+_add("st5_upserted", _upserted, "SELECT user_id AS track_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+_add("st6_on_beats", _on_beats, "WITH p AS (SELECT track_id, t, coalesce(lead(t) OVER (PARTITION BY track_id ORDER BY t), t + 1000) AS n FROM pulses) SELECT o.id AS event_id, round(p.t, 6) AS beat FROM onsets o JOIN p ON o.track_id = p.track_id AND o.t >= p.t AND o.t < p.n")
+_add("st8_late_rows", _late, "SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAYS AS late FROM events")

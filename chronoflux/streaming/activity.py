@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -45,33 +45,59 @@ def matches(left: DataFrame, right: DataFrame, key: str, tol: str, late: str = "
     return a.join(b, near).select("id", "other_id")
 
 
-def capped_sessions(events: DataFrame, gap: int, longest: int, late: str = "1 hour") -> DataFrame:
+class Sessions(StatefulProcessor):
+    """A session a key, ``start, last, n`` in microseconds; told when the next begins or its timer is up."""
+
+    def __init__(self, gap: int, longest: int) -> None:
+        self.gap, self.longest = gap, longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "start long, last long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        start, last, n = self.session.get() if self.session.exists() else (0, 0, 0)
+        timer, done = last + self.gap, []
+        for us in sorted(int(x) for frame in rows for x in frame["us"]):
+            if n and us < start - self.gap:  # a late row too far before the open session is one of its own
+                done.append((us, 1))
+                continue
+            if n and us >= last and (us - last > self.gap or us - start > self.longest):
+                done.append((start, n))
+                n = 0
+            start, last, n = (min(start, us), max(last, us), n + 1) if n else (us, us, 1)
+        if self.session.exists():
+            self.handle.deleteTimer(timer // 1000 + 1)
+        self.session.update((start, last, n))
+        self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        yield self._told(key, done)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        start, _, n = self.session.get()
+        self.session.clear()
+        yield self._told(key, [(start, n)])
+
+    def _told(self, key: tuple, done: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"track_id": [key[0]] * len(done), "start": [x[0] / 1e6 for x in done], "n": [x[1] for x in done]}).astype({"track_id": "int64", "start": "float64", "n": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def capped_sessions(events: DataFrame, gap: float, longest: float, late: str = "1 hour") -> DataFrame:
     """``track_id, start, n``: sessions that end after ``gap`` seconds of silence or ``longest`` seconds from their start.
 
-    State is a session a track: start, last time, count.  A session is told when the
-    next one begins, or once the watermark is past its gap.  Rows of one track are taken
-    in order of time within a batch, and later ones must not come before them.
+    Keyed state with a timer per open session, in microseconds; it is told when the
+    next one begins, or once the watermark is past its gap.  Rows of one batch are
+    taken in order of time.  A row of a later batch from before the last one counts in
+    the open session if it is no more than ``gap`` before its start, else it is a
+    session of its own: what has been told stays.  Needs the RocksDB state store, which
+    is set for the session.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (0, 0, 0)
-        done = []
-        for batch in batches:
-            for ts in sorted(int(x.timestamp() * 1000) for x in batch["ts"]):
-                if n and (ts - last > gap * 1000 or ts - start > longest * 1000):
-                    done.append((start, n))
-                    n = 0
-                start, last, n = (start if n else ts), ts, n + 1
-        if state.hasTimedOut:
-            done.append((start, n))
-            state.remove()
-        else:
-            state.update((start, last, n))
-            state.setTimeoutTimestamp(max(last + gap * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"track_id": [key[0]] * len(done), "start": [x[0] / 1000 for x in done], "n": [x[1] for x in done]})
-
-    rows = events.withWatermark("ts", late).select("track_id", "ts")
-    return rows.groupBy("track_id").applyInPandasWithState(step, "track_id long, start double, n long", "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.withWatermark("ts", late).select("track_id", "ts", F.unix_micros("ts").alias("us"))
+    keyed = rows.groupBy(F.col("track_id").cast("long").alias("track_id"))
+    return keyed.transformWithStateInPandas(Sessions(round(gap * 1e6), round(longest * 1e6)), "track_id long, start double, n long", "Append", "EventTime")
 
 
 def on_beats(events: DataFrame, beats: DataFrame, width: float) -> DataFrame:
@@ -115,20 +141,54 @@ def _with_late(events: DataFrame) -> str:
     return ", ".join(f"`{n}` {k}" for n, k in [*events.dtypes, ("late", "boolean")])
 
 
-def upserted(events: DataFrame, keys: list[str], newest: str) -> DataFrame:
-    """The newest row of every key over all batches: each batch is merged into a table of its own version."""
-    spark, path = events.sparkSession, _home(events.sparkSession)
-    order = Window.partitionBy(*keys).orderBy(F.desc(newest))
-    last = {"n": -1}
+#: Parts of an upserted table.
+BUCKETS = 16
+
+
+def upserted(events: DataFrame, keys: list[str], newest: str, path: str | None = None) -> DataFrame:
+    """The newest row of every key over all batches; of rows as new as each other the greatest, column by column.
+
+    The table is kept in ``BUCKETS`` parts by a hash of the keys.  A batch rewrites the
+    parts it has rows for, as a version numbered like the batch, and then says so in a
+    log: readers take the latest version of each part that the log names.  So a batch
+    that is run again after a failure gives the same table, and with the same ``path`` a
+    new run goes on where the last one stopped.
+    """
+    spark, path = events.sparkSession, path or _home(events.sparkSession)
+    rest = F.struct(*[F.col(c) for c in events.columns if c not in (*keys, newest)])
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(newest), rest.desc())
 
     def write(batch: DataFrame, n: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{last['n']}") if last["n"] >= 0 else batch.limit(0)
-        rows = old.unionByName(batch).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-        rows.write.mode("overwrite").parquet(f"{path}/v{n}")
-        last["n"] = n
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        touched = {r["bucket"] for r in dealt.select("bucket").distinct().collect()}  # BUCKETS at most
+        versions = {b: v for b, v in _versions(spark, path, n).items() if b in touched}
+        old = _parts(spark, path, batch, versions).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        rows = old.unionByName(dealt).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        rows.withColumn("version", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{path}/parts")
+        spark.createDataFrame([(b, n) for b in sorted(touched)], "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/batch={n}")
 
     events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{path}/v{last['n']}") if last["n"] >= 0 else spark.createDataFrame([], events.schema)
+    return _parts(spark, path, events, _versions(spark, path, None))
+
+
+def _versions(spark: SparkSession, path: str, before: int | None) -> dict[int, int]:
+    """Latest version of each part in the log, of batches before ``before`` if given."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    rows = spark.read.schema("bucket int, version long, batch long").parquet(f"{path}/log")
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    return {r["bucket"]: r["v"] for r in rows.groupBy("bucket").agg(F.max("version").alias("v")).collect()}  # BUCKETS at most
+
+
+def _parts(spark: SparkSession, path: str, like: DataFrame, versions: dict[int, int]) -> DataFrame:
+    if not versions:
+        return spark.createDataFrame([], like.schema)
+    chosen = F.lit(False)
+    for bucket, version in versions.items():
+        chosen = chosen | ((F.col("bucket") == bucket) & (F.col("version") == version))  # prunes folders
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*like.dtypes, ("bucket", "int"), ("version", "bigint")])
+    return spark.read.schema(schema).parquet(f"{path}/parts").where(chosen).select(*like.columns)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

@@ -301,3 +301,27 @@ def test_late_rows_upserts_and_stored_beats(spark, tmp_path):
     beats = spark.createDataFrame([(k, float(b)) for k in (0, 1) for b in range(0, 9, 3)], "track_id long, t double")
     out = activity.drained(activity.on_beats(_stream(spark, f"{tmp_path}/c", rows), beats, 3.0), "append").collect()
     assert sorted((r["event_id"], r["beat"]) for r in out) == sorted((i, 3.0 * (int(i) // 3)) for i in range(7))
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Two runs over one folder and one checkpoint: upserts meet the table of the first, ties go to the greatest row."""
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    first = [(i, start + dt.timedelta(hours=h), i % 3, float(i)) for i, h in enumerate([5, 1, 9, 2, 9])]
+    second = [(10, start + dt.timedelta(hours=7), 0, 1.0), (11, start + dt.timedelta(hours=9), 2, 9.0), (12, start, 1, 0.0), (13, start, 7, 0.0)]
+    spark.createDataFrame(first, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    stream = lambda: spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in/*")
+    seen = lambda: {r["track_id"]: r["event_id"] for r in activity.upserted(stream(), ["track_id"], "ts", f"{tmp_path}/store").collect()}
+    assert seen() == {0: 0, 1: 4, 2: 2}
+    spark.createDataFrame(second, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    assert seen() == {0: 10, 1: 4, 2: 11, 7: 13}
+    assert seen() == {0: 10, 1: 4, 2: 11, 7: 13}  # nothing new
+
+
+def test_sessions_of_several_batches_keep_late_rows(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda i, s: (i, start + dt.timedelta(seconds=s), 0, 0.0)
+    for n, rows in enumerate(([at(0, 100.0), at(1, 110.25)], [at(2, 95.0), at(3, 112.0)], [at(4, 10.0), at(5, 500.0)])):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = sorted((r["start"] - start.timestamp(), r["n"]) for r in activity.drained(activity.capped_sessions(stream, 20, 60), "append").collect())
+    assert got == [(10.0, 1), (95.0, 4)]
