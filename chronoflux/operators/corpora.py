@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins
+from .evidence import hash_ranked
 from .folds import fold
 
 
@@ -159,12 +160,18 @@ def license_gate(rows: DataFrame, allowed: list[str]) -> DataFrame:
 def manifest_split(rows: DataFrame, group: str, key: str, every: int = 5) -> DataFrame:
     """``key, place, split``: round-robin over groups by SHA-256 of the key; each ``every``-th row is test.
 
-    Places come from counts per turn, so no task orders all rows.
+    Ranks in a group come from cells of hashes; the rows of earlier turns are the sum of
+    all groups' sizes, each at most the turns so far, which bends only at a size: a row a
+    size is looked up as of the turn.  So no task orders all rows or all turns.
     """
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(F.sha2(F.col(key).cast("string"), 256)))
-    turns = rows.select(key, group, turn.alias("turn"))
-    counts = turns.groupBy("turn").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.sum("c").over(Window.orderBy("turn")) - F.col("c")).drop("c")  # a row per turn
+    turns = hash_ranked(rows.select(key, group), group, key).select(key, group, F.col("r").alias("turn"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))  # a row a size
+    total = sizes.agg(F.sum("c")).first()[0] or 0
+    up = Window.orderBy("n")
+    bends = sizes.select(F.lit(0).alias("track_id"), F.col("n").cast("double").alias("t"), F.sum(F.col("n") * F.col("c")).over(up).alias("full"), F.sum("c").over(up).alias("done"))
+    asked = turns.select("turn").distinct().select(F.lit(0).alias("track_id"), (F.col("turn") - 1).cast("double").alias("t"), "turn")
+    found = joins.asof(asked, bends, "b", width=4096.0)
+    before = found.select("turn", (F.coalesce("b.full", F.lit(0)) + (total - F.coalesce("b.done", F.lit(0))) * (F.col("turn") - 1)).alias("before"))
     place = F.col("before") + F.row_number().over(Window.partitionBy("turn").orderBy(group))
     out = turns.join(before, "turn").select(key, place.alias("place"))
     return out.withColumn("split", F.when((F.col("place") - 1) % every == 0, "test").otherwise("train"))
@@ -256,11 +263,24 @@ def repetition_rules(repetitions: DataFrame, segments: DataFrame) -> DataFrame:
     return few.unionByName(_told(one, F.concat_ws("/", "r", "n"), {"unknown": F.col("family").isNull(), "family": F.col("family") != F.col("own"), "claimed": F.col("claims") > 1}))
 
 
-def forbidden_keys(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """JSON texts with a key among ``names`` at any depth: ``track_id, rule, detail``."""
-    pattern = '"(' + "|".join(names) + r')"\s*:'
-    found = rows.select("track_id", F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(pattern), F.lit(1)))).alias("key"))
-    return found.select("track_id", F.lit("forbidden").alias("rule"), F.col("key").alias("detail"))
+def forbidden_keys(rows: DataFrame, column: str, names: list[str], deepest: int = 64) -> DataFrame:
+    """JSON texts with a key among ``names`` at any depth: ``track_id, rule, detail``, a row a key.
+
+    Texts are parsed; each round walks one level down all objects and lists, until
+    nothing nested is left (``deepest`` at most), so a key inside a string is none.  Null
+    and broken texts have no keys.
+    """
+    tvf = rows.sparkSession.tvf
+    level = rows.select("track_id", F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
+    found = None
+    for _ in range(deepest):
+        walked = level.lateralJoin(tvf.variant_explode(F.col("v").outer())).select("track_id", "key", "value").persist()
+        own = walked.where(F.col("key").isin(names)).select("track_id", "key")
+        found = own if found is None else found.unionByName(own)
+        level = walked.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select("track_id", F.col("value").alias("v"))
+        if not level.head(1):
+            break
+    return found.distinct().select("track_id", F.lit("forbidden").alias("rule"), F.col("key").alias("detail"))
 
 
 def evidence_rules(evidence: DataFrame, onsets: DataFrame) -> DataFrame:

@@ -10,13 +10,86 @@ from chronoflux.functions.columns import clip
 from . import joins
 
 
-def local_view(onsets: DataFrame, radius: float = 2.0) -> DataFrame:
-    """``midrank, contrast, density`` among the onsets at most ``radius`` away, both ends in."""
+def _local(onsets: DataFrame, columns: list[str], radius: float, duration: DataFrame | None) -> DataFrame:
+    """``track_id, id, n, density`` and ``rank_c, contrast_c`` of each column c among the onsets at most ``radius`` away, both ends in.
+
+    One window serves all columns, each as one sorted array a row.
+    """
     frame = f"OVER (PARTITION BY track_id ORDER BY t RANGE BETWEEN {radius}D PRECEDING AND {radius}D FOLLOWING)"
-    rows = onsets.select("track_id", "id", "strength", F.expr(f"collect_list(strength) {frame}").alias("xs"), F.expr(f"percentile(strength, array(0.5D, 0.9D)) {frame}").alias("q"))
-    s = F.col("strength")
-    less, same = F.size(F.filter("xs", lambda x: x < s)), F.size(F.filter("xs", lambda x: x == s))
-    return rows.select("track_id", "id", ((less + same * 0.5) / F.size("xs")).alias("midrank"), clip((s - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.08)), 0.0, 4.0).alias("contrast"), (F.size("xs") / (2 * radius)).alias("density"))
+    arrays = [F.sort_array(F.expr(f"collect_list({c}) {frame}")).alias(f"xs_{c}") for c in columns]
+    rows = onsets.select("track_id", "id", "t", *columns, *arrays, F.max("t").over(Window.partitionBy("track_id")).alias("last"))
+    rows = rows.join(duration.select("track_id", "duration"), "track_id", "left").withColumn("last", F.coalesce("duration", "last")) if duration is not None else rows
+
+    def quantile(c: str, p: float) -> Column:
+        at = p * (F.size(f"xs_{c}") - 1)
+        low, high = F.get(f"xs_{c}", F.floor(at).cast("int")), F.get(f"xs_{c}", F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def views(c: str) -> list[Column]:
+        less, same = F.size(F.filter(f"xs_{c}", lambda x: x < F.col(c))), F.size(F.filter(f"xs_{c}", lambda x: x == F.col(c)))
+        middle = quantile(c, 0.5)
+        return [((less + same * 0.5) / F.size(f"xs_{c}")).alias(f"rank_{c}"), clip((F.col(c) - middle) / F.greatest(quantile(c, 0.9) - middle, F.lit(0.08)), 0.0, 4.0).alias(f"contrast_{c}")]
+
+    n = F.size(f"xs_{columns[0]}")
+    seconds = F.greatest(F.least(F.col("t") + radius, "last") - F.greatest(F.col("t") - radius, F.lit(0.0)), F.lit(1e-9))
+    return rows.select("track_id", "id", n.alias("n"), (n / seconds).alias("density"), *[v for c in columns for v in views(c)])
+
+
+def local_view(onsets: DataFrame, radius: float = 2.0, duration: DataFrame | None = None) -> DataFrame:
+    """``midrank, contrast, density`` of strength among the onsets at most ``radius`` away, both ends in.
+
+    Density is per unit of the window that lies in the track: from 0 to ``duration(track_id,
+    duration)``, else to the last onset.
+    """
+    return _local(onsets, ["strength"], radius, duration).select("track_id", "id", F.col("rank_strength").alias("midrank"), F.col("contrast_strength").alias("contrast"), "density")
+
+
+def event_evidence(onsets: DataFrame, beats: DataFrame, boundaries: DataFrame, duration: DataFrame | None = None, radius: float = 2.0) -> DataFrame:
+    """All evidence of an onset as one nested row: ``track_id, id, local, spectral, temporal, metric, structure, group_id``.
+
+    ``local``: how many onsets are around, rank and contrast of strength and of each band among
+    them; ``spectral``: focus and dominant band; ``temporal``: density, gaps, isolation;
+    ``metric``: nearest beat and the signed way from it (null without beats); ``structure``: way to
+    the nearest boundary ``(track_id, t, novelty)`` and its novelty (null without one);
+    ``group_id``: number of the capped group in its track, from 1, null outside all.
+    Figures have six decimals.
+    """
+    names = ["strength", "low", "mid", "high"]
+    r6 = lambda c: F.round(c, 6)
+    near = _local(onsets, names, radius, duration)
+    per = lambda kind: F.create_map(*[x for c in names for x in (F.lit("all" if c == "strength" else c), r6(F.col(f"{kind}_{c}")))])
+    local = near.select("track_id", "id", F.struct(F.col("n").alias("sample_count"), per("rank").alias("rank"), per("contrast").alias("contrast")).alias("local"), r6("density").alias("density"))
+    band = spectral(onsets).select("track_id", "id", F.struct(r6("focus").alias("focus"), "dominant").alias("spectral"))
+    time = gaps(onsets).select("track_id", "id", "before", "after", "isolated")
+    queries = onsets.select("track_id", "id", "t")
+    beat = joins.nearest(queries, beats.select("track_id", "t", "idx"), "b")
+    metric = beat.select("track_id", "id", F.when(F.col("b").isNotNull(), F.struct(F.col("b.idx").alias("beat"), r6(F.col("t") - F.col("b.ft")).alias("offset"))).alias("metric"))
+    fine = boundaries.where(F.col("novelty").isNotNull() & ~F.isnan("novelty") & (F.abs("novelty") != float("inf")))
+    bound = joins.nearest(queries, fine.select("track_id", "t", "novelty"), "s")
+    structure = bound.select("track_id", "id", F.when(F.col("s").isNotNull(), F.struct(r6(F.abs(F.col("t") - F.col("s.ft"))).alias("distance"), F.col("s.novelty").alias("novelty"))).alias("structure"))
+    groups = capped_groups(onsets)
+    groups = groups.withColumn("g", F.row_number().over(Window.partitionBy("track_id").orderBy("t0")))
+    held = joins.asof(queries, groups.select("track_id", F.col("t0").alias("t"), "t1", "g"), "g")
+    grouped = held.select("track_id", "id", F.when(F.col("t") <= F.col("g.t1"), F.col("g.g")).alias("group_id"))
+    out = local
+    for part in (band, time, metric, structure, grouped):
+        out = out.join(part, ["track_id", "id"])
+    temporal = F.struct("density", r6("before").alias("before"), r6("after").alias("after"), r6("isolated").alias("isolated"))
+    return out.select("track_id", "id", "local", "spectral", temporal.alias("temporal"), "metric", "structure", "group_id")
+
+
+def hash_ranked(rows: DataFrame, group: str, key: str, salt: str = "") -> DataFrame:
+    """``rows`` with ``r``, from 1, the rank in its group by salted SHA-256 of the key, and ``n``, the group's rows.
+
+    Ranks are counts of the cells before (leading digits of the hash) and places
+    within a cell, so a group of any size is ranked by many tasks.
+    """
+    hashed = rows.withColumn("_h", F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)).withColumn("_cell", F.left("_h", F.lit(3)))
+    cells = hashed.groupBy(group, "_cell").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    before = cells.select(group, "_cell", (F.sum("_c").over(w.orderBy("_cell")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n"))
+    place = F.row_number().over(Window.partitionBy(group, "_cell").orderBy("_h"))
+    return hashed.withColumn("_place", place).join(before, [group, "_cell"]).withColumn("r", F.col("_before") + F.col("_place")).drop("_h", "_cell", "_before", "_place")
 
 
 def gaps(onsets: DataFrame) -> DataFrame:
@@ -138,8 +211,7 @@ def balanced_subset(rows: DataFrame, group: str, key: str, limit: int) -> DataFr
 
 def salted_split(rows: DataFrame, group: str, key: str, salt: str) -> DataFrame:
     """15 % test, 15 % validation, the rest train, in every group by salted SHA-256."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)))).withColumn("n", F.count("*").over(w))
+    ranked = hash_ranked(rows, group, key, salt)
     part = F.col("r") / F.col("n")
     return ranked.select(key, group, F.when(part <= 0.15, "test").when(part <= 0.3, "validation").otherwise("train").alias("split"))
 

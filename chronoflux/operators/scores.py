@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from . import joins
 
 
+#: Width of the cells in which windows meet events.
+CELL = 8.0
+
+
 def _by(*order: str, key: tuple[str, ...] = ("track_id",)) -> object:
     return Window.partitionBy(*key).orderBy(*order)
 
@@ -96,7 +100,9 @@ def seams(changes: DataFrame, reference: DataFrame, estimate: DataFrame, pairs:
     inside = spans.join(reference.select("track_id", "idx", "t"), ["track_id", "idx"])
     hits = inside.join(pairs.select("track_id", F.col("r").alias("idx"), "rt", "et"), ["track_id", "idx"], "left")
     rows = hits.groupBy("track_id", "change").agg(F.count("*").alias("n"), F.count("et").alias("matched"), (F.min("t") - tol).alias("w0"), (F.max("t") + tol).alias("w1"), F.avg(F.abs(F.col("rt") - F.col("et"))).alias("mae")).where("n >= 2")
-    in_window = rows.join(estimate.select("track_id", "t"), "track_id").where(F.col("t").between(F.col("w0"), F.col("w1"))).groupBy("track_id", "change").agg(F.count("*").alias("p"))
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    spread = rows.select("track_id", "change", "w0", "w1", F.explode(F.sequence(cell("w0"), cell("w1"))).alias("cell"))
+    in_window = spread.join(estimate.select("track_id", "t", cell("t").alias("cell")), ["track_id", "cell"]).where(F.col("t").between(F.col("w0"), F.col("w1"))).groupBy("track_id", "change").agg(F.count("*").alias("p"))
     rows = rows.join(in_window, ["track_id", "change"], "left").fillna(0, ["p"])
     return rows.select("track_id", "change", "matched", (F.col("n") - F.col("matched")).alias("missing"), F.greatest(F.col("p") - F.col("matched"), F.lit(0)).alias("extra"), "mae")
 

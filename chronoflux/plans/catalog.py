@@ -104,7 +104,7 @@ _add("t12_estimate_bpm", lambda s, d: _r(signal.estimate_bpm(t.onsets(s, d)), "b
 _add(
     "e1_local_view",
     lambda s, d: _r(evidence.local_view(t.onsets(s, d)), "midrank", "contrast", "density"),
-    f"WITH q AS (SELECT *, list(strength) OVER {_RANGE.format(r='2.0::DOUBLE')} AS xs, quantile_cont(strength, 0.5) OVER {_RANGE.format(r='2.0::DOUBLE')} AS a, quantile_cont(strength, 0.9) OVER {_RANGE.format(r='2.0::DOUBLE')} AS b FROM onsets) SELECT track_id, id, round((len(list_filter(xs, lambda x: x < strength)) + 0.5::DOUBLE * len(list_filter(xs, lambda x: x = strength))) / len(xs), 6) AS midrank, round(least(4, greatest(0, (strength - a) / greatest(b - a, 0.08))), 6) AS contrast, round(len(xs) / 4.0::DOUBLE, 6) AS density FROM q",
+    f"WITH q AS (SELECT *, list(strength) OVER {_RANGE.format(r='2.0::DOUBLE')} AS xs, quantile_cont(strength, 0.5) OVER {_RANGE.format(r='2.0::DOUBLE')} AS a, quantile_cont(strength, 0.9) OVER {_RANGE.format(r='2.0::DOUBLE')} AS b FROM onsets) SELECT track_id, id, round((len(list_filter(xs, lambda x: x < strength)) + 0.5::DOUBLE * len(list_filter(xs, lambda x: x = strength))) / len(xs), 6) AS midrank, round(least(4, greatest(0, (strength - a) / greatest(b - a, 0.08))), 6) AS contrast, round(len(xs) / greatest(least(t + 2, max(t) OVER (PARTITION BY track_id)) - greatest(t - 2, 0), 1e-9)::DOUBLE, 6) AS density FROM q",
 )
 _add("e4_spectral", lambda s, d: _r(evidence.spectral(t.onsets(s, d)), "focus").select("id", "focus"), "WITH s AS (SELECT id, low / greatest(low + mid + high, 1e-9) AS a, mid / greatest(low + mid + high, 1e-9) AS b, high / greatest(low + mid + high, 1e-9) AS c FROM onsets) SELECT id, round(1 - (CASE WHEN a > 0 THEN -a * ln(a) ELSE 0 END + CASE WHEN b > 0 THEN -b * ln(b) ELSE 0 END + CASE WHEN c > 0 THEN -c * ln(c) ELSE 0 END) / ln(3.0::DOUBLE), 6) AS focus FROM s")
 _add("e5_gaps", lambda s, d: _r(evidence.gaps(t.onsets(s, d)), "before", "after", "isolated"), "SELECT track_id, id, round(b, 6) AS before, round(a, 6) AS after, round(least(1, greatest(0, least(coalesce(b, 2), coalesce(a, 2)))), 6) AS isolated FROM (SELECT *, t - lag(t) OVER w AS b, lead(t) OVER w - t AS a FROM onsets WINDOW w AS (PARTITION BY track_id ORDER BY t, id))")

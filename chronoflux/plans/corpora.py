@@ -115,7 +115,15 @@ def _boundaries(s: SparkSession, d: str) -> DataFrame:
 
 _add("v3_boundary_rules", lambda s, d: corpora.boundary_rules(_rule_segments(s, d), _boundaries(s, d)), f"WITH {_SEGR}, {_BO}, st AS (SELECT track_id, start_bar AS bar, true AS st FROM sg WHERE n > 1), co AS (SELECT track_id, bar, count(*) AS k, max(nv) AS nv FROM bo GROUP BY ALL), x AS (SELECT track_id, bar, st, k, nv FROM st FULL JOIN co USING (track_id, bar)) " + _UN.format("SELECT track_id, bar::VARCHAR AS detail, unnest([CASE WHEN k IS NULL THEN 'no_boundary' END, CASE WHEN st IS NULL THEN 'no_segment' END, CASE WHEN k > 1 THEN 'duplicated' END, CASE WHEN nv NOT BETWEEN 0 AND 1 THEN 'novelty' END]) AS rule FROM x"))
 _add("v4_repetition_rules", lambda s, d: corpora.repetition_rules(_rule_segments(s, d).groupBy("track_id", (F.col("n") % 4).alias("r")).agg(F.sort_array(F.collect_list(F.col("n") + (F.col("n") % 9 == 0).cast("int"))).alias("ids")).withColumn("family", F.concat(F.lit("F"), F.col("r").cast("string"))), _rule_segments(s, d).select("track_id", "n", F.concat(F.lit("F"), (F.col("n") % 4).cast("string")).alias("family"))), f"WITH {_SEGR}, r AS (SELECT track_id, n % 4 AS r, list(n + CASE WHEN n % 9 = 0 THEN 1 ELSE 0 END) AS ids FROM sg GROUP BY ALL), o AS (SELECT track_id, r, unnest(ids) AS n FROM r), x AS (SELECT o.track_id, o.r, o.n, CASE WHEN sg.n IS NOT NULL THEN 'F' || sg.n % 4 END AS f, 'F' || o.r AS own, count(*) OVER (PARTITION BY o.track_id, o.n) AS k FROM o LEFT JOIN sg ON sg.track_id = o.track_id AND sg.n = o.n) " + _UN.format("SELECT track_id, r::VARCHAR AS detail, CASE WHEN len(ids) < 2 THEN 'few' END AS rule FROM r UNION ALL SELECT track_id, r || '/' || n AS detail, unnest([CASE WHEN f IS NULL THEN 'unknown' END, CASE WHEN f <> own THEN 'family' END, CASE WHEN k > 1 THEN 'claimed' END]) FROM x"))
-_add("v5_forbidden_keys", lambda s, d: corpora.forbidden_keys(t.read(s, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("track_id"), F.concat(F.lit('{"a": {"'), F.when(F.col("event_id") % 20 == 0, "confidence").otherwise("x"), F.lit('" : 1, "vocal":2}}')).alias("j")), "j", ["confidence", "instrument"]), "SELECT event_id AS track_id, 'forbidden' AS rule, 'confidence' AS detail FROM events WHERE event_id % 20 = 0")
+
+
+def _json(s: SparkSession, d: str) -> DataFrame:
+    """Texts with a wanted key in a list, one only inside a string, and the event's own object."""
+    text = F.concat(F.lit('{"a": [{"'), F.when(F.col("event_type") == "error", "confidence").otherwise("x"), F.lit('" : 1}, {"vocal": {"b": "\\"instrument\\": 1"}}], "props": '), "props", F.lit("}"))
+    return t.read(s, d, "events").select(F.col("event_id").alias("track_id"), text.alias("j"))
+
+
+_add("v5_forbidden_keys", lambda s, d: corpora.forbidden_keys(_json(s, d), "j", ["confidence", "instrument", "k"]), "SELECT event_id AS track_id, 'forbidden' AS rule, 'k' AS detail FROM events UNION ALL SELECT event_id, 'forbidden', 'confidence' FROM events WHERE event_type = 'error'")
 _add("v6_evidence_rules", lambda s, d: corpora.evidence_rules(t.onsets(s, d).where("id % 10 <> 0").select("track_id", "id").unionByName(t.onsets(s, d).where("id % 15 = 0").select("track_id", (F.col("id") + 3).alias("id"))), t.onsets(s, d)), "WITH e AS (SELECT track_id, id FROM onsets WHERE id % 10 <> 0 UNION ALL SELECT track_id, id + 3 FROM onsets WHERE id % 15 = 0), c AS (SELECT track_id, id, count(*) AS k FROM e GROUP BY ALL), x AS (SELECT track_id, id, k, o.known FROM (SELECT track_id, id, true AS known FROM onsets) o FULL JOIN c USING (track_id, id)) " + _UN.format("SELECT track_id, id::VARCHAR AS detail, unnest([CASE WHEN k IS NULL THEN 'missing' END, CASE WHEN known IS NULL THEN 'unknown' END, CASE WHEN k > 1 THEN 'repeated' END]) AS rule FROM x"))
 _add("v8_edit_plan_rules", lambda s, d: corpora.edit_plan_rules(t.pulses(s, d).select("track_id", F.col("idx").alias("place"), F.when(F.col("idx") % 9 == 8, F.lit(1.0)).otherwise(F.col("t")).alias("t")), t.onsets(s, d).select("track_id", "id", (F.col("t") - 1).alias("t"), (F.col("id") % 23 != 0).alias("known")), t.onsets(s, d).groupBy("track_id").agg((F.max("t") - 2).alias("duration"))), "WITH du AS (SELECT track_id, max(t) - 2 AS d FROM onsets GROUP BY ALL), b AS (SELECT track_id, idx, CASE WHEN idx % 9 = 8 THEN 1.0::DOUBLE ELSE t END AS t FROM pulses), x AS (SELECT b.*, d, coalesce(lag(t) OVER (PARTITION BY track_id ORDER BY idx), 0) AS p FROM b JOIN du USING (track_id)) " + _UN.format("SELECT track_id, idx::VARCHAR AS detail, CASE WHEN NOT (p < t AND t < d) THEN 'boundary-order' END AS rule FROM x UNION ALL SELECT track_id, id::VARCHAR, unnest([CASE WHEN NOT (t - 1 >= 0 AND t - 1 < d) THEN 'cue-time' END, CASE WHEN id % 23 = 0 THEN 'unknown-onset' END]) FROM onsets JOIN du USING (track_id)"))
 _add("v9_product_rules", lambda s, d: corpora.product_rules(t.segments(s, d).select("track_id", "bpm", (F.col("id") % 14).alias("numerator"), (F.col("id") % 30).alias("bars"), (F.col("id") % 100).alias("beats"), F.when(F.col("id") % 2 == 0, "slow").otherwise("medium").alias("label"))).groupBy("rule").agg(F.count("*").alias("n")), "SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN id % 14 NOT BETWEEN 1 AND 12 THEN 'meter' END, CASE WHEN abs(id % 30 - ceil((id % 100) / greatest(id % 14, 1))) > 1 THEN 'bars' END, CASE WHEN CASE WHEN id % 2 = 0 THEN 'slow' ELSE 'medium' END <> CASE WHEN bpm < 90 THEN 'slow' WHEN bpm < 140 THEN 'medium' ELSE 'fast' END THEN 'tempo-label' END]) AS rule FROM segments) WHERE rule IS NOT NULL GROUP BY rule")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoflux.operators import tempo, timeline
+from chronoflux.operators import evidence, tempo, timeline
 from chronoflux.plans.catalog import _add, _r
 from chronoflux.sources import charts
 from chronoflux.sources import tables as t
@@ -64,3 +64,12 @@ def _hit_files(s: SparkSession, d: str) -> DataFrame:
 _HIT = "ho AS (SELECT track_id, track_id % 4 AS m, floor(t * 1000) / 1000 AS s, CASE kind WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 8 WHEN 'purchase' THEN 128 ELSE 5 END AS b FROM onsets), hs AS (SELECT *, b & 8 = 0 AND (b & 1 > 0 OR b & 2 > 0 AND m = 0 OR b & 128 > 0 AND m = 3) AS starts FROM ho)"
 _add("src8_hit_markers", lambda s, d: charts.hit_object_charts(_hit_files(s, d))[0], f"WITH {_HIT} SELECT track_id::VARCHAR AS path, 0 AS chart, round(s, 6) AS t FROM hs WHERE starts AND m <> 2")
 _add("src8_hit_charts", lambda s, d: charts.hit_object_charts(_hit_files(s, d))[1], f"WITH {_HIT} SELECT track_id::VARCHAR AS path, 0 AS chart, CASE m WHEN 0 THEN 'standard' WHEN 1 THEN 'taiko' WHEN 3 THEN 'mania' END AS mode, 'Events' AS difficulty, CASE WHEN m = 2 THEN 0 ELSE count(*) END AS objects, CASE WHEN m = 2 THEN 0 ELSE count(*) FILTER (b & 8 = 0 AND NOT starts) END AS tails, CASE WHEN m = 2 THEN 0 ELSE count(*) FILTER (b & 8 > 0) END AS hazards, CASE WHEN m = 2 THEN 0 ELSE count(*) FILTER (starts) END AS markers, CASE WHEN m = 2 THEN 'unsupported_mode' END AS reason FROM hs GROUP BY track_id, m")
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    found = evidence.event_evidence(t.onsets(s, d), t.pulses(s, d), t.marks(s, d).where("beat_in_bar = 1").join(t.onsets(s, d).groupBy("track_id", "t").agg(F.max("low").alias("novelty")), ["track_id", "t"]).select("track_id", "t", "novelty"))
+    local = [F.col("local.rank")[b].alias(f"rank_{b}") for b in ("all", "low", "high")] + [F.col("local.contrast")[b].alias(f"contrast_{b}") for b in ("all", "low", "high")]
+    return found.select("track_id", "id", F.col("local.sample_count").cast("long").alias("n"), *local, "spectral.*", "temporal.*", "metric.*", "structure.*", "group_id")
+
+
+_add("e11_event_evidence", _evidence)
