@@ -517,3 +517,44 @@ def window_briefs(windows: DataFrame, onsets: DataFrame, beats: DataFrame, width
     first = beat.select("track_id", "id", F.col("t").alias("t0"), "t1", F.when(F.col("b.ft") < F.col("t1"), F.col("b.idx")).alias("first_beat"))
     out = first.join(rows, ["track_id", "id"], "left")
     return out.select("track_id", "id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / (F.col("t1") - F.col("t0"))).alias("density"), "first_beat", F.coalesce("anchors", F.lit("")).alias("anchors"))
+
+
+def bar_overview(bars: DataFrame, least: float = 0.82, quiet: float = 0.05) -> DataFrame:
+    """``track_id, bar, label, group, mean_strength, similarity_previous`` of bars ``(track_id, bar, v array<double>)`` of steps.
+
+    A bar whose mean is under ``quiet`` is a break.  Others join the group of the earlier bar
+    most like them (cosine of its four-decimal vector, ``least`` or more, the first of
+    equal ones), else they found the next of A, B, ...  Labels: break; fill, if the last
+    four steps are over .12 and 1.6 times the rest; repeat, if like the bar before; else
+    change.  Each bar meets all earlier ones of its track, as its rule asks.
+    """
+
+    def cosine(a: np.ndarray, b: np.ndarray) -> float:
+        size = float(np.linalg.norm(a) * np.linalg.norm(b))
+        return float(a @ b) / size if size > 1e-9 else 0.0
+
+    def step(state: dict, bar: int, v: list[float]) -> list[tuple]:
+        x = np.asarray(v, float)
+        mean = float(x.mean())
+        before = cosine(x, state["last"]) if "last" in state else 0.0
+        state["last"] = x
+        if mean < quiet:
+            return [(bar, "break", "BREAK", round(mean, 4), round(before, 4))]
+        size = np.linalg.norm(x)
+        group = None
+        if state["rows"]:
+            m = np.stack(state["rows"])
+            norms = np.linalg.norm(m, axis=1) * size
+            like = np.where(norms > 1e-9, (m @ x) / np.maximum(norms, 1e-9), 0.0)
+            k = int(like.argmax())
+            group = state["groups"][k] if like[k] >= least else None
+        if group is None:
+            state["n"] += 1
+            group = chr(64 + state["n"])
+        state["rows"].append(np.round(x, 4))
+        state["groups"].append(group)
+        rest = float(x[:-4].mean()) if len(x) > 4 else 0.0
+        label = "fill" if len(x) >= 4 and float(x[-4:].mean()) > max(0.12, rest * 1.6) else "repeat" if before >= least else "change"
+        return [(bar, label, group, round(mean, 4), round(before, 4))]
+
+    return fold(bars.select("track_id", F.col("bar").cast("long").alias("bar"), "v"), ["track_id"], ["bar"], "bar long, label string, group string, mean_strength double, similarity_previous double", lambda: {"rows": [], "groups": [], "n": 0}, step)

@@ -193,3 +193,60 @@ def stage_count_report(stages: DataFrame) -> DataFrame:
     """``track_id`` (null: all) and the onsets of each stage, ``ratio`` (v2 to v1) and ``gated`` (what the gate takes away)."""
     counts = stages.rollup("track_id").agg(*[F.count_if(F.col("stage") == n).alias(n) for n in STAGES])
     return counts.withColumn("ratio", F.round(F.col("v2") / F.greatest("v1", F.lit(1)), 4)).withColumn("gated", F.col("v2_gate_off") - F.col("v2"))
+
+
+def tempo_from_novelty(novelty: DataFrame, rate: float, least: float = 0.6, apart: float = 0.12, slow: float = 60.0, fast: float = 180.0) -> DataFrame:
+    """``track_id, bpm`` from a novelty curve of ``rate`` frames a second; 0 where it has no steady pulse.
+
+    Peaks are at the greater of ``least`` and the track's 78th percentile, ``apart`` seconds
+    or more from a higher one; it takes three of them, and intervals whose MAD is at
+    most .3 of their median.  The lag between ``fast`` and ``slow`` of the greatest
+    autocorrelation (first of equal ones) gives the tempo, doubled or halved into 80
+    to 160, two decimals.  All lags come from one sorted pass.
+    """
+    q = novelty.groupBy("track_id").agg(F.greatest(F.lit(least), F.percentile("x", F.lit(0.78))).alias("threshold"), F.avg("x").alias("mean"), F.count("*").alias("n"), F.max("x").alias("top"))
+    rows = novelty.select("track_id", F.col("frame").cast("long").alias("frame"), "x").join(q, "track_id")
+    tops = rows.withColumn("p", F.lag("x").over(_w("track_id"))).withColumn("f", F.lead("x").over(_w("track_id"))).where((F.col("x") >= F.col("p")) & (F.col("x") > F.col("f")) & (F.col("x") >= F.col("threshold")))
+    kept = matching.suppress_close(tops.select("track_id", F.col("frame").cast("double").alias("t"), "x"), max(1, int(apart * rate)) - 1.0)
+    gaps = kept.select("track_id", (F.col("t") - F.lag("t").over(Window.partitionBy("track_id").orderBy("t"))).alias("gap")).where("gap IS NOT NULL")
+    middle = gaps.groupBy("track_id").agg(F.percentile("gap", F.lit(0.5)).alias("m"), F.count("*").alias("gaps"))
+    spread = gaps.join(middle, "track_id").groupBy("track_id", "m", "gaps").agg(F.percentile(F.abs(F.col("gap") - F.col("m")), F.lit(0.5)).alias("mad"))
+    steady = spread.where("gaps >= 2 AND m > 0 AND mad / m <= 0.3").select("track_id")
+    low, high = max(1, int(60 * rate / fast)), int(60 * rate / slow)
+    y = rows.select("track_id", "frame", "n", (F.col("x") - F.col("mean")).alias("y"))
+    lags = range(low, high + 1)
+    each = y.select("track_id", "n", *[(F.col("y") * F.first("y").over(_w("track_id").rangeBetween(-k, -k))).alias(f"y{k}") for k in lags])
+    sums = each.groupBy("track_id").agg(F.max("n").alias("n"), *[F.coalesce(F.sum(f"y{k}"), F.lit(0.0)).alias(f"c{k}") for k in lags])
+    best = sums.select("track_id", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("c")) for k in lags]))).where(f"lag <= n - 1 AND least({high}, n - 1) > {low}")
+    best = best.groupBy("track_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "lag"))["lag"].alias("lag"))
+    raw = 60.0 * rate / F.col("lag")
+    up = F.when(raw < 80, raw * F.pow(F.lit(2.0), F.ceil(F.log2(80 / raw)))).otherwise(raw)
+    bpm = F.when(up > 160, up / F.pow(F.lit(2.0), F.ceil(F.log2(up / 160)))).otherwise(up)
+    found = best.join(steady, "track_id", "left_semi").select("track_id", F.round(bpm, 2).alias("bpm"))
+    return q.where("n >= 4 AND top > 0").select("track_id").join(found, "track_id", "left").select("track_id", F.coalesce("bpm", F.lit(0.0)).alias("bpm")).unionByName(q.where("n < 4 OR top <= 0").select("track_id", F.lit(0.0).alias("bpm")))
+
+
+def legacy_band_peaks(bands: DataFrame, grid: DataFrame, rate: float, spacing: dict[str, float], steps: int = 16) -> DataFrame:
+    """``track_id, band, frame, confidence, nearest_step, bar, beat, step_in_bar, velocity`` of each band's peaks.
+
+    ``bands(track_id, band, frame, x)``, ``grid(track_id, bpm, origin)``.  A band's threshold is its
+    72nd percentile, .08 at least; peaks rise above the frame before, are not below the
+    next one and ``spacing`` seconds from a higher one.  Places on the grid are null
+    without a tempo.
+    """
+    both = F.struct("track_id", "band").alias("track_id")
+    rows = bands.select(both, F.col("frame").cast("long").alias("frame"), "x")
+    q = rows.groupBy("track_id").agg(F.greatest(F.lit(0.08), F.percentile("x", F.lit(0.72))).alias("threshold"))
+    rows = rows.join(q, "track_id").withColumn("p", F.lag("x").over(_w("track_id"))).withColumn("n", F.lead("x").over(_w("track_id")))
+    tops = rows.where((F.col("x") > F.col("p")) & (F.col("x") >= F.col("n")) & (F.col("x") >= F.col("threshold")))
+    kept = None
+    for band, seconds in spacing.items():
+        own = matching.suppress_close(tops.where(F.col("track_id.band") == band).select("track_id", F.col("frame").cast("double").alias("t"), "x"), max(1, int(seconds * rate)) - 1.0)
+        kept = own if kept is None else kept.unionByName(own)
+    confidence = F.round(clip(F.col("x") / (F.col("threshold") + 1e-8), 0.05, 1.0), 3)
+    found = kept.join(q, "track_id").select("track_id.track_id", "track_id.band", F.col("t").cast("long").alias("frame"), confidence.alias("confidence")).join(grid, "track_id", "left")
+    step = 60 / F.when(F.col("bpm") > 0, F.col("bpm")) / (steps / 4)
+    nearest = F.greatest(F.lit(0), F.bround((F.col("frame") / rate - F.col("origin")) / step)).cast("long")
+    found = found.withColumn("nearest_step", nearest)
+    at = F.col("nearest_step")
+    return found.select("track_id", "band", "frame", "confidence", "nearest_step", (F.floor(at / steps) + 1).alias("bar"), (F.floor(at % steps / (steps // 4)) + 1).alias("beat"), (at % steps + 1).alias("step_in_bar"), F.greatest(F.lit(1), F.least(F.lit(127), F.bround(127 * F.col("confidence")))).cast("int").alias("velocity"))

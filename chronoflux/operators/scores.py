@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import joins
+from . import joins, matching
 
 
 #: Width of the cells in which windows meet events.
@@ -43,6 +43,21 @@ def prf(pairs: DataFrame, reference: DataFrame, estimate: DataFrame) -> DataFram
     return rows.select("track_id", n.alias("matched"), ratio(n, F.col("e")).alias("precision"), ratio(n, F.col("r")).alias("recall"), ratio(2 * n, F.col("r") + F.col("e")).alias("f1"), "mae")
 
 
+def boundary_metrics(truth: DataFrame, predicted: DataFrame, tol: float) -> DataFrame:
+    """``track_id, precision, recall, f1, mae, matched, predicted, truth`` of boundaries ``(track_id, id, t)`` in bars.
+
+    Pairs go closest first, one to one.  Sides that are empty score 0; tracks without a
+    boundary on either side have no row; mae is null without a pair.
+    """
+    pairs = matching.match(truth, predicted, tol).groupBy("track_id").agg(F.count("*").alias("matched"), F.avg("distance").alias("mae"))
+    n = lambda rows, c: rows.groupBy("track_id").agg(F.count("*").alias(c))
+    rows = n(truth, "truth").join(n(predicted, "predicted"), "track_id", "full").join(pairs, "track_id", "left").fillna(0, ["truth", "predicted", "matched"])
+    share = lambda c: F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col(c)), F.lit(0.0))
+    p, r = share("predicted"), share("truth")
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return rows.select("track_id", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"), F.round("mae", 3).alias("mae"), "matched", "predicted", "truth")
+
+
 def beat_in_bar_accuracy(pairs: DataFrame, reference: DataFrame, estimate: DataFrame) -> DataFrame:
     """Share of matched pairs whose places in the bar are equal."""
     a = reference.select("track_id", F.col("idx").alias("r"), F.col("beat_in_bar").alias("x"))

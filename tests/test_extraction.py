@@ -236,3 +236,23 @@ def test_anchors(spark):
     for name, t in ok.items():
         assert got[name] == ("ok", pytest.approx(t)), name
     assert {n: s for n, (s, _) in got.items() if s != "ok"} == {"two": "invalid", "none": "invalid", "far": "unknown", "who": "unknown", "on far": "unknown", "c1": "cyclic", "c2": "cyclic", "on c": "cyclic", "nan": "invalid", "no grid": "invalid"}
+
+
+def test_boundaries_bars_and_tempo_of_a_curve(spark):
+    from chronoflux.operators import scores
+
+    cut = lambda rows: spark.createDataFrame([(k, float(i), float(i)) for k, i in rows], "track_id long, id double, t double")
+    got = {r["track_id"]: tuple(r)[1:] for r in scores.boundary_metrics(cut([(0, 4), (0, 8), (1, 4)]), cut([(0, 5), (0, 30), (0, 9), (2, 1)]), 2.0).collect()}
+    assert got[0] == (0.6667, 1.0, 0.8, 1.0, 2, 3, 2) and got[1] == (0.0, 0.0, 0.0, None, 0, 0, 1) and got[2] == (0.0, 0.0, 0.0, None, 0, 1, 0)
+    a, b, quiet = [1.0, 0.0, 0.5, 0.0] * 4, [0.0, 1.0, 0.0, 0.2] * 4, [0.0] * 16
+    fill = [*a[:12], 1.0, 1.0, 1.0, 1.0]
+    bars = [(0, i, v) for i, v in enumerate([a, a, b, quiet, a, [0.2 * x for x in a], fill], 1)]
+    got = [(r["label"], r["group"]) for r in forms.bar_overview(spark.createDataFrame(bars, "track_id long, bar long, v array<double>")).orderBy("bar").collect()]
+    assert got == [("change", "A"), ("repeat", "A"), ("change", "B"), ("break", "BREAK"), ("change", "A"), ("repeat", "A"), ("fill", "A")]
+    pulse = [(0, f, 1.0 if f % 30 == 5 else 0.0) for f in range(600)] + [(1, f, 0.5) for f in range(100)] + [(2, 0, 1.0)] + [(3, f, 1.0 if f in (5, 30, 130, 400) else 0.0) for f in range(600)]
+    got = {r["track_id"]: r["bpm"] for r in onsets.tempo_from_novelty(spark.createDataFrame(pulse, "track_id long, frame long, x double"), 50.0).collect()}
+    assert got == {0: 100.0, 1: 0.0, 2: 0.0, 3: 0.0}
+    bands = spark.createDataFrame([(0, b, f, x) for _, f, x in pulse[:600] for b in ("low", "high")], "track_id long, band string, frame long, x double")
+    grid = spark.createDataFrame([(0, 100.0, 0.1)], "track_id long, bpm double, origin double")
+    rows = onsets.legacy_band_peaks(bands, grid, 50.0, {"low": 0.12, "high": 0.08}).where("band = 'low'").orderBy("frame").collect()
+    assert [(r["frame"], r["nearest_step"], r["bar"], r["beat"], r["step_in_bar"], r["velocity"]) for r in rows] == [(5 + 30 * k, 4 * k, k // 4 + 1, k % 4 + 1, 4 * k % 16 + 1, 127) for k in range(20)]
