@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoflux.operators import grid, tempo
@@ -136,3 +136,14 @@ _add("t10_repair_beats", lambda s, d: tempo.repair_beats(t.pulses(s, d).select("
 _add("t15_tempo_segments", lambda s, d: _r(tempo.tempo_segments(t.pulses(s, d)), "bpm", "t0", "t1"))
 _add("t8_beat_chain", lambda s, d: tempo.beat_chain(t.frames(s, d).where("x >= 3").select("track_id", "frame", (F.col("x") / 10).alias("support")), 8.0))
 _add("t9_snap_beats", lambda s, d: tempo.snap_beats(t.frames(s, d).select("track_id", F.col("frame").alias("t")).where("t % 7 = 3"), t.frames(s, d), 7.0, 2))
+
+
+def _intervals(s: SparkSession, d: str) -> DataFrame:
+    """Intervals of the pulses: their tempo, and how much stronger the event at their start is than the weakest."""
+    w = Window.partitionBy("track_id").orderBy("t")
+    rows = t.pulses(s, d).join(t.onsets(s, d).groupBy("track_id", "t").agg(F.max("strength").alias("change")), ["track_id", "t"])
+    rows = rows.select("track_id", F.col("idx").alias("i"), (60 / (F.lead("t").over(w) - F.col("t"))).alias("bpm"), "change")
+    return rows.where("bpm IS NOT NULL")
+
+
+_add("t14_segment_tempo_curve", lambda s, d: tempo.segment_tempo_curve(_intervals(s, d)))
