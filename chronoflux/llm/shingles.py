@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph, simhash
+from . import common, graph, simhash, trie
 
 #: Documents whose shingles tell which are common, and how many of those are put last.
 SAMPLE, COMMON = 10_000, 1 << 16
@@ -20,6 +20,8 @@ SAMPLE, COMMON = 10_000, 1 << 16
 CUT = 1024
 #: Buckets of a set's sketch: how many of its shingles are in each.
 BUCKETS = 64
+#: log2 of the counters in a row of the sketch that keeps sets of no pair from being moved.
+FILTER = 22
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -72,8 +74,11 @@ def _firsts(docs: DataFrame, size: int, least: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, copy binary, node long, n int, fp long, p array<long>")
 
 
-def _bodies(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """``(node, n, s, k)`` of the ``needed(doc_id, copy, node)``: the set and its sketch."""
+def _bodies(docs: DataFrame, needed: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """``(node, n, s, k)`` of the ``needed(doc_id, copy, node)``: the set and its sketch.
+
+    Sets are only moved to leave out equal rows where there are any (``repeated``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +89,25 @@ def _bodies(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(x, pa.list_(t)) for x, t in ((sets, pa.int64()), (counts, pa.int32())))], ["node", "n", "s", "k"])
 
     docs = common.documents(docs).withColumn("copy", F.unhex(F.md5("text")))
-    return docs.join(needed, ["doc_id", "copy"]).select("node", "text").mapInArrow(run, "node long, n int, s array<long>, k array<int>").dropDuplicates(["node"])
+    found = docs.join(needed, ["doc_id", "copy"]).select("node", "text").mapInArrow(run, "node long, n int, s array<long>, k array<int>")
+    return found.dropDuplicates(["node"]) if repeated else found
+
+
+def _only(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``bodies(node, ...)`` that may be among ``nodes``, left out where they are read.
+
+    A sketch of fixed size tells most others apart whatever the number of nodes; what
+    it lets through too much finds no partner in the join that follows.
+    """
+    counter = bodies.sparkSession.sparkContext.broadcast(trie.sketch(nodes.select(F.col("node").alias("k1"), F.xxhash64("node").alias("k2")), FILTER))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, other = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            there = counter.value[trie.places(node, other, FILTER)].min(0, initial=2) > 0
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(there))
+
+    return bodies.withColumn("_other", F.xxhash64("node")).mapInArrow(run, bodies.schema)
 
 
 def _shared(prefix: DataFrame) -> DataFrame:
@@ -173,19 +196,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     near = common.written(equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "near")
 
     wanted = hits.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    bodies = common.written(_bodies(docs, common.written(nodes.join(wanted, "node").select("doc_id", "copy", "node"), "wanted"), size), "bodies")
+    rows = common.written(first.groupBy("doc_id", "copy", "node").agg(F.count("*").alias("n_rows")), "rows")
+    repeated = bool(rows.where("n_rows > 1").head(1))
+    bodies = common.written(_bodies(docs, common.written(nodes.join(wanted, "node").select("doc_id", "copy", "node"), "wanted"), size, repeated), "bodies")
 
-    def with_ends(pairs: DataFrame, *columns: str) -> DataFrame:
+    def with_ends(pairs: DataFrame, bodies: DataFrame, *columns: str) -> DataFrame:
         for end, side in (("a", "1"), ("b", "2")):
             pairs = pairs.join(bodies.select(F.col("node").alias(end), *[F.col(c).alias(c + side) for c in columns]), end)
         return pairs
 
     def links(pairs: DataFrame) -> DataFrame:
         most = F.aggregate(F.zip_with("k1", "k2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)  # they share no more
-        close = with_ends(pairs.distinct(), "n", "k").where(most * (1 + least) >= least * (F.col("n1") + F.col("n2")) - 1e-6)
+        close = with_ends(pairs.distinct(), bodies, "n", "k").where(most * (1 + least) >= least * (F.col("n1") + F.col("n2")) - 1e-6)
         close = common.written(close.select("a", "b"), "close")
         both = F.size(F.array_intersect("s1", "s2"))
-        alike = with_ends(close, "n", "s").where(both / (F.col("n1") + F.col("n2") - both) >= least)
+        sets = _only(bodies.select("node", "n", "s"), close.select(F.explode(F.array("a", "b")).alias("node")))
+        alike = with_ends(close, sets, "n", "s").where(both / (F.col("n1") + F.col("n2") - both) >= least)
         return common.written(alike.select("a", "b"), "links")
 
     sizes = hits.groupBy("p").agg(F.count("*").alias("m"))
@@ -197,5 +223,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, radius:
     joined = hits.join(graph.components(done), "node", "left").withColumn("comp", F.coalesce("root", "node"))
     rest = links(_across(common.written(joined.select("p", "node", "n", "at", "comp"), "open"), least))
     roots = graph.components(done.unionByName(rest))
-    rows = first.groupBy("doc_id", "copy", "node").agg(F.count("*").alias("n_rows"))
     return rows.join(roots, "node", "left").select("doc_id", "copy", "n_rows", F.coalesce("root", "node").alias("component"))
