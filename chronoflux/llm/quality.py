@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quali
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     others = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(sample)
     wanted = known.withColumn("_known", F.lit(True)).unionByName(others, allowMissingColumns=True).groupBy("_id").agg(F.max("_known").alias("_known"), *[F.max(f"_{t}").alias(f"_{t}") for t in targets])
-    got = _own(docs).join(F.broadcast(wanted), "_id").select("_id", "_t", "_p", "_known", *[f"_{t}" for t in targets]).dropDuplicates(["_id"]).orderBy("_id").toArrow()  # 2 * ``sample`` rows
+    chosen = docs.select(F.struct("*").alias("_row")).join(F.broadcast(wanted.select("_id")), F.col("_row.doc_id").cast("long") == F.col("_id"), "left_semi").select("_row.*")  # features of the sample only
+    got = _own(chosen).join(F.broadcast(wanted), "_id").select("_id", "_t", "_p", "_known", *[f"_{t}" for t in targets]).dropDuplicates(["_id"]).orderBy("_id").toArrow()  # 2 * ``sample`` rows
     t, p = common.flat(got.column("_t")), _dense(common.flat(got.column("_p"))[0])
     labelled = got.column("_known").fill_null(False).to_numpy()
     mixed = np.random.default_rng(1).permutation(np.flatnonzero(labelled))
