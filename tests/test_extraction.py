@@ -256,3 +256,41 @@ def test_boundaries_bars_and_tempo_of_a_curve(spark):
     grid = spark.createDataFrame([(0, 100.0, 0.1)], "track_id long, bpm double, origin double")
     rows = onsets.legacy_band_peaks(bands, grid, 50.0, {"low": 0.12, "high": 0.08}).where("band = 'low'").orderBy("frame").collect()
     assert [(r["frame"], r["nearest_step"], r["bar"], r["beat"], r["step_in_bar"], r["velocity"]) for r in rows] == [(5 + 30 * k, 4 * k, k // 4 + 1, k % 4 + 1, 4 * k % 16 + 1, 127) for k in range(20)]
+
+
+def test_event_evidence_is_that_of_its_parts(spark):
+    from chronoflux.operators import evidence
+
+    r = random.Random(12)
+    rows = [(k, 100 * k + i, "x", round(t, 3), r.random(), r.random(), r.random(), r.random()) for k in (0, 1) for i, t in enumerate(sorted(r.uniform(0, 12) for _ in range(40)))]
+    ons = spark.createDataFrame(rows, "track_id long, id long, kind string, t double, strength double, low double, mid double, high double")
+    beats = spark.createDataFrame([(0, i, i * 0.5) for i in range(25)], "track_id long, idx long, t double")
+    bounds = spark.createDataFrame([(0, 4.0, 0.5), (0, 8.0, float("nan"))], "track_id long, t double, novelty double")
+    got = {x["id"]: x for x in evidence.event_evidence(ons, beats, bounds, spark.createDataFrame([(0, 12.0), (1, 12.0)], "track_id long, duration double")).collect()}
+    assert len(got) == 80
+    for k, i, _, t, *_ in rows:
+        x, own = got[i], [y for y in rows if y[0] == k]
+        near = [y for y in own if abs(y[3] - t) <= 2.0]
+        assert x["local"]["sample_count"] == len(near)
+        for name, c in (("all", 4), ("low", 5), ("high", 7)):
+            v, w = next(y[c] for y in own if y[1] == i), [y[c] for y in near]
+            assert x["local"]["rank"][name] == pytest.approx((sum(u < v for u in w) + 0.5 * w.count(v)) / len(w), abs=1e-6)
+            a, b = np.percentile(w, [50, 90])
+            assert x["local"]["contrast"][name] == pytest.approx(min(4, max(0, (v - a) / max(b - a, 0.08))), abs=1e-6)
+        assert x["temporal"]["density"] == pytest.approx(len(near) / (min(12, t + 2) - max(0, t - 2)), abs=1e-6)
+        if k == 1:
+            assert x["metric"] is None and x["structure"] is None
+        else:
+            beat = min(range(25), key=lambda n: (abs(n * 0.5 - t), n))
+            assert x["metric"]["beat"] == beat and x["metric"]["offset"] == pytest.approx(t - beat * 0.5, abs=1e-6)
+            assert x["structure"]["distance"] == pytest.approx(abs(t - 4), abs=1e-6) and x["structure"]["novelty"] == 0.5
+    for k in (0, 1):  # greedy groups: gaps of .18, 1.5 long at most, three or more
+        ts, at, groups = sorted((y[3], y[1]) for y in rows if y[0] == k), 0, []
+        while at < len(ts):
+            end = at + 1
+            while end < len(ts) and ts[end][0] - ts[end - 1][0] <= 0.18 and ts[end][0] - ts[at][0] <= 1.5:
+                end += 1
+            groups += [[i for _, i in ts[at:end]]] if end - at >= 3 else []
+            at = end
+        want = {i: n for n, g in enumerate(groups, 1) for i in g}
+        assert {i: got[i]["group_id"] for _, i in ts} == {i: want.get(i) for _, i in ts}
