@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +12,16 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-#: Rows that a shard is to have, which sets the depth of the trees.
+#: Rows that a split of a shard ends at.
 LEAF = 1024
-#: Rows of a shard that meet in one task; larger shards are cut and their cuts paired.
+#: Rows of a shard that meet in one task; larger shards are split, and if nothing splits them cut and their cuts paired.
 CUT = 4096
+#: Levels that a round adds to the trees, and rows of a leaf that they are fitted to.
+DEPTH, FIT = 6, 4096
+#: Tables of so many leaves or trees are broadcast (half a megabyte); larger ones are joined by a shuffle.
+SMALL = 1024
+#: A node of a tree: its vantage point and the median distance, or that it is an end.
+NODE, END = np.dtype([("point", "<u4"), ("middle", "u1")]), 255
 
 
 def fingerprint(text: str, size: int) -> int:
@@ -47,33 +52,94 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return common.documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _bands(fp: Column, bands: int) -> list[Column]:
-    width = 64 // bands
-    return [F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)]
+def _fitted(x: np.ndarray, n: int, reach: int, leaf: int) -> np.ndarray:
+    """Vantage points and medians of a tree over ``n`` rows, from a sample ``x`` of them; node k has the children 2k and 2k + 1.
+
+    Of a few candidates of its own rows a node takes the point that splits them best
+    at its median distance, boundary included; a node of about ``leaf`` rows, or whose
+    rows no candidate splits, ends.
+    """
+    tree = np.array([(0, END)] * (1 << DEPTH), NODE)
+    parts = {1: np.sort(x)}
+    for k in range(1, 1 << DEPTH):
+        own = parts.pop(k, None)
+        if own is None or len(own) < 2 or len(own) * n <= leaf * len(x):
+            continue
+        best = (0.9 * len(own), 0, 0)
+        for v in own[:: max(len(own) // 8, 1)][:8]:
+            d = np.bitwise_count(own ^ v)
+            for m in {int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2]) - e for e in (0, 1)} - {-1}:
+                best = min(best, (max(np.count_nonzero(d <= m + reach), np.count_nonzero(d > m)), int(v), m))
+        size, v, m = best
+        if size < 0.9 * len(own):
+            d = np.bitwise_count(own ^ np.uint32(v))
+            tree[k], parts[2 * k], parts[2 * k + 1] = (v, m), own[d <= m + reach], own[d > m]
+    return tree
+
+
+def _descended(x: np.ndarray, tree: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, node)``: every end node that each row of ``x`` comes to."""
+    row, at = np.arange(len(x)), np.ones(len(x), np.int64)
+    for _ in range(DEPTH):
+        node = tree[at]
+        far = np.bitwise_count(x[row] ^ node["point"]).astype(np.int16) - node["middle"]
+        open_, out = node["middle"] != END, far > 0
+        edge = open_ & out & (far <= reach)
+        row, at = np.concatenate([row, row[edge]]), np.concatenate([np.where(open_, 2 * at + out, at), 2 * at[edge]])
+    return row, at
 
 
 def shards(fps: DataFrame, radius: int, bands: int) -> DataFrame:
-    """``fps`` with ``band`` and ``shard``, a row for every leaf that a fingerprint is in.
+    """``fps(id, fp)`` with ``band`` and ``leaf``, a row for every leaf that a fingerprint is in.
 
-    Each level of a band's tree has a vantage point and splits at the median distance
-    m to it.  What is farther than m but within m + reach of it lies at the boundary
-    and goes down both ways: by the triangle inequality whatever is within ``reach``
-    of a row inside is there too, so both meet in a leaf.
+    Each node of a band's tree has a vantage point of its own and splits at its own
+    median distance m to it.  What is farther than m but within m + reach of it lies
+    at the boundary and goes down both ways: by the triangle inequality whatever is
+    within ``reach`` of a row inside is there too, so both meet in a leaf.
+
+    Trees grow in rounds, for as long as a leaf has more than twice ``LEAF`` rows and can
+    be split.  A round fits ``DEPTH`` levels to a sample of about ``FIT`` rows of each
+    such leaf, one leaf at a time in a task, and sends all its rows down.
     """
-    width, reach = 64 // bands, radius // bands
-    levels = max(0, math.ceil(math.log(max(fps.count(), 1) / LEAF) / math.log(1.75)))
-    points = np.random.default_rng(42).integers(0, 1 << width, (bands, levels))
-    away = [[F.bit_count(x.bitwiseXOR(F.lit(int(v)))) for v in own] for x, own in zip(_bands(F.col("fp"), bands), points, strict=True)]
-    if levels:
-        middle = fps.agg(*[F.percentile_approx(d, 0.5).alias(f"m{b}_{n}") for b, own in enumerate(away) for n, d in enumerate(own)]).first()
-    leaf = []
-    for b, own in enumerate(away):
-        sides = [F.struct((d > F.lit(middle[f"m{b}_{n}"])).cast("long").alias("out"), ((d > F.lit(middle[f"m{b}_{n}"])) & (d <= F.lit(middle[f"m{b}_{n}"] + reach))).alias("edge")) for n, d in enumerate(own)]
-        one = F.array(F.lit(b).cast("long"))
-        down = lambda keys, x: F.concat(F.transform(keys, lambda k: k * 2 + x["out"]), F.when(x["edge"], F.transform(keys, lambda k: k * 2)).otherwise(F.array().cast("array<bigint>")))
-        leaf.append(F.struct(F.lit(b).alias("band"), (F.aggregate(F.array(*sides), one, down) if sides else one).alias("leaves")))
-    rows = fps.select("*", F.explode(F.array(*leaf)).alias("x"))
-    return rows.select(*fps.columns, F.col("x.band").alias("band"), F.explode("x.leaves").alias("leaf"))
+    reach, width, most = radius // bands, 64 // bands, LEAF
+    going = common.written(fps.select("id", "fp", F.explode(F.array(*map(F.lit, range(bands)))).alias("band"), F.col("band").cast("long").alias("leaf")), "level")
+    ended = []
+
+    def key(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        fp, band = rows.column("fp").to_numpy().view(np.uint64), rows.column("band").to_numpy().astype(np.uint64)
+        return (fp >> (band * np.uint64(width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.whole_groups(batches, 0):
+            leaf, n, x = rows.column("leaf").to_numpy(), rows.column("n").to_numpy(), key(rows)
+            starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+            trees = [(leaf[s], _fitted(x[s:e], int(n[s]), reach, most)) for s, e in zip(starts, [*starts[1:], len(leaf)], strict=True)]
+            trees = [(k, t.tobytes()) for k, t in trees if t["middle"][1] != END]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in trees], pa.int64()), pa.array([t for _, t in trees], pa.binary())], ["leaf", "tree"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, leaf = key(batch), batch.column("leaf").to_numpy()
+            for own in np.unique(leaf):
+                rows = np.flatnonzero(leaf == own)
+                row, at = _descended(x[rows], np.frombuffer(batch.column("tree")[int(rows[0])].as_py(), NODE), reach)
+                part = batch.take(pa.array(rows[row]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(at), part.column("leaf")], ["id", "fp", "band", "node", "leaf"])
+
+    while True:
+        large = common.written(going.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF), "large")
+        some = going.join(F.broadcast(large) if large.count() <= SMALL else large, "leaf").where(F.pmod(F.xxhash64("fp", "leaf"), F.col("n")) < FIT)
+        trees = common.written(common.sorted_groups(some.select("leaf", "n", "fp", "band"), "leaf").mapInArrow(fit, "leaf long, tree binary"), "trees")
+        count = trees.count()
+        if not count:
+            break
+        there = F.broadcast(trees) if count <= SMALL else trees
+        ended.append(going.join(there, "leaf", "left_anti").select("id", "fp", "band", "leaf"))
+        down = going.join(there, "leaf").select("id", "fp", "band", "leaf", "tree").mapInArrow(descend, "id long, fp long, band int, node long, leaf long")
+        going = common.written(down.select("id", "fp", "band", F.xxhash64("leaf", "node").alias("leaf")), "level")
+    for part in ended:
+        going = going.unionByName(part)
+    return going
 
 
 def _links(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

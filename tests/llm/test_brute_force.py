@@ -130,6 +130,17 @@ def test_simhash_links(spark, monkeypatch, leaf, cut):
         assert sizes.max() < len(fps) / 3 and sizes.sum() < 12 * len(fps)
 
 
+def test_simhash_leaves_are_balanced(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 64)
+    r = np.random.default_rng(8)
+    centres = r.integers(-(1 << 63), 1 << 63, 30, dtype=np.int64)
+    noise = np.packbits(r.random((6000, 64)) < 0.15, axis=1).view(np.int64)[:, 0]
+    fps = np.unique(np.concatenate([centres[r.integers(0, 30, 6000)] ^ noise, r.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64)]))
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps.tolist())], "fp long, id long")
+    sizes = simhash.shards(df, 3, 2).groupBy("band", "leaf").count().toPandas()["count"]
+    assert sizes.max() <= 2 * 64 and sizes.sum() < 12 * len(fps)
+
+
 def test_simhash_components_of_texts(spark):
     r = random.Random(12)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
