@@ -18,7 +18,7 @@ LEAF = 1024
 CUT = 4096
 #: Levels that a round adds to the trees, and rows of a leaf that they are fitted to.
 DEPTH, FIT = 6, 4096
-#: Tables of so many leaves or trees are broadcast (half a megabyte); larger ones are joined by a shuffle.
+#: So many leaves or trees are sent to all tasks (half a megabyte); more are joined by a shuffle.
 SMALL = 1024
 #: A node of a tree: its vantage point and the median distance, or that it is an end.
 NODE, END = np.dtype([("point", "<u4"), ("middle", "u1")]), 255
@@ -99,11 +99,11 @@ def shards(fps: DataFrame, radius: int, bands: int) -> DataFrame:
 
     Trees grow in rounds, for as long as a leaf has more than twice ``LEAF`` rows and can
     be split.  A round fits ``DEPTH`` levels to a sample of about ``FIT`` rows of each
-    such leaf, one leaf at a time in a task, and sends all its rows down.
+    such leaf, one leaf at a time in a task, and sends all its rows down; a round adds
+    no join while there are few leaves.
     """
     reach, width, most = radius // bands, 64 // bands, LEAF
     going = common.written(fps.select("id", "fp", F.explode(F.array(*map(F.lit, range(bands)))).alias("band"), F.col("band").cast("long").alias("leaf")), "level")
-    ended = []
 
     def key(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
         fp, band = rows.column("fp").to_numpy().view(np.uint64), rows.column("band").to_numpy().astype(np.uint64)
@@ -119,26 +119,44 @@ def shards(fps: DataFrame, radius: int, bands: int) -> DataFrame:
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, leaf = key(batch), batch.column("leaf").to_numpy()
-            for own in np.unique(leaf):
-                rows = np.flatnonzero(leaf == own)
-                row, at = _descended(x[rows], np.frombuffer(batch.column("tree")[int(rows[0])].as_py(), NODE), reach)
-                part = batch.take(pa.array(rows[row]))
+            x, leaf, found = key(batch), batch.column("leaf").to_numpy(), []
+            order = np.argsort(leaf, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(leaf) else []:
+                tree = batch.column("tree")[int(rows[0])].as_py() if known is None else known.value.get(int(leaf[rows[0]]))
+                row, at = (np.arange(len(rows)), np.zeros(len(rows), np.int64)) if tree is None else _descended(x[rows], np.frombuffer(tree, NODE), reach)
+                found.append((rows[row], at))
+            if found:
+                rows, at = (np.concatenate(f) for f in zip(*found, strict=True))
+                part = batch.select(["id", "fp", "band", "leaf"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(at), part.column("leaf")], ["id", "fp", "band", "node", "leaf"])
 
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes = sized.value
+        for batch in batches:
+            pos = np.minimum(np.searchsorted(names, batch.column("leaf").to_numpy()), len(names) - 1)
+            n = pa.array(sizes[pos])
+            yield batch.append_column("n", n).filter(pa.array((names[pos] == batch.column("leaf").to_numpy()) & (batch.column("draw").to_numpy() % sizes[pos] < FIT)))
+
+    context = fps.sparkSession.sparkContext
+    drawn = lambda rows: rows.withColumn("draw", F.xxhash64("fp", "leaf").bitwiseAND(F.lit((1 << 62) - 1)))
     while True:
         large = common.written(going.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LEAF), "large")
-        some = going.join(F.broadcast(large) if large.count() <= SMALL else large, "leaf").where(F.pmod(F.xxhash64("fp", "leaf"), F.col("n")) < FIT)
+        count = large.count()
+        if not count:
+            break
+        if count <= SMALL:
+            sized = context.broadcast(tuple(c.to_numpy() for c in large.orderBy("leaf").toArrow().columns))  # at most SMALL rows
+            some = drawn(going).mapInArrow(chosen, "id long, fp long, band int, leaf long, draw long, n long")
+        else:
+            some = drawn(going.join(large, "leaf")).where(F.col("draw") % F.col("n") < FIT)
         trees = common.written(common.sorted_groups(some.select("leaf", "n", "fp", "band"), "leaf").mapInArrow(fit, "leaf long, tree binary"), "trees")
         count = trees.count()
         if not count:
             break
-        there = F.broadcast(trees) if count <= SMALL else trees
-        ended.append(going.join(there, "leaf", "left_anti").select("id", "fp", "band", "leaf"))
-        down = going.join(there, "leaf").select("id", "fp", "band", "leaf", "tree").mapInArrow(descend, "id long, fp long, band int, node long, leaf long")
-        going = common.written(down.select("id", "fp", "band", F.xxhash64("leaf", "node").alias("leaf")), "level")
-    for part in ended:
-        going = going.unionByName(part)
+        known = context.broadcast({r["leaf"]: bytes(r["tree"]) for r in trees.collect()}) if count <= SMALL else None  # at most SMALL rows
+        down = going.mapInArrow if known is not None else going.join(trees, "leaf", "left").mapInArrow
+        down = down(descend, "id long, fp long, band int, node long, leaf long")
+        going = common.written(down.select("id", "fp", "band", F.when(F.col("node") == 0, F.col("leaf")).otherwise(F.xxhash64("leaf", "node")).alias("leaf")), "level")
     return going
 
 

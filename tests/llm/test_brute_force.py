@@ -130,8 +130,10 @@ def test_simhash_links(spark, monkeypatch, leaf, cut):
         assert sizes.max() < len(fps) / 3 and sizes.sum() < 12 * len(fps)
 
 
-def test_simhash_leaves_are_balanced(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 1024])
+def test_simhash_leaves_are_balanced(spark, monkeypatch, small):
     monkeypatch.setattr(simhash, "LEAF", 64)
+    monkeypatch.setattr(simhash, "SMALL", small)
     r = np.random.default_rng(8)
     centres = r.integers(-(1 << 63), 1 << 63, 30, dtype=np.int64)
     noise = np.packbits(r.random((6000, 64)) < 0.15, axis=1).view(np.int64)[:, 0]
