@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoflux.functions.columns import fixed
 from chronoflux.operators import corpora
+from chronoflux.sources import projects
 
 TIES = [k / 1e7 for k in range(5, 40005, 10)] + [71.9999995, 0.0, -1.5e-7, 1e20]
 
@@ -27,3 +28,10 @@ def test_marker_hash_at_ties(spark):
     (row,) = corpora.marker_hash(rows).collect()
     assert row["hash"] == hashlib.sha256(("[" + ",".join(f"{x:.6f}" for x in times) + "]").encode()).hexdigest()
     assert (row["n"], row["ts"]) == (500, times)
+
+
+def test_onset_csv_at_ties(spark):
+    times = [k / 1e5 for k in range(5, 4005, 10)]
+    rows = spark.createDataFrame([(1, n, x, x, x, x, x) for n, x in enumerate(times)], "track_id long, id long, t double, strength double, low double, mid double, high double")
+    got = {r["id"]: r["line"] for r in projects.onset_csv(rows, rows.where("id = 3")).collect()}
+    assert got == {n: ",".join([str(n), *[f"{x:.4f}"] * 5, str(int(n == 3))]) for n, x in enumerate(times)}
