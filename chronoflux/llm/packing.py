@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries a worker keeps of words and of stems; beyond it starts afresh, which changes no result.
-KNOWN = 900_000
+#: Entries of each of a worker's two generations of words, which bound its memory and change no result.
+KNOWN = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 #: Letters that lower case and normal forms map one to one, then marks: the tokenizer cuts between the two.
 STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
@@ -26,7 +26,9 @@ class Words:
 
     The tokenizer lower-cases, drops white space, never merges across it and cuts
     a word where letters end, so a text's ids are those of its words in order,
-    and a word's are those of its letters and of the marks behind them.
+    and a word's are those of its letters and of the marks behind them.  Both are
+    kept in one table of two generations: more than half of a corpus' words occur
+    once, and what is not met again goes with the older one.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,7 +38,7 @@ class Words:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of each text's."""
@@ -45,7 +47,7 @@ class Words:
         different = coded.dictionary.to_pylist()
         found = list(map(self.words.get, different))
         if None in found:
-            self._add({w for w, ids in zip(different, found, strict=True) if ids is None})
+            self._add(self._unknown({w for w, ids in zip(different, found, strict=True) if ids is None}))
             found = list(map(self.words.get, different))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts, word = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
@@ -55,14 +57,18 @@ class Words:
 
     def trim(self) -> None:
         if len(self.words) > KNOWN:
-            self.words = {"": b""}
-        if len(self.stems) > KNOWN:
-            self.stems = {"": b""}
+            self.words, self.older = {"": b""}, self.words
+
+    def _unknown(self, wanted: set[str]) -> set[str]:
+        """What neither generation has; what the older one has moves up."""
+        up = wanted & self.older.keys()
+        self.words.update((w, self.older[w]) for w in up)
+        return wanted - up
 
     def _add(self, new: set[str]) -> None:
         cut = {w: (m[1].lower(), m[2]) if (m := STEM.fullmatch(w)) else (w, "") for w in new}
-        self._stems(list({part for both in cut.values() for part in both}.difference(self.stems)))
-        self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in cut.items())
+        self._stems(list(self._unknown({part for both in cut.values() for part in both}.difference(self.words))))
+        self.words.update((w, self.words[a] + self.words[b]) for w, (a, b) in cut.items())
 
     def _stems(self, new: list[str]) -> None:
         alone = [s for s in new if not s.isalpha() or len(s) > 200]
@@ -72,11 +78,11 @@ class Words:
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             at_ends = np.flatnonzero(self.ends[ids]) + 1
             if len(at_ends) == len(part) and at_ends[-1] == len(ids):  # one word end each
-                self.stems.update((s, ids[a:b].tobytes()) for s, a, b in zip(part, [0, *at_ends], at_ends, strict=False))
+                self.words.update((s, ids[a:b].tobytes()) for s, a, b in zip(part, [0, *at_ends], at_ends, strict=False))
             else:
                 alone += part
         for s in alone:
-            self.stems[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.words[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _kept: dict[str, Words] = {}

@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from chronoflux.llm import packing
@@ -20,3 +21,23 @@ def test_ids_of_odd_strings_are_the_tokenizers(spark):
         got[x["doc_id"]] += x["ids"]
     for i, t in enumerate(texts):
         assert got[i] == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_words_are_kept_once_and_what_recurs_stays(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, tok = packing.Words(path), Tokenizer.from_file(path)
+    known.ids(pa.array(["alpha beta gamma"]))
+    assert sum(len(d) for d in vars(known).values() if isinstance(d, dict)) == 4  # and the empty one
+
+    monkeypatch.setattr(packing, "KNOWN", 8)
+    asked = []
+    known = packing.Words(path)
+    stems = known._stems
+    monkeypatch.setattr(known, "_stems", lambda new: (asked.extend(new), stems(new)))
+    for i in range(40):
+        text = f"always, the same w{i} x{i}. y{i}!"
+        known.trim()
+        ids, _ = known.ids(pa.array([text]))
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert len(known.words) + len(known.older) < 40
+    assert asked.count("always") == asked.count("same") == 1
