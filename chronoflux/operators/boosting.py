@@ -7,15 +7,24 @@ whole numbers, so neither the order of pairs nor that of tasks changes a model.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoflux.sources.store import stored
+
 from . import scores
 
 #: Thresholds tried at a node, and the gain a split has to exceed a better one by.
 QUANTILES, EPSILON = tuple(q / 10 for q in range(1, 10)), 1e-12
 #: Units of a whole-number gradient, and trees after which margins are written into the pairs.
 UNIT, FLUSH = 10**12, 8
+#: What a whole number is cut by for sums in two halves, and bits of a double left off for its bucket: 256 to a power of two.
+HALF, BUCKET = 10**6, 44
 
 Node = float | tuple
 
@@ -35,41 +44,127 @@ def _leaf(open_: Node, at: str) -> Column:
     return F.when(F.col(f"{at}{name}") <= float(threshold), _leaf(left, at)).otherwise(_leaf(right, at))
 
 
-def _long(rows: DataFrame, features: list[str], at: str, *kept: str) -> DataFrame:
-    """A row per feature: its number and value."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"{at}{c}").alias("x")) for k, c in enumerate(features)]))
-    return rows.select(*kept, stacked.alias("s")).select(*kept, "s.f", "s.x")
-
-
-def _thresholds(events: DataFrame, features: list[str], node: Column) -> dict[tuple[int, int], list[float]]:
-    """Deciles of each feature among the events of each node, six decimals, each once.
+def _tally(events: DataFrame, features: list[str], node: Column, wanted: dict[tuple[int, int], list[int]] | None = None) -> DataFrame:
+    """``node, f, bucket, x, n``: events in each bucket of a feature; the values of the ``wanted`` buckets, if given.
 
-    Values have six decimals, so equal ones are counted first and the exact quantiles
-    are taken over value counts.
+    A task adds up what it reads before it gives out a row.
     """
-    counted = _long(events.withColumn("node", node), features, "", "node").groupBy("node", "f", "x").agg(F.count("*").alias("n"))
-    rows = counted.groupBy("node", "f").agg(F.percentile("x", F.array(*[F.lit(q) for q in QUANTILES]), F.col("n")).alias("q")).collect()
-    return {(r["node"], r["f"]): list(dict.fromkeys(round(x, 6) + 0.0 for x in r["q"])) for r in rows}
 
-
-def _bin(found: dict[tuple[int, int], list[float]]) -> Column:
-    """How many thresholds of its node and feature a value is above."""
-    out = F.lit(0)
-    for (node, f), cuts in found.items():
-        above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x")))
-        out = F.when((F.col("node") == node) & (F.col("f") == f), above).otherwise(out)
+    def turned(bits: np.ndarray) -> np.ndarray:
+        return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+    def counted(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, of = np.unique(np.concatenate(parts), return_inverse=True)
+        return values, np.bincount(of, weights=np.concatenate(counts), minlength=len(values)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for k in np.unique(of).tolist():
+                own = of == k
+                for f in range(len(features)):
+                    keys = turned((batch.column(f + 1).to_numpy()[own] + 0.0).view(np.int64))  # in the order of the values, NaN last
+                    if wanted is None:
+                        keys = keys >> BUCKET
+                    else:
+                        keys = keys[np.isin(keys >> BUCKET, wanted.get((k, f), []))]
+                    values, n = np.unique(keys, return_counts=True)
+                    parts, counts = held.setdefault((k, f), ([], []))
+                    parts.append(values)
+                    counts.append(n)
+                    if len(parts) > 32:
+                        values, n = counted(parts, counts)
+                        held[k, f] = ([values], [n])
+        for (k, f), both in held.items():
+            values, n = counted(*both)
+            if len(values):
+                x = turned(values).view(np.float64) if wanted is not None else np.zeros(len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(np.full(len(values), f, np.int32)), pa.array(values if wanted is None else values >> BUCKET), pa.array(x), pa.array(n)], names=["node", "f", "bucket", "x", "n"])
+
+    rows = events.select(node.alias("node"), *features).mapInArrow(run, "node int, f int, bucket long, x double, n long")
+    return rows.groupBy("node", "f", "bucket", "x").agg(F.sum("n").alias("n"))
+
+
+def _thresholds(events: DataFrame, features: list[str], node: Column) -> dict[tuple[int, int], tuple[list[float], list[int]]]:
+    """Of each feature among the events of each node: its deciles, six decimals, each once, and the events in each bin they cut.
+
+    Exact in two passes: events are counted by buckets of nearly equal values, whose
+    sums tell the buckets that hold the ranks asked for, and then by value in those only.
+    What is dealt out and collected does not grow with the events, but with the buckets.
+    """
+    sizes: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in _tally(events, features, node).collect():  # buckets, not values
+        sizes.setdefault((r["node"], r["f"]), []).append((r["bucket"], r["n"]))
+    places: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    ranks: dict[tuple[int, int], dict[int, set[int]]] = {}
+    before: dict[tuple[int, int, int], int] = {}
+    total: dict[tuple[int, int], int] = {}
+    for key, own in sizes.items():
+        own.sort()
+        ends = np.cumsum([n for _, n in own])
+        total[key] = int(ends[-1])
+        places[key] = [(math.floor(p), math.ceil(p), p) for p in ((total[key] - 1) * q for q in QUANTILES)]
+        for rank in {r for low, high, _ in places[key] for r in (low, high)}:
+            i = int(np.searchsorted(ends, rank, side="right"))
+            ranks.setdefault(key, {}).setdefault(own[i][0], set()).add(rank)
+            before[*key, own[i][0]] = int(ends[i]) - own[i][1]
+    asked = events.sparkSession.createDataFrame([(k, f, b, before[k, f, b], sorted(r)) for (k, f), found in ranks.items() for b, r in found.items()], "node int, f int, bucket long, before long, ranks array<long>")
+    up_to = F.col("before") + F.sum("n").over(Window.partitionBy("node", "f", "bucket").orderBy("x"))
+    rows = _tally(events, features, node, {key: list(found) for key, found in ranks.items()}).join(F.broadcast(asked), ["node", "f", "bucket"])  # a row a bucket asked for
+    hit = rows.withColumn("end", up_to).where(F.exists("ranks", lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n"))))
+    values: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for r in hit.select("node", "f", "x", "n", "end").collect():
+        values.setdefault((r["node"], r["f"]), []).append((r["end"], r["n"], r["x"]))
+    out = {}
+    for key, own in values.items():
+        own.sort()
+        at = lambda rank, own=own: next(v for v in own if v[0] > rank)
+        upto: dict[float, int] = {}
+        for low, high, place in places[key]:
+            (end_a, n_a, a), (end_b, _, b) = at(low), at(high)
+            cut = round(a if low == high or a == b else (high - place) * a + (place - low) * b, 6) + 0.0
+            upto.setdefault(cut, total[key] if cut != cut else end_b if cut >= b else end_a if cut >= a else end_a - n_a)
+        out[key] = (list(upto), np.diff([0, *upto.values(), total[key]]).tolist())
     return out
 
 
-def _binned(events: DataFrame, sides: DataFrame, features: list[str], open_: Node, found: dict) -> dict[tuple[int, int], list[tuple[float, float, int]]]:
-    """Per node and feature the sums of gradient, curvature and events in each bin."""
-    zero = F.lit(0).cast("decimal(20,0)")
-    own = _long(events.select("*", _leaf(open_, "").alias("node"), zero.alias("g"), zero.alias("h"), F.lit(1).alias("n")), features, "", "node", "g", "h", "n")
-    paired = _long(sides.select("*", _leaf(open_, "").alias("node"), F.lit(0).alias("n")), features, "", "node", "g", "h", "n")
-    rows = own.unionByName(paired).withColumn("bin", _bin(found)).groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect()
-    out = {k: [(0.0, 0.0, 0)] * (len(v) + 1) for k, v in found.items()}
-    for r in rows:
-        out[r["node"], r["f"]][r["bin"]] = (float(r["g"]) / UNIT, float(r["h"]) / UNIT, r["n"])
+def _binned(pulled: DataFrame, features: list[str], open_: Node, found: dict) -> dict[tuple[int, int], list[tuple[float, float, int]]]:
+    """Per node and feature the sums of gradient, curvature and events in each bin.
+
+    Whole numbers are summed in two halves, so no sum leaves 64 bits.
+    """
+    cuts = {key: np.array(c) for key, (c, _) in found.items()}
+    width = len(QUANTILES) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {key: np.zeros((4, width), np.int64) for key in cuts}
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            for side, sign in ((0, 1), (1, -1)):
+                of = columns[2 + side]
+                for k in np.unique(of).tolist():
+                    own = of == k
+                    g, h = sign * columns[0][own], columns[1][own]
+                    halves = [half.astype(float) for x in (g, h) for half in np.divmod(x, HALF)]
+                    for f in range(len(features)):
+                        if (k, f) in cuts:
+                            x = columns[4 + side * len(features) + f][own]
+                            bins = np.searchsorted(cuts[k, f], x, side="left")
+                            sums[k, f] += np.array([np.bincount(bins, weights=half, minlength=width) for half in halves]).astype(np.int64)
+        keys = [(*key, i) for key in sums for i in range(width)]
+        if keys:
+            flat = np.concatenate([sums[key] for key in sums], axis=1)
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in keys], pa.int32()) for j in range(3)], *map(pa.array, flat)], names=["node", "f", "bin", "g1", "g0", "h1", "h0"])
+
+    side = lambda p: [F.col(f"{p}{c}") for c in features]
+    given = pulled.select("g", "h", _leaf(open_, "a_").alias("a"), _leaf(open_, "b_").alias("b"), *side("a_"), *side("b_"))
+    rows = given.mapInArrow(run, "node int, f int, bin int, g1 long, g0 long, h1 long, h0 long").groupBy("node", "f", "bin").agg(*[F.sum(c).alias(c) for c in ("g1", "g0", "h1", "h0")])
+    out = {key: [(0.0, 0.0, n) for n in counts] for key, (_, counts) in found.items()}
+    for r in rows.collect():
+        own = out[r["node"], r["f"]]
+        if r["bin"] < len(own):
+            own[r["bin"]] = (float(r["g1"] * HALF + r["g0"]) / UNIT, float(r["h1"] * HALF + r["h0"]) / UNIT, own[r["bin"]][2])
     return out
 
 
@@ -94,22 +189,22 @@ def _newton(sums: tuple[float, float, int], penalty: float, most: float) -> floa
     return round(max(-most, min(most, sums[0] / (sums[1] + penalty))), 6) + 0.0
 
 
-def fit_tree(events: DataFrame, sides: DataFrame, features: list[str], depth: int, least: int, penalty: float, most: float, root: dict | None = None) -> Node:
-    """One tree, level by level: ``sides`` are the two events of each pair with ``g`` and ``h`` in whole units."""
+def fit_tree(events: DataFrame, pulled: DataFrame, features: list[str], depth: int, least: int, penalty: float, most: float, root: dict | None = None) -> Node:
+    """One tree, level by level: ``pulled`` are pairs with both events' features and ``g`` and ``h`` in whole units; ``g`` is the better one's."""
     open_: Node = 0
     sums: dict[int, tuple] = {}
     shape: dict[int, tuple[str, float, int, int]] = {}
     level, fresh = [0], 1
     for d in range(depth):
         found = root if d == 0 and root is not None else {k: v for k, v in _thresholds(events, features, _leaf(open_, "")).items() if k[0] in level}
-        bins = _binned(events, sides, features, open_, found) if found else {}
+        bins = _binned(pulled, features, open_, found) if found else {}
         following = []
         for node in level:
             own = {f: b for (n, f), b in bins.items() if n == node}
             if not own:
                 continue
             sums.setdefault(node, tuple(map(sum, zip(*own[min(own)], strict=True))))
-            split = best_split(own, {f: c for (n, f), c in found.items() if n == node}, least, penalty)
+            split = best_split(own, {f: c for (n, f), (c, _) in found.items() if n == node}, least, penalty)
             if split is not None:
                 _, f, threshold, sums[fresh], sums[fresh + 1] = split
                 shape[node] = (features[f], threshold, fresh, fresh + 1)
@@ -145,13 +240,28 @@ def fit_pairwise_trees(events: DataFrame, pairs: DataFrame, features: list[str],
     Ends early where no pair pulls or a tree says nothing.  The model is what
     ``scores.score_trees`` takes.  No pairs are an error.
     """
+    events, rows = _sided(events, pairs, features, anchor)
+    events, rows = events.persist(), rows.persist()
+    try:
+        return _fit(events, rows, features, anchor, trees, depth, rate, least, penalty, most, weight)
+    finally:
+        events.unpersist()
+        rows.unpersist()
+
+
+def _sided(events: DataFrame, pairs: DataFrame, features: list[str], anchor: str) -> tuple[DataFrame, DataFrame]:
+    """Events with features and anchor at six decimals, and pairs with those of both sides; other columns stay."""
     value = lambda c: F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6)
-    events = events.select("track_id", "id", *[value(c).alias(c) for c in dict.fromkeys([*features, anchor])]).persist()
     names = list(dict.fromkeys([*features, anchor]))
+    events = events.select("track_id", "id", *[c for c in events.columns if c == "source"], *[value(c).alias(c) for c in names])
     side = lambda p, k: events.select("track_id", F.col("id").alias(k), *[F.col(c).alias(f"{p}{c}") for c in names])
-    rows = pairs.select("track_id", "better", "worse").join(side("a_", "better"), ["track_id", "better"]).join(side("b_", "worse"), ["track_id", "worse"]).drop("track_id", "better", "worse")
-    rows = rows.withColumn("m", (F.col(f"a_{anchor}") - F.col(f"b_{anchor}")) * weight).persist()
-    held = [events, rows]
+    both = pairs.join(side("a_", "better"), ["track_id", "better"]).join(side("b_", "worse"), ["track_id", "worse"])
+    return events, both.drop("track_id", "better", "worse")
+
+
+def _fit(events: DataFrame, rows: DataFrame, features: list[str], anchor: str, trees: int = 24, depth: int = 2, rate: float = 0.05, least: int = 32, penalty: float = 1.0, most: float = 0.5, weight: float = 1.0) -> dict:
+    rows = rows.withColumn("m", (F.col(f"a_{anchor}") - F.col(f"b_{anchor}")) * weight)
+    held = []
     if not rows.head(1):
         raise ValueError("no pairs to fit on")
     root = _thresholds(events, features, F.lit(0))
@@ -166,14 +276,13 @@ def fit_pairwise_trees(events: DataFrame, pairs: DataFrame, features: list[str],
                 rows, flushed = rows.withColumn("m", margin).persist(), len(model)
                 held.append(rows)
                 rows.count()
-                held.pop(1).unpersist()
+                if len(held) > 1:
+                    held.pop(0).unpersist()
                 margin = F.col("m")
             q = 1 / (1 + F.exp(margin))
-            pulled = rows.withColumn("q", q)
-            whole = lambda x: F.round(x * UNIT).cast("decimal(20,0)")
-            each = lambda p, sign: F.struct(whole(sign * F.col("q")).alias("g"), whole(F.col("q") * (1 - F.col("q"))).alias("h"), *[F.col(f"{p}{c}").alias(c) for c in features])
-            sides = pulled.select(F.explode(F.array(each("a_", F.lit(1)), each("b_", F.lit(-1)))).alias("s")).select("s.*")
-            tree = fit_tree(events, sides, features, depth, least, penalty, most, root)
+            whole = lambda x: F.round(x * UNIT).cast("long")
+            pulled = rows.withColumn("q", q).withColumn("g", whole(F.col("q"))).withColumn("h", whole(F.col("q") * (1 - F.col("q"))))
+            tree = fit_tree(events, pulled, features, depth, least, penalty, most, root)
             if not _speaks(tree):
                 break
             model.append(tree)
@@ -219,19 +328,23 @@ def leave_one_source_out(events: DataFrame, pairs: DataFrame, sources: DataFrame
     alone.  Accuracies are means over tracks.  A source without pairs has null figures;
     the only one is not judged, as nothing is left to fit on.
     """
-    events, pairs = events.join(sources, "track_id").persist(), pairs.join(sources, "track_id").persist()
+    events, pairs = stored(events.join(sources, "track_id")), stored(pairs.join(sources, "track_id"))
     names = [r["source"] for r in pairs.select("source").distinct().orderBy("source").collect()]  # a row a source
+    own, rows = _sided(events, pairs, features, anchor)  # one join of events and pairs for all sources
+    own, rows = own.persist(), rows.persist()
     judged = None
     for name in names:
-        fit = pairs.where(F.col("source") != name)
+        fit = rows.where(F.col("source") != name)
         if not fit.head(1):
             continue
-        model = fit_pairwise_trees(events.where(F.col("source") != name), fit, features, anchor, **options)
+        model = _fit(own.where(F.col("source") != name), fit, features, anchor, **options)
         scored = scores.score_trees(events.where(F.col("source") == name), model, digits=None)
-        own = pairs.where(F.col("source") == name).select("track_id", "better", "worse")
-        both = pair_accuracy(scored, own, "relevance").join(pair_accuracy(scored, own, anchor).select("track_id", F.col("accuracy").alias("base")), "track_id")
+        held = pairs.where(F.col("source") == name).select("track_id", "better", "worse")
+        both = pair_accuracy(scored, held, "relevance").join(pair_accuracy(scored, held, anchor).select("track_id", F.col("accuracy").alias("base")), "track_id")
         row = both.select(F.lit(name).alias("source"), "track_id", "n", "accuracy", "base")
         judged = row if judged is None else judged.unionByName(row)
+    own.unpersist()
+    rows.unpersist()
     if judged is None:
         judged = pairs.select("source", "track_id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("accuracy"), F.lit(0.0).alias("base")).limit(0)
     found = judged.groupBy("source").agg(F.count("*").alias("tracks"), F.sum("n").alias("pairs"), F.avg("accuracy").alias("accuracy"), F.avg("base").alias("base"))
