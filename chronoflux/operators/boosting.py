@@ -362,8 +362,9 @@ def select_penalty(events: DataFrame, pairs: DataFrame, held: DataFrame, feature
     less how often the worse, 0 at least), then the larger penalty.
     """
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    events = events.select("track_id", "id", *[value(c).alias(c) for c in features])
-    tracks = held.select("track_id").distinct()
+    events = stored(events.select("track_id", "id", *[value(c).alias(c) for c in features]))
+    pairs = stored(pairs.select("track_id", "better", "worse"))
+    tracks = stored(held.select("track_id").distinct())
 
     def differences(rows: DataFrame, own: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
         side = lambda p, n: own.select("track_id", F.col("id").alias(n), *[F.col(c).alias(f"{p}{c}") for c in features])
