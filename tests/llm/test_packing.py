@@ -41,3 +41,12 @@ def test_words_are_kept_once_and_what_recurs_stays(monkeypatch):
         assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
         assert len(known.words) + len(known.older) < 40
     assert asked.count("always") == asked.count("same") == 1
+
+
+def test_letters_and_marks_are_kept_and_not_the_words_of_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, tok = packing.Words(path), Tokenizer.from_file(path)
+    text = "Alpha alpha, ALPHA! (alpha) É é. x1, 'tis don't alpha,! beta beta,"
+    ids, _ = known.ids(pa.array([text]))
+    assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert set(known.words) == {"", "alpha", ",", "!", "(alpha)", "é", ".", "x1,", "'tis", "don't", ",!", "beta"}
