@@ -23,11 +23,10 @@ def _long(s: SparkSession, d: str) -> DataFrame:
     return rows.select("track_id", "bar", F.posexplode("embedding").alias("p", "x")).select("track_id", "bar", (F.col("p") + 1).cast("long").alias("col"), F.col("x").cast("double").alias("x"))
 
 
-def _views(s: SparkSession, d: str, smooth: int = 8) -> dict[str, DataFrame]:
-    """Each view as the mean of ``smooth`` bars up to its own, so that neighbours are alike."""
+def _smoothed(s: SparkSession, d: str, smooth: int = 8) -> DataFrame:
+    """All views: each component as the mean of ``smooth`` bars up to its own, so that neighbours are alike."""
     w = Window.partitionBy("track_id", "col").orderBy("bar").rowsBetween(1 - smooth, 0)
-    rows = _long(s, d).withColumn("x", F.avg("x").over(w))
-    return {name: rows.where(F.col("col").between(low, high)) for name, (low, high) in VIEWS.items()}
+    return _long(s, d).withColumn("x", F.avg("x").over(w))
 
 
 def _bars(s: SparkSession, d: str) -> DataFrame:
@@ -46,12 +45,14 @@ class Chain:
 
     @cached_property
     def views(self) -> dict[str, DataFrame]:
-        return {name: stored(view) for name, view in _views(self.s, self.d).items()}
+        rows = stored(_smoothed(self.s, self.d))
+        return {name: rows.where(F.col("col").between(low, high)) for name, (low, high) in VIEWS.items()}
 
     @cached_property
     def found(self) -> tuple[DataFrame, DataFrame]:
-        bands = {name: stored(forms.similar_within(view, forms.MOST)) for name, view in self.views.items()}
-        band = stored(forms.combined_bands(bands, forms.WEIGHTS))
+        wide = stored(forms.bands_within(self.views, forms.MOST, forms.WEIGHTS))
+        band = wide.select("track_id", "i", "j", "sim")
+        bands = {name: wide.where(F.col(name).isNotNull()).select("track_id", "i", "j", F.col(name).alias("sim")) for name in self.views}
         return band, stored(forms.view_boundaries(band, bands, self.bars))
 
     @cached_property

@@ -294,3 +294,44 @@ def test_event_evidence_is_that_of_its_parts(spark):
             at = end
         want = {i: n for n, g in enumerate(groups, 1) for i in g}
         assert {i: got[i]["group_id"] for _, i in ts} == {i: want.get(i) for _, i in ts}
+
+
+def test_one_segment_meets_all_heads_as_it_meets_each():
+    r = np.random.default_rng(11)
+    kinds = {"harmony": 24, "timbre": 16, "rhythm:0": 8, "rhythm:1": 8, "energy": 4}
+    base = [{p: np.abs(r.normal(size=n)) for p, n in kinds.items()} for _ in range(3)]
+    made = [(int(r.integers(3, 20)), {p: v * (k % 5 > 0 or p != "energy") + 0.1 * r.normal(size=len(v)) * (k % 7 > 0) for p, v in base[k % 3].items()}) for k in range(60)]
+    heads = forms.Heads()
+    assert len(heads.agreements(made[0])) == 0
+    for k, own in enumerate(made):
+        want = [forms.agreement(m, own) for m in made[:k]]
+        assert heads.agreements(own).tolist() == pytest.approx(want)
+        heads.add(own)
+    assert len({x == 0 for x in want}) == 2
+
+
+def test_bands_are_made_in_strips_without_pairs_being_joined(spark, monkeypatch):
+    monkeypatch.setattr(forms, "STRIP", 8)
+    r, reach, weights = np.random.default_rng(12), 5, {"a": 0.7, "b": 0.3}
+    x = {n: {b: r.normal(size=3) for b in range(-3, 40) if r.random() < (0.95 if n == "a" else 0.5)} for n in weights}
+    views = {n: spark.createDataFrame([(7, b, c, float(v[c])) for b, v in x[n].items() for c in range(3)], "track_id long, bar long, col long, x double") for n in weights}
+    views["b"] = views["b"].unionByName(spark.createDataFrame([(7, 50, 0, None), (7, 51, 0, float("nan")), (8, 1, 0, 2.0)], "track_id long, bar long, col long, x double"))
+    x["b"] |= {50: np.zeros(3), 51: np.zeros(3)}
+
+    def sim(v, i, j):
+        if i not in v or j not in v:
+            return None
+        size = np.linalg.norm(v[i]) * np.linalg.norm(v[j])
+        return 1.0 if i == j else 0.0 if size == 0 else min(1.0, max(0.0, float(v[i] @ v[j]) / size))
+
+    own = {(i, j): [sim(x[n], i, j) for n in weights] for i in range(-3, 52) for j in range(i, i + reach + 1)}
+    own = {k: v for k, v in own.items() if v != [None, None]}
+    mean = {k: sum(w * s for w, s in zip(weights.values(), v, strict=True) if s is not None) / sum(w for w, s in zip(weights.values(), v, strict=True) if s is not None) for k, v in own.items()}
+    middle = {(i, j): float(np.median([mean[i + k, j + k] for k in (-1, 0, 1) if (i + k, j + k) in mean])) for i, j in mean}
+    wide = forms.bands_within(views, reach, weights)
+    got = wide.collect()
+    assert [(g["i"], g["j"], g["sim"], g["b"], g["a"]) for g in got if g["track_id"] == 8] == [(1, 1, 1.0, 1.0, None)]
+    got = {(g["i"], g["j"]): g for g in got if g["track_id"] == 7}
+    assert {k: [g["a"], g["b"]] for k, g in got.items()} == {k: [s if s is None else pytest.approx(s) for s in v] for k, v in own.items()}
+    assert {k: g["sim"] for k, g in got.items()} == {k: pytest.approx(v) for k, v in middle.items()}
+    assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString()
