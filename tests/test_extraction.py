@@ -335,3 +335,25 @@ def test_bands_are_made_in_strips_without_pairs_being_joined(spark, monkeypatch)
     assert {k: [g["a"], g["b"]] for k, g in got.items()} == {k: [s if s is None else pytest.approx(s) for s in v] for k, v in own.items()}
     assert {k: g["sim"] for k, g in got.items()} == {k: pytest.approx(v) for k, v in middle.items()}
     assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_long_gap_does_not_make_other_beats_meet_more(spark, monkeypatch):
+    ts = [0.5 * k for k in range(200)] + [5000.0, 5000.5, 90_000.0]
+    os_ = [t + 0.11 for t in ts] + [2500.0, 4200.0, 60_000.0]
+    beats, ons = ([(track, t) for track in (0, 1) for t in rows] for rows in (ts, os_))
+    sup = [(0, int(t * 20), 1.0) for t in os_]
+    schema = "track_id long, t double"
+    found = tempo.refine_beats(spark.createDataFrame(beats, schema), spark.createDataFrame(ons, schema), spark.createDataFrame(sup, "track_id long, frame long, x double"), 20.0)
+    got = {(x["track_id"], x["i"]): x for x in found.collect()}
+    for track in (0, 1):
+        at = {f / 20: 1.0 for k, f, _ in sup if k == track}
+        for i, t in enumerate(ts):
+            left, right = (t - ts[i - 1] if i else None), (ts[i + 1] - t if i + 1 < len(ts) else None)
+            period = (left + right) / 2 if left and right else left or right
+            reach = 0.25 * period
+            score = lambda x: max(max(1 - abs(o - x) / 0.05 for o in os_), 0.0) + 0.6 * at.get(round(x * 20) / 20, 0.0) - 0.8 * abs(x - t) / period  # noqa: B023, E731
+            low, high = round((t - reach) * 20), round((t + reach) * 20)
+            cands = [t, *(o for o in os_ if abs(o - t) <= reach), *[min(f / 20 for f in range(max(low, 0), high + 1) if f / 20 in at) for _ in (1,) if any(low <= round(f * 20) <= high for f in at)]]
+            assert got[track, i]["score"] == pytest.approx(max(map(score, cands))), (track, i)
+    monkeypatch.setattr(tempo.joins, "band", None)  # pairs within the longest reach of all are never made
+    assert tempo.refine_beats(spark.createDataFrame(beats, schema), spark.createDataFrame(ons, schema), None, 20.0).count() == 2 * len(ts)
