@@ -9,6 +9,7 @@ from chronoflux.operators import evidence, tempo, timeline
 from chronoflux.plans.catalog import _add, _r
 from chronoflux.sources import charts
 from chronoflux.sources import tables as t
+from chronoflux.sources.store import stored
 
 
 def _anchors(s: SparkSession, d: str) -> DataFrame:
@@ -45,8 +46,8 @@ def _step_files(s: SparkSession, d: str) -> DataFrame:
 
 
 _STEP = f"tp AS (SELECT track_id, floor(t / 4)::BIGINT * 4 + floor(t % 4 * 4) / 4 AS b, min((kind = 'error')::INT) AS mine FROM onsets GROUP BY ALL), mk AS (SELECT track_id, b, mine, 0.5::DOUBLE + CASE WHEN b > 40 THEN 40 + (b - 40) / 2 ELSE b END + CASE WHEN b > 8 THEN 0.25::DOUBLE ELSE 0 END AS s FROM tp)"
-_add("src7_step_markers", lambda s, d: charts.step_charts(_step_files(s, d))[0], f"WITH {_STEP} SELECT track_id::VARCHAR AS path, 0 AS chart, round(s, 6) AS t FROM mk WHERE mine = 0")
-_add("src7_step_charts", lambda s, d: charts.step_charts(_step_files(s, d))[1], f"WITH {_STEP} SELECT track_id::VARCHAR AS path, 0 AS chart, 'single' AS mode, 'Hard' AS difficulty, count(*) AS objects, 0::BIGINT AS tails, sum(mine)::BIGINT AS hazards, count(*) FILTER (mine = 0) AS markers, NULL::VARCHAR AS reason FROM mk GROUP BY track_id")
+_add("src7_step_markers", lambda s, d: charts.step_charts(stored(_step_files(s, d)))[0], f"WITH {_STEP} SELECT track_id::VARCHAR AS path, 0 AS chart, round(s, 6) AS t FROM mk WHERE mine = 0")
+_add("src7_step_charts", lambda s, d: charts.step_charts(stored(_step_files(s, d)))[1], f"WITH {_STEP} SELECT track_id::VARCHAR AS path, 0 AS chart, 'single' AS mode, 'Hard' AS difficulty, count(*) AS objects, 0::BIGINT AS tails, sum(mine)::BIGINT AS hazards, count(*) FILTER (mine = 0) AS markers, NULL::VARCHAR AS reason FROM mk GROUP BY track_id")
 
 
 def _hit_files(s: SparkSession, d: str) -> DataFrame:

@@ -105,7 +105,10 @@ def step_charts(text: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(other, TIMING)
     )
     charts = charts.withColumn("reason", reason)
-    measures = charts.where("reason IS NULL").select("path", "chart", "plain", "bpms", "stops", "delays", "offset", F.posexplode(F.split("notes", ",")).alias("measure", "lines"))
+    # dealt by number: notes pack so well that a few bytes of shuffle, joined into one task, are much to read
+    parts = max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), text.sparkSession.sparkContext.defaultParallelism)
+    read = charts.where("reason IS NULL").select("path", "chart", "plain", "bpms", "stops", "delays", "offset", "notes").repartition(parts, "path", "chart")
+    measures = read.select("path", "chart", "plain", "bpms", "stops", "delays", "offset", F.posexplode(F.split("notes", ",")).alias("measure", "lines"))
     cleaned = F.filter(F.transform(F.split("lines", r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "//.*$", ""), r"\t", " "))), lambda x: x != "")
     measures = measures.withColumn("lines", cleaned).withColumn("n", F.size("lines"))
     steps = measures.select("path", "chart", "plain", "bpms", "stops", "delays", "offset", "measure", "n", F.posexplode("lines").alias("r", "row"))
@@ -114,18 +117,17 @@ def step_charts(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     taps = (count("[124]") > 0) | (~F.col("plain") & (count("L") > 0))
     steps = steps.select("path", "chart", "plain", "measure", "r", F.length("row").alias("width"), count("[^0]").alias("objects"), count("3").alias("tails"), count("[MFK]").alias("hazards"), count("[^01234MFKL]").alias("unknown"), count("L").alias("lifts"), F.when(taps, F.round(_seconds(beat), 6)).alias("t"))
     before = F.max("t").over(Window.partitionBy("path", "chart").orderBy("measure", "r").rowsBetween(Window.unboundedPreceding, -1))
-    steps = steps.withColumn("back", F.col("t") < before)
-    total = steps.groupBy("path", "chart").agg(
-        F.sum("objects").alias("objects"), F.sum("tails").alias("tails"), F.sum("hazards").alias("hazards"), F.count("t").alias("markers"),
-        F.when((F.min("width") != F.max("width")) | (F.sum("unknown") > 0), MALFORMED).when(F.max(F.col("plain") & (F.col("lifts") > 0)) | (F.min("t") < 0) | F.max(F.coalesce("back", F.lit(False))), TIMING).alias("fault"),
-    )
+    steps = steps.withColumn("back", F.coalesce(F.col("t") < before, F.lit(False))).withColumn("lifted", F.col("plain") & (F.col("lifts") > 0))
+    fault = lambda least, most: F.when((least("width") != most("width")) | (most("unknown") > 0), MALFORMED).when(most("lifted") | (least("t") < 0) | most("back"), TIMING)
+    total = steps.groupBy("path", "chart").agg(F.sum("objects").alias("objects"), F.sum("tails").alias("tails"), F.sum("hazards").alias("hazards"), F.count("t").alias("markers"), fault(F.min, F.max).alias("fault"))
     judged = charts.select("path", "chart", "mode", "difficulty", "reason").join(total, ["path", "chart"], "left")
     judged = judged.withColumn("reason", F.coalesce("reason", "fault")).drop("fault")
     zero = lambda c: F.coalesce(F.when(F.col("reason").isNull(), F.col(c)), F.lit(0)).alias(c)
     judged = judged.select("path", "chart", "mode", "difficulty", zero("objects"), zero("tails"), zero("hazards"), zero("markers"), "reason")
     without = text.select("path").join(judged.select("path"), "path", "left_anti")
     none = without.select("path", F.lit(None).cast("int").alias("chart"), F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("difficulty"), *[F.lit(0).cast("long").alias(c) for c in ("objects", "tails", "hazards", "markers")], F.lit(MALFORMED).alias("reason"))
-    markers = steps.where("t IS NOT NULL").join(judged.where("reason IS NULL").select("path", "chart"), ["path", "chart"], "left_semi").select("path", "chart", "t")
+    whole = Window.partitionBy("path", "chart")
+    markers = steps.withColumn("fault", fault(lambda c: F.min(c).over(whole), lambda c: F.max(c).over(whole))).where("fault IS NULL AND t IS NOT NULL").select("path", "chart", "t")
     return markers, judged.unionByName(none)
 
 

@@ -122,3 +122,13 @@ def test_hit_object_charts_are_rejected_for_what_is_wrong(spark):
     markers, found = charts.hit_object_charts(rows(spark, {k: v[0] for k, v in bad.items()} | {"fine": fine}))
     assert {r["path"]: r["reason"] for r in found.collect()} == {k: v[1] for k, v in bad.items()} | {"fine": None}
     assert {r["path"] for r in markers.collect()} == {"fine"} and {r["difficulty"] for r in found.collect()} == {"Unnamed"}
+
+
+def test_notes_are_read_once_for_markers_and_in_many_tasks(spark):
+    texts = rows(spark, {f"f{k}": STEP.format(extra="") for k in range(6)} | {"late": STEP.format(extra="").replace("0M00", "0Z00")})
+    markers, found = charts.step_charts(texts)
+    bad = {r["path"] for r in found.collect() if r["reason"]}
+    assert bad == {"late"} and {r["path"] for r in markers.select("path").distinct().collect()} == {f"f{k}" for k in range(6)}
+    plan = markers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(split(notes") == 1
+    assert "RepartitionByExpression" in plan
