@@ -57,8 +57,13 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, each a sequence; an empty text is the one end token."""
-    return packing.pack(docs)
+    """Pieces of power-of-two length, each a sequence; an empty text is the one end token.
+
+    They are written here, with as many rows a batch as packing works on at once:
+    executors come with heaps that the stages before have filled.
+    """
+    with common.few_rows(spark, packing.ROWS):
+        return common.written(packing.pack(docs), "pieces")
 
 
 STAGES = [

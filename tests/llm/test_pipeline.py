@@ -1,11 +1,12 @@
-"""The pipeline's near-duplicate stage against plain loops."""
+"""The pipeline's near-duplicate stage against plain loops, and what its packing stage reads at once."""
 
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from chronoflux.llm import shingles
+from chronoflux.llm import packing, shingles
 
 
 def sets(text):
@@ -112,3 +113,30 @@ def test_whole_pipeline_on_a_small_corpus(spark, folder):
         by.setdefault(r["doc_id"], []).append(r)
     assert all(sum(x["length"] for x in own) == own[0]["doc_tokens"] for own in by.values())
     assert len({r["sequence_id"] for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("limit", ["10000", "0", "100"])
+def test_packing_stage_reads_few_rows_at_once(spark, monkeypatch, limit):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    monkeypatch.setattr(packing, "pack", lambda docs: docs.select("id").mapInArrow(sizes, "n long"))
+    spark.conf.set(name, limit)
+    try:
+        found = [x["n"] for x in corpus_pipeline.packing_stage(spark, spark.range(0, 3000, 1, 1), "").collect()]
+        assert spark.conf.get(name) == limit
+    finally:
+        spark.conf.set(name, before)
+    assert sum(found) == 3000 and max(found) == (100 if limit == "100" else packing.ROWS)
+
+
+def test_packing_stage_returns_all_pieces(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * i) if i % 7 else None) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset"]
+    rows = lambda df: sorted(tuple(x) for x in df.select(columns).collect())
+    got = corpus_pipeline.packing_stage(spark, docs, "")
+    assert rows(got) == rows(packing.pack(docs)) and got.select("sequence_id").distinct().count() == got.count()
