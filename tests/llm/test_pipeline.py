@@ -1,12 +1,14 @@
 """The pipeline's near-duplicate stage against plain loops, and what its packing stage reads at once."""
 
 import random
+import time
 
 import corpus_pipeline
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from chronoflux.llm import packing, shingles
+from chronoflux.llm import common, packing, shingles
 
 
 def sets(text):
@@ -140,3 +142,20 @@ def test_packing_stage_returns_all_pieces(spark):
     rows = lambda df: sorted(tuple(x) for x in df.select(columns).collect())
     got = corpus_pipeline.packing_stage(spark, docs, "")
     assert rows(got) == rows(packing.pack(docs)) and got.select("sequence_id").distinct().count() == got.count()
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    rows = spark.range(3000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count().join(spark.range(100).withColumnRenamed("id", "k").repartition(5), "k")
+    table = common.written(rows, "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they go a moment later
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == rows.count() == 10
