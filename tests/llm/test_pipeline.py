@@ -4,6 +4,7 @@ import random
 import time
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,47 @@ def test_scratch_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert table.count() == rows.count() == 10
+
+
+@pytest.mark.parametrize("cut", [1 << 18, 5000])
+def test_only_texts_that_may_be_alike_are_compared(spark, monkeypatch, cut):
+    """Long near copies are linked however their groups are cut; long texts that share a line are told apart by sketches."""
+    monkeypatch.setattr(shingles, "SHINGLES", cut, raising=False)
+    r, tables, written = random.Random(5), {"close": []}, common.written
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    lines, rows = [[word() for _ in range(40)] for _ in range(6)], []
+    for k in range(12):
+        rows.append((k, " ".join([word() for _ in range(3000)] + lines[k // 2])))
+    words = [word() for _ in range(1500)]
+    for k in range(20):
+        own = list(words)
+        for at in r.sample(range(1500), k):
+            own[at] = word()
+        rows.append((100 + k, " ".join(own)))
+
+    def table(df, name):
+        out = written(df, name)
+        tables.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(common, "written", table)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {x["doc_id"]: x["component"] for x in shingles.near_duplicates(docs).collect()}
+    own = {i: sets(t) for i, t in rows}
+    assert all(len(own[100] & own[i]) / len(own[100] | own[i]) >= 0.8 for i in range(100, 120))
+    assert len({found[i] for i in range(100, 120)}) == 1 and len(set(found.values())) == 13
+    unlike = tables["nodes"][0].where("doc_id < 100").select(F.col("node").alias("a"))
+    assert not any(x.join(unlike, "a").count() for x in tables["close"])
+
+
+def test_what_two_sets_share_at_most_is_bounded_by_their_sketches():
+    r = np.random.default_rng(4)
+    for n, m, shared in ((40, 45, 40), (500, 560, 490), (511, 513, 20), (3000, 3300, 10), (3000, 3700, 2900), (20_000, 20_000, 0)):
+        x = np.unique(r.integers(-(1 << 62), 1 << 62, n + m))
+        one, other = np.sort(x[:n]), np.sort(np.concatenate([x[:shared], x[n : n + m - shared]]))
+        most = shingles._most(*[pa.array([shingles._sketch(s)], pa.binary()) for s in (one, other)])[0]
+        assert len(np.intersect1d(one, other)) <= most <= min(len(one), len(other))
+        if n >= 500 and shared < n / 2:  # unrelated sets of any length are told apart
+            assert most * 1.8 < 0.8 * (len(one) + len(other))
+    every = pa.array([shingles._sketch(np.arange(400, dtype=np.int64) << 20)], pa.binary())
+    assert shingles._most(every, every)[0] >= 400
