@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a cell and queries to it that meet at once.
-ROWS, ASKED = 4096, 1024
+#: Rows of a cell and queries to it that meet at once, and queries where a solver takes them in steps.
+ROWS, ASKED, STEPPED = 4096, 1024, 16_384
 #: Most of a sample that comes to the driver.
 SAMPLE_MB = 64
 
@@ -50,21 +50,24 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
 
 
-def meet(rows: DataFrame, asked: DataFrame, solve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: str) -> DataFrame:
+def meet(rows: DataFrame, asked: DataFrame, solve: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: str) -> DataFrame:
     """Solve every (cell, query) locally: ``(query_id, row, vec_id, score)``.
 
     ``rows(cell, row, vec_id, v)`` are the data, ``asked(cell, vec_id, v)`` the queries
-    a cell gets; ``solve(q, qv, ids, v)`` gives places in both and scores.  A cell of
-    more than ``ROWS`` rows is cut into blocks by hash, its queries likewise, and each
-    pair of blocks is a group: none is unbounded.
+    a cell gets; ``solve(q, qv, ids, v)`` gives places in both and scores.  What columns
+    both have besides follow as pairs (of the queries, of the rows), and then ``solve``
+    takes its queries in steps.  A cell of more than ``ROWS`` rows is cut into blocks by
+    hash, its queries likewise, and each pair of blocks is a group: none is unbounded.
     """
-    sizes = common.written(rows.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("q")), "cell").select("cell", F.ceil(F.col("n") / ROWS).cast("int").alias("rb"), F.ceil(F.col("q") / ASKED).cast("int").alias("qb")), "cells")
+    more = [c for c in asked.columns if c not in ("cell", "vec_id", "v")]
+    most = STEPPED if more else ASKED
+    sizes = common.written(rows.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("q")), "cell").select("cell", F.ceil(F.col("n") / ROWS).cast("int").alias("rb"), F.ceil(F.col("q") / most).cast("int").alias("qb")), "cells")
 
     def dealt(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
         block = F.pmod(F.xxhash64("row"), F.col(own)).cast("int")
         df = df.join(sizes, "cell").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         r, q = ("other", "own") if query else ("own", "other")
-        return df.select("row", "vec_id", "v", F.lit(query).alias("query"), F.xxhash64("cell", r, q).alias("group"))
+        return df.select("row", "vec_id", "v", F.lit(query).alias("query"), F.xxhash64("cell", r, q).alias("group"), *more)
 
     both = dealt(rows, "rb", "qb", False).unionByName(dealt(asked.withColumn("row", F.col("vec_id")), "qb", "rb", True))
 
@@ -73,11 +76,12 @@ def meet(rows: DataFrame, asked: DataFrame, solve: Callable[[np.ndarray, np.ndar
             row, ids, query, group = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy()
             v = matrix(part.column(2).combine_chunks())
             at = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            others = [part.column(5 + n).to_numpy() for n in range(len(more))]
             out = []
             for s, e in zip(at[:-1], at[1:], strict=True):
                 q = query[s:e]
                 if q.any() and not q.all():
-                    i, j, score = solve(ids[s:e][q], v[s:e][q], ids[s:e][~q], v[s:e][~q])
+                    i, j, score = solve(ids[s:e][q], v[s:e][q], ids[s:e][~q], v[s:e][~q], *[(x[s:e][q], x[s:e][~q]) for x in others])
                     out.append((ids[s:e][q][i], row[s:e][~q][j], ids[s:e][~q][j], score))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "row", "vec_id", "score"])

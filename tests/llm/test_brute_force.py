@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -237,3 +238,39 @@ def test_approximate_search_finds_most_and_reads_few_lists(spark, monkeypatch, c
     if clusters:  # and the exact join prunes
         knn.top_k(df).count()
         assert sum(m[0] or 0 for m in met) < 0.5 * 120 * 6000
+
+
+def test_exact_search_sends_a_query_once_to_a_cell(spark, monkeypatch):
+    """Where no bound prunes, queries sent grow with pivots and not rings, in small batches, and only scores that reach the bound come back."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(6000, 16))
+    x[100:140] = x[3000]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    met, plain = [], vectors.meet
+
+    def meet(rows, asked, *more):
+        sizes = asked.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        found = plain(rows, asked, *more)
+        met.append((sum(r["n"] for r in sizes.collect()), found.count()))
+        return found
+
+    monkeypatch.setattr(vectors, "meet", meet)
+    got = sorted(map(tuple, knn.top_k(df, every=50, pivots=32).collect()))
+    ints = np.floor(x * 256).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 50):
+        s = ints[q] @ ints.T
+        want += [(q, k + 1, j, int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(6000), -s)).tolist() if j != q][:5])]
+    assert got == want
+    assert met[0][0] == 120 * 2 and met[1][0] <= 120 * 30 and met[1][1] < 120 * 30  # queries sent; pairs returned
+
+
+def test_exact_search_of_large_components(spark):
+    """Components that no short integer holds."""
+    x = np.random.default_rng(8).normal(size=(200, 4)) * 1e5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ints = np.floor(x * 256).astype(np.int64)
+    for row in knn.top_k(df, k=1).collect():
+        s = ints[row["query_id"]] @ ints.T
+        s[row["query_id"]] = -(1 << 62)
+        assert (row["vec_id"], row["score"]) == (int(s.argmax()), int(s.max()))
